@@ -17,17 +17,24 @@ UND = "und"
 SAMPLE_TEXTS, DICT_BYTES = 400, 65_536
 #: Bytes of a text that are compressed at a time.  Short pieces keep the dictionary, not the text itself, the best help.
 PIECE = 1_500
-LEVEL = 1
+#: zstandard level and shortest match; the optimal parser makes the most of a dictionary.
+LEVEL, SHORTEST = 3, 3
 #: Share of the best size by which the second best must be larger; else the prediction is marked as not reliable.
 MARGIN = 0.02
 _LETTER = re.compile(r"[^\W\d_]")
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def plain(text: str) -> str:
+    """Lower-case letters, one space for all else: what is compressed, of training texts too."""
+    return f" {_OTHER.sub(' ', text.lower()).strip()} "
 
 
 def fit(docs: DataFrame, label: str = "lang", text_col: str = "text", per_label: int = SAMPLE_TEXTS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """label -> raw-content dictionary, from at most per_label texts of each label, those of the least text hash.
 
     Rows without label or text don't count; of equal texts one does.  Each text gives its first 2000 characters, as a training
-    sample only.  Labels are a closed list of languages, so what reaches the driver is labels x per_label x 2000 characters.
+    sample only.  The labels come in order of their number of rows, which settles ties.  Labels are a closed list of languages, so what reaches the driver is labels x per_label x 2000 characters.
     """
     rows = docs.filter(F.col(label).isNotNull() & (F.length(text_col) > 0)).select(F.col(label).alias("label"), F.substring(text_col, 1, 2000).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
@@ -35,11 +42,12 @@ def fit(docs: DataFrame, label: str = "lang", text_col: str = "text", per_label:
     texts: dict[str, list[str]] = {}
     for r in top.select("label", "h", "text").collect():
         texts.setdefault(r["label"], []).append((r["h"], r["text"]))
+    share = {r[0]: r[1] for r in docs.filter(F.col(label).isNotNull()).groupBy(label).count().collect()}
     dicts = {}
-    for name, found in sorted(texts.items()):
-        kept = list(dict.fromkeys(t for _, t in sorted(found)))
+    for name, found in sorted(texts.items(), key=lambda x: (-share[x[0]], x[0])):
+        kept = list(dict.fromkeys(plain(t) for _, t in sorted(found)))
         each = max(200, dict_bytes // len(kept))
-        dicts[name] = "\n".join(t.encode("utf-8", "replace")[:each].decode("utf-8", "ignore") for t in kept).encode()[-dict_bytes:]
+        dicts[name] = "".join(t.encode("utf-8", "replace")[:each].decode("utf-8", "ignore") for t in kept).encode()[-dict_bytes:]
     return dicts
 
 
@@ -49,8 +57,8 @@ class Compressors:
     def __init__(self, dicts: dict[str, bytes], level: int = LEVEL):
         import zstandard as z
 
-        self.names, self.by = sorted(dicts), []
-        params = z.ZstdCompressionParameters.from_level(level, window_log=17, write_content_size=0, write_checksum=0, write_dict_id=0)
+        self.names, self.by = list(dicts), []
+        params = z.ZstdCompressionParameters.from_level(level, window_log=17, min_match=SHORTEST, strategy=z.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0)
         for name in self.names:
             d = z.ZstdCompressionDict(dicts[name], dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=params)
@@ -58,7 +66,7 @@ class Compressors:
 
     def sizes(self, text: str) -> list[int]:
         """The whole text, piece by piece; a constant frame header is not counted."""
-        data = text.encode("utf-8", "replace")
+        data = plain(text).encode("utf-8", "replace")
         pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
         return [sum(max(1, len(c.compress(p)) - 9) for p in pieces) for c in self.by]
 
@@ -77,8 +85,8 @@ class Compressors:
 def identify(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, reliable) of every row of docs: the label whose dictionary compresses the whole text best.
 
-    Null text, and text without a letter, is `und` with score 0; so is all when nothing was learnt.  Equal sizes go to the first
-    label by name with score 0.5.  reliable is false when the margin is narrow.  Null and repeated ids pass through; an empty
+    Null text, and text without a letter, is `und` with score 0; so is all when nothing was learnt.  Equal sizes go to the label with
+    more rows to learn from, with score 0.5.  reliable is false when the margin is narrow.  Null and repeated ids pass through; an empty
     table gives none; other columns are not read.
     """
     kind = dict(docs.dtypes)[id_col]
