@@ -119,3 +119,36 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         cur = joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         cur = checkpointed(cur.select("e.u", "e.v").filter("u != v").distinct())
     raise RuntimeError("components have not settled")
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], size: int = 1 << 23) -> Iterator[pa.Table]:
+    """Rows that come sorted by keys, some size bytes at a time, never cutting a group of equal keys."""
+    held: list[pa.RecordBatch] = []
+    held_bytes, checked = 0, size
+    for batch in sliced(batches, 1000):
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        held_bytes += batch.nbytes
+        if held_bytes < checked:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        new = group_starts(t, keys)
+        cut = int(new[-1])
+        if cut:
+            yield t.slice(0, cut).combine_chunks()
+        rest = t.slice(cut).combine_chunks()
+        held, held_bytes = rest.to_batches(), rest.nbytes
+        checked = size + held_bytes  # a group larger than size is not looked through with every batch
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def group_starts(t: pa.Table, keys: list[str]) -> np.ndarray:
+    """Where groups of equal keys begin, in a table sorted by them."""
+    new = np.zeros(t.num_rows, bool)
+    new[0] = True
+    for k in keys:
+        v = t.column(k).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
