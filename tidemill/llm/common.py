@@ -99,9 +99,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
 
     Large-star and small-star steps by turns.  A node's smallest neighbour comes from a grouped minimum and is joined
     back to its links, so a hub is aggregated before the shuffle and its links may be split over tasks.  Each round is
-    checkpointed; only two numbers a round reach the driver.  Null ends and self links are ignored; repeated links are one.
+    checkpointed; only two numbers a round reach the driver.  Nodes may be of any type with an order.  Null ends and self links are ignored; repeated links are one.
     """
-    x, y = F.col(a).cast("long"), F.col(b).cast("long")
+    x, y = F.col(a), F.col(b)
     cur = edges.filter(x != y).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
     cur, seen = checkpointed(cur), None
     for _ in range(most_rounds):
