@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows that an Arrow batch of document texts is cut into before Python objects are made of it.
 SLICE = 512
@@ -40,6 +41,25 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield batch.slice(at, rows)
 
 
+def with_text_columns(docs: DataFrame, extra: list[tuple[str, str, pa.DataType]], maker, rows: int = SLICE) -> DataFrame:
+    """docs with more columns made from its texts by Arrow batches, without a shuffle.
+
+    extra: name, DDL type and Arrow type of each.  maker() is called once a task; what it returns takes the texts of some rows
+    and gives a list of values for each column.
+    """
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T._parse_datatype_string(t)) for n, t, _ in extra)])
+    at = docs.columns.index("text")
+
+    def run(batches):
+        f = maker()
+        for b in sliced(batches, rows):
+            made = f(b.column(at).to_pylist())
+            cols = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, (_, _, t) in zip(made, extra, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 class WordHashes(dict):
     """word -> 64-bit hash, the same in every process; forgets all when it has grown large."""
 

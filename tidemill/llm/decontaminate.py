@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, table
+from .common import table, with_text_columns
 
 NAME = "op9_decontaminate"
 WINDOW = 13
@@ -17,6 +17,9 @@ WINDOW = 13
 AUTOMATON_CHARS = 4_000_000
 #: A-Z become a-z; a-z, 0-9 and every byte of a non-ASCII character stay; all else separates words.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
+_ORIGINAL = re.compile(r"(?:[^\x00-\x2F\x3A-\x60\x7B-\x7F]|[A-Z])+")
+_SPANS = "array<struct<first_word:bigint,last_word:bigint,start:bigint,end:bigint>>"
+_SPANS_ARROW = pa.list_(pa.struct([(c, pa.int64()) for c in ("first_word", "last_word", "start", "end")]))
 
 
 def normalised(text: str | None) -> str:
@@ -75,13 +78,13 @@ def scan(a, text: str) -> tuple[list[tuple[int, int]], set]:
     return out, items
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, hits_in: int = 20) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans) of every row of docs.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, hits_in: int = 20, prefix: str = "") -> DataFrame:
+    """docs with n_words, n_hit, n_items, items_sha256, contaminated and spans (names after prefix).
 
     A word inside any occurrence of a window is hit; a document is contaminated when one in hits_in of its words is, or
     more.  spans: the hit runs as (first, last) character offsets in the original text.  Null or wordless text: no words,
     clean.  Items without words have no windows; an item without id counts under the empty string; repeated items are one.
-    Empty tables give no rows, or clean ones.  Repeated documents are each scanned.  Columns not named here aren't read.
+    Empty tables give no rows, or clean ones.  Repeated documents are each scanned; all columns of docs are passed on.
 
     The patterns of the benchmark are gathered once (it is a test set, read whole by the driver) in automata of
     AUTOMATON_CHARS characters; usually there is one.
@@ -94,50 +97,59 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, hits_i
             size = 0
         parts[-1][w] = ids
         size += len(w)
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(p) for p in parts]
-    kind = dict(docs.dtypes)["doc_id"]
-    original = re.compile(r"(?:[^\x00-\x2F\x3A-\x60\x7B-\x7F]|[A-Z])+")
+    sc = docs.sparkSession.sparkContext
+    shared = [sc.broadcast(p) for p in parts]
 
-    def run(k):
-        def inner(batches):
+    def maker(k):
+        def make():
             a = automaton(shared[k].value)
-            for b in sliced(batches):
-                ids, words, spans, items = b.column(0), [], [], []
-                for text in b.column(1).to_pylist():
+
+            def run(texts):
+                words, spans, items = [], [], []
+                for text in texts:
                     norm = normalised(text)
                     words.append(norm.count(" ") - 1)
                     runs, found = scan(a, norm) if len(a) else ([], set())
                     if runs:
-                        at = [m.span() for m in original.finditer(text)]
+                        at = [m.span() for m in _ORIGINAL.finditer(text)]
                         runs = [{"first_word": x, "last_word": y, "start": at[x][0], "end": at[y][1]} for x, y in runs]
                     spans.append(runs)
                     items.append(sorted(found))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(words, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+                return words, spans, items
+
+            return run
 
-        return inner
+        return make
 
-    SPANS = pa.list_(pa.struct([(c, pa.int64()) for c in ("first_word", "last_word", "start", "end")]))
-    schema = f"doc_id {kind}, n_words long, spans array<struct<first_word:long,last_word:long,start:long,end:long>>, items array<string>"
+    out = docs
+    for k in range(len(shared)):  # a further automaton adds its spans and items to a row
+        columns = [(f"__tm_words{k}", "long", pa.int64()), (f"__tm_spans{k}", _SPANS, _SPANS_ARROW), (f"__tm_items{k}", "array<string>", pa.list_(pa.string()))]
+        out = with_text_columns(out, columns, maker(k))
+    every = lambda c: F.concat(*[F.col(f"__tm_{c}{k}") for k in range(len(shared))])
+    out = out.withColumn("__tm_spans", every("spans")).withColumn("__tm_items", F.array_sort(F.array_distinct(every("items"))))
     if len(shared) == 1:
-        found = docs.select("doc_id", "text").mapInArrow(run(0), schema)
-        found = found.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["last_word"] - x["first_word"] + 1))
-    else:  # a scan for each automaton; a row's spans meet by its key
-        keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text")
-        schema = schema.replace(f"doc_id {kind}", f"doc_id struct<doc_id:{kind},h:long>")
-        all_rows = None
-        for k in range(len(shared)):
-            rows = keyed.mapInArrow(run(k), schema).withColumn("round", F.lit(k))
-            all_rows = rows if all_rows is None else all_rows.union(rows)
-        found = all_rows.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.sum(F.when(F.col("round") == 0, 1).otherwise(0)).alias("rows"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        found = found.withColumn("n_hit", F.size(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["first_word"], x["last_word"]))))).cast("long"))
-        found = found.select(F.col("doc_id.doc_id").alias("doc_id"), "n_words", "n_hit", "spans", "items", F.explode(F.array_repeat(F.lit(1), F.col("rows").cast("int"))).alias("one")).drop("one")
-    joined = F.array_join(F.array_sort("items"), ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (F.col("n_hit") * hits_in >= F.col("n_words"))).alias("contaminated"), "spans")
+        hit = F.aggregate("__tm_spans", F.lit(0).cast("long"), lambda s, x: s + x["last_word"] - x["first_word"] + 1)
+    else:
+        hit = F.size(F.array_distinct(F.flatten(F.transform("__tm_spans", lambda x: F.sequence(x["first_word"], x["last_word"]))))).cast("long")
+    out = out.withColumn("__tm_hit", hit)
+    made = {
+        "n_words": F.col("__tm_words0"),
+        "n_hit": F.col("__tm_hit"),
+        "n_items": F.size("__tm_items").cast("long"),
+        "items_sha256": F.sha2(F.array_join("__tm_items", ","), 256),
+        "contaminated": (F.col("__tm_hit") > 0) & (F.col("__tm_hit") * hits_in >= F.col("__tm_words0")),
+        "spans": F.col("__tm_spans"),
+    }
+    return out.select(*[f"`{c}`" for c in docs.columns], *[v.alias(prefix + c) for c, v in made.items()])
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that are not contaminated, with their columns."""
+    return decontaminate(docs, benchmark, prefix="__tm_out_").filter("not __tm_out_contaminated").select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+    return decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text", "spans")
 
 
 SQL = r"""

@@ -175,8 +175,8 @@ def compare_bucket(path: int, sets: list[np.ndarray], paths: list[np.ndarray], l
 
 
 def jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, large: int = LARGE) -> DataFrame:
-    """(doc_id, n_links, component_id, kept) of every row of docs: other rows whose n-gram sets have Jaccard >= threshold,
-    the smallest doc_id reachable by links, and whether that is its own.
+    """(doc_id, n_links, component_id, kept, n_tokens) of every row of docs: other rows whose n-gram sets have Jaccard >=
+    threshold, the smallest doc_id reachable by links, whether that is its own, and the size of its set.
 
     Words are runs of non-white-space, lower case; a text of fewer than n words, but not none, has one token.  Null, empty or
     wordless texts link with nothing.  A row without doc_id links with nothing and isn't kept; rows that repeat a doc_id are
@@ -253,9 +253,21 @@ def jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     groups = components(edges)
     result = classes.select("key", "rep", "n").join(links.hint("merge"), F.col("key") == F.col("_l"), "left").join(groups.hint("merge"), F.col("rep") == F.col("node"), "left")
     result = result.select(F.col("key").alias("_k"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
-    out = rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(result.hint("merge"), F.col("key") == F.col("_k"), "left")
+    out = rows.select("doc_id", F.col("size").alias("n_tokens"), F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(result.hint("merge"), F.col("key") == F.col("_k"), "left")
     component = F.coalesce("c", "doc_id")
-    return out.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), "n_tokens")
+
+
+def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs with their columns, of each connected group of similar texts the one of the smallest doc_id.
+
+    Texts without a word are copies of each other here, and one stays.  Rows without doc_id all stay; rows that repeat a
+    doc_id stay or go together.
+    """
+    found = checkpointed(jaccard_join(docs.select("doc_id", "text"), **options).filter("doc_id is not null and (not kept or n_tokens = 0)"))
+    blank = found.filter("n_tokens = 0").agg(F.min("doc_id")).first()[0]
+    gone = found.filter((F.col("n_tokens") > 0) | (F.col("doc_id") > F.lit(blank))).select(F.col("doc_id").alias("__tm_id")).distinct()
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__tm_id"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,33 @@ def thresholds(rows: DataFrame, plan: DataFrame, near) -> DataFrame:
     return state.select("source", F.when(within, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("limit"))
 
 
+def measures() -> dict:
+    """size and hash of a document, as columns."""
+    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
+    return {"size": F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"), "h": h}
+
+
+def _joiner(few: bool):
+    def near(left, right, key="source"):
+        """left with the columns of right, which has one row for each source."""
+        right = right.withColumnRenamed("source", "_s").hint("broadcast" if few else "merge")
+        return left.join(right, F.col(f"`{key}`").eqNullSafe(F.col("_s")), "left").drop("_s")
+
+    return near
+
+
+def fit(rows: DataFrame, weights: tuple, share: float, most: int) -> tuple[DataFrame, bool]:
+    """((source, source_size, target, base, limit), whether sources are few).  rows: source, size, h."""
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    plan = targets(sizes, weights, share, most)
+    base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    plan = checkpointed(plan.withColumn("base", base).withColumn("rest", F.col("target") - F.col("base") * F.col("source_size")))
+    few = plan.count() <= FEW_SOURCES
+    near = _joiner(few)
+    limits = near(plan, thresholds(rows, plan, near)).select("source", "source_size", "target", "base", F.coalesce("limit", F.lit(-1)).alias("limit"))
+    return checkpointed(limits), few
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) of every row of docs.
 
@@ -69,24 +96,29 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: int
     a null doc_id hashes as the empty string.  Null sources are one source.  A source without words has target 0 and takes
     its documents no times.  An empty table gives none.  Columns other than doc_id, text and source are not read.
     """
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
-    size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    rows = checkpointed(docs.select("doc_id", "source", size.alias("size"), h.alias("h")))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = targets(sizes, weights, share, most)
-    base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = checkpointed(plan.withColumn("base", base).withColumn("rest", F.col("target") - F.col("base") * F.col("source_size")))
-    few = plan.count() <= FEW_SOURCES
+    m = measures()
+    rows = checkpointed(docs.select("doc_id", "source", m["size"].alias("size"), m["h"].alias("h")))
+    plan, few = fit(rows, weights, share, most)
+    copies = F.col("base") + (F.col("h") <= F.col("limit")).cast("long")
+    return _joiner(few)(rows, plan).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
-    def near(left, right):
-        """left with the columns of right, which has one row for each source."""
-        right = right.withColumnRenamed("source", "_s").hint("broadcast" if few else "merge")
-        return left.join(right, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
-    limits = checkpointed(thresholds(rows, plan, near))
-    out = near(near(rows, plan), limits)
-    copies = F.col("base") + (F.col("h") <= F.coalesce("limit", F.lit(-1))).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
+    """The documents that the mix takes at least once, with their columns and size, source_size, target, taken and copies.
+
+    As mix(); the decisions are taken to the texts by source, not by a join on documents.  Columns of docs named like one of
+    the added ones give way to it.
+    """
+    m = measures()
+    rows = checkpointed(docs.select("source", m["size"].alias("size"), m["h"].alias("h")))
+    plan, few = fit(rows, weights, share, most)
+    plan = plan.select("source", *[F.col(c).alias(f"__tm_{c}") for c in plan.columns[1:]])
+    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies")]
+    out = _joiner(few)(docs.withColumn("__tm_size", m["size"]).withColumn("__tm_h", m["h"]), plan)
+    copies = F.col("__tm_base") + (F.col("__tm_h") <= F.col("__tm_limit")).cast("long")
+    out = out.withColumn("__tm_copies", copies).filter("__tm_copies > 0")
+    taken = (F.col("__tm_copies") * F.col("__tm_size")).alias("taken")
+    return out.select(*[f"`{c}`" for c in own], F.col("__tm_size").alias("size"), F.col("__tm_source_size").alias("source_size"), F.col("__tm_target").alias("target"), taken, F.col("__tm_copies").alias("copies"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

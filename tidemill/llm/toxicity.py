@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, sliced, table
+from .common import mixed, table, with_text_columns
 
 NAME = "op7_toxicity"
 SQL = None  # SQL trains no network
@@ -29,6 +29,8 @@ WINDOW, STRIDE = 24, 16
 DECAY = 0.02
 HIDDEN, WIDTH = 12, 16
 GRAM_BUCKETS, KNOWN_WORDS = 1 << 14, 8_000
+#: Steps that training takes at least, if six times the usual number of epochs allow.
+FEWEST_STEPS = 1_200
 #: Words whose gate inputs a task remembers.
 CACHE = 100_000
 _WORD = re.compile(r"[^\W_]+")
@@ -200,6 +202,8 @@ def fit(texts: list[str], labels: list[int], epochs: tuple[int, int] = (3, 5), s
         gates = net.gates(names)
         return np.concatenate([net.forward(gates, at[rows[i : i + 4096]]) for i in range(0, len(rows), 4096)])
 
+    more = min(6, max(1, -(-FEWEST_STEPS // (sum(epochs) * max(1, len(doc) // batch)))))  # few texts are gone through more often
+    epochs = (epochs[0] * more, epochs[1] * more)
     for epoch in range(sum(epochs)):
         pos, neg = np.flatnonzero((y[doc] == 1) & ~test[doc]), np.flatnonzero((y[doc] == 0) & ~test[doc])
         if epoch >= epochs[0]:
@@ -307,22 +311,30 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_TEXTS) ->
     return [x[1] for x in found], [x[2] for x in found]
 
 
-def score(docs: DataFrame, net: Network) -> DataFrame:
-    """(doc_id, score, window, predicted) of every row of docs, for its whole text; window: first word of the worst window.
+def score(docs: DataFrame, net: Network, prefix: str = "") -> DataFrame:
+    """docs with score, window and predicted (names after prefix) for its whole text; window: first word of the worst window.
 
-    Null, empty or wordless text has the score of an empty window, near 0.  Of equal windows the first counts.  Null and
-    repeated ids pass through; an empty table gives none; columns other than doc_id and text are not read.
+    Null, empty or wordless text has the score of an empty window, near 0.  Of equal windows the first counts.  Every row is
+    passed on with all its columns, whatever is null or repeated in it; an empty table gives none.
     """
-    kind = dict(docs.dtypes)["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    def run(batches):
+    def maker():
         s = Scorer(shared.value)
-        for b in sliced(batches, 256):
-            value, at = s.scores(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(value), pa.array(at, pa.int64()), pa.array((value >= 0.5).astype(np.int32))], names=["doc_id", "score", "window", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, window long, predicted int")
+        def run(texts):
+            value, at = s.scores(texts)
+            return value, at, (value >= 0.5).astype(np.int32)
+
+        return run
+
+    extra = [(prefix + "score", "double", pa.float64()), (prefix + "window", "long", pa.int64()), (prefix + "predicted", "int", pa.int32())]
+    return with_text_columns(docs, extra, maker, 256)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that a network learnt from its labelled rows does not reject, with their columns."""
+    return score(docs, fitted(docs, labels), "__tm_").filter("__tm_predicted = 0").select(*[f"`{c}`" for c in docs.columns])
 
 
 def held_out(fold: int = 5):
@@ -336,5 +348,5 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Network:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = score(docs, fitted(docs, table(spark, sf_dir, "labels")))
+    out = score(docs.select("doc_id", "text"), fitted(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out().alias("held_out"), "score", "predicted", "window")
