@@ -96,8 +96,8 @@ def month_starts(spark: SparkSession, first: str, last: str) -> DataFrame:
     """(month): "YYYYMM01" of every month from first to last, both "YYYY-MM"."""
     if first > last:
         raise ValueError("the first month must not come after the last")
-    days = F.explode(F.sequence(F.lit(f"{first}-01").cast("date"), F.lit(f"{last}-01").cast("date"), F.expr("interval 1 month")))
-    return spark.range(1).select(F.date_format(days, "yyyyMMdd").alias("month"))
+    days = F.sequence(F.lit(f"{first}-01").cast("date"), F.lit(f"{last}-01").cast("date"), F.expr("interval 1 month"))
+    return spark.range(1).select(F.explode(days).alias("day")).select(F.date_format("day", "yyyyMMdd").alias("month"))
 
 
 # --- sinks -------------------------------------------------------------------------------------------------------------
