@@ -62,12 +62,9 @@ def scan(a, text: str) -> tuple[list[tuple[int, int]], set]:
     for end, (length, ids) in a.iter(text):
         items.update(ids)
         start = end + 1 - length
-        if spans and start <= spans[-1][1]:  # ends come in order; shorter windows may start before the last one
-            while len(spans) > 1 and start <= spans[-2][1]:
-                spans.pop(-2)
-            spans[-1] = (min(spans[-1][0], start), end)
-        else:
-            spans.append((start, end))
+        while spans and start <= spans[-1][1]:  # ends come in order; a longer window may reach over several spans
+            start = min(start, spans.pop()[0])
+        spans.append((start, end))
     at = word = 0
     out = []
     for start, end in spans:

@@ -2,7 +2,7 @@
 
 A line is a run of text between block-level tags.  Its ratio is its length over the tags that opened in it and before it.
 Ratios are smoothed with a Gaussian along the page and split in two clusters at a threshold; lines of the high cluster are
-content; the region runs from the first to the last of them, or is the article element that holds most of them.  Lines in
+content; the region is the article element, or else the innermost container, that holds most of them.  Lines in
 parts that are never article text (menus, headers, footers, forms, adverts, comments) don't stand for choice.
 """
 
@@ -22,9 +22,13 @@ from .common import sliced, table
 NAME = "op3_html_text"
 SQL = None  # SQL doesn't parse HTML
 SIGMA = 1.5
+#: Share of the content's text that a container must hold to be the region.
+MOST = 0.7
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end a line.
 BLOCK = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html iframe legend li main menu nav noscript ol option p pre script search section select style summary table tbody td textarea tfoot th thead title tr ul".split())
+#: Elements that set apart regions of a page.
+CONTAINERS = set("article center div main section td".split())
 #: Elements whose text is never shown as text.
 UNSEEN = set("script style noscript template iframe object svg math canvas head title textarea select option button datalist audio video map".split())
 #: Elements that hold no article text.
@@ -44,6 +48,7 @@ class Line:
     tags: int
     links: int
     main: int  # number of the enclosing article, or 0
+    parts: tuple  # numbers of the enclosing containers, from the outside
 
 
 class Lines(HTMLParser):
@@ -52,14 +57,14 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int]] = []  # (tag, excluded from here on, article)
+        self.open: list[tuple[str, bool, int, int]] = []  # (tag, excluded from here on, article, number)
         self.buffer: list[str] = []
-        self.tags = self.links = self.articles = 0
+        self.tags = self.links = self.articles = self.count = 0
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.buffer)).strip()
         if text:
-            self.lines.append(Line(text, self.tags, self.links, self.open[-1][2] if self.open else 0))
+            self.lines.append(Line(text, self.tags, self.links, self.open[-1][2] if self.open else 0, tuple(x[3] for x in self.open if x[0] in CONTAINERS)))
             self.tags = 0
         self.buffer, self.links = [], 0
 
@@ -90,7 +95,8 @@ class Lines(HTMLParser):
         if tag in ("article", "main") and not excluded and not main or (dict(attrs).get("role") == "main" and not main):
             self.articles += 1
             main = self.articles
-        self.open.append((tag, excluded or self.marked(tag, attrs), main))
+        self.count += 1
+        self.open.append((tag, excluded or self.marked(tag, attrs), main, self.count))
 
     def close_implied(self, tag: str) -> None:
         """A new block closes an open paragraph, a new item its fellow, if nothing else of block kind is open in between."""
@@ -116,7 +122,7 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if not (self.open and self.open[-1][1]):
             self.buffer.append(data)
-            if any(t == "a" for t, _, _ in self.open):
+            if any(x[0] == "a" for x in self.open):
                 self.links += len(data)
 
 
@@ -169,7 +175,19 @@ def main_text(html: str | None) -> str:
     best = max(named, key=lambda k: (named[k], -k))
     if best:  # the region is the article element that holds the content
         return "\n\n".join(x.text for x in lines if x.main == best)
-    return "\n\n".join(x.text for x in lines[content[0] : content[-1] + 1] if x.links < len(x.text))
+    # Else the region is the innermost container that holds most of the content, or runs from its first line to its last.
+    inner, depth, of = (), 0, [(lines[i].parts, len(lines[i].text)) for i in content]
+    while True:
+        share: dict[int, int] = {}
+        for parts, n in of:
+            if len(parts) > depth and parts[:depth] == inner:
+                share[parts[depth]] = share.get(parts[depth], 0) + n
+        top = max(share, key=lambda k: (share[k], -k), default=None)
+        if top is None or share[top] < MOST * sum(n for _, n in of):
+            break
+        inner, depth = (*inner, top), depth + 1
+    region = [x for x in lines if x.parts[:depth] == inner] if depth else lines[content[0] : content[-1] + 1]
+    return "\n\n".join(x.text for x in region if x.links < len(x.text))
 
 
 def extract(pages: DataFrame) -> DataFrame:
