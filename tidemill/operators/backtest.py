@@ -96,11 +96,21 @@ def run_metrics(curve: DataFrame, keys: list[str], config: Config = Config(), ri
 
 
 def metrics(curve: DataFrame, keys: list[str], config: Config = Config(), extra: list[Column] | None = None) -> DataFrame:
-    """The full metric report and score of every run."""
-    found = trades(curve, keys).groupBy(*keys).agg(F.count("*").alias("trade_count"), F.avg(F.when(F.col("trade_net_return") > 0, 1.0).otherwise(0.0)).alias("win_rate"))
-    df = run_metrics(curve, keys, config, extra=extra).join(found, keys, "left")
-    df = df.withColumns({"trade_count": F.coalesce("trade_count", F.lit(0)), "win_rate": F.coalesce("win_rate", F.lit(0.0))})
-    return df.withColumn("score", score())
+    """The full metric report and score of every run, in one pass over its bars.
+
+    Trades are not collected for it: a trade's net return is the equity at its last bar over that before its first one.  After
+    a loss of exactly everything no trade counts as won.
+    """
+    w = ordered(keys)
+    before = F.coalesce(F.lag("position").over(w), F.lit(0.0))
+    df = curve.withColumns({"_entry": (before == 0) & (F.col("position") > 0), "_exit": (before > 0) & (F.col("position") == 0), "_prev": F.lag("equity").over(w), "_next": F.lead("ts").over(w)})
+    df = df.withColumn("_base", F.last(F.when(F.col("_entry"), F.col("_prev")), ignorenulls=True).over(so_far(keys)))
+    ends = F.col("_exit") | ((F.col("position") > 0) & F.col("_next").isNull())
+    won = F.when(ends & (F.col("_base") != 0), F.col("equity") / F.col("_base") - 1 > 0)
+    counts = [F.count_if("_entry").alias("trade_count"), F.count_if(won).alias("_won")]
+    df = run_metrics(df, keys, config, extra=[*counts, *(extra or [])])
+    rate = F.when(F.col("trade_count") > 0, F.col("_won") / F.nullif(F.col("trade_count"), F.lit(0))).otherwise(0.0)
+    return df.withColumn("win_rate", rate).drop("_won").withColumn("score", score())
 
 
 def buy_and_hold(bars: DataFrame, keys: list[str], capital: float = 100_000.0) -> DataFrame:
