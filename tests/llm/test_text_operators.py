@@ -114,6 +114,7 @@ def test_language(spark):
         assert n >= 1
     blank = [o for o in odd if o.doc_id in (1, 2, 3)]
     assert {o.lang_pred for o in blank} == {"und"} and not any(o.reliable for o in blank)
+    assert not language_id.has_letter("½ ² 12_٣ -") and language_id.has_letter("½é")
     assert {o.lang_pred for o in language_id.identify(docs(spark), {}).collect()} == {"und"}
     assert language_id.identify(docs(spark, []), dicts).count() == 0
 

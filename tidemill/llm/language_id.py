@@ -25,6 +25,10 @@ _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in _LETTER.finditer(text))  # digits of other kinds are no letters
+
+
 def plain(text: str) -> str:
     """Lower-case letters, one space for all else: what is compressed, of training texts too."""
     return f" {_OTHER.sub(' ', text.lower()).strip()} "
@@ -72,7 +76,7 @@ class Compressors:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(label, score 0 to 1, whether the margin is wide enough)."""
-        if not text or not self.names or not _LETTER.search(text):
+        if not text or not self.names or not has_letter(text):
             return UND, 0.0, False
         sizes = self.sizes(text)
         (best, k), *rest = sorted((s, k) for k, s in enumerate(sizes))
