@@ -30,7 +30,7 @@ DECAY = 0.02
 HIDDEN, WIDTH = 12, 16
 GRAM_BUCKETS, KNOWN_WORDS = 1 << 14, 8_000
 #: Steps that training takes at least, if six times the usual number of epochs allow.
-FEWEST_STEPS = 1_200
+FEWEST_STEPS = 500
 #: Words whose gate inputs a task remembers.
 CACHE = 100_000
 _WORD = re.compile(r"[^\W_]+")
@@ -100,8 +100,11 @@ class Network:
 
     def gates(self, words: list[str]) -> np.ndarray:
         """Gate inputs of both directions for words."""
-        x, _ = self.vectors(words)
-        return np.concatenate([x @ self.p["Wf"] + self.p["cf"], x @ self.p["Wb"] + self.p["cb"]], axis=1)
+        out = np.empty((len(words), 6 * HIDDEN), np.float32)
+        for i in range(0, len(words), 5_000):
+            x, _ = self.vectors(words[i : i + 5_000])
+            out[i : i + len(x)] = np.concatenate([x @ self.p["Wf"] + self.p["cf"], x @ self.p["Wb"] + self.p["cb"]], axis=1)
+        return out
 
     def forward(self, gates: np.ndarray, at: np.ndarray, keep: bool = False):
         """Logits of windows; at: rows of gates, -1 where a window has no word."""
@@ -165,7 +168,7 @@ class Network:
         return out, dx
 
 
-def fit(texts: list[str], labels: list[int], epochs: tuple[int, int] = (3, 5), seed: int = 7, rate: float = 0.01, batch: int = 512) -> Network:
+def fit(texts: list[str], labels: list[int], epochs: tuple[int, int] = (3, 5), seed: int = 7, rate: float = 0.01, most: int = 512) -> Network:
     """Train on texts with labels 0 or 1.  Without both classes the result scores everything near 0."""
     docs = [words_of(t)[:SAMPLE_WORDS] for t in texts]
     y = np.array(labels, np.int64)
@@ -194,6 +197,7 @@ def fit(texts: list[str], labels: list[int], epochs: tuple[int, int] = (3, 5), s
             at.append(np.pad(row[s : s + WINDOW], (0, max(0, WINDOW - len(d))), constant_values=-1))
     doc, at = np.array(doc), np.array(at)
     r = np.random.default_rng(seed)
+    batch = min(most, max(32, len(doc) // 20))
     m1 = {k: np.zeros_like(v) for k, v in net.p.items()}
     m2 = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
@@ -304,10 +308,15 @@ class Scorer:
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_TEXTS) -> tuple[list[str], list[int]]:
     """At most per_class texts of each label, those of the least text hash; rows without text or label don't count."""
-    flags = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").filter(F.length("text") > 0).withColumn("h", F.xxhash64("text"))
-    rows = rows.join(flags.hint("merge"), "doc_id").withColumn("k", F.row_number().over(Window.partitionBy("toxic").orderBy("h", "doc_id"))).filter(F.col("k") <= per_class)
-    found = sorted((r["h"], r["text"], r["toxic"]) for r in rows.select("h", "text", "toxic").collect())
+    flags = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    many = {r[0]: r[1] for r in flags.groupBy("toxic").count().collect()}
+    rows = docs.filter(F.length("text") > 0).select("doc_id", F.xxhash64("text").alias("h")).join(flags.hint("merge"), "doc_id")
+    # Hashes are even, so a few times the wanted share of each class is enough to choose from; texts are fetched last.
+    share = F.element_at(F.create_map(*[F.lit(v) for c, n in many.items() for v in (c, min(1.0, 8 * per_class / n))]), F.col("toxic")) if many else F.lit(1.0)
+    rows = rows.filter((F.col("h") / 2.0**64 + 0.5) <= share).groupBy("toxic", "h").agg(F.min("doc_id").alias("id"))
+    chosen = rows.withColumn("k", F.row_number().over(Window.partitionBy("toxic").orderBy("h"))).filter(F.col("k") <= per_class)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).filter(F.xxhash64("text") == F.col("h"))  # 2 x per_class rows
+    found = sorted({(r["h"], r["text"], r["toxic"]) for r in rows.select("h", "text", "toxic").collect()})
     return [x[1] for x in found], [x[2] for x in found]
 
 
