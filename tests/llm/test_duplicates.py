@@ -158,6 +158,16 @@ def test_join_of_repeated_ids(spark):
     assert {(g.doc_id, g.component_id) for g in shingle_join.jaccard_join(df).collect()} == {(1, 1), (2, 1), (3, 1)}
 
 
+def slow_simhash(line):
+    """Word by word, bit by bit."""
+    total = [0] * 64
+    for w in line.encode().split(b" "):
+        (h,), _ = fuzzy_lines.word_hashes([w])
+        for b in range(64):
+            total[b] += 1 if int(h) >> b & 1 else -1
+    return sum(1 << b for b in range(64) if total[b] > 0)
+
+
 def brute_lines(rows, least=20, distance=3, similarity=0.9):
     places = {}
     for i, text in sorted((x for x in rows if x[0] is not None), key=lambda x: x[0]):
@@ -165,12 +175,13 @@ def brute_lines(rows, least=20, distance=3, similarity=0.9):
             norm = fuzzy_lines.normalised(line)
             if len(line) >= least and len(norm) >= least:
                 places.setdefault(norm, []).append((i, n))
-    keys, h, g = sorted(places), WordHashes(), Groups()
-    sims = [int(fuzzy_lines.simhashes(h.of(k.split()), np.array([len(k.split())]))[0]) for k in keys]
+    keys, g = sorted(places), Groups()
+    sims = [slow_simhash(k) for k in keys]
     for a in range(len(keys)):
         g.find(a)
         for b in range(a):
-            if (sims[a] ^ sims[b]).bit_count() <= distance and fuzzy_lines.alike(keys[a], keys[b], similarity):
+            most = int((1 - similarity) * max(len(keys[a]), len(keys[b])) + 1e-9)
+            if (sims[a] ^ sims[b]).bit_count() <= distance and slow_distance(keys[a], keys[b]) <= most:
                 g.join(a, b)
     group = defaultdict(list)
     for k, x in enumerate(keys):
@@ -184,6 +195,7 @@ def brute_lines(rows, least=20, distance=3, similarity=0.9):
 def test_lines(spark, monkeypatch, few, tile):
     monkeypatch.setattr(fuzzy_lines, "FEW_LINES", few)
     monkeypatch.setattr(fuzzy_lines, "TILE", tile)
+    monkeypatch.setattr(fuzzy_lines, "SHORT", 100 if few else 4)
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
     lines = [" ".join(word() for _ in range(40)) for _ in range(15)]
@@ -230,6 +242,20 @@ def slow_distance(a, b):
     return p[-1]
 
 
+def test_word_hashes():
+    lines = [b"one two", b"two", b"x", "é one".encode(), b"w " * 400 + b"w"]
+    h, n = fuzzy_lines.word_hashes(lines)
+    assert n.tolist() == [2, 1, 1, 2, 401] and h[0] == h[5] and h[1] == h[2] and len(set(h[6:].tolist())) == 1 and len(set(h.tolist())) == 5
+    assert fuzzy_lines.simhashes(h, n).tolist() == [slow_simhash(x.decode()) for x in lines]
+    assert fuzzy_lines._sims(lines, 10).tolist() == fuzzy_lines._sims(lines).tolist()
+    r = random.Random(9)
+    for _ in range(200):
+        a = [r.choice(["a", "bb", "ccc", "dd"]) for _ in range(r.randrange(1, 9))]
+        b = [x for x in a if r.random() < 0.8] + [r.choice(["e", "ff"])] * r.randrange(2)
+        if b:
+            assert fuzzy_lines.words_apart(a, b) >= slow_distance(" ".join(a), " ".join(b))
+
+
 def test_edit_distance():
     r = random.Random(7)
     for _ in range(300):

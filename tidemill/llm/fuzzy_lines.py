@@ -1,6 +1,6 @@
 """Fuzzy line deduplication: of lines that are nearly the same anywhere in a collection, one occurrence stays.
 
-Lines are normalised (lower case; one space for every run of characters other than letters and digits).  Equal normalised
+Lines are normalised (lower case; one space for every run of ASCII characters other than letters and digits).  Equal normalised
 lines are one.  Different ones get a 64-bit SimHash of their words; those within DISTANCE bits agree on some of its blocks, so
 they meet in a bucket of these blocks.  Pairs within the distance are verified by edit similarity of the normalised lines.
 Connected groups of verified links keep their first occurrence, by document id and line number.
@@ -12,7 +12,6 @@ finds all pairs within the distance.
 from __future__ import annotations
 
 import itertools
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, checkpointed, components, group_starts, mixed, partitions, sliced, sorted_groups, table
+from .common import checkpointed, components, group_starts, mixed, partitions, sliced, sorted_groups, table
 
 NAME = "op5_fuzzy_lines"
 SQL = None  # SQL has no SimHash; tested against brute force
@@ -28,15 +27,48 @@ SQL = None  # SQL has no SimHash; tested against brute force
 DISTANCE, SIMILARITY, LEAST_CHARS = 3, 0.9, 20
 #: Lines of a bucket that are compared in one task; larger buckets are compared tile by tile.
 TILE = 1_000
+#: Lines of a bucket up to which all buckets of a batch are searched together.
+SHORT = 100
 #: Lines in a bucket by chance, on average, above which more blocks are used.
 BY_CHANCE = 64
 #: Candidate lines up to this many (some 100 bytes each) are joined to the texts by broadcast; more by a shuffle.
 FEW_LINES = 500_000
-_OTHER = re.compile(r"[\W_]+")
+#: ASCII characters other than letters and digits become spaces; bytes of other characters stay.
+_PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def plain(line: str) -> bytes:
+    """A normalised line, in UTF-8."""
+    return b" ".join(line.lower().encode("utf-8", "replace").translate(_PLAIN).split())
 
 
 def normalised(line: str) -> str:
-    return _OTHER.sub(" ", line.lower()).strip()
+    return plain(line).decode()
+
+
+_FACTOR = 0x9E3779B97F4A7C15
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """_FACTOR to the power 0..n, and its inverse, modulo 2^64."""
+    if len(_POWERS[0]) <= n:
+        for k, x in enumerate((_FACTOR, pow(_FACTOR, -1, 2**64))):
+            steps = np.full(2 * n + 1, x, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.multiply.accumulate(steps)
+    return _POWERS
+
+
+def word_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, number of words of every line) of normalised lines, none empty: no Python object for a word."""
+    data = np.frombuffer(b" ".join(lines) + b" ", np.uint8)
+    up, down = _powers(len(data))
+    ends = np.flatnonzero(data == 32)
+    starts = np.r_[0, ends[:-1] + 1]
+    total = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])]
+    sizes = np.fromiter((x.count(b" ") for x in lines), np.int64, len(lines)) + 1
+    return mixed((total[ends] - total[starts]) * down[starts]), sizes
 
 
 #: The bits of a byte as eight counters of eight bits in one number.
@@ -58,6 +90,19 @@ def simhashes(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
+def _sims(lines: list[bytes], most: int = 200_000) -> np.ndarray:
+    """SimHashes of lines, some bytes at a time."""
+    out, at = [], 0
+    while at < len(lines):
+        end, size = at, 0
+        while end < len(lines) and (end == at or size + len(lines[end]) < most):
+            size += len(lines[end])
+            end += 1
+        out.append(simhashes(*word_hashes(lines[at:end])))
+        at = end
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
 def masks(blocks: int, distance: int = DISTANCE) -> list[int]:
     """Bit masks of every choice of blocks - distance of the blocks: two hashes within distance agree on one of them."""
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
@@ -70,8 +115,8 @@ def blocks_for(lines: int, distance: int = DISTANCE) -> int:
     return next(b for b in range(distance + 1, 64) if lines / 2 ** (64 * (b - distance) / b) <= BY_CHANCE or b == 8)
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, by bit vectors of the longer text's columns."""
+def edit_distance(a: str | list, b: str | list) -> int:
+    """Levenshtein distance of two sequences, by bit vectors of the first's columns."""
     lo, hi = 0, min(len(a), len(b))
     while lo < hi:  # longest common prefix
         mid = (lo + hi + 1) // 2
@@ -100,10 +145,30 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
+def words_apart(a: list[str], b: list[str]) -> int:
+    """No less than the edit distance of lines of these words: the cost of one way to align them, found word by word."""
+    i = j = cost = 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+        elif a[i + 1 : i + 3] == b[j : j + 2]:
+            cost += len(a[i]) + 1
+            i += 1
+        elif a[i : i + 2] == b[j + 1 : j + 3]:
+            cost += len(b[j]) + 1
+            j += 1
+        else:
+            cost += max(len(a[i]), len(b[j]))
+            i, j = i + 1, j + 1
+    return cost + sum(map(len, a[i:])) + len(a) - i + sum(map(len, b[j:])) + len(b) - j
+
+
 def alike(a: str, b: str, similarity: float) -> bool:
-    longest = max(len(a), len(b))
-    most = int((1 - similarity) * longest + 1e-9)
-    return abs(len(a) - len(b)) <= most and edit_distance(a, b) <= most
+    """Whether the edit distance is within what the similarity allows; words settle most cases before characters are looked at."""
+    most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    return words_apart(a.split(" "), b.split(" ")) <= most or edit_distance(a, b) <= most
 
 
 def near_pairs(sims: np.ndarray, table_: int, all_masks: np.ndarray, distance: int, other: np.ndarray | None = None):
@@ -128,35 +193,27 @@ def _key(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.unhex(F.substring(key, 1, 24)), F.lit(b"")).alias("k"), "text")
 
 
-def lines_of(docs: DataFrame, least: int, hashed: bool) -> DataFrame:
-    """(doc_id, k, line, key[, sim]) of every line that is long enough; line: its number from 0."""
+def lines_of(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, k, line, key, sim) of every line that is long enough; line: its number from 0."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
-        known = WordHashes()
         for b in sliced(batches, 128):
-            row, number, key, words, sizes = [], [], [], [], []
+            row, number, norms = [], [], []
             for i, text in enumerate(b.column(2).to_pylist()):
                 for n, line in enumerate(text.split("\n") if text else ()):
                     if len(line) < least:
                         continue
-                    norm = normalised(line)
-                    if len(norm) < least:
-                        continue
-                    row.append(i)
-                    number.append(n)
-                    key.append(xxhash.xxh3_128_digest(norm.encode("utf-8", "replace")))
-                    if hashed:
-                        w = norm.split()
-                        words += w
-                        sizes.append(len(w))
+                    norm = plain(line)
+                    if len(norm) >= least:
+                        row.append(i)
+                        number.append(n)
+                        norms.append(norm)
             at = pa.array(row, pa.int64())
-            cols = [b.column(0).take(at), b.column(1).take(at), pa.array(number, pa.int32()), pa.array(key, pa.binary())]
-            if hashed:
-                cols.append(pa.array(simhashes(known.of(words), np.array(sizes, np.int64)).view(np.int64)))
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "k", "line", "key", "sim"][: len(cols)])
+            cols = [b.column(0).take(at), b.column(1).take(at), pa.array(number, pa.int32()), pa.array(list(map(xxhash.xxh3_128_digest, norms)), pa.binary()), pa.array(_sims(norms).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "k", "line", "key", "sim"])
 
-    return docs.select("doc_id", "k", "text").filter("doc_id is not null").mapInArrow(run, f"doc_id {kind}, k binary, line int, key binary" + ", sim long" * hashed)
+    return docs.select("doc_id", "k", "text").filter("doc_id is not null").mapInArrow(run, f"doc_id {kind}, k binary, line int, key binary, sim long")
 
 
 def candidates(lines: DataFrame, count: int, distance: int) -> DataFrame:
@@ -172,29 +229,40 @@ def candidates(lines: DataFrame, count: int, distance: int) -> DataFrame:
         for g in sorted_groups(batches, ["t", "part"]):
             at = np.r_[group_starts(g, ["t", "part"]), g.num_rows]
             ids, sims, ts, parts = g.column("id").to_numpy(), g.column("sim").to_numpy().view(np.uint64), g.column("t").to_numpy(), g.column("part").to_numpy()
-            out_b, out_t, out_id = [], [], []
-            for lo in np.flatnonzero(np.diff(at) > 1).tolist():
+            size = np.diff(at)
+            some = np.zeros(len(ids), bool)
+            for lo in np.flatnonzero(size > SHORT).tolist():
                 a, b = at[lo], at[lo + 1]
-                some = np.zeros(b - a, bool)
                 for i, j in near_pairs(sims[a:b], int(ts[a]), np_masks, distance):
-                    some[i] = True
-                    some[j] = True
-                if some.any():
-                    out_id.append(ids[a:b][some])
-                    out_b.append(np.full(int(some.sum()), parts[a]))
-                    out_t.append(np.full(int(some.sum()), ts[a]))
-            if out_id:
-                b_, t_ = np.concatenate(out_b), np.concatenate(out_t).astype(np.int16)
-                yield pa.RecordBatch.from_arrays([pa.array(mixed(b_.view(np.uint64) + t_.astype(np.uint64)).view(np.int64)), pa.array(t_), pa.array(np.concatenate(out_id))], names=["bucket", "t", "id"])
+                    some[a + i] = True
+                    some[a + j] = True
+            # Short groups all at once: every line with the one d places on.
+            left = np.repeat(np.where(size > SHORT, 0, at[1:]), size) - np.arange(len(ids)) - 1  # lines of the group that follow
+            for d in range(1, SHORT):
+                i = np.flatnonzero(left >= d)
+                if not len(i):
+                    break
+                x = sims[i] ^ sims[i + d]
+                near = np.bitwise_count(x) <= distance
+                i, x = i[near], x[near]
+                for t in range(len(np_masks)):
+                    x[(ts[i] > t) & ((x & np_masks[t]) == 0)] = ~np.uint64(0)  # an earlier table shows the pair
+                i = i[np.bitwise_count(x) <= distance]
+                some[i] = True
+                some[i + d] = True
+            if some.any():
+                part, t_ = parts[some].view(np.uint64), ts[some].astype(np.int16)
+                yield pa.RecordBatch.from_arrays([pa.array(mixed(part + t_.astype(np.uint64)).view(np.int64)), pa.array(t_), pa.array(ids[some])], names=["bucket", "t", "id"])
 
     return dealt.select("id", "sim", "t", "part").mapInArrow(run, "bucket long, t short, id long")
 
 
-def fuzzy_groups(docs: DataFrame, distance: int, similarity: float, least: int) -> tuple[DataFrame, DataFrame]:
-    """(keyed docs, groups); groups: (key, keep_k, keep_line) of every normalised line that repeats or has a near one."""
+def lines_to_go(docs: DataFrame, distance: int, similarity: float, least: int) -> DataFrame:
+    """(k, line) of every line that isn't the first of its group; k as in _key()."""
     keyed = _key(docs)
     place = F.struct("doc_id", "line", "k")
-    distinct = lines_of(keyed, least, True).groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("sim").alias("sim"))
+    lines = checkpointed(lines_of(keyed, least))
+    distinct = lines.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("sim").alias("sim"))
     distinct = checkpointed(distinct.select("key", F.xxhash64("key").alias("id"), "n", "sim", "first.doc_id", "first.line", "first.k"))
     count = distinct.count()
     np_masks = np.array(masks(blocks_for(count, distance), distance), np.uint64)
@@ -257,7 +325,8 @@ def fuzzy_groups(docs: DataFrame, distance: int, similarity: float, least: int)
     joined = joined.select("key", F.coalesce("component", "key").alias("component"), place.alias("place"))
     first = joined.groupBy(F.col("component").alias("_c")).agg(F.min("place").alias("keep"))
     groups = joined.join(first.hint("merge"), F.col("component") == F.col("_c")).select("key", F.col("keep.k").alias("keep_k"), F.col("keep.line").alias("keep_line"))
-    return keyed, checkpointed(groups)
+    gone = lines.select("k", "line", "key").join(checkpointed(groups).withColumnRenamed("key", "_key").hint("merge"), F.col("key") == F.col("_key"))
+    return gone.filter("k != keep_k or line != keep_line").select("k", "line")
 
 
 def dedup_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY, least: int = LEAST_CHARS) -> DataFrame:
@@ -268,11 +337,10 @@ def dedup_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = S
     the new text.  Null text stays null; a text that loses all its lines becomes empty.  Rows without doc_id are left alone.
     Rows that repeat both id and text are treated alike.  An empty table gives none.  Other columns pass through.
     """
-    keyed, groups = fuzzy_groups(docs.select("doc_id", "text"), distance, similarity, least)
-    gone = lines_of(keyed, least, False).join(groups.withColumnRenamed("key", "_key").hint("merge"), F.col("key") == F.col("_key"))
-    gone = gone.filter("k != keep_k or line != keep_line").groupBy(F.col("k").alias("__tm_k")).agg(F.collect_set("line").alias("__tm_gone"))
+    gone = lines_to_go(docs.select("doc_id", "text"), distance, similarity, least)
+    gone = gone.groupBy(F.col("k").alias("__tm_k")).agg(F.collect_set("line").alias("__tm_gone"))
     key = F.coalesce(F.unhex(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))), 1, 24)), F.lit(b""))
-    both = docs.withColumn("__tm_key", key).join(gone.hint("merge"), F.col("__tm_key") == F.col("__tm_k"), "left")
+    both = docs.withColumn("__tm_key", key).join(gone.hint("shuffle_hash"), F.col("__tm_key") == F.col("__tm_k"), "left")
     # A document's lines are few enough for an array; positions that are gone are left out.
     lines, out_of = F.split(F.col("text"), "\n", -1), F.col("__tm_gone")
     touched = out_of.isNotNull() & F.col("doc_id").isNotNull()
@@ -281,7 +349,8 @@ def dedup_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = S
     new = {"text": F.col("__tm_text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(touched, F.length("__tm_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    counts = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_n_lines"), F.when(touched, F.size(out_of)).otherwise(0).cast("long").alias("_n_removed")]
+    feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    counts = [F.coalesce(feeds + 1, F.lit(0)).cast("long").alias("_n_lines"), F.when(touched, F.size(out_of)).otherwise(0).cast("long").alias("_n_removed")]
     return both.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns], *counts)
 
 
