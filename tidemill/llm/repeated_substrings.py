@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mixed, partitions, sliced, table
+from .common import checkpointed, mixed, partitions, sliced, sorted_groups, table
 
 NAME = "op2_repeated_substrings"
 SQL = None  # too slow in SQL over whole texts; tested against brute force
@@ -33,7 +33,7 @@ LENGTH = 400
 #: Bytes of texts, or of contexts, that are worked on at a time.
 PIECE, CHUNK = 1 << 17, 1 << 21
 #: Runs filed in one bucket that meet in one task; larger buckets are dealt out by document and compared by string bucket.
-MOST_RUNS = 20_000
+MOST_RUNS = 1_000
 
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 _MULT = [np.uint64(int(x) | 3) for x in mixed(np.arange(1001, 1033, dtype=np.uint64))]
@@ -169,7 +169,7 @@ def _stretches(flags: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows with a key that is never null: the id, and a hash of the text to tell rows of one id apart."""
     key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(text_col).cast("string")))
-    return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.substring(key, 1, 24)).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.unhex(F.substring(key, 1, 24)), F.lit(b"")).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, most_runs: int = MOST_RUNS) -> DataFrame:
@@ -221,32 +221,34 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most_runs: int = MOST_
     runs = runs.mapInArrow(contexts, "bucket long, salt long, k binary, at long, m long, context binary")
     runs = runs.repartition(n, "bucket", "salt").sortWithinPartitions("bucket", "salt")
 
+    def rows_of(part, seg, start, end, *more):
+        ks = part.column("k").take(pa.array(seg)).combine_chunks()
+        return [ks.chunk(0) if isinstance(ks, pa.ChunkedArray) else ks, pa.array(start), pa.array(end), *more]
+
     def compare(batches):
-        for part in _whole_groups(batches):
-            counts = part.column("m").to_numpy()
-            repeats, full = refine(part.column("context").to_pylist(), counts, length)
+        for part in sorted_groups(batches, ["bucket", "salt"], CHUNK):
+            counts, at = part.column("m").to_numpy(), part.column("at").to_numpy()
+            repeats, _ = refine(part.column("context").to_pylist(), counts, length)
             seg, a, b = _stretches(repeats, counts)
-            at = part.column("at").to_numpy()
-            ks = part.column("k").take(pa.array(seg))
-            rows = [ks.combine_chunks() if isinstance(ks, pa.ChunkedArray) else ks, pa.array(at[seg] + a), pa.array(at[seg] + b + length), pa.array(np.zeros(len(seg), np.int64)), pa.array(np.zeros(len(seg), bool))]
-            yield pa.RecordBatch.from_arrays(rows, names=["k", "start", "end", "string", "open"])
-            salted = np.repeat(part.column("salt").to_numpy() >= 0, counts)
-            if salted.any():  # of a large bucket: what is alone here, and one of each that is not, for the other parts to see
-                one = np.zeros(len(full), bool)
-                one[np.unique(full, return_index=True)[1]] = True
-                pick = np.flatnonzero(salted & one)
-                seg = np.repeat(np.arange(len(counts)), counts)[pick]
-                p = at[seg] + pick - (np.cumsum(counts) - counts)[seg]
-                ks = part.column("k").take(pa.array(seg))
-                rows = [ks.combine_chunks() if isinstance(ks, pa.ChunkedArray) else ks, pa.array(p), pa.array(p + length), pa.array(full[pick].view(np.int64)), pa.array(np.ones(len(pick), bool))]
-                yield pa.RecordBatch.from_arrays(rows, names=["k", "start", "end", "string", "open"])
-
-    spans = runs.mapInArrow(compare, "k binary, start long, end long, string long, open boolean")
-    if large:
-        spans = checkpointed(spans)
-        strings = spans.filter("open")
-        twice = strings.groupBy(F.col("string").alias("s")).agg(F.count("*").alias("c")).filter("c > 1").select("s")
-        spans = spans.filter("not open").union(strings.join(twice.hint("merge"), F.col("string") == F.col("s")).drop("s"))
+            yield pa.RecordBatch.from_arrays(rows_of(part, seg, at[seg] + a, at[seg] + b + length), names=["k", "start", "end"])
+
+    def one_of_each(batches):
+        for part in sorted_groups(batches, ["bucket", "salt"], CHUNK):
+            part = part.filter(pa.array(part.column("salt").to_numpy() >= 0)).combine_chunks()
+            if not part.num_rows:
+                continue
+            counts, at = part.column("m").to_numpy(), part.column("at").to_numpy()
+            _, full = refine(part.column("context").to_pylist(), counts, length)
+            pick = np.unique(full, return_index=True)[1]
+            seg = np.repeat(np.arange(len(counts)), counts)[pick]
+            p = at[seg] + pick - (np.cumsum(counts) - counts)[seg]
+            yield pa.RecordBatch.from_arrays(rows_of(part, seg, p, p + length, pa.array(full[pick].view(np.int64))), names=["k", "start", "end", "string"])
+
+    spans = runs.mapInArrow(compare, "k binary, start long, end long")
+    if large:  # the parts of a large bucket don't see each other: of each string that a part has, one goes on to meet the others
+        strings = runs.mapInArrow(one_of_each, "k binary, start long, end long, string long")
+        strings = strings.withColumn("c", F.count("*").over(Window.partitionBy("string"))).filter("c > 1")
+        spans = spans.union(strings.select("k", "start", "end"))
     return spans.groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
@@ -255,28 +257,6 @@ def hash_of(key: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(key, digest_size=7).digest(), "big")
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by (bucket, salt), some CHUNK bytes of contexts at a time, never cutting a group."""
-    held, size = [], 0
-    for batch in batches:
-        for b in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-            held.append(b)
-            size += b.nbytes if b.num_rows else 0
-            if size < CHUNK:
-                continue
-            t = pa.Table.from_batches(held).combine_chunks()
-            g, s = t.column("bucket").to_numpy(), t.column("salt").to_numpy()
-            cut = int(np.flatnonzero((g != g[-1]) | (s != s[-1]))[-1]) + 1 if ((g != g[-1]) | (s != s[-1])).any() else 0
-            if cut:
-                yield t.slice(0, cut).combine_chunks()
-            rest = t.slice(cut)
-            held, size = rest.to_batches(), 0 if cut else size
-    if held:
-        t = pa.Table.from_batches(held)
-        if t.num_rows:
-            yield t.combine_chunks()
-
-
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s in sorted((x["start"], x["end"]) for x in spans or ()):
