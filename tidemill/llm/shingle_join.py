@@ -25,9 +25,11 @@ from .common import WordHashes, checkpointed, components, forest, group_starts,
 
 NAME = "op4_shingle_join"
 SQL = None  # too slow in SQL over whole texts; tested against brute force
-WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99999
+WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Sets in a bucket above which it is split again; buckets of the third level are not.
 LARGE = 1_000
+#: Sets to split again up to this many (some 200 bytes each) are joined to the texts by broadcast; more by a shuffle.
+FEW_SETS = 200_000
 #: Sets, and tokens, that a tile of a bucket holds on average at most.
 TILE, TILE_TOKENS = 1_000, 1_000_000
 
@@ -91,9 +93,9 @@ def buckets(chosen: DataFrame) -> DataFrame:
     return seen.groupBy("sets", "tokens", "x", "y").agg(F.min("path").alias("path")).select("path", "sets", "tokens")
 
 
-def with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def with_texts(docs: DataFrame, wanted: DataFrame, few: bool = False) -> DataFrame:
     """wanted with the texts of its representatives.  The ids of docs may repeat; the set's key tells the right row."""
-    return docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("rep"))
+    return docs.select("doc_id", "text").join(wanted.hint("broadcast" if few else "merge"), F.col("doc_id") == F.col("rep"))
 
 
 def split_buckets(docs: DataFrame, classes: DataFrame, large: int, n: int, threshold: float) -> DataFrame:
@@ -106,6 +108,8 @@ def split_buckets(docs: DataFrame, classes: DataFrame, large: int, n: int, thres
     if not first.filter(F.col("sets") > large).head(1):
         return done
     again = member(chosen, first.filter(F.col("sets") > large)).groupBy("key", "size", "rep").agg(F.collect_list("path").alias("paths"))
+    again = checkpointed(again)
+    few = again.count() <= FEW_SETS
 
     def deeper(batches):
         sets = Sets(n, threshold, 1)
@@ -123,7 +127,7 @@ def split_buckets(docs: DataFrame, classes: DataFrame, large: int, n: int, thres
             flat = np.concatenate(path) if path else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(flat.view(np.int64)), _lists(more)], names=["key", "size", "path", "more"])
 
-    second = with_texts(docs, again).select("text", "key", "size", "paths").mapInArrow(deeper, "key binary, size long, path long, more array<long>")
+    second = with_texts(docs, again, few).select("text", "key", "size", "paths").mapInArrow(deeper, "key binary, size long, path long, more array<long>")
     second = checkpointed(second.dropDuplicates(["key", "path"]))
     found = checkpointed(buckets(second))
     small = member(second.select("path", "key"), found.filter(F.col("sets") <= large)).select("path", "key", tiles)
