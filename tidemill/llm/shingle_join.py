@@ -5,9 +5,10 @@ its tokens by a shared random hash - each with a chance in inverse proportion to
 token of the least hash - so that similar sets are likely to choose a token together.  Sets that chose a token meet in its
 bucket; a bucket that is still large is split again on tokens chosen for that path, and once more.  Small buckets
 are compared by brute force; large ones of the third level too, tile by tile.  Every pair that meets is verified exactly.
-One repetition brings sets of similarity t together with a chance of t at least, at each level.
+One repetition brings sets of similarity t together with a chance of t at least, at each level: t where buckets are small,
+t^3 where they are split twice.  Sets of a bucket that was split therefore go through further repetitions, all three levels.
 
-Buckets of the same members count once, and a pair that meets in several buckets is counted in the least of them only.  A
+Buckets of the same members are compared once, and a pair that meets in several buckets is counted in the least of them only.  A
 bucket returns sums of links and a spanning forest, never its pairs.
 """
 
@@ -25,7 +26,9 @@ from .common import WordHashes, checkpointed, components, forest, group_starts,
 
 NAME = "op4_shingle_join"
 SQL = None  # too slow in SQL over whole texts; tested against brute force
-WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
+WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99999
+#: Levels of paths that a pair must meet on where buckets are split.
+LEVELS = 3
 #: Sets in a bucket above which it is split again; buckets of the third level are not.
 LARGE = 1_000
 #: Sets to split again up to this many (some 200 bytes each) are joined to the texts by broadcast; more by a shuffle.
@@ -34,17 +37,23 @@ FEW_SETS = 200_000
 TILE, TILE_TOKENS = 1_000, 1_000_000
 
 
-def repetitions(threshold: float, recall: float) -> int:
-    """How many repetitions it takes for a pair at the threshold to meet with the chance recall."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(max(1e-9, 1 - threshold))))
+def repetitions(threshold: float, recall: float, levels: int = 1) -> int:
+    """How many repetitions it takes for a pair at the threshold to meet on all levels with the chance recall."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(max(1e-9, 1 - threshold**levels))))
+
+
+def planned(threshold: float, recall: float) -> tuple[int, int]:
+    """(repetitions of all sets, of those in split buckets).  Either kind of pair may take half of the chance to miss one."""
+    half = 1 - (1 - recall) / 2
+    return repetitions(threshold, half), repetitions(threshold, half, LEVELS)
 
 
 class Sets:
     """Token sets of texts, and the paths that they choose."""
 
-    def __init__(self, n: int, threshold: float, reps: int):
+    def __init__(self, n: int, threshold: float, reps: int, done: int = 0):
         self.n, self.threshold, self.hashes = n, threshold, WordHashes()
-        self.seeds = mixed(np.arange(1, reps + 1, dtype=np.uint64))
+        self.seeds = mixed(np.arange(done + 1, reps + 1, dtype=np.uint64))
 
     def tokens(self, text: str | None) -> np.ndarray:
         words = text.lower().split() if text else []
@@ -86,11 +95,15 @@ def token_sets(docs: DataFrame, n: int, threshold: float, reps: int) -> DataFram
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, size long, paths array<long>")
 
 
-def buckets(chosen: DataFrame) -> DataFrame:
-    """(path, sets, tokens) of buckets of two sets or more, of those with the same members one.  chosen: (path, key, size)."""
+def buckets(chosen: DataFrame, large: int | None = None) -> DataFrame:
+    """(path, sets, tokens) of buckets of two sets or more, of those with the same members one.  chosen: (path, key, size).
+
+    Buckets of more than large sets are all there: they are split on other tokens each, and each is a chance to meet.
+    """
     h = F.xxhash64("key")
     seen = chosen.groupBy("path").agg(F.count("*").alias("sets"), F.sum("size").alias("tokens"), F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(0x7FFFFFFF)).alias("y")).filter("sets > 1")
-    return seen.groupBy("sets", "tokens", "x", "y").agg(F.min("path").alias("path")).select("path", "sets", "tokens")
+    own = F.when(F.col("sets") > large, F.col("path")) if large else F.lit(None)
+    return seen.groupBy("sets", "tokens", "x", "y", own.alias("own")).agg(F.min("path").alias("path")).select("path", "sets", "tokens")
 
 
 def with_texts(docs: DataFrame, wanted: DataFrame, few: bool = False) -> DataFrame:
@@ -98,10 +111,13 @@ def with_texts(docs: DataFrame, wanted: DataFrame, few: bool = False) -> DataFra
     return docs.select("doc_id", "text").join(wanted.hint("broadcast" if few else "merge"), F.col("doc_id") == F.col("rep"))
 
 
-def split_buckets(docs: DataFrame, classes: DataFrame, large: int, n: int, threshold: float) -> DataFrame:
-    """(path, key, tiles): the buckets to compare and their sets; those with more than large sets are split, twice at most."""
+def split_buckets(docs: DataFrame, classes: DataFrame, large: int, n: int, threshold: float, reps: tuple[int, int]) -> DataFrame:
+    """(path, key, tiles): the buckets to compare and their sets; those with more than large sets are split, twice at most.
+
+    Sets of a bucket that is split also start on the paths of the repetitions that are still missing, of reps as planned().
+    """
     chosen = classes.select("key", "size", "rep", F.explode("paths").alias("path"))
-    first = checkpointed(buckets(chosen))
+    first = checkpointed(buckets(chosen, large))
     member = lambda rows, found: rows.join(found.withColumnRenamed("path", "_p").hint("merge"), F.col("path") == F.col("_p")).drop("_p")
     tiles = F.greatest(F.ceil(F.col("sets") / TILE), F.ceil(F.col("tokens") / TILE_TOKENS)).cast("int").alias("tiles")
     done = member(chosen.select("path", "key"), first.filter(F.col("sets") <= large)).select("path", "key", tiles)
@@ -112,14 +128,15 @@ def split_buckets(docs: DataFrame, classes: DataFrame, large: int, n: int, thres
     few = again.count() <= FEW_SETS
 
     def deeper(batches):
-        sets = Sets(n, threshold, 1)
+        sets = Sets(n, threshold, reps[1], reps[0])
         for b in sliced(batches):
             keys, sizes, path, more = [], [], [], []
             for text, key, size, paths in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 tokens = sets.tokens(text)
                 if set_key(tokens) != key:
                     continue
-                now = np.unique(np.concatenate(sets.chosen(tokens, np.array(paths, np.int64).view(np.uint64))))
+                starts = np.concatenate([np.array(paths, np.int64).view(np.uint64), *sets.chosen(tokens, sets.seeds)])
+                now = np.unique(np.concatenate(sets.chosen(tokens, np.unique(starts))))
                 keys += [key] * len(now)
                 sizes += [size] * len(now)
                 path.append(now)
@@ -129,7 +146,7 @@ def split_buckets(docs: DataFrame, classes: DataFrame, large: int, n: int, thres
 
     second = with_texts(docs, again, few).select("text", "key", "size", "paths").mapInArrow(deeper, "key binary, size long, path long, more array<long>")
     second = checkpointed(second.dropDuplicates(["key", "path"]))
-    found = checkpointed(buckets(second))
+    found = checkpointed(buckets(second, large))
     small = member(second.select("path", "key"), found.filter(F.col("sets") <= large)).select("path", "key", tiles)
     third = member(second, found.filter(F.col("sets") > large)).select("key", "size", F.explode("more").alias("path"))
     third = member(third, buckets(third)).select("path", "key", tiles)
@@ -185,13 +202,13 @@ def jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     Words are runs of non-white-space, lower case; a text of fewer than n words, but not none, has one token.  Null, empty or
     wordless texts link with nothing.  A row without doc_id links with nothing and isn't kept; rows that repeat a doc_id are
     one node of the graph, and each other's links if their sets are similar.  An empty table gives none; columns other than
-    doc_id and text are not read.  Links are found with a chance of recall at least where buckets need no splitting.
+    doc_id and text are not read.  Links are found with a chance of recall at least, whether buckets need splitting or not.
     """
-    reps = repetitions(threshold, recall)
-    rows = checkpointed(token_sets(docs, n, threshold, reps))
+    reps = planned(threshold, recall)
+    rows = checkpointed(token_sets(docs, n, threshold, reps[0]))
     known = rows.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     classes = checkpointed(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("paths").alias("paths")))
-    places = split_buckets(docs, classes, large, n, threshold)
+    places = split_buckets(docs, classes, large, n, threshold, reps)
     wanted = places.groupBy("key").agg(F.collect_list(F.struct("path", "tiles")).alias("at"))
     wanted = classes.select("key", "rep", "n").join(wanted.withColumnRenamed("key", "_k").hint("merge"), F.col("key") == F.col("_k")).drop("_k")
     kind = dict(docs.dtypes)["doc_id"]
