@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -158,30 +159,20 @@ def test_join_of_repeated_ids(spark):
     assert {(g.doc_id, g.component_id) for g in shingle_join.jaccard_join(df).collect()} == {(1, 1), (2, 1), (3, 1)}
 
 
-def slow_simhash(line):
-    """Word by word, bit by bit."""
-    total = [0] * 64
-    for w in line.encode().split(b" "):
-        (h,), _ = fuzzy_lines.word_hashes([w])
-        for b in range(64):
-            total[b] += 1 if int(h) >> b & 1 else -1
-    return sum(1 << b for b in range(64) if total[b] > 0)
-
-
-def brute_lines(rows, least=20, distance=3, similarity=0.9):
+def brute_lines(rows, least=1, similarity=0.9):
+    """By edit similarity alone."""
     places = {}
     for i, text in sorted((x for x in rows if x[0] is not None), key=lambda x: x[0]):
         for n, line in enumerate((text or "").split("\n")):
             norm = fuzzy_lines.normalised(line)
-            if len(line) >= least and len(norm) >= least:
+            if norm and len(norm.encode()) >= least:
                 places.setdefault(norm, []).append((i, n))
     keys, g = sorted(places), Groups()
-    sims = [slow_simhash(k) for k in keys]
     for a in range(len(keys)):
         g.find(a)
         for b in range(a):
             most = int((1 - similarity) * max(len(keys[a]), len(keys[b])) + 1e-9)
-            if (sims[a] ^ sims[b]).bit_count() <= distance and slow_distance(keys[a], keys[b]) <= most:
+            if abs(len(keys[a]) - len(keys[b])) <= most and fuzzy_lines.edit_distance(keys[a], keys[b]) <= most:
                 g.join(a, b)
     group = defaultdict(list)
     for k, x in enumerate(keys):
@@ -193,9 +184,9 @@ def brute_lines(rows, least=20, distance=3, similarity=0.9):
 
 @pytest.mark.parametrize("few,tile", [(500_000, 1000), (0, 3)])
 def test_lines(spark, monkeypatch, few, tile):
-    monkeypatch.setattr(fuzzy_lines, "FEW_LINES", few)
+    for bound in ("FEW_LINES", "FEW_BUCKETS", "FEW_DOCS"):
+        monkeypatch.setattr(fuzzy_lines, bound, few)
     monkeypatch.setattr(fuzzy_lines, "TILE", tile)
-    monkeypatch.setattr(fuzzy_lines, "SHORT", 100 if few else 4)
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
     lines = [" ".join(word() for _ in range(40)) for _ in range(15)]
@@ -209,6 +200,8 @@ def test_lines(spark, monkeypatch, few, tile):
             own.append(" ".join(w).upper() if r.random() < 0.2 else ", ".join(w))
         rows.append((k, "\n".join([*own, "short", f"unique {k} {word()} {word()} {word()}"])))
     rows += [(100, None), (101, ""), (102, lines[0]), (103, "\n\n\n"), (104, lines[1] + "\n" + lines[1] + "\n"), (None, lines[0])]
+    kanji = "".join(chr(0x4E00 + r.randrange(500)) for _ in range(30))
+    rows += [(105, kanji), (106, kanji[:9] + "x" + kanji[10:]), (107, "--- !\n***"), (108, "--- !\n***"), (109, "y" * 200), (110, "y" * 99 + "z" + "y" * 100)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_chars": F.lit(7).cast("long"), "line": F.lit(1), "key": F.lit("x"), "_gone": F.lit(2)})
     out = fuzzy_lines.dedup_lines(df)
     got = out.collect()
@@ -219,19 +212,6 @@ def test_lines(spark, monkeypatch, few, tile):
     assert fuzzy_lines.dedup_lines(df.limit(0)).count() == 0
 
 
-def test_pigeonhole_blocks():
-    r = random.Random(6)
-    for blocks in (4, 5, 6):
-        m = fuzzy_lines.masks(blocks)
-        for _ in range(200):
-            x = r.getrandbits(64)
-            y = x
-            for b in r.sample(range(64), 3):
-                y ^= 1 << b
-            assert any((x ^ y) & k == 0 for k in m)
-    assert fuzzy_lines.blocks_for(10**6) <= fuzzy_lines.blocks_for(10**9) <= fuzzy_lines.blocks_for(10**12)
-
-
 def slow_distance(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -242,13 +222,52 @@ def slow_distance(a, b):
     return p[-1]
 
 
-def test_word_hashes():
-    lines = [b"one two", b"two", b"x", "é one".encode(), b"w " * 400 + b"w"]
-    h, n = fuzzy_lines.word_hashes(lines)
-    assert n.tolist() == [2, 1, 1, 2, 401] and h[0] == h[5] and h[1] == h[2] and len(set(h[6:].tolist())) == 1 and len(set(h.tolist())) == 5
-    assert fuzzy_lines.simhashes(h, n).tolist() == [slow_simhash(x.decode()) for x in lines]
-    assert fuzzy_lines._sims(lines, 10).tolist() == fuzzy_lines._sims(lines).tolist()
+def slow_blocks(line):
+    """Keys of a line's blocks, word by word, bit by bit: of words of up to 24 bytes, none of them wide."""
+    words = line.encode().split(b" ")
+    hashes = [int(fuzzy_lines.tokens_of([w])[0][0]) for w in words]
+
+    def sim(chosen, width):
+        total = [sum(1 if hashes[i] >> b & 1 else -1 for i in chosen) for b in range(8 * width)]
+        # bytes from the lowest, bits of a byte from the highest
+        return sum(1 << b for b in range(8 * width) if total[b] > 0)
+
+    size = lambda chosen: sum(len(words[i]) for i in chosen)
+    out, parts = set(), [[i for i, h in enumerate(hashes) if h >> 60 == k] for k in range(16)]
+    done = set()
+    for width in (1, 2, 4, 8):
+        for k in range(0, 16, width):
+            here = range(k, k + width)
+            if sum(size(parts[x]) for x in here) >= fuzzy_lines.PART_BYTES and not done & set(here):
+                out.add(("part", width, k, tuple(sim(parts[x], 6) for x in here)))
+                done |= {x for x in here}
+    sixths = [[i for i in range(len(words)) if i * 6 // len(words) == k] for k in range(6)]
+    for many, (low, high) in fuzzy_lines.SIXTHS.items():
+        for c in itertools.combinations(range(6), many):
+            if low <= sum(size(sixths[x]) for x in c) < high:
+                out.add(("sixth", c, tuple(sim(sixths[x], 3) for x in c)))
+    return out
+
+
+def test_blocks():
     r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9)))
+    lines = []
+    for _ in range(60):
+        w = [word() for _ in range(r.choice([1, 3, 6, 12, 40, 300]))]
+        lines.append(" ".join(w))
+        w[r.randrange(len(w))] = word()
+        lines.append(" ".join(w))
+    lines.append(" ".join(["same"] * 700))
+    data = [x.encode() for x in lines]
+    bounds, keys = fuzzy_lines.blocks(data)
+    mine = [set(keys[bounds[i] : bounds[i + 1]].tolist()) for i in range(len(lines))]
+    slow = [slow_blocks(x) for x in lines]
+    assert all(len(a) == len(b) for a, b in zip(mine, slow, strict=True))
+    assert all(len(mine[i] & mine[j]) == len(slow[i] & slow[j]) for i in range(len(lines)) for j in range(i))
+    other = fuzzy_lines.blocks(data, 10)
+    assert other[0].tolist() == bounds.tolist() and other[1].tolist() == keys.tolist()
+    assert fuzzy_lines.blocks([])[0].tolist() == [0]
     for _ in range(200):
         a = [r.choice(["a", "bb", "ccc", "dd"]) for _ in range(r.randrange(1, 9))]
         b = [x for x in a if r.random() < 0.8] + [r.choice(["e", "ff"])] * r.randrange(2)
@@ -256,6 +275,24 @@ def test_word_hashes():
             assert fuzzy_lines.words_apart(a, b) >= slow_distance(" ".join(a), " ".join(b))
 
 
+def test_close_pairs_lose_none():
+    r = random.Random(10)
+    base = ["".join(r.choice("abc éß漢") for _ in range(40)) for _ in range(6)]
+    lines = []
+    for _ in range(60):
+        w = list(r.choice(base))
+        for _ in range(r.randrange(0, 7)):
+            w[r.randrange(len(w))] = r.choice("abcé漢😀")
+        lines.append("".join(w))
+    i, j = fuzzy_lines.close_pairs([x.encode() for x in lines], None, 0.9)
+    found = set(zip(i.tolist(), j.tolist(), strict=True))
+    want = {(a, b) for b in range(60) for a in range(b) if slow_distance(lines[a], lines[b]) <= 4}
+    assert want <= found and want
+    side = np.array([k % 2 == 0 for k in range(60)])
+    i, j = fuzzy_lines.close_pairs([x.encode() for x in lines], side, 0.9)
+    assert {p for p in found if side[p[0]] != side[p[1]]} == set(zip(i.tolist(), j.tolist(), strict=True))
+
+
 def test_edit_distance():
     r = random.Random(7)
     for _ in range(300):

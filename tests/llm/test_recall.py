@@ -6,7 +6,9 @@ import random
 
 import pytest
 
-from tidemill.llm import shingle_join
+from pyspark.sql import functions as F
+
+from tidemill.llm import fuzzy_lines, shingle_join
 
 
 def nested_pairs(seed, pairs, size, threshold, shared=0):
@@ -41,3 +43,39 @@ def test_repetitions_bound_misses(threshold, recall):
     few, more = shingle_join.planned(threshold, recall)
     assert (1 - threshold) ** few + (1 - threshold**3) ** more <= 1 - recall
     assert shingle_join.RECALL == 0.99999
+
+
+def edited(r, words, edits):
+    """The words after so many edits of one letter, or now and then of a word."""
+    w = list(words)
+    for _ in range(edits):
+        i, kind = r.randrange(len(w)), r.randrange(6)
+        at = r.randrange(len(w[i]))
+        if kind < 3:
+            w[i] = w[i][:at] + r.choice("xyz") + w[i][at + 1 :]
+        elif kind == 3:
+            w[i] = w[i][:at] + "w" + w[i][at:]
+        elif kind == 4:
+            w.insert(i, "new")
+        elif len(w) > 2:
+            del w[i]
+    return w
+
+
+@pytest.mark.parametrize("words,edits", [(6, 1), (6, 3), (12, 2), (20, 1), (20, 4), (35, 3), (60, 1), (60, 8), (120, 1), (120, 12)])
+def test_similar_lines(spark, words, edits):
+    """Of pairs of lines that are similar by edit distance alone, after up to so many edits, nine in ten are found at least."""
+    r = random.Random(words)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9)))
+    rows, want = [], 0
+    while want < 250:
+        a = [word() for _ in range(words)]
+        a, b = " ".join(a), " ".join(edited(r, a, r.randrange(1, edits + 1)))
+        if a != b and fuzzy_lines.edit_distance(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9):
+            rows += [(2 * want, a), (2 * want + 1, b)]
+            want += 1
+    out = fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {x.doc_id for x in out.filter(F.col("_n_removed") > 0).collect()}
+    assert found <= {i for i, _ in rows if i % 2} and len(found) >= 0.9 * want
+    if edits == 1:
+        assert len(found) >= 0.95 * want

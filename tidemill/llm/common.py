@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 from collections.abc import Iterator
 
@@ -21,11 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, kept in the folder that the cluster names in spark.checkpoint.dir; where it names none, in one of our own."""
+    """The rows, kept in the folder that the cluster names in spark.checkpoint.dir.
+
+    Where it names none, only a local master, whose tasks share the driver's disk, gets a folder of ours, removed at exit.
+    Anywhere else that would be a folder that other executors can't read, so it is an error.
+    """
     sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemill-"))
+        if named is None:
+            if not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="tidemill-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)
 
 

@@ -1,12 +1,15 @@
 """Fuzzy line deduplication: of lines that are nearly the same anywhere in a collection, one occurrence stays.
 
 Lines are normalised (lower case; one space for every run of ASCII characters other than letters and digits).  Equal normalised
-lines are one.  Different ones get a 64-bit SimHash of their words; those within DISTANCE bits agree on some of its blocks, so
-they meet in a bucket of these blocks.  Pairs within the distance are verified by edit similarity of the normalised lines.
-Connected groups of verified links keep their first occurrence, by document id and line number.
-
-The number of blocks follows from the number of lines, so that buckets of unrelated lines stay short at any size; any number
-finds all pairs within the distance.
+lines are one.  Of each different one, parts get a SimHash of their own: the words with equal leading hash bits (sixteen parts, some of
+them together where they are small) and, of short lines, the words of each sixth of the line.  An edit touches few parts, so
+by the pigeonhole principle lines that differ by few edits keep some part, or some of the sixths, untouched: such blocks are the
+buckets in which lines meet.  A block counts only if it holds enough characters to tell unrelated lines apart, however many
+lines there are.  Pairs that meet are verified by edit similarity of the normalised lines, and connected groups of verified
+links keep their first occurrence, by document id and line number.
+
+What the blocks miss are pairs whose edits touch all parts.  One edited word is always found, in lines of a few words or of
+hundreds; tests measure what share is found of pairs with more edits, up to the least similarity.
 """
 
 from __future__ import annotations
@@ -23,16 +26,20 @@ from .common import checkpointed, components, group_starts, mixed, partitions, s
 
 NAME = "op5_fuzzy_lines"
 SQL = None  # SQL has no SimHash; tested against brute force
-#: Bits of SimHash that linked lines differ in at most, their least edit similarity, and the length below which lines are left alone.
-DISTANCE, SIMILARITY, LEAST_CHARS = 3, 0.9, 20
+#: Least edit similarity of linked lines, and the normalised bytes below which lines are left alone: all but blank ones count.
+SIMILARITY, LEAST_CHARS = 0.9, 1
+#: Bytes of words that a part chosen by hash must hold to be a block.
+PART_BYTES = 24
+#: Bytes of words in two, three and four sixths of a line between which they are a block.
+SIXTHS = {2: (20, 48), 3: (12, 28), 4: (6, 14)}
+#: Longer words, and writing without spaces, are cut: a word to pieces of so many bytes.
+LONG_WORD, PIECE = 24, 12
 #: Lines of a bucket that are compared in one task; larger buckets are compared tile by tile.
 TILE = 1_000
-#: Lines of a bucket up to which all buckets of a batch are searched together.
-SHORT = 100
-#: Lines in a bucket by chance, on average, above which more blocks are used.
-BY_CHANCE = 64
-#: Candidate lines up to this many (some 100 bytes each) are joined to the texts by broadcast; more by a shuffle.
-FEW_LINES = 500_000
+#: Candidate lines up to this many (some 360 bytes each, so 54 MB) are joined to the texts by broadcast; more by a shuffle.
+FEW_LINES = 150_000
+#: Buckets of two lines or more (some 60 bytes each), and documents that lose lines (some 100), that are joined by broadcast.
+FEW_BUCKETS, FEW_DOCS = 500_000, 300_000
 #: ASCII characters other than letters and digits become spaces; bytes of other characters stay.
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -60,59 +67,122 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def word_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, number of words of every line) of normalised lines, none empty: no Python object for a word."""
+def tokens_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, bytes, number of its line) of every word of normalised lines, none empty: no Python object for a word.
+
+    Characters of three bytes or more, which scripts without spaces use, are words of their own; long words are cut.
+    """
     data = np.frombuffer(b" ".join(lines) + b" ", np.uint8)
     up, down = _powers(len(data))
-    ends = np.flatnonzero(data == 32)
-    starts = np.r_[0, ends[:-1] + 1]
+    space = data == 32
+    start = ~space & np.r_[True, space[:-1]]
+    wide = data >= 0xE0
+    if wide.any():
+        after = np.zeros(len(data), bool)
+        after[3:] |= (wide & (data < 0xF0))[:-3]
+        after[4:] |= (data >= 0xF0)[:-4]
+        start |= wide | (after & ~space & ((data & 0xC0) != 0x80))
+    starts = np.flatnonzero(start)
+    spaces = np.flatnonzero(space)
+    ends = np.minimum(spaces[np.searchsorted(spaces, starts)], np.r_[starts[1:], len(data)])
+    size = ends - starts
+    if len(size) and size.max() > LONG_WORD:
+        pieces = np.where(size > LONG_WORD, size // PIECE, 1)
+        nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        starts, last = np.repeat(starts, pieces) + PIECE * nth, np.repeat(ends, pieces)
+        ends = np.where(nth + 1 == np.repeat(pieces, pieces), last, starts + PIECE)
+        size = ends - starts
     total = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])]
-    sizes = np.fromiter((x.count(b" ") for x in lines), np.int64, len(lines)) + 1
-    return mixed((total[ends] - total[starts]) * down[starts]), sizes
+    first = np.cumsum([0, *(len(x) + 1 for x in lines[:-1])])
+    return mixed((total[ends] - total[starts]) * down[starts]), size, np.searchsorted(first, starts, side="right") - 1
 
 
 #: The bits of a byte as eight counters of eight bits in one number.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().view(np.uint64).ravel()
 
 
-def simhashes(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """SimHash of consecutive stretches of word hashes, each of at least one word: a bit is set if most words have it."""
-    if not len(sizes):
-        return np.empty(0, np.uint64)
-    starts = np.cumsum(sizes) - sizes
-    pieces = -(-sizes // 255)  # a counter holds 255
-    of = np.repeat(np.arange(len(sizes)), pieces)
-    at = starts[of] + 255 * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-    lanes = _SPREAD[words.astype(">u8").view(np.uint8).reshape(-1, 8)]
-    counts = np.add.reduceat(lanes, at, axis=0).view(np.uint8).reshape(-1, 64).astype(np.int32)
-    if len(of) > len(sizes):
-        counts = np.add.reduceat(counts, np.cumsum(pieces) - pieces, axis=0)
-    return np.packbits(2 * counts > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
-
-
-def _sims(lines: list[bytes], most: int = 200_000) -> np.ndarray:
-    """SimHashes of lines, some bytes at a time."""
-    out, at = [], 0
+def simhashes(hashes: np.ndarray, part: np.ndarray, parts: int, width: int) -> np.ndarray:
+    """SimHash of width bytes of each of so many parts, 0 where one is empty: a bit is set if most hashes have it.
+
+    hashes come sorted by the number of their part; those of a part may come in any order.
+    """
+    out = np.zeros((parts, 8), np.uint8)
+    if len(hashes):
+        at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        sizes = np.diff(np.r_[at, len(part)])
+        pieces = -(-sizes // 255)  # a counter holds 255
+        of = np.repeat(np.arange(len(sizes)), pieces)
+        starts = at[of] + 255 * (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        lanes = _SPREAD[hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]]
+        counts = np.add.reduceat(lanes, starts, axis=0).view(np.uint8).reshape(-1, 8 * width).astype(np.int32)
+        if len(of) > len(sizes):
+            counts = np.add.reduceat(counts, np.cumsum(pieces) - pieces, axis=0)
+        out[part[at], :width] = np.packbits(2 * counts > sizes[:, None], axis=1)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+_ODD = mixed(np.arange(5001, 5009, dtype=np.uint64)) | np.uint64(1)
+
+
+def _key_of(kind: int, values: np.ndarray) -> np.ndarray:
+    """A key for each row of the SimHashes of a block."""
+    return mixed((values * _ODD[: values.shape[1]]).sum(1, dtype=np.uint64) + mixed(np.array([kind], np.uint64)))
+
+
+def _blocks(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the line, key) of every block of some lines."""
+    h, size, line = tokens_of(lines)
+    n = len(lines)
+    # Parts by the leading four bits of a word's hash; where parts are too small, two, four or eight of them together.
+    leaf = line * 16 + (h >> np.uint64(60)).astype(np.int64)
+    order = np.argsort(leaf, kind="stable")
+    sims = simhashes(h[order], leaf[order], 16 * n, 6).reshape(n, 16)
+    held = np.bincount(leaf, size, 16 * n).reshape(n, 16)
+    found = []
+
+    def take(which: np.ndarray, kind: int, parts: np.ndarray) -> None:
+        at = np.flatnonzero(which)
+        if len(at):
+            found.append((at, _key_of(kind, parts[at])))
+
+    below = np.zeros((n, 16), bool)
+    for width in (1, 2, 4, 8):
+        own = held.reshape(n, -1, width).sum(2) >= PART_BYTES
+        own &= ~below.reshape(n, -1, width).any(2)
+        for k in range(own.shape[1]):
+            take(own[:, k], 100 * width + k, sims[:, k * width : (k + 1) * width])
+        below |= np.repeat(own, width, axis=1)
+    # Sixths of short lines, by the place of a word; two sixths of a longer line hold too much to be a block.
+    bytes_of = np.bincount(line, size, n)
+    keep = (bytes_of < 6 * SIXTHS[2][1])[line]
+    h, size, line = h[keep], size[keep], line[keep]
+    count = np.bincount(line, minlength=n)
+    nth = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
+    sixth = line * 6 + nth * 6 // count[line]
+    held = np.bincount(sixth, size, 6 * n).reshape(n, 6)
+    sims = simhashes(h, sixth, 6 * n, 3).reshape(n, 6)
+    for many, (low, high) in SIXTHS.items():
+        for k, c in enumerate(itertools.combinations(range(6), many)):
+            bytes_ = held[:, c].sum(1)
+            take((bytes_ >= low) & (bytes_ < high), 1000 * many + k, sims[:, c])
+    return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (np.empty(0, np.int64), np.empty(0, np.uint64))
+
+
+def blocks(lines: list[bytes], most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, keys): the keys of line i are keys[bounds[i] : bounds[i + 1]]; some bytes are worked on at a time."""
+    owner, keys, at = [], [], 0
     while at < len(lines):
         end, size = at, 0
         while end < len(lines) and (end == at or size + len(lines[end]) < most):
             size += len(lines[end])
             end += 1
-        out.append(simhashes(*word_hashes(lines[at:end])))
+        o, k = _blocks(lines[at:end])
+        order = np.lexsort((k, o))
+        owner.append(o[order] + at)
+        keys.append(k[order])
         at = end
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
-
-
-def masks(blocks: int, distance: int = DISTANCE) -> list[int]:
-    """Bit masks of every choice of blocks - distance of the blocks: two hashes within distance agree on one of them."""
-    edges = [round(64 * k / blocks) for k in range(blocks + 1)]
-    part = [sum(1 << b for b in range(edges[k], edges[k + 1])) for k in range(blocks)]
-    return [sum(part[k] for k in c) for c in itertools.combinations(range(blocks), blocks - distance)]
-
-
-def blocks_for(lines: int, distance: int = DISTANCE) -> int:
-    """The least number of blocks with which a bucket holds at most BY_CHANCE of so many unrelated lines."""
-    return next(b for b in range(distance + 1, 64) if lines / 2 ** (64 * (b - distance) / b) <= BY_CHANCE or b == 8)
+    owner = np.concatenate(owner) if owner else np.empty(0, np.int64)
+    return np.searchsorted(owner, np.arange(len(lines) + 1)), np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
 def edit_distance(a: str | list, b: str | list) -> int:
@@ -171,20 +241,39 @@ def alike(a: str, b: str, similarity: float) -> bool:
     return words_apart(a.split(" "), b.split(" ")) <= most or edit_distance(a, b) <= most
 
 
-def near_pairs(sims: np.ndarray, table_: int, all_masks: np.ndarray, distance: int, other: np.ndarray | None = None):
-    """Pairs (i, j) within distance that agree in no earlier table; i < j, or j from other."""
-    right = sims if other is None else other
-    for at in range(0, len(sims), 1024):
-        x = sims[at : at + 1024, None] ^ right[None, :]
-        good = np.bitwise_count(x) <= distance
-        if other is None:
-            good &= np.arange(len(right))[None, :] > np.arange(at, at + len(x))[:, None]
-        i, j = np.nonzero(good)
-        d = x[i, j]
-        first = np.ones(len(d), bool)
-        for m in all_masks[:table_]:
-            first &= (d & m) != 0
-        yield i[first] + at, j[first]
+#: Kinds of bytes that lines are counted by before their edit distance is found.
+_KINDS = 32
+
+
+def counts_of(line: bytes) -> np.ndarray:
+    return np.bincount(np.frombuffer(line, np.uint8) % _KINDS, minlength=_KINDS).astype(np.int32)
+
+
+def close_pairs(norms: list[bytes], left: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of a bucket that lengths and counts of bytes don't rule out.  left: of two tiles, who is in the first.
+
+    An edit of a character changes at most four bytes, so bounds in bytes are four times those in characters, but for lines
+    in ASCII only.
+    """
+    n = len(norms)
+    size, counts = np.array([len(x) for x in norms]), np.stack([counts_of(x) for x in norms])
+    plain_ = np.array([x.isascii() for x in norms])
+    out_i, out_j = [], []
+    for lo in range(0, n, 256):
+        i, j = np.nonzero(np.arange(n)[None, :] > np.arange(lo, min(n, lo + 256))[:, None])
+        i = i + lo
+        if left is not None:
+            i, j = i[(across := left[i] != left[j])], j[across]
+        most = ((1 - similarity) * np.maximum(size[i], size[j]) + 1e-9).astype(np.int64) * np.where(plain_[i] & plain_[j], 1, 4)
+        near = np.abs(size[i] - size[j]) <= most
+        i, j, most = i[near], j[near], most[near]
+        for at in range(0, len(i), 100_000):
+            a, b = i[at : at + 100_000], j[at : at + 100_000]
+            d = counts[a] - counts[b]
+            near = np.maximum(np.maximum(d, 0).sum(1), np.maximum(-d, 0).sum(1)) <= most[at : at + 100_000]
+            out_i.append(a[near])
+            out_j.append(b[near])
+    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def _key(docs: DataFrame) -> DataFrame:
@@ -194,7 +283,7 @@ def _key(docs: DataFrame) -> DataFrame:
 
 
 def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, k, line, key, sim) of every line that is long enough; line: its number from 0."""
+    """(doc_id, k, line, key, blocks) of every line that is long enough; line: its number from 0."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
@@ -202,126 +291,100 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
             row, number, norms = [], [], []
             for i, text in enumerate(b.column(2).to_pylist()):
                 for n, line in enumerate(text.split("\n") if text else ()):
-                    if len(line) < least:
-                        continue
                     norm = plain(line)
-                    if len(norm) >= least:
+                    if norm and len(norm) >= least:
                         row.append(i)
                         number.append(n)
                         norms.append(norm)
-            at = pa.array(row, pa.int64())
-            cols = [b.column(0).take(at), b.column(1).take(at), pa.array(number, pa.int32()), pa.array(list(map(xxhash.xxh3_128_digest, norms)), pa.binary()), pa.array(_sims(norms).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "k", "line", "key", "sim"])
+            at, (bounds, keys) = pa.array(row, pa.int64()), blocks(norms)
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.view(np.int64)))
+            cols = [b.column(0).take(at), b.column(1).take(at), pa.array(number, pa.int32()), pa.array(list(map(xxhash.xxh3_128_digest, norms)), pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "k", "line", "key", "blocks"])
 
-    return docs.select("doc_id", "k", "text").filter("doc_id is not null").mapInArrow(run, f"doc_id {kind}, k binary, line int, key binary, sim long")
+    return docs.select("doc_id", "k", "text").filter("doc_id is not null").mapInArrow(run, f"doc_id {kind}, k binary, line int, key binary, blocks array<long>")
 
 
-def candidates(lines: DataFrame, count: int, distance: int) -> DataFrame:
-    """(bucket, t, id): lines that have another within distance in a bucket where no earlier table shows the pair.  lines: id, sim."""
-    all_masks = masks(blocks_for(count, distance), distance)
-    signed = [m - (1 << 64) if m >> 63 else m for m in all_masks]
-    np_masks = np.array(all_masks, np.uint64)
-    dealt = lines.select("id", "sim", F.explode(F.array(*[F.lit(t).cast("short") for t in range(len(signed))])).alias("t"))
-    dealt = dealt.withColumn("part", F.col("sim").bitwiseAND(F.element_at(F.array(*[F.lit(m).cast("long") for m in signed]), F.col("t") + 1)))
-    dealt = dealt.repartition(partitions(lines), "t", "part").sortWithinPartitions("t", "part")
+def candidates(distinct: DataFrame) -> DataFrame:
+    """(key, k, line, at) of the lines that meet another; at: their buckets of two lines or more, with the number of tiles.
 
-    def run(batches):
-        for g in sorted_groups(batches, ["t", "part"]):
-            at = np.r_[group_starts(g, ["t", "part"]), g.num_rows]
-            ids, sims, ts, parts = g.column("id").to_numpy(), g.column("sim").to_numpy().view(np.uint64), g.column("t").to_numpy(), g.column("part").to_numpy()
-            size = np.diff(at)
-            some = np.zeros(len(ids), bool)
-            for lo in np.flatnonzero(size > SHORT).tolist():
-                a, b = at[lo], at[lo + 1]
-                for i, j in near_pairs(sims[a:b], int(ts[a]), np_masks, distance):
-                    some[a + i] = True
-                    some[a + j] = True
-            # Short groups all at once: every line with the one d places on.
-            left = np.repeat(np.where(size > SHORT, 0, at[1:]), size) - np.arange(len(ids)) - 1  # lines of the group that follow
-            for d in range(1, SHORT):
-                i = np.flatnonzero(left >= d)
-                if not len(i):
-                    break
-                x = sims[i] ^ sims[i + d]
-                near = np.bitwise_count(x) <= distance
-                i, x = i[near], x[near]
-                for t in range(len(np_masks)):
-                    x[(ts[i] > t) & ((x & np_masks[t]) == 0)] = ~np.uint64(0)  # an earlier table shows the pair
-                i = i[np.bitwise_count(x) <= distance]
-                some[i] = True
-                some[i + d] = True
-            if some.any():
-                part, t_ = parts[some].view(np.uint64), ts[some].astype(np.int16)
-                yield pa.RecordBatch.from_arrays([pa.array(mixed(part + t_.astype(np.uint64)).view(np.int64)), pa.array(t_), pa.array(ids[some])], names=["bucket", "t", "id"])
-
-    return dealt.select("id", "sim", "t", "part").mapInArrow(run, "bucket long, t short, id long")
-
-
-def lines_to_go(docs: DataFrame, distance: int, similarity: float, least: int) -> DataFrame:
-    """(k, line) of every line that isn't the first of its group; k as in _key()."""
-    keyed = _key(docs)
-    place = F.struct("doc_id", "line", "k")
-    lines = checkpointed(lines_of(keyed, least))
-    distinct = lines.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("sim").alias("sim"))
-    distinct = checkpointed(distinct.select("key", F.xxhash64("key").alias("id"), "n", "sim", "first.doc_id", "first.line", "first.k"))
-    count = distinct.count()
-    np_masks = np.array(masks(blocks_for(count, distance), distance), np.uint64)
-    met = checkpointed(candidates(distinct.select("id", "sim"), count, distance))
-    sizes = met.groupBy("bucket").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    members = met.join(sizes.withColumnRenamed("bucket", "_b").hint("merge"), F.col("bucket") == F.col("_b")).groupBy("id").agg(F.collect_list(F.struct("bucket", "t", "tiles")).alias("at"))
-    members = members.join(distinct.withColumnRenamed("id", "_i").hint("merge"), F.col("id") == F.col("_i"))
-    members = checkpointed(members.select("k", "line", "key", "sim", "at"))
+    Buckets are counted by a grouped aggregate, so none is held in one task, and those of one line go no further.
+    """
+    dealt = distinct.select("key", "k", "line", F.explode("blocks").alias("bucket"))
+    shared = dealt.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("n")).filter("n > 1")
+    shared = checkpointed(shared.select("b", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
+    hint = "broadcast" if shared.count() <= FEW_BUCKETS else "merge"
+    met = dealt.join(shared.hint(hint), F.col("bucket") == F.col("b"))
+    return met.groupBy("key").agg(F.first("k").alias("k"), F.first("line").alias("line"), F.collect_set(F.struct("bucket", "tiles")).alias("at"))
+
+
+def similar(members: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): keys of lines that are similar, enough of them to connect every group.  members: as candidates()."""
     few = members.count() <= FEW_LINES
-    members = members.withColumnRenamed("k", "_k").groupBy("_k").agg(F.collect_list(F.struct("line", "key", "sim", "at")).alias("lines"))
+    members = members.withColumnRenamed("k", "_k").groupBy("_k").agg(F.collect_list(F.struct("line", "key", "at")).alias("lines"))
 
     def deal(batches):
         for b in sliced(batches, 128):
-            out = [[] for _ in range(8)]
+            out = [[] for _ in range(7)]
             for text, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 parts = text.split("\n")
                 for x in {v["line"]: v for v in lines}.values():
-                    norm, h = normalised(parts[x["line"]]), int.from_bytes(x["key"][:7], "big")
+                    norm, h = plain(parts[x["line"]]), int.from_bytes(x["key"][:7], "big")
+                    seen = np.sort(np.array([p["bucket"] for p in x["at"]], np.int64)).tobytes()
                     for p in x["at"]:
                         own = h % p["tiles"]
                         for other in range(p["tiles"]):
-                            for column, v in zip(out, (p["bucket"], min(own, other), max(own, other), own <= other, p["t"], x["key"], x["sim"], norm), strict=True):
+                            for column, v in zip(out, (p["bucket"], min(own, other), max(own, other), own <= other, x["key"], seen, norm), strict=True):
                                 column.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int16(), pa.binary(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["bucket", "a", "b", "left", "t", "key", "sim", "norm"])
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["bucket", "a", "b", "left", "key", "seen", "norm"])
 
     texts = keyed.join(members.hint("broadcast" if few else "merge"), F.col("k") == F.col("_k")).select("text", "lines")
-    dealt = texts.mapInArrow(deal, "bucket long, a int, b int, left boolean, t short, key binary, sim long, norm string")
-    dealt = dealt.repartition(partitions(docs), "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "key")
+    dealt = texts.mapInArrow(deal, "bucket long, a int, b int, left boolean, key binary, seen binary, norm binary")
+    dealt = dealt.repartition(partitions(keyed), "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "key")
 
     def verify(batches):
         for g in sorted_groups(batches, ["bucket", "a", "b"]):
-            at = np.r_[group_starts(g, ["bucket", "a", "b"]), g.num_rows]
-            a_, b_, left, t, sim = (g.column(c).to_numpy() for c in ("a", "b", "left", "t", "sim"))
-            sim = sim.view(np.uint64)
-            keys, norms = g.column("key").to_pylist(), g.column("norm").to_pylist()
+            at = np.r_[group_starts(g, ["bucket", "a", "b"]), g.num_rows].tolist()
+            bucket, a_, b_, left = (g.column(c).to_numpy() for c in ("bucket", "a", "b", "left"))
+            keys, norms, seen = (g.column(c).to_pylist() for c in ("key", "norm", "seen"))
             out_a, out_b = [], []
-            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                root = list(range(hi - lo))
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                rows = list({keys[i]: i for i in range(lo, hi)}.values())  # rows that repeat id and text come again
+                if len(rows) < 2:
+                    continue
+                i, j = close_pairs([norms[r] for r in rows], None if a_[lo] == b_[lo] else left[rows], similarity)
+                if not len(i):
+                    continue
+                lesser = [{x for x in np.frombuffer(seen[r], np.int64).tolist() if x < bucket[lo]} for r in rows]
+                words = [norms[r].decode("utf-8", "replace") for r in rows]
+                root = list(range(len(rows)))
 
                 def find(x, root=root):
                     while root[x] != x:
                         root[x] = x = root[root[x]]
                     return x
 
-                one = a_[lo] == b_[lo]
-                for i, j in near_pairs(sim[lo:hi], int(t[lo]), np_masks, distance):
-                    if not one:
-                        across = left[lo:hi][i] != left[lo:hi][j]
-                        i, j = i[across], j[across]
-                    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                        if find(x) != find(y) and alike(norms[lo + x], norms[lo + y], similarity):
-                            root[find(y)] = find(x)
-                            out_a.append(keys[lo + x])
-                            out_b.append(keys[lo + y])
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    # A pair that shares a lesser bucket is settled there.
+                    if find(x) != find(y) and lesser[x].isdisjoint(lesser[y]) and alike(words[x], words[y], similarity):
+                        root[find(y)] = find(x)
+                        out_a.append(keys[rows[x]])
+                        out_b.append(keys[rows[y]])
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
 
-    found = components(dealt.mapInArrow(verify, "a binary, b binary"))
-    joined = distinct.join(found.hint("merge"), F.col("key") == F.col("node"), "left").filter("n > 1 or component is not null")
+    return dealt.mapInArrow(verify, "a binary, b binary")
+
+
+def lines_to_go(docs: DataFrame, similarity: float, least: int) -> DataFrame:
+    """(k, line) of every line that isn't the first of its group; k as in _key()."""
+    keyed = _key(docs)
+    place = F.struct("doc_id", "line", "k")
+    lines = checkpointed(lines_of(keyed, least))
+    distinct = lines.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("blocks").alias("blocks"))
+    distinct = checkpointed(distinct.select("key", "n", "first.doc_id", "first.line", "first.k", "blocks"))
+    members = checkpointed(candidates(distinct))
+    found = components(similar(members, keyed, similarity))
+    joined = distinct.select("key", "n", "doc_id", "line", "k").join(found.hint("merge"), F.col("key") == F.col("node"), "left").filter("n > 1 or component is not null")
     joined = joined.select("key", F.coalesce("component", "key").alias("component"), place.alias("place"))
     first = joined.groupBy(F.col("component").alias("_c")).agg(F.min("place").alias("keep"))
     groups = joined.join(first.hint("merge"), F.col("component") == F.col("_c")).select("key", F.col("keep.k").alias("keep_k"), F.col("keep.line").alias("keep_line"))
@@ -329,18 +392,20 @@ def lines_to_go(docs: DataFrame, distance: int, similarity: float, least: int) -
     return gone.filter("k != keep_k or line != keep_line").select("k", "line")
 
 
-def dedup_lines(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY, least: int = LEAST_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST_CHARS) -> DataFrame:
     """The rows of docs with all their columns, text without lines that nearly repeat one that stays, and _n_lines, _n_removed.
 
-    Lines end with line feeds.  Lines of fewer than least normalised characters are left alone and don't count.  An
-    occurrence stays if it is the first of its group by (doc_id, line number).  n_chars, if there, becomes the code points of
-    the new text.  Null text stays null; a text that loses all its lines becomes empty.  Rows without doc_id are left alone.
-    Rows that repeat both id and text are treated alike.  An empty table gives none.  Other columns pass through.
+    Lines end with line feeds.  Lines of fewer than least normalised bytes, and those without letter or digit, are left alone.
+    An occurrence stays if it is the first of its group by (doc_id, line number).  Lines too short for an edit within the
+    similarity repeat only equal ones.  n_chars, if there, becomes the code points of the new text.  Null text stays null; a
+    text that loses all its lines becomes empty.  Rows without doc_id are left alone.  Rows that repeat both id and text are
+    treated alike.  An empty table gives none.  Other columns pass through.
     """
-    gone = lines_to_go(docs.select("doc_id", "text"), distance, similarity, least)
-    gone = gone.groupBy(F.col("k").alias("__tm_k")).agg(F.collect_set("line").alias("__tm_gone"))
+    gone = lines_to_go(docs.select("doc_id", "text"), similarity, least)
+    gone = checkpointed(gone.groupBy(F.col("k").alias("__tm_k")).agg(F.collect_set("line").alias("__tm_gone")))
     key = F.coalesce(F.unhex(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))), 1, 24)), F.lit(b""))
-    both = docs.withColumn("__tm_key", key).join(gone.hint("shuffle_hash"), F.col("__tm_key") == F.col("__tm_k"), "left")
+    hint = "broadcast" if gone.count() <= FEW_DOCS else "shuffle_hash"
+    both = docs.withColumn("__tm_key", key).join(gone.hint(hint), F.col("__tm_key") == F.col("__tm_k"), "left")
     # A document's lines are few enough for an array; positions that are gone are left out.
     lines, out_of = F.split(F.col("text"), "\n", -1), F.col("__tm_gone")
     touched = out_of.isNotNull() & F.col("doc_id").isNotNull()
