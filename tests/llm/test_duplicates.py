@@ -67,6 +67,21 @@ def brute_vectors(rows, t):
     return sorted((str(i), links[k], str(None if i is None else g.find(i)), i is not None and g.find(i) == i) for k, (i, e, label) in enumerate(rows))
 
 
+def small_and_large(rows):
+    """The rows as brute force can compare them: no square vanishes or overflows."""
+    return [(i, e and [x * 2.0**600 if abs(x or 0) < 1e-100 else x * 2.0**-600 if abs(x or 0) > 1e100 else x for x in map(lambda x: x if x is None else float(x), e)], label) for i, e, label in rows]
+
+
+def test_embeddings_of_repeated_ids_and_odd_sizes(spark):
+    one, two, near = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [1.0, 0.01, 0.0, 0.0]
+    rows = [(5, one, 1), (6, near, 1), (5, two, 1), (13, one, 2), (15, one, 2), (15, two, 2), (15, None, 2), (16, two, 2)]
+    rows += [(20, [x * 1e-170 for x in one], 3), (21, [x * 1e160 for x in near], 3), (22, one, 3), (23, [x * 1e-170 for x in two], 3), (24, two, 3), (24, two, 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((str(x.vec_id), x.n_links, str(x.component_id), x.kept) for x in near_embeddings.near_duplicates(df).collect())
+    assert got == brute_vectors(small_and_large(rows), 0.98)
+    assert {(x[0], x[2]) for x in got if x[0] in "15 16 5 6".split()} == {("15", "13"), ("16", "13"), ("5", "5"), ("6", "5")}
+
+
 @pytest.mark.parametrize("threshold,tile", [(0.98, 1000), (0.9, 7), (0.3, 11)])
 def test_embeddings(spark, threshold, tile):
     r = np.random.default_rng(2)

@@ -1,11 +1,13 @@
 """Near-duplicate embeddings: an exact cosine threshold join within labels, by tiles ordered along principal components.
 
 Vectors that are equal component by component are one class.  Classes are turned to principal axes and cut, label by label,
-in bands along the first axis: two unit vectors with cosine t differ by at most sqrt(2 - 2t) in any coordinate, so only
-vectors of one band or of neighbouring bands can link.  Bands are dealt out in tiles of bounded size and every pair of tiles
+in cells along the first two axes: two unit vectors with cosine t differ by at most sqrt(2 - 2t) in any coordinate, so only
+vectors of one cell or of neighbouring cells can link.  Cells are dealt out in tiles of bounded size and every pair of tiles
 is compared in one task: leading dimensions first, dropping a pair as soon as its sum so far plus the product of what is
 left of both norms cannot reach the threshold.  Pairs that are left are decided in double precision on the given components.
 A pair of tiles returns sums of links and a spanning forest, never the pairs.
+
+The axes come from a bounded sample; any orthonormal axes give the same result, good ones give it sooner.
 """
 
 from __future__ import annotations
@@ -24,38 +26,29 @@ NAME = "op1_near_embeddings"
 THRESHOLD = 0.98
 #: Vectors of a tile, on average.
 TILE = 1_000
+#: Vectors that the axes are fitted to, on average: those of the least hash, up to the sum of all rows.
+SAMPLE = 4_000
 #: Dimensions that are added at a time.
 STEPS = (8, 16, 32, 64, 128, 256, 512)
 
 
-def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """dimension -> orthonormal axes (columns), most variance first, of all unit vectors of that dimension.
+def scaled(m: np.ndarray) -> np.ndarray:
+    """Rows in doubles times a power of two each, so that squares neither vanish nor overflow; cosines stay as they are."""
+    m = m.astype(np.float64)
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])
 
-    Sums of products are made by the tasks and added by Spark; the driver gets one matrix for each dimension that occurs.
-    """
 
-    def run(batches):
-        sums: dict[int, np.ndarray] = {}
-        for b in sliced(batches, 2048):
-            for d, m in _by_dimension(b.column(0)):
-                u = m / np.linalg.norm(m, axis=1, keepdims=True)
-                sums[d] = sums.get(d, 0) + u.T @ u
-        for d, s in sums.items():
-            i, j = np.divmod(np.arange(d * d), d)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(d * d, d)), pa.array(i), pa.array(j), pa.array(s.ravel())], names=["d", "i", "j", "v"])
-
-    sums = vectors.select("e").mapInArrow(run, "d long, i long, j long, v double").groupBy("d", "i", "j").agg(F.sum("v").alias("v"))
+def principal_axes(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """dimension -> orthonormal axes (columns), most variance first, of the sampled unit vectors of that dimension."""
     found = {}
-    for d, i, j, v in sums.collect():
-        found.setdefault(d, np.zeros((d, d)))[i, j] = v
-    return {d: np.linalg.eigh((m + m.T) / 2)[1][:, ::-1].copy() for d, m in found.items()}
-
-
-def _by_dimension(column: pa.Array) -> list[tuple[int, np.ndarray]]:
-    """The vectors of a list column as matrices, by dimension."""
-    rows = column.to_numpy(zero_copy_only=False)
-    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-    return [(int(d), np.stack([rows[k] for k in np.flatnonzero(sizes == d)]).astype(np.float64)) for d in np.unique(sizes)]
+    rows: dict[int, list] = {}
+    for (e,) in vectors.select("e").toLocalIterator():
+        rows.setdefault(len(e), []).append(e)
+    for d, some in rows.items():
+        m = scaled(np.array(some, np.float64))
+        u = m / np.linalg.norm(m, axis=1, keepdims=True)
+        found[d] = np.linalg.eigh(u.T @ u)[1][:, ::-1].copy()
+    return found
 
 
 def linked(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, t: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -93,57 +86,74 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     vec_id reachable by links, and whether that is its own.
 
     Null labels, and vectors that are null, empty, of norm zero, or hold null or non-finite components, link with nothing;
-    so do vectors of different dimension.  Rows that repeat a vector link with each other.  A row without vec_id links with
-    nothing and is not kept; rows that repeat a vec_id are one node of the graph.  An empty table gives none; columns other
-    than vec_id, embedding and label are not read.
+    so do vectors of different dimension.  Components may be as small or large as doubles can be.  Rows that repeat a vector
+    link with each other.  A row without vec_id links with nothing and is not kept.  Rows that repeat a vec_id are one node of
+    the graph, with one component_id; each has the links of its own vector.  An empty table gives none; columns other than
+    vec_id, embedding and label are not read.
     """
     e = F.col("embedding")
     finite = F.forall(e, lambda x: x.isNotNull() & (F.abs(x) < math.inf) & ~F.isnan(x))
-    norm = F.aggregate(e, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    fit = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size(e) > 0) & finite & (norm > 0) & (norm < math.inf), F.lit(False))
+    fit = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size(e) > 0) & finite & F.exists(e, lambda x: x != 0), F.lit(False))
     key = F.when(fit, F.concat_ws(":", F.xxhash64("label", e).cast("string"), F.hash("label", e).cast("string")))
     rows = vectors.select(F.col("vec_id"), F.col("label"), e.alias("e"), key.alias("k"))
     classes = checkpointed(rows.filter("k is not null").groupBy("k").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("e").alias("e")))
-    axes = vectors.sparkSession.sparkContext.broadcast(principal_axes(classes))
+    count, dims = classes.count(), classes.select(F.size("e").alias("d")).distinct()
+    some = F.xxhash64("k") / 2.0**64 + 0.5 < min(1.0, SAMPLE / max(1, count))
+    axes = principal_axes(classes.filter(some))
+    for (d,) in dims.toLocalIterator():  # a dimension that the sample missed
+        axes.setdefault(d, np.eye(d))
+    axes = vectors.sparkSession.sparkContext.broadcast(axes)
     width = math.sqrt(max(0.0, 2 - 2 * threshold)) * (1 + 1e-9) + 1e-12
 
-    def first_axis(batches):
+    def cells(batches):
         for b in sliced(batches, 2048):
             v = b.column(0).to_numpy(zero_copy_only=False)
-            band, dim = np.zeros(len(v), np.int64), np.fromiter(map(len, v), np.int64, len(v))
+            x, y, dim = np.zeros(len(v), np.int64), np.zeros(len(v), np.int64), np.fromiter(map(len, v), np.int64, len(v))
             for d in np.unique(dim):
-                m = np.stack([v[i] for i in np.flatnonzero(dim == d)]).astype(np.float64)
-                band[dim == d] = np.floor((m @ axes.value[int(d)][:, 0]) / np.linalg.norm(m, axis=1) / width).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(dim), pa.array(band)], names=["e", "rep", "n", "label", "d", "band"])
+                m = scaled(np.stack([v[i] for i in np.flatnonzero(dim == d)]))
+                at = np.floor((m @ axes.value[int(d)][:, :2]) / np.linalg.norm(m, axis=1, keepdims=True) / width).astype(np.int64)
+                x[dim == d], y[dim == d] = at[:, 0], at[:, -1]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(dim), pa.array(x), pa.array(y)], names=["e", "k", "rep", "n", "label", "d", "x", "y"])
 
     kinds = dict(classes.dtypes)
-    banded = classes.select("e", "rep", "n", "label").mapInArrow(first_axis, f"e {kinds['e']}, rep {kinds['rep']}, n long, label {kinds['label']}, d long, band long")
-    sizes = banded.groupBy("label", "d", "band").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    sizes = checkpointed(sizes)
-    other = lambda step, name: sizes.select(F.col("label").alias("_l"), F.col("d").alias("_d"), (F.col("band") - step).alias("_b"), F.col("tiles").alias(name))
-    for step, name in ((1, "after"), (-1, "before")):
-        o = other(step, name)
-        banded_key = (F.col("label") == o["_l"]) & (F.col("d") == o["_d"]) & (F.col("band") == o["_b"])
-        sizes = sizes.join(o.hint("merge"), banded_key, "left").drop("_l", "_d", "_b")
-    s = sizes.select(F.col("label").alias("_l"), F.col("d").alias("_d"), F.col("band").alias("_b"), "tiles", "after", "before")
-    dealt = banded.join(s.hint("merge"), (F.col("label") == F.col("_l")) & (F.col("d") == F.col("_d")) & (F.col("band") == F.col("_b")))
-    own = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
-    upto = lambda n: F.when(F.coalesce(F.col(n), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
-    places = F.concat(
-        F.transform(upto("tiles"), lambda j: F.struct(F.col("band").alias("at"), F.lit(False).alias("across"), F.least(own, j).alias("a"), F.greatest(own, j).alias("b"), (own <= j).alias("left"))),
-        F.transform(upto("after"), lambda j: F.struct(F.col("band").alias("at"), F.lit(True).alias("across"), own.alias("a"), j.alias("b"), F.lit(True).alias("left"))),
-        F.transform(upto("before"), lambda j: F.struct((F.col("band") - 1).alias("at"), F.lit(True).alias("across"), j.alias("a"), own.alias("b"), F.lit(False).alias("left"))),
-    )
-    placed = dealt.select("label", "d", "rep", "n", "e", F.explode(places).alias("p")).select("label", "d", "rep", "n", "e", "p.*")
+    banded = classes.select("e", "k", "rep", "n", "label").mapInArrow(cells, f"e {kinds['e']}, k string, rep {kinds['rep']}, n long, label {kinds['label']}, d long, x long, y long")
+    sizes = checkpointed(banded.groupBy("label", "d", "x", "y").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")))
+    # Of two neighbouring cells the one that comes first is where they meet.
+    steps = [(0, 0), *((u, v) for u in (-1, 0, 1) for v in (-1, 0, 1) if (u, v) != (0, 0))]
+    step = F.explode(F.array(*[F.struct(F.lit(u).cast("long").alias("u"), F.lit(v).cast("long").alias("v")) for u, v in steps])).alias("s")
+    beside = sizes.select("label", "d", "x", "y", "tiles", step).select(F.col("label").alias("_l"), F.col("d").alias("_d"), (F.col("x") - F.col("s.u")).alias("_x"), (F.col("y") - F.col("s.v")).alias("_y"), F.struct("s.u", "s.v", "tiles").alias("o"))
+    beside = checkpointed(beside.groupBy("_l", "_d", "_x", "_y").agg(F.collect_list("o").alias("beside")))
+    same_cell = (F.col("label") == F.col("_l")) & (F.col("d") == F.col("_d")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))
+    dealt = banded.join(beside.hint("merge"), same_cell)
+    h = F.xxhash64("k")
+
+    def places_in(o):
+        """Where a vector goes for one of the cells beside its own, which is given by its steps u and v and its tiles."""
+        here, first = (o["u"] == 0) & (o["v"] == 0), (o["u"] > 0) | ((o["u"] == 0) & (o["v"] > 0))
+        own = F.pmod(h, F.col("own")).cast("int")
+        place = lambda j: F.struct(
+            F.when(first | here, F.col("x")).otherwise(F.col("x") + o["u"]).alias("px"),
+            F.when(first | here, F.col("y")).otherwise(F.col("y") + o["v"]).alias("py"),
+            F.when(first, o["u"]).otherwise(-o["u"]).alias("u"),
+            F.when(first, o["v"]).otherwise(-o["v"]).alias("v"),
+            F.when(here, F.least(own, j)).when(first, own).otherwise(j).alias("a"),
+            F.when(here, F.greatest(own, j)).when(first, j).otherwise(own).alias("b"),
+            F.when(here, own <= j).otherwise(first).alias("left"),
+        )
+        return F.transform(F.sequence(F.lit(0), o["tiles"] - 1), place)
+
+    own_tiles = F.element_at(F.filter("beside", lambda o: (o["u"] == 0) & (o["v"] == 0)), 1)["tiles"]
+    dealt = dealt.withColumn("own", own_tiles)
+    placed = dealt.select("label", "d", "k", "rep", "n", "e", F.explode(F.flatten(F.transform("beside", places_in))).alias("p")).select("label", "d", "k", "rep", "n", "e", "p.*")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(pdf["e"].to_numpy()).astype(np.float64)
+        v = scaled(np.stack(pdf["e"].to_numpy()))
         p = (v / np.linalg.norm(v, axis=1, keepdims=True)) @ axes.value[v.shape[1]]
         side = pdf["left"].to_numpy()
-        same = not pdf["across"].iloc[0] and pdf["a"].iloc[0] == pdf["b"].iloc[0]
+        same = pdf["u"].iloc[0] == pdf["v"].iloc[0] == 0 and pdf["a"].iloc[0] == pdf["b"].iloc[0]
         l, r = (np.arange(len(v)),) * 2 if same else (np.flatnonzero(side), np.flatnonzero(~side))
         if not len(l) or not len(r):
-            return pdf.iloc[:0][["rep"]].assign(links=np.empty(0, np.int64), root=np.empty(0, np.int64))
+            return pdf.iloc[:0][["k", "rep"]].assign(links=np.empty(0, np.int64), root=np.empty(0, np.int64))
         a, b = linked(v[l], v[r], p[l], p[r], threshold, same)
         a, b = l[a], r[b]
         ids, n = pdf["rep"].to_numpy(), pdf["n"].to_numpy()
@@ -153,16 +163,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
         links = np.bincount(a, n[b], len(ids)) + np.bincount(b, n[a], len(ids))
         root = ids[order][forest(len(ids), place[a], place[b])[place]]
         some = links > 0
-        return pd.DataFrame({"rep": ids[some], "links": links[some].astype(np.int64), "root": root[some]})
+        return pd.DataFrame({"k": pdf["k"].to_numpy()[some], "rep": ids[some], "links": links[some].astype(np.int64), "root": root[some]})
 
-    found = placed.groupBy("label", "d", "at", "across", "a", "b").applyInPandas(compare, f"rep {kinds['rep']}, links long, root {kinds['rep']}")
+    found = placed.groupBy("label", "d", "px", "py", "u", "v", "a", "b").applyInPandas(compare, f"k string, rep {kinds['rep']}, links long, root {kinds['rep']}")
     found = checkpointed(found)
-    links = found.groupBy(F.col("rep").alias("_r")).agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    classes = classes.select("k", "rep", "n").join(links.hint("merge"), F.col("rep") == F.col("_r"), "left").join(groups.hint("merge"), F.col("rep") == F.col("node"), "left")
+    links = found.groupBy(F.col("k").alias("_r")).agg(F.sum("links").alias("links"))
+    edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    # Rows that repeat an id tie the classes that they belong to together.
+    repeated = checkpointed(rows.filter("vec_id is not null").groupBy(F.col("vec_id").alias("_v")).agg(F.count("*").alias("c")).filter("c > 1").select("_v"))
+    tied = bool(repeated.head(1))
+    if tied:
+        own = rows.select("vec_id", F.col("k").alias("_k")).join(repeated.hint("merge"), F.col("vec_id") == F.col("_v"))
+        edges = edges.union(own.join(classes.select("k", "rep").hint("merge"), F.col("k") == F.col("_k")).select("vec_id", "rep"))
+    groups = components(edges)
+    classes = classes.select("k", "rep", "n").join(links.hint("merge"), F.col("k") == F.col("_r"), "left").join(groups.hint("merge"), F.col("rep") == F.col("node"), "left")
     classes = classes.select(F.col("k").alias("_k"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
     out = rows.select("vec_id", "k").join(classes.hint("merge"), F.col("k") == F.col("_k"), "left")
     component = F.coalesce("c", "vec_id")
+    if tied:  # and give rows that can't link the component of their id
+        node = out.select("vec_id", component.alias("c")).join(repeated.hint("merge"), F.col("vec_id") == F.col("_v")).groupBy("_v").agg(F.min("c").alias("tie"))
+        out = out.join(node.hint("merge"), F.col("vec_id") == F.col("_v"), "left")
+        component = F.coalesce("tie", "c", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
