@@ -38,8 +38,8 @@ LONG_WORD, PIECE = 24, 12
 TILE = 1_000
 #: Candidate lines up to this many (some 360 bytes each, so 54 MB) are joined to the texts by broadcast; more by a shuffle.
 FEW_LINES = 150_000
-#: Buckets of two lines or more (some 60 bytes each), and documents that lose lines (some 100), that are joined by broadcast.
-FEW_BUCKETS, FEW_DOCS = 500_000, 300_000
+#: Buckets of two lines or more (some 50 bytes each), and documents that lose lines (some 100), that are joined by broadcast.
+FEW_BUCKETS, FEW_DOCS = 2_000_000, 300_000
 #: ASCII characters other than letters and digits become spaces; bytes of other characters stay.
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -282,8 +282,8 @@ def _key(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.unhex(F.substring(key, 1, 24)), F.lit(b"")).alias("k"), "text")
 
 
-def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, k, line, key, blocks) of every line that is long enough; line: its number from 0."""
+def lines_of(docs: DataFrame, least: int, with_blocks: bool) -> DataFrame:
+    """(doc_id, k, line, key, blocks) of every line that is long enough; line: its number from 0.  Blocks are null if not wanted."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
@@ -296,8 +296,10 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
                         row.append(i)
                         number.append(n)
                         norms.append(norm)
-            at, (bounds, keys) = pa.array(row, pa.int64()), blocks(norms)
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.view(np.int64)))
+            at, lists = pa.array(row, pa.int64()), pa.nulls(len(row), pa.list_(pa.int64()))
+            if with_blocks:
+                bounds, keys = blocks(norms)
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.view(np.int64)))
             cols = [b.column(0).take(at), b.column(1).take(at), pa.array(number, pa.int32()), pa.array(list(map(xxhash.xxh3_128_digest, norms)), pa.binary()), lists]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "k", "line", "key", "blocks"])
 
@@ -305,16 +307,18 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
 
 
 def candidates(distinct: DataFrame) -> DataFrame:
-    """(key, k, line, at) of the lines that meet another; at: their buckets of two lines or more, with the number of tiles.
+    """(key, k, line, at) of the lines that meet another; at: their buckets, with the number of tiles of each.
 
-    Buckets are counted by a grouped aggregate, so none is held in one task, and those of one line go no further.
+    Buckets are counted by a grouped aggregate, so none is held in one task, and those of one line go no further.  Of buckets
+    with the same lines one is left, so that a pair's texts meet about once.
     """
     dealt = distinct.select("key", "k", "line", F.explode("blocks").alias("bucket"))
-    shared = dealt.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("n")).filter("n > 1")
-    shared = checkpointed(shared.select("b", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
-    hint = "broadcast" if shared.count() <= FEW_BUCKETS else "merge"
-    met = dealt.join(shared.hint(hint), F.col("bucket") == F.col("b"))
-    return met.groupBy("key").agg(F.first("k").alias("k"), F.first("line").alias("line"), F.collect_set(F.struct("bucket", "tiles")).alias("at"))
+    near = lambda found: dealt.join(found.hint("broadcast" if found.count() <= FEW_BUCKETS else "merge"), F.col("bucket") == F.col("b"))
+    shared = checkpointed(dealt.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("n")).filter("n > 1").select("b"))
+    h = F.xxhash64("key")
+    who = near(shared).groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(0x7FFFFFFF)).alias("y"))
+    one = checkpointed(who.groupBy("n", "x", "y").agg(F.min("bucket").alias("b")).select("b", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
+    return near(one).groupBy("key").agg(F.first("k").alias("k"), F.first("line").alias("line"), F.collect_set(F.struct("bucket", "tiles")).alias("at"))
 
 
 def similar(members: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame:
@@ -379,8 +383,7 @@ def lines_to_go(docs: DataFrame, similarity: float, least: int) -> DataFrame:
     """(k, line) of every line that isn't the first of its group; k as in _key()."""
     keyed = _key(docs)
     place = F.struct("doc_id", "line", "k")
-    lines = checkpointed(lines_of(keyed, least))
-    distinct = lines.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("blocks").alias("blocks"))
+    distinct = lines_of(keyed, least, True).groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("blocks").alias("blocks"))
     distinct = checkpointed(distinct.select("key", "n", "first.doc_id", "first.line", "first.k", "blocks"))
     members = checkpointed(candidates(distinct))
     found = components(similar(members, keyed, similarity))
@@ -388,7 +391,8 @@ def lines_to_go(docs: DataFrame, similarity: float, least: int) -> DataFrame:
     joined = joined.select("key", F.coalesce("component", "key").alias("component"), place.alias("place"))
     first = joined.groupBy(F.col("component").alias("_c")).agg(F.min("place").alias("keep"))
     groups = joined.join(first.hint("merge"), F.col("component") == F.col("_c")).select("key", F.col("keep.k").alias("keep_k"), F.col("keep.line").alias("keep_line"))
-    gone = lines.select("k", "line", "key").join(checkpointed(groups).withColumnRenamed("key", "_key").hint("merge"), F.col("key") == F.col("_key"))
+    # Lines are read again rather than kept: that is cheaper than another copy of them all.
+    gone = lines_of(keyed, least, False).select("k", "line", "key").join(checkpointed(groups).withColumnRenamed("key", "_key").hint("merge"), F.col("key") == F.col("_key"))
     return gone.filter("k != keep_k or line != keep_line").select("k", "line")
 
 
