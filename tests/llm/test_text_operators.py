@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -207,6 +208,149 @@ def test_main_text_odd_rows(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+LONG = "A paragraph of the article that goes on for a while, so that it has many letters for each tag. "
+MENU = "".join(f'<li><a href="/{k}">Other story number {k} of the day</a></li>' for k in range(6))
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<div class="share-price-table"><p>Prices rose.</p></div>', "Prices rose."),
+        ('<div class="comment-on-law"><p>The law says so.</p></div>', "The law says so."),
+        ('<div class="related-posts"><p>' + LONG + "</p></div>", None),
+        ('<div id="site-footer"><p>' + LONG + "</p></div>", None),
+        ('<div class="ad-slot-1"><p>Buy.</p></div>', None),
+        ("<ul>" + MENU + "</ul>", None),
+        ('<p><a href="/x">One link alone stays.</a></p>', "One link alone stays."),
+        ('<article class="comment-body"><p>' + LONG + "</p></article>", None),
+    ],
+)
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<body><div>{}</div></body>"])
+def test_parts_inside_the_article(page, want, wrap):
+    html = wrap.format(f"<h1>Head</h1><p>{LONG * 3}</p><p>{LONG * 2}</p>{page}<p>{LONG * 3}</p>")
+    body = ["Head", (LONG * 3).strip(), (LONG * 2).strip(), *([want] if want else []), (LONG * 3).strip()]
+    assert html_text.main_text(html) == "\n\n".join(body)
+
+
+@pytest.mark.parametrize("wrap", ['<form id="aspnet">{}</form>', '<div class="content has-sidebar">{}</div>', '<div class="sidebar-wrapper">{}</div>', '<div id="page-with-comments">{}</div>'])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<div>{}</div>"])
+def test_wrappers_of_the_article_stay(wrap, inner):
+    html = "<body>" + wrap.format(inner.format(f"<h1>Head</h1><p>{LONG}</p><p>{LONG}</p>")) + "</body>"
+    assert html_text.main_text(html) == f"Head\n\n{LONG.strip()}\n\n{LONG.strip()}"
+
+
+def test_ratios_decide(monkeypatch):
+    """Pages without telling tags: text against teasers with many tags, and with a list of links in it."""
+    teasers = "".join(f'<div><b><i>Teaser {k}</i></b> <span>by</span> <em>someone</em> <u>now</u></div>' for k in range(14))
+    text = f"<div><p>{LONG * 4}</p><p>{LONG * 5}</p><ul>{MENU}</ul><p>{LONG * 4}</p></div>"
+    page = f"<body><div>{teasers}</div>{text}<div>{teasers}</div></body>"
+    want = "\n\n".join((LONG * k).strip() for k in (4, 5, 4))
+    assert html_text.main_text(page) == want
+    monkeypatch.setattr(html_text, "ratios", lambda lines: [1.0] * len(lines))
+    assert html_text.main_text(page) != want
+
+
+def test_deep_pages_take_linear_time():
+    began = time.time()
+    assert html_text.main_text("<div>" * 50_000 + "text" + "</b>" * 50_000) == "text"
+    assert html_text.main_text("<b><article>" + "<div>" * 50_000 + "text" + "</b>" * 50_000) == "text"
+    assert html_text.main_text("<article><p>a</p>" * 20_000).count("a") == 20_000
+    assert time.time() - began < 20
+
+
+class Tree:
+    """A page of well-formed elements, each (tag, attributes, children), worked on without regard to time."""
+
+    def __init__(self, r, tag="body", depth=0):
+        self.tag, self.cls, self.kids = tag, "", []
+        if tag in ("p", "li", "h2"):
+            words = " ".join(r.choice(["some", "words", "of", "text", "longer"]) for _ in range(r.choice([1, 3, 25, 60])))
+            self.kids = [words] if r.random() < 0.7 else [("a", words)] if r.random() < 0.5 else [words[:9] + " ", ("b", words)]
+            return
+        if tag == "div" and depth and r.random() < 0.3:
+            self.cls = r.choice(["ad", "comments", "related-posts", "share-price", "story"])
+        for _ in range(r.randrange(1, 5)):
+            self.kids.append(Tree(r, r.choice(["p", "p", "li", "h2", "nav"] if depth > 2 else ["p", "div", "div", "section", "article", "p", "form"]), depth + 1))
+
+    def html(self):
+        inner = "".join(k if isinstance(k, str) else f"<{k[0]}>{k[1]}</{k[0]}>" if isinstance(k, tuple) else k.html() for k in self.kids)
+        return f'<{self.tag}{f" class={chr(34)}{self.cls}{chr(34)}" if self.cls else ""}>{inner}</{self.tag}>'
+
+    def lines(self, path=()):
+        """(path, text, link characters, tags before)"""
+        path = (*path, self)
+        if self.kids and not isinstance(self.kids[0], Tree):
+            tags = sum(isinstance(k, tuple) for k in self.kids)
+            text = "".join(k if isinstance(k, str) else k[1] for k in self.kids)
+            return [(path, " ".join(text.split()), sum(len(k[1]) for k in self.kids if isinstance(k, tuple) and k[0] == "a"), tags)]
+        return [x for k in self.kids if isinstance(k, Tree) for x in k.lines(path)]
+
+
+def slow_main_text(root):
+    lines, tags, seen = root.lines(), [], set()
+    for path, _, _, own in lines:  # every element opens right before its first line
+        new = [n for n in path if id(n) not in seen]
+        seen |= {id(n) for n in new}
+        tags.append(len(new) + own)
+    shown = [len(x[1]) - x[2] for x in lines]
+    ratio = np.array([max(0, n) / max(1, t) for n, t in zip(shown, tags, strict=True)])
+    w = np.array([[np.exp(-0.5 * ((i - j) / 1.5) ** 2) if abs(i - j) <= 5 else 0 for j in range(len(lines))] for i in range(len(lines))])
+    ratio = (w * ratio).sum(1) / w.sum(1)
+    low, high = ratio.min(), ratio.max()
+    while True:
+        cut = (low + high) / 2
+        if (ratio <= cut).all() or (ratio > cut).all():
+            cut = ratio.min()
+            break
+        new = ratio[ratio <= cut].mean(), ratio[ratio > cut].mean()
+        if np.allclose(new, (low, high), rtol=0, atol=1e-12):
+            break
+        low, high = new
+    good = [r >= cut and x[2] < len(x[1]) for r, x in zip(ratio, lines, strict=True)]
+    never = lambda n: n.tag == "nav" or n.cls == "comments"
+    maybe = lambda n: n.tag == "form" or n.cls in ("ad", "related-posts")
+    weigh = lambda x: len(x[1]) * (3 if any(n.tag == "article" for n in x[0]) else 1)
+    within = lambda n, x: any(m is n for m in x[0])
+    some = [x for x, g in zip(lines, good, strict=True) if g and not any(map(never, x[0]))]
+    total = sum(map(weigh, some))
+    wrap = lambda n: total and sum(weigh(x) for x in some if within(n, x)) >= 0.9 * total
+    left = [any(never(n) or maybe(n) and not wrap(n) for n in x[0]) for x in lines]
+    body = [x for x, out in zip(lines, left, strict=True) if not out]
+    content = [x for x, g, out in zip(lines, good, left, strict=True) if g and not out] or [x for x in body if x[2] < len(x[1])]
+    if not content:
+        return ""
+    total = sum(map(weigh, content))
+    chain = [n for n in content[0][0] if n.tag in ("article", "div", "section") and sum(weigh(x) for x in content if within(n, x)) >= 0.7 * total]
+    for x in content:
+        for n in x[0]:
+            if n.tag in ("article", "div", "section") and not any(m is n for m in chain) and sum(weigh(y) for y in content if within(n, y)) >= 0.7 * total:
+                chain.append(n)
+    chain.sort(key=lambda n: next(x[0].index(n) for x in lines if within(n, x)))
+    articles = [n for n in chain if n.tag == "article"]
+    best = articles[0] if articles else chain[-1] if chain else root
+    size = lambda n: sum(len(x[1]) for x in body if within(n, x))
+    up = next((x[0][: x[0].index(best)][::-1] for x in lines if within(best, x)), ())
+    if not articles:
+        for n in up:
+            if size(n) > 1.15 * size(best):
+                break
+            best = n
+    kept = [(x, any(x is c for c in content)) for x in body if within(best, x)]
+    link = [not g and x[2] >= len(x[1]) for x, g in kept]
+    menu = [v and (k > 0 and link[k - 1] or k + 1 < len(link) and link[k + 1]) for k, v in enumerate(link)]
+    return "\n\n".join(x[1] for (x, _), m in zip(kept, menu, strict=True) if not m)
+
+
+def test_main_text_like_slow_version():
+    r, some = random.Random(11), 0
+    for _ in range(300):
+        page = Tree(r)
+        got = html_text.main_text(page.html())
+        assert got == slow_main_text(page)
+        some += bool(got)
+    assert some > 200
+
+
 def brute_mix(rows, weights=(5, 2, 1), share=1.5):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     total = defaultdict(int)

@@ -1,9 +1,12 @@
 """Main text of web pages: parser events make lines, a smoothed text-to-tag ratio finds the content among them.
 
-A line is a run of text between block-level tags.  Its ratio is its length over the tags that opened in it and before it.
-Ratios are smoothed with a Gaussian along the page and split in two clusters at a threshold; lines of the high cluster are
-content; the region is the article element, or else the innermost container, that holds most of them.  Lines in
-parts that are never article text (menus, headers, footers, forms, adverts, comments) don't stand for choice.
+A line is a run of text between block-level tags.  Its ratio is its length without links over the tags that opened in it and
+before it.  Ratios of all shown lines, menus and footers too, are smoothed with a Gaussian along the page and split in two
+clusters at a threshold; lines of the high cluster are content.  The region is the innermost container that holds most of the
+content, where text in an article element counts several times and such an element is not looked into further.  Of its lines
+go those in parts that are never article text (menus, forms, adverts, reader comments), and runs of links in the low cluster.
+
+The parser keeps parents, counts and depths of open elements, so its work grows with the page, however deep that is nested.
 """
 
 from __future__ import annotations
@@ -22,8 +25,14 @@ from .common import sliced, table
 NAME = "op3_html_text"
 SQL = None  # SQL doesn't parse HTML
 SIGMA = 1.5
-#: Share of the content's text that a container must hold to be the region.
-MOST = 0.7
+#: Share of the content's text that a container must hold to be the region, and how often text in an article element counts.
+MOST, PRIOR = 0.7, 3
+#: Share of the content's text that makes a form, or a part named like a menu, a wrapper of the article.
+WRAPPER = 0.9
+#: A region without article element takes in its parent if that adds no more text than this share of its own.
+HEADINGS = 0.15
+#: Links one after another that are a menu.
+MENU = 2
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end a line.
 BLOCK = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html iframe legend li main menu nav noscript ol option p pre script search section select style summary table tbody td textarea tfoot th thead title tr ul".split())
@@ -32,54 +41,79 @@ CONTAINERS = set("article center div main section td".split())
 #: Elements whose text is never shown as text.
 UNSEEN = set("script style noscript template iframe object svg math canvas head title textarea select option button datalist audio video map".split())
 #: Elements that hold no article text.
-ASIDE = set("nav footer aside form menu dialog fieldset search".split())
-#: Words of class, id and role that mark such parts.
-MARKS = set("ad ads advert advertisement advertising adverts adsense banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright disqus discussion disclaimer footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion recommendations recommended related replies reply respond share sharing sidebar sidebars social sponsor sponsored sponsors subscribe subscription teaser toolbar topbar widget widgets".split())
+ASIDE = set("nav footer aside menu dialog search".split())
+#: The same, unless they are wrapped around the article.
+FORMS = set("form fieldset".split())
+#: Words of class and id that mark such parts.
+MARKS = set("ad ads advert advertisement advertising adverts adsense banner breadcrumb breadcrumbs cookie cookies consent copyright disclaimer footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion recommendations recommended related share sharing sidebar sidebars social sponsor sponsored sponsors subscribe subscription teaser teasers toolbar topbar widget widgets".split())
+#: Words that mark reader comments.
+READERS = set("comment comments commentlist disqus discussion replies reply respond".split())
+#: Words that may stand beside a mark in one name: "site-footer", "cookie-box-inner".
+BESIDE = set("area article articles bar body bottom box block button buttons container content entry footer form global group header holder icons inner item items left level link links list local main outer page panel post posts primary right row section secondary signup site slot story sub top unit wrap wrapper".split())
 #: With one of these words beside it, "header" means the head of the article.
 OWN = set("article content entry post story".split())
 ROLES = set("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
+#: An end tag other than these doesn't leave the part it stands in.
+PARTS = set("article main body nav footer aside table".split())
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 
 
 @dataclass
 class Line:
-    text: str
+    text: str  # of parts that may hold article text
     tags: int
-    links: int
-    main: int  # number of the enclosing article, or 0
-    parts: tuple  # numbers of the enclosing containers, from the outside
+    links: int  # characters in links
+    node: int
+    shown: int  # characters of all parts
 
 
 class Lines(HTMLParser):
-    """Gathers the lines of a page outside parts that hold no article text."""
+    """The elements of a page by number, parents first, and its lines."""
+
+    #: Why an element is left out: never article text; unless it is wrapped around the article.
+    OUT, UNLESS = 1, 2
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, int, int]] = []  # (tag, excluded from here on, article, number)
-        self.buffer: list[str] = []
-        self.tags = self.links = self.articles = self.count = 0
+        self.parent, self.why, self.container, self.article = [0], [0], [True], [""]
+        self.hidden, self.inside = [False], [0]  # of each element: never shown; the article element around it, or 0
+        self.open: list[tuple[str, int]] = []
+        self.depth: dict[str, list[int]] = {}  # depths at which elements of a name are open
+        self.blocks: list[int] = []
+        self.parts: list[int] = []
+        self.found: list[tuple[int, list[tuple[str, int, bool]], int]] = []
+        self.buffer: list[tuple[str, int, bool]] = []
+        self.tags = 0
+
+    def here(self) -> int:
+        return self.open[-1][1] if self.open else 0
 
     def flush(self) -> None:
-        text = _SPACE.sub(" ", "".join(self.buffer)).strip()
-        if text:
-            self.lines.append(Line(text, self.tags, self.links, self.open[-1][2] if self.open else 0, tuple(x[3] for x in self.open if x[0] in CONTAINERS)))
+        if any(not x.isspace() for x, _, _ in self.buffer):
+            self.found.append((self.here(), self.buffer, self.tags))
             self.tags = 0
-        self.buffer, self.links = [], 0
-
-    def marked(self, tag: str, attrs: list) -> bool:
-        if tag in UNSEEN or tag in ASIDE or tag == "header" and not (self.open and self.open[-1][2]):
-            return True
-        if tag in ("html", "body", "article", "main"):
-            return False
-        a = dict(attrs)
-        if (a.get("role") or "").lower() in ROLES or "hidden" in a or (a.get("aria-hidden") or "") == "true" or "display:none" in (a.get("style") or "").replace(" ", "").lower():
-            return True
-        words = {w.lower() for key in ("class", "id") for w in _PART.findall(a.get(key) or "")}
-        if words & OWN or self.open and self.open[-1][2]:
-            words.discard("header")  # the heading of the article itself
-        return bool(words & MARKS)
+        self.buffer = []
+
+    def reason(self, tag: str, a: dict) -> int:
+        if tag in ASIDE or tag == "header" and not self.inside[self.here()]:
+            return self.OUT
+        if tag in FORMS:
+            return self.UNLESS
+        if tag in ("html", "body"):
+            return 0
+        if (a.get("role") or "").lower() in ROLES:
+            return self.OUT
+        reason = 0
+        for name in (*(a.get("class") or "").split(), *(a.get("id") or "").split()):
+            words = {w.lower() for w in _PART.findall(name)}
+            if "header" in words and (words & OWN or self.inside[self.here()]):
+                words.discard("header")  # the heading of the article itself
+            if words & READERS and words <= READERS | MARKS | BESIDE:
+                return self.OUT
+            if words & MARKS and words <= MARKS | BESIDE and tag not in ("article", "main"):
+                reason = self.UNLESS
+        return reason
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
@@ -87,43 +121,74 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        if tag == "p" or tag in BLOCK:
+        if tag in BLOCK:
             self.close_implied("p")
         if tag in ("li", "option", "tr", "td", "th", "dt", "dd"):
             self.close_implied(tag)
-        excluded, main = (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
-        if tag in ("article", "main") and not excluded and not main or (dict(attrs).get("role") == "main" and not main):
-            self.articles += 1
-            main = self.articles
-        self.count += 1
-        self.open.append((tag, excluded or self.marked(tag, attrs), main, self.count))
+        a, up = dict(attrs), self.here()
+        main = tag in ("article", "main") or a.get("role") == "main"
+        n = len(self.parent)
+        self.parent.append(up)
+        self.why.append(self.reason(tag, a))
+        self.container.append(tag in CONTAINERS)
+        self.article.append(tag if main else "")
+        unseen = tag in UNSEEN or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in (a.get("style") or "").replace(" ", "").lower()
+        self.hidden.append(self.hidden[up] or unseen)
+        self.inside.append(self.inside[up] or (n if main else 0))
+        at = len(self.open)
+        self.depth.setdefault(tag, []).append(at)
+        if tag in BLOCK:
+            self.blocks.append(at)
+        if tag in PARTS:
+            self.parts.append(at)
+        self.open.append((tag, n))
+
+    def close(self, at: int | None = None) -> None:
+        """Close the elements from a depth on, or the parser."""
+        if at is None:
+            super().close()
+            return
+        while len(self.open) > at:
+            tag, _ = self.open.pop()
+            self.depth[tag].pop()
+            for depths in (self.blocks, self.parts):
+                if depths and depths[-1] == len(self.open):
+                    depths.pop()
 
     def close_implied(self, tag: str) -> None:
         """A new block closes an open paragraph, a new item its fellow, if nothing else of block kind is open in between."""
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-            if self.open[i][0] in BLOCK:
-                return
+        if self.blocks and self.open[self.blocks[-1]][0] == tag:
+            self.close(self.blocks[-1])
 
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self.flush()
-        if tag in VOID:
+        if tag in VOID or not self.depth.get(tag):
             return
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-            if self.open[i][0] in ("article", "main", "body", "nav", "footer", "aside", "table") and tag not in ("article", "main", "body", "html", "nav", "footer", "aside", "table", "section", "div"):
-                return  # a stray end tag doesn't leave the part it stands in
+        at = self.depth[tag][-1]
+        if not self.parts or at >= self.parts[-1] or tag in PARTS or tag in ("html", "section", "div"):
+            self.close(at)
 
     def handle_data(self, data):
-        if not (self.open and self.open[-1][1]):
-            self.buffer.append(data)
-            if any(x[0] == "a" for x in self.open):
-                self.links += len(data)
+        if not self.hidden[self.here()]:
+            self.buffer.append((data, self.here(), bool(self.depth.get("a"))))
+
+    def left_out(self, wrappers: set[int] | None) -> list[bool]:
+        """Of each element: whether its text is left out; wrappers are not, and nothing that might be one if they are None."""
+        out = [False] * len(self.parent)
+        for n in range(1, len(out)):
+            may = self.why[n] == self.UNLESS and (wrappers is None or n in wrappers)
+            out[n] = out[self.parent[n]] or self.why[n] > 0 and not may
+        return out
+
+    def lines(self, out: list[bool]) -> list[Line]:
+        """All shown lines; what is left out is not in their text."""
+        made = []
+        for node, parts, tags in self.found:
+            shown = _SPACE.sub(" ", "".join(x for x, _, _ in parts)).strip()
+            text = _SPACE.sub(" ", "".join(x for x, n, _ in parts if not out[n])).strip()
+            made.append(Line(text, tags, sum(len(x) for x, _, link in parts if link and not x.isspace()), node, len(shown)))
+        return made
 
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -152,49 +217,87 @@ def two_clusters(values: list[float]) -> float:
         lo, hi = new
 
 
+def ratios(lines: list[Line]) -> list[float]:
+    return [max(0, x.shown - x.links) / max(1, x.tags) for x in lines]
+
+
+def upwards(page: Lines, at_node: list[float]) -> list[float]:
+    """Sums over elements and all that lies in them; children come after their parents."""
+    for n in range(len(at_node) - 1, 0, -1):
+        at_node[page.parent[n]] += at_node[n]
+    return at_node
+
+
+def weights(page: Lines, lines: list[Line], content: list[bool]) -> list[float]:
+    """Characters of content in every element, those in an article element several times."""
+    weight = [0.0] * len(page.parent)
+    for line, good in zip(lines, content, strict=True):
+        if good:
+            weight[line.node] += len(line.text) * (PRIOR if page.inside[line.node] else 1)
+    return upwards(page, weight)
+
+
+def region(page: Lines, lines: list[Line], content: list[bool]) -> list[bool]:
+    """Which elements belong to the container that holds most of the content."""
+    weight, text = weights(page, lines, content), [0] * len(page.parent)
+    for line in lines:
+        text[line.node] += len(line.text)
+    upwards(page, text)
+    most = [n for n, w in enumerate(weight) if w >= MOST * weight[0] and page.container[n]]  # each lies in the one before
+    articles = [n for n in most if page.article[n]]
+    best = next((n for n in articles if page.article[n] == "article"), articles[-1] if articles else most[-1])
+    if not articles:
+        while best and text[page.parent[best]] <= (1 + HEADINGS) * text[best]:
+            best = page.parent[best]
+    inside = [False] * len(page.parent)
+    for n in range(len(inside)):
+        inside[n] = n == best or n > 0 and inside[page.parent[n]]
+    return inside
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: its lines, two line feeds between them."""
     if not html:
         return ""
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    lines = parser.lines
+    page = Lines()
+    page.feed(html)
+    page.close()
+    page.flush()
+    lines = page.lines(page.left_out(None))
     if not lines:
         return ""
-    ratio = smoothed([max(0, len(x.text) - x.links) / max(1, x.tags) for x in lines])
+    # Text that can't be the article's takes part in ratios and clusters, but not in the choice of the region.
+    ratio = smoothed(ratios(lines))
     cut = two_clusters(ratio)
-    content = [i for i, r in enumerate(ratio) if r >= cut and lines[i].links < len(lines[i].text)]
-    if not content:
+    high = [r >= cut and x.links < x.shown for r, x in zip(ratio, lines, strict=True)]
+    weight = weights(page, lines, high)
+    wrappers = {n for n, why in enumerate(page.why) if why == page.UNLESS and weight[n] > 0 and weight[n] >= WRAPPER * weight[0]}
+    lines = page.lines(page.left_out(wrappers))
+    content = [good and bool(x.text) for good, x in zip(high, lines, strict=True)]
+    if not any(content):
+        content = [bool(x.text) and x.links < x.shown for x in lines]
+    if not any(content):
         return ""
-    size: dict[int, int] = {}
-    for i in content:
-        size[lines[i].main] = size.get(lines[i].main, 0) + len(lines[i].text)
-    named = {k: v for k, v in size.items() if k} or size  # text in an article element goes before text outside any
-    best = max(named, key=lambda k: (named[k], -k))
-    if best:  # the region is the article element that holds the content
-        return "\n\n".join(x.text for x in lines if x.main == best)
-    # Else the region is the innermost container that holds most of the content, or runs from its first line to its last.
-    inner, depth, of = (), 0, [(lines[i].parts, len(lines[i].text)) for i in content]
-    while True:
-        share: dict[int, int] = {}
-        for parts, n in of:
-            if len(parts) > depth and parts[:depth] == inner:
-                share[parts[depth]] = share.get(parts[depth], 0) + n
-        top = max(share, key=lambda k: (share[k], -k), default=None)
-        if top is None or share[top] < MOST * sum(n for _, n in of):
-            break
-        inner, depth = (*inner, top), depth + 1
-    region = [x for x in lines if x.parts[:depth] == inner] if depth else lines[content[0] : content[-1] + 1]
-    return "\n\n".join(x.text for x in region if x.links < len(x.text))
+    inside = region(page, lines, content)
+    kept = [(x, good) for x, good in zip(lines, content, strict=True) if x.text and inside[x.node]]
+    menu, at = [], 0
+    while at < len(kept):
+        end = at
+        while end < len(kept) and not kept[end][1] and kept[end][0].links >= len(kept[end][0].text):
+            end += 1
+        if end - at >= MENU:
+            menu += range(at, end)
+        at = max(end, at + 1)
+    gone = set(menu)
+    return "\n\n".join(x.text for k, (x, _) in enumerate(kept) if k not in gone)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages: the main text of its whole html.
 
     Null html, and pages without article text, give the empty string.  Null and repeated ids pass through; an empty table
-    gives none; columns other than page_id, url and html are not read.  Unclosed tags end with the part they stand in.
+    gives none; columns other than page_id, url and html are not read.  Unclosed tags end with the part they stand in.  A form,
+    or a part with a class like those of menus, is not left out if it holds nearly all content of the page.
     """
     kinds = dict(pages.dtypes)
 
