@@ -307,7 +307,7 @@ def lines_of(docs: DataFrame, least: int, with_blocks: bool) -> DataFrame:
 
 
 def candidates(distinct: DataFrame) -> DataFrame:
-    """(key, k, line, at) of the lines that meet another; at: their buckets, with the number of tiles of each.
+    """(key, k, line, at) of the lines that meet another; at: their buckets, with how many lines each has.
 
     Buckets are counted by a grouped aggregate, so none is held in one task, and those of one line go no further.  Of buckets
     with the same lines one is left, so that a pair's texts meet about once.
@@ -317,40 +317,74 @@ def candidates(distinct: DataFrame) -> DataFrame:
     shared = checkpointed(dealt.groupBy(F.col("bucket").alias("b")).agg(F.count("*").alias("n")).filter("n > 1").select("b"))
     h = F.xxhash64("key")
     who = near(shared).groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(0x7FFFFFFF)).alias("y"))
-    one = checkpointed(who.groupBy("n", "x", "y").agg(F.min("bucket").alias("b")).select("b", F.ceil(F.col("n") / TILE).cast("int").alias("tiles")))
-    return near(one).groupBy("key").agg(F.first("k").alias("k"), F.first("line").alias("line"), F.collect_set(F.struct("bucket", "tiles")).alias("at"))
+    one = checkpointed(who.groupBy("n", "x", "y").agg(F.min("bucket").alias("b")).select("b", "n"))
+    return near(one).groupBy("key").agg(F.first("k").alias("k"), F.first("line").alias("line"), F.collect_set(F.struct("n", "bucket")).alias("at"))
+
+
+def in_buckets(members: DataFrame, chosen: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """members with only the chosen buckets, those that are done marked so; lines without a chosen one are left out."""
+    wanted = chosen.select(F.col("bucket").alias("b"), F.lit(True).alias("go"))
+    if done is not None:
+        wanted = wanted.union(done.select("bucket", F.lit(False)))
+    wanted = checkpointed(wanted)
+    hint = "broadcast" if wanted.count() <= FEW_BUCKETS else "merge"
+    rows = members.select("key", "k", "line", F.explode("at").alias("x")).select("key", "k", "line", "x.*").join(wanted.hint(hint), F.col("bucket") == F.col("b"))
+    tiles = F.ceil(F.col("n") / TILE).cast("int").alias("tiles")
+    rows = rows.groupBy("key").agg(F.first("k").alias("k"), F.first("line").alias("line"), F.collect_list(F.struct("bucket", tiles, "go")).alias("at"))
+    return checkpointed(rows.filter(F.exists("at", lambda x: x["go"])))
+
+
+def links(members: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): keys of similar lines, enough of them to connect every group.  members: as candidates().
+
+    First lines meet in the largest bucket of any of them.  Of the other buckets, those whose lines are all connected by then
+    have nothing to add; the rest follow.  So the texts of a large group meet a few times, not once for every block.
+    """
+    first = members.select(F.array_max("at")["bucket"].alias("bucket")).distinct()
+    first = checkpointed(first)
+    one = checkpointed(similar(in_buckets(members, first), keyed, similarity))
+    found = components(one)
+    rows = members.select("key", F.explode("at").alias("x")).select("key", "x.bucket")
+    rows = rows.join(found.hint("merge"), F.col("key") == F.col("node"), "left").select("bucket", F.coalesce("component", "key").alias("c"))
+    open_ = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("bucket")
+    rest = open_.join(first.withColumnRenamed("bucket", "f").hint("merge"), F.col("bucket") == F.col("f"), "left_anti")
+    return one.union(similar(in_buckets(members, rest, first), keyed, similarity))
+
+
 
 
 def similar(members: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): keys of lines that are similar, enough of them to connect every group.  members: as candidates()."""
+    """(a, b): keys of similar lines, enough to connect all that share a bucket to go.  members: as in_buckets()."""
     few = members.count() <= FEW_LINES
     members = members.withColumnRenamed("k", "_k").groupBy("_k").agg(F.collect_list(F.struct("line", "key", "at")).alias("lines"))
 
     def deal(batches):
         for b in sliced(batches, 128):
-            out = [[] for _ in range(7)]
+            out = [[] for _ in range(8)]
             for text, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 parts = text.split("\n")
                 for x in {v["line"]: v for v in lines}.values():
                     norm, h = plain(parts[x["line"]]), int.from_bytes(x["key"][:7], "big")
-                    seen = np.sort(np.array([p["bucket"] for p in x["at"]], np.int64)).tobytes()
+                    to_go, done = (np.array([p["bucket"] for p in x["at"] if p["go"] == go], np.int64).tobytes() for go in (True, False))
                     for p in x["at"]:
+                        if not p["go"]:
+                            continue
                         own = h % p["tiles"]
                         for other in range(p["tiles"]):
-                            for column, v in zip(out, (p["bucket"], min(own, other), max(own, other), own <= other, x["key"], seen, norm), strict=True):
+                            for column, v in zip(out, (p["bucket"], min(own, other), max(own, other), own <= other, x["key"], to_go, done, norm), strict=True):
                                 column.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["bucket", "a", "b", "left", "key", "seen", "norm"])
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["bucket", "a", "b", "left", "key", "to_go", "done", "norm"])
 
     texts = keyed.join(members.hint("broadcast" if few else "merge"), F.col("k") == F.col("_k")).select("text", "lines")
-    dealt = texts.mapInArrow(deal, "bucket long, a int, b int, left boolean, key binary, seen binary, norm binary")
+    dealt = texts.mapInArrow(deal, "bucket long, a int, b int, left boolean, key binary, to_go binary, done binary, norm binary")
     dealt = dealt.repartition(partitions(keyed), "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "key")
 
     def verify(batches):
         for g in sorted_groups(batches, ["bucket", "a", "b"]):
             at = np.r_[group_starts(g, ["bucket", "a", "b"]), g.num_rows].tolist()
             bucket, a_, b_, left = (g.column(c).to_numpy() for c in ("bucket", "a", "b", "left"))
-            keys, norms, seen = (g.column(c).to_pylist() for c in ("key", "norm", "seen"))
+            keys, norms, to_go, done = (g.column(c).to_pylist() for c in ("key", "norm", "to_go", "done"))
             out_a, out_b = [], []
             for lo, hi in zip(at[:-1], at[1:], strict=True):
                 rows = list({keys[i]: i for i in range(lo, hi)}.values())  # rows that repeat id and text come again
@@ -359,7 +393,7 @@ def similar(members: DataFrame, keyed: DataFrame, similarity: float) -> DataFram
                 i, j = close_pairs([norms[r] for r in rows], None if a_[lo] == b_[lo] else left[rows], similarity)
                 if not len(i):
                     continue
-                lesser = [{x for x in np.frombuffer(seen[r], np.int64).tolist() if x < bucket[lo]} for r in rows]
+                met = [{x for x in np.frombuffer(to_go[r], np.int64).tolist() if x < bucket[lo]}.union(np.frombuffer(done[r], np.int64).tolist()) for r in rows]
                 words = [norms[r].decode("utf-8", "replace") for r in rows]
                 root = list(range(len(rows)))
 
@@ -369,8 +403,8 @@ def similar(members: DataFrame, keyed: DataFrame, similarity: float) -> DataFram
                     return x
 
                 for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                    # A pair that shares a lesser bucket is settled there.
-                    if find(x) != find(y) and lesser[x].isdisjoint(lesser[y]) and alike(words[x], words[y], similarity):
+                    # A pair that shares a lesser bucket, or one that is done, is settled there.
+                    if find(x) != find(y) and met[x].isdisjoint(met[y]) and alike(words[x], words[y], similarity):
                         root[find(y)] = find(x)
                         out_a.append(keys[rows[x]])
                         out_b.append(keys[rows[y]])
@@ -386,7 +420,7 @@ def lines_to_go(docs: DataFrame, similarity: float, least: int) -> DataFrame:
     distinct = lines_of(keyed, least, True).groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("blocks").alias("blocks"))
     distinct = checkpointed(distinct.select("key", "n", "first.doc_id", "first.line", "first.k", "blocks"))
     members = checkpointed(candidates(distinct))
-    found = components(similar(members, keyed, similarity))
+    found = components(links(members, keyed, similarity))
     joined = distinct.select("key", "n", "doc_id", "line", "k").join(found.hint("merge"), F.col("key") == F.col("node"), "left").filter("n > 1 or component is not null")
     joined = joined.select("key", F.coalesce("component", "key").alias("component"), place.alias("place"))
     first = joined.groupBy(F.col("component").alias("_c")).agg(F.min("place").alias("keep"))
