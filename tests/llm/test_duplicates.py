@@ -248,7 +248,7 @@ def slow_blocks(line):
         return sum(1 << b for b in range(8 * width) if total[b] > 0)
 
     size = lambda chosen: sum(len(words[i]) for i in chosen)
-    out, parts = set(), [[i for i, h in enumerate(hashes) if h >> 60 == k] for k in range(16)]
+    out, parts = set(), [[i for i, h in enumerate(hashes) if h >> 60 == k and h not in hashes[:i]] for k in range(16)]
     done = set()
     for width in (1, 2, 4, 8):
         for k in range(0, 16, width):

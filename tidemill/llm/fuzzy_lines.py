@@ -133,11 +133,14 @@ def _blocks(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(number of the line, key) of every block of some lines."""
     h, size, line = tokens_of(lines)
     n = len(lines)
-    # Parts by the leading four bits of a word's hash; where parts are too small, two, four or eight of them together.
-    leaf = line * 16 + (h >> np.uint64(60)).astype(np.int64)
-    order = np.argsort(leaf, kind="stable")
-    sims = simhashes(h[order], leaf[order], 16 * n, 6).reshape(n, 16)
-    held = np.bincount(leaf, size, 16 * n).reshape(n, 16)
+    # Parts by the leading four bits of a word's hash; where parts are too small, two, four or eight of them together.  A word
+    # counts once, or else one that is often there would decide the part's SimHash alone.
+    order = np.argsort((line.astype(np.uint64) << np.uint64(42)) | (h >> np.uint64(22)))
+    once, of, held = h[order], line[order], size[order]
+    new = np.r_[True, (once[1:] != once[:-1]) | (of[1:] != of[:-1])] if len(once) else np.zeros(0, bool)
+    once, leaf, held = once[new], of[new] * 16 + (once[new] >> np.uint64(60)).astype(np.int64), held[new]
+    sims = simhashes(once, leaf, 16 * n, 6).reshape(n, 16)
+    held = np.bincount(leaf, held, 16 * n).reshape(n, 16)
     found = []
 
     def take(which: np.ndarray, kind: int, parts: np.ndarray) -> None:
