@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -36,15 +37,31 @@ def test_pairs_of_split_buckets(spark):
 def test_thousands_in_a_bucket(spark):
     rows = nested_pairs(2, 1500, 84, 0.8, shared=40)
     assert linked(spark, rows) == 1500
+    assert linked(spark, rows, large=1000) == 1500  # split
 
 
 @pytest.mark.parametrize("threshold,recall", [(0.8, 0.99999), (0.5, 0.99), (0.9, 0.999)])
 def test_repetitions_bound_misses(threshold, recall):
     few, more = shingle_join.planned(threshold, recall)
-    assert (1 - threshold) ** few + (1 - threshold**3) ** more <= 1 - recall
+    chance = shingle_join.met(threshold)
+    assert (1 - chance) ** few + (1 - chance**3) ** more <= 1 - recall
     assert shingle_join.RECALL == 0.99999
 
 
+@pytest.mark.parametrize("common,left,right", [(8, 0, 2), (80, 0, 20), (80, 10, 10), (800, 0, 200), (72, 4, 14), (16, 2, 2)])
+def test_chance_to_meet(common, left, right):
+    """Sets of Jaccard 0.8 choose a token together as often as the bound says, or more."""
+    sets, often = shingle_join.Sets(5, 0.8, 1), 4000
+    r = np.random.default_rng(common)
+    hit = 0
+    for _ in range(often):
+        tokens = r.integers(0, 2**63, common + left + right, dtype=np.uint64)
+        a, b = np.sort(tokens[: common + left]), np.sort(np.r_[tokens[:common], tokens[common + left :]])
+        x, y = (set(sets.chosen(v, sets.seeds)[0].tolist()) for v in (a, b))
+        hit += bool(x & y)
+    assert hit / often >= shingle_join.met(0.8) - 3 * (0.25 / often) ** 0.5
+
+
 def edited(r, words, edits):
     """The words after so many edits of one letter, or now and then of a word."""
     w = list(words)

@@ -3,10 +3,10 @@
 Texts are sets of n-grams of words; texts of equal sets are one class.  In each of several repetitions a set chooses a few of
 its tokens by a shared random hash - each with a chance in inverse proportion to its size and the threshold, and always the
 token of the least hash - so that similar sets are likely to choose a token together.  Sets that chose a token meet in its
-bucket; a bucket that is still large is split again on tokens chosen for that path, and once more.  Small buckets
-are compared by brute force; large ones of the third level too, tile by tile.  Every pair that meets is verified exactly.
-One repetition brings sets of similarity t together with a chance of t at least, at each level: t where buckets are small,
-t^3 where they are split twice.  Sets of a bucket that was split therefore go through further repetitions, all three levels.
+bucket; a bucket too large to be compared all with all is split again on tokens chosen for that path, and once more.  Other
+buckets are compared by brute force, tile by tile; large ones of the third level too.  Every pair that meets is verified
+exactly.  met() bounds the chance that sets of similarity t meet on one level of one repetition; where buckets are split twice
+they must meet on three.  Sets of a bucket that was split therefore go through further repetitions, all three levels.
 
 Buckets of the same members are compared once, and a pair that meets in several buckets is counted in the least of them only.  A
 bucket returns sums of links and a spanning forest, never its pairs.
@@ -29,17 +29,28 @@ SQL = None  # too slow in SQL over whole texts; tested against brute force
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.99999
 #: Levels of paths that a pair must meet on where buckets are split.
 LEVELS = 3
-#: Sets in a bucket above which it is split again; buckets of the third level are not.
-LARGE = 1_000
+#: Sets in a bucket above which it is split again; buckets of the third level are not.  A set of a bucket of n sets goes to
+#: n / TILE tiles; if the bucket is split it takes some hundred paths more, which is less only for very large buckets.
+LARGE = 10_000
 #: Sets to split again up to this many (some 200 bytes each) are joined to the texts by broadcast; more by a shuffle.
 FEW_SETS = 200_000
 #: Sets, and tokens, that a tile of a bucket holds on average at most.
 TILE, TILE_TOKENS = 1_000, 1_000_000
 
 
+def met(t: float) -> float:
+    """The least chance that sets A and B of Jaccard t choose a token together on a level.
+
+    With c tokens in common, o others and the share s = 1 / (t max(|A|, |B|)) they fail to if no common token's hash is below
+    s, (1 - s)^c, and the least hash of all is not a common token's, 1 - t (1 - s)^o given the former.  The chance to fail is
+    highest where the smaller set lies in the larger: s c = 1, s o = (1 - t) / t.
+    """
+    return 1 - math.exp(-1) * (1 - t * math.exp(-(1 - t) / t))
+
+
 def repetitions(threshold: float, recall: float, levels: int = 1) -> int:
     """How many repetitions it takes for a pair at the threshold to meet on all levels with the chance recall."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(max(1e-9, 1 - threshold**levels))))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(max(1e-9, 1 - met(threshold) ** levels))))
 
 
 def planned(threshold: float, recall: float) -> tuple[int, int]:
