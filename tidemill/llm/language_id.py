@@ -8,13 +8,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import sliced, table
+from .common import checkpointed, sliced, table
 
 NAME = "op8_language_id"
 SQL = None  # SQL has no compressor
 UND = "und"
-#: Training texts a language gives at most, and bytes that its dictionary keeps of them: the bounds of the fitted sample.
+#: Training texts a language gives at most, and bytes of its dictionary: the bounds of the fitted sample.
 SAMPLE_TEXTS, DICT_BYTES = 400, 65_536
+#: Bytes of the pieces, spread evenly over a training text, that a dictionary is made of.
+SPREAD = 200
 #: Bytes of a text that are compressed at a time.  Short pieces keep the dictionary, not the text itself, the best help.
 PIECE = 1_500
 #: zstandard level and shortest match; the optimal parser makes the most of a dictionary.
@@ -34,25 +36,58 @@ def plain(text: str) -> str:
     return f" {_OTHER.sub(' ', text.lower()).strip()} "
 
 
+def spread(data: bytes, most: int) -> list[bytes]:
+    """At most that many bytes of data: all of it, or pieces at even distances from its start to its end."""
+    if len(data) <= most:
+        return [data]
+    n = max(1, most // SPREAD)
+    size = most // n
+    return [data[at : at + size] for at in ((len(data) - size) * k // max(1, n - 1) for k in range(n))]
+
+
+def dictionary(texts: list[list[bytes]], most: int) -> bytes:
+    """One dictionary of at most that many bytes from pieces of every text; short texts leave their share to longer ones."""
+    sizes = sorted(sum(map(len, t)) for t in texts)
+    left, each = most, 0
+    for k, n in enumerate(sizes):
+        each = max(each, left // (len(sizes) - k))
+        if n >= each:
+            break
+        left -= n
+    return b"".join(x for t in texts for x in spread(b"".join(t), each))
+
+
 def fit(docs: DataFrame, label: str = "lang", text_col: str = "text", per_label: int = SAMPLE_TEXTS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """label -> raw-content dictionary, from at most per_label texts of each label, those of the least text hash.
+    """label -> raw-content dictionary, from at most per_label whole texts of each label, those of the least text hash.
+
+    Rows without label or text don't count; of equal texts one does.  Every sampled text gives the same share of its label's
+    dictionary, in pieces spread over all of it.  The labels come in order of their number of rows, which settles ties.
+    Labels are a closed list of languages; the driver gets per_label x 4,096 bytes of each at most.
 
-    Rows without label or text don't count; of equal texts one does.  Each text gives its first 2000 characters, as a training
-    sample only.  The labels come in order of their number of rows, which settles ties.  Labels are a closed list of languages, so what reaches the driver is labels x per_label x 2000 characters.
+    A threshold on the hash leaves a few times the wanted number to choose from, so no label gathers in one task; texts are
+    fetched last, for the chosen hashes only.
     """
-    rows = docs.filter(F.col(label).isNotNull() & (F.length(text_col) > 0)).select(F.col(label).alias("label"), F.substring(text_col, 1, 2000).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text"))
-    top = rows.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))).filter(F.col("k") <= per_label)
-    texts: dict[str, list[str]] = {}
-    for r in top.select("label", "h", "text").collect():
-        texts.setdefault(r["label"], []).append((r["h"], r["text"]))
+    rows = docs.filter(F.col(label).isNotNull() & (F.length(text_col) > 0)).select(F.col(label).alias("label"), F.xxhash64(text_col).alias("h"))
     share = {r[0]: r[1] for r in docs.filter(F.col(label).isNotNull()).groupBy(label).count().collect()}
-    dicts = {}
-    for name, found in sorted(texts.items(), key=lambda x: (-share[x[0]], x[0])):
-        kept = list(dict.fromkeys(plain(t) for _, t in sorted(found)))
-        each = max(200, dict_bytes // len(kept))
-        dicts[name] = "".join(t.encode("utf-8", "replace")[:each].decode("utf-8", "ignore") for t in kept).encode()[-dict_bytes:]
-    return dicts
+    if not share:
+        return {}
+    part = F.element_at(F.create_map(*[F.lit(v) for name, n in share.items() for v in (name, min(1.0, 8 * per_label / n))]), F.col("label"))
+    few = rows.filter(F.col("h") / 2.0**64 + 0.5 <= part).distinct()
+    top = few.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h"))).filter(F.col("k") <= per_label)
+    top = checkpointed(top.select(F.col("label").alias("_l"), F.col("h").alias("_h")))  # labels x per_label rows
+
+    def pieces(batches):
+        for b in sliced(batches, 64):
+            found = [spread(plain(t).encode("utf-8", "replace"), 4096) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.binary()))], names=["label", "h", "pieces"])
+
+    chosen = docs.select(F.col(label).alias("label"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).join(F.broadcast(top), (F.col("label") == F.col("_l")) & (F.col("h") == F.col("_h")))
+    chosen = chosen.select("label", "h", "text").mapInArrow(pieces, f"label {dict(docs.dtypes)[label]}, h long, pieces array<binary>")
+    texts: dict[str, dict] = {}
+    for r in chosen.groupBy("label", "h").agg(F.min("pieces").alias("pieces")).collect():
+        texts.setdefault(r["label"], {})[tuple(map(bytes, r["pieces"]))] = r["h"]
+    order = sorted(texts, key=lambda name: (-share[name], name))
+    return {name: dictionary([list(t) for t, _ in sorted(texts[name].items(), key=lambda x: x[1])], dict_bytes) for name in order}
 
 
 class Compressors:
