@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import time
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -120,6 +121,94 @@ def test_language(spark):
     assert language_id.identify(docs(spark, []), dicts).count() == 0
 
 
+def slow_language(text, dicts):
+    """Predicted label and sizes, each piece by a new compressor."""
+    import zstandard as z
+
+    letters = "".join(c if c.isalpha() or c.isalnum() and not c.isdigit() and c not in "½²" else " " for c in text.lower())
+    data = (" " + " ".join(letters.split()) + " ").encode()
+    sizes = {}
+    for name, d in dicts.items():
+        params = z.ZstdCompressionParameters.from_level(3, window_log=17, min_match=3, strategy=z.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0)
+        new = lambda d=d, params=params: z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params)
+        sizes[name] = sum(max(1, len(new().compress(data[i : i + 1500])) - 9) for i in range(0, len(data), 1500))
+    return min(sizes, key=lambda k: (sizes[k], list(dicts).index(k))), sizes
+
+
+def test_language_query_like_slow_scorer(spark, tmp_path):
+    rows = language_rows(5, 90) + [(200, "Ein längerer Text, 12 Zahlen. " * 200, "de"), (201, None, "de"), (202, "", None), (203, "99 !", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in language_id.query(spark, str(tmp_path)).collect()}
+    crc = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    dicts = language_id.fit(spark.createDataFrame([r for r in rows if not crc(r[0])], "doc_id long, text string, lang string"))
+    assert list(dicts) == ["de", "en"] and len(got) == len(rows)
+    for i, text, _ in rows:
+        assert got[i].held_out == crc(i)
+        if i in (201, 202, 203):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        name, sizes = slow_language(text, dicts)
+        best, other = sorted(sizes.values())
+        margin = (other - best) / best
+        assert got[i].lang_pred == name and got[i].score == pytest.approx(min(1, 0.5 + 0.5 * margin / (margin + 0.02))) and got[i].reliable == (margin >= 0.02)
+    changed = [(i, t, "en" if crc(i) and lang else lang) for i, t, lang in rows]
+    assert language_id.fit(spark.createDataFrame([r for r in changed if not crc(r[0])], "doc_id long, text string, lang string")) == dicts
+
+
+def test_dictionaries_hold_all_sampled_texts():
+    texts = [[f"t{k} ".encode() * n] for k, n in enumerate((1, 5, 2000, 9000, 3))]
+    d = language_id.dictionary(texts, 3000)
+    assert 2900 <= len(d) <= 3000 and all(f"t{k} ".encode() in d for k in range(5)) and texts[1][0] in d
+    data = bytes(range(256)) * 40
+    parts = language_id.spread(data, 1000)
+    assert data.startswith(parts[0]) and data.endswith(parts[-1]) and sum(map(len, parts)) == 1000 and language_id.spread(b"abc", 10) == [b"abc"]
+
+
+def slow_toxicity(net, text):
+    """Highest score of all windows, one word of one window at a time."""
+    words = toxicity.words_of(text)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    best, h_ = -np.inf, toxicity.HIDDEN
+    for s in sorted({*range(0, max(1, len(words) - toxicity.WINDOW), toxicity.STRIDE), max(0, len(words) - toxicity.WINDOW)}):
+        window = words[s : s + toxicity.WINDOW]
+        x = [net.vectors([w])[0][0].astype(float) for w in window]
+        states = {}
+        for d in "fb":
+            now, out = np.zeros(h_), []
+            for v in x if d == "f" else x[::-1]:
+                gate, hidden = v @ net.p[f"W{d}"] + net.p[f"c{d}"], now @ net.p[f"U{d}"]
+                z, r = sig(gate[:h_] + hidden[:h_]), sig(gate[h_ : 2 * h_] + hidden[h_ : 2 * h_])
+                now = (1 - z) * np.tanh(gate[2 * h_ :] + r * hidden[2 * h_ :]) + z * now
+                out.append(now)
+            states[d] = out if d == "f" else out[::-1]
+        logit = float(net.p["b"][0])
+        if window:
+            h = np.concatenate([np.array(states["f"]), np.array(states["b"])], axis=1)
+            a = np.exp(h @ net.p["v"])
+            logit += float((a / a.sum()) @ h @ net.p["u"])
+        best = max(best, logit)
+    return sig(best)
+
+
+def test_toxicity_query_like_slow_version(spark, tmp_path):
+    rows = toxic_rows(11, 260)
+    crc = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    docs_ = [(k, t) for k, (t, _) in enumerate(rows)] + [(500, None), (501, ""), (502, "longer " * 300 + "idiot " + "words " * 400)]
+    spark.createDataFrame(docs_, "doc_id long, text string").write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    spark.createDataFrame(docs_, "doc_id long, text string").write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    for folder, flip in (("a", False), ("b", True)):
+        labels = [(k, int(y) ^ int(flip and crc(k))) for k, (_, y) in enumerate(rows)]
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / folder / "labels.parquet"))
+    got, again = ({r.doc_id: r for r in toxicity.query(spark, str(tmp_path / x)).collect()} for x in "ab")
+    assert got == again and len(got) == len(docs_)  # labels of held-out rows change nothing
+    known = spark.read.parquet(str(tmp_path / "a" / "labels.parquet"))
+    net = toxicity.fitted(spark.createDataFrame(docs_, "doc_id long, text string"), known)
+    for i, text in docs_[::9] + docs_[-3:]:
+        assert got[i].held_out == crc(i) and got[i].score == pytest.approx(slow_toxicity(net, text), abs=1e-4)
+        assert got[i].predicted == int(got[i].score >= 0.5)
+    assert got[502].window <= 300 < got[502].window + toxicity.WINDOW and got[500].score == got[501].score < 0.5
+
+
 def toxic_rows(seed, n):
     r = random.Random(seed)
     words = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randrange(1, 4))) for _ in range(300)]

@@ -22,15 +22,15 @@ NAME = "op7_toxicity"
 SQL = None  # SQL trains no network
 #: Labelled texts of each class that the network is fitted to, at most: those of the least text hash.
 SAMPLE_TEXTS = 1_500
-#: Words of each sampled text that training reads, at most; scoring reads all.
-SAMPLE_WORDS = 1_200
+#: Windows of each of them that it is trained on, at most, spread evenly over the whole text; all others score all windows.
+SAMPLE_WINDOWS = 300
 WINDOW, STRIDE = 24, 16
 #: Shrinking of embeddings at each step, as a share of the learning rate.
 DECAY = 0.02
 HIDDEN, WIDTH = 12, 16
 GRAM_BUCKETS, KNOWN_WORDS = 1 << 14, 8_000
 #: Steps that training takes at least, if six times the usual number of epochs allow.
-FEWEST_STEPS = 500
+FEWEST_STEPS = 1_200
 #: Words whose gate inputs a task remembers.
 CACHE = 100_000
 _WORD = re.compile(r"[^\W_]+")
@@ -170,7 +170,7 @@ class Network:
 
 def fit(texts: list[str], labels: list[int], epochs: tuple[int, int] = (3, 5), seed: int = 7, rate: float = 0.01, most: int = 512) -> Network:
     """Train on texts with labels 0 or 1.  Without both classes the result scores everything near 0."""
-    docs = [words_of(t)[:SAMPLE_WORDS] for t in texts]
+    docs = [words_of(t) for t in texts]
     y = np.array(labels, np.int64)
     count: dict[str, int] = {}
     for d in docs:
@@ -192,7 +192,10 @@ def fit(texts: list[str], labels: list[int], epochs: tuple[int, int] = (3, 5), s
     doc, at = [], []
     for i, d in enumerate(docs):
         row = np.array([vocab[w] for w in d], np.int64)
-        for s in starts(len(d)):
+        own = starts(len(d))
+        if not test[i] and len(own) > SAMPLE_WINDOWS:
+            own = [own[k] for k in np.linspace(0, len(own) - 1, SAMPLE_WINDOWS).astype(int)]
+        for s in own:
             doc.append(i)
             at.append(np.pad(row[s : s + WINDOW], (0, max(0, WINDOW - len(d))), constant_values=-1))
     doc, at = np.array(doc), np.array(at)
@@ -307,7 +310,10 @@ class Scorer:
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_TEXTS) -> tuple[list[str], list[int]]:
-    """At most per_class texts of each label, those of the least text hash; rows without text or label don't count."""
+    """At most per_class texts of each label, those of the least text hash; rows without text or label don't count.
+
+    Rows of labels that repeat a doc_id count as toxic if one of them is.
+    """
     flags = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     many = {r[0]: r[1] for r in flags.groupBy("toxic").count().collect()}
     rows = docs.filter(F.length("text") > 0).select("doc_id", F.xxhash64("text").alias("h")).join(flags.hint("merge"), "doc_id")
@@ -351,8 +357,8 @@ def held_out(fold: int = 5):
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Network:
-    """The network of the query and the pipeline: learnt from rows that are not held out."""
-    return fit(*sample(docs.filter(~held_out()), labels))
+    """The network of the query and the pipeline: learnt from rows, and labels, that are not held out."""
+    return fit(*sample(docs.filter(~held_out()), labels.filter(~held_out())))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
