@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, mixed, partitions, sliced, sorted_groups, table
@@ -30,8 +30,8 @@ from .common import checkpointed, mixed, partitions, sliced, sorted_groups, tabl
 NAME = "op2_repeated_substrings"
 SQL = None  # too slow in SQL over whole texts; tested against brute force
 LENGTH = 400
-#: Bytes of texts, or of contexts, that are worked on at a time.
-PIECE, CHUNK = 1 << 17, 1 << 21
+#: Bytes of texts, or of contexts, that are worked on at a time; longer texts are cut to overlapping pieces of STRETCH bytes.
+PIECE, CHUNK, STRETCH = 1 << 17, 1 << 21, 1 << 20
 #: Runs filed in one bucket that meet in one task; larger buckets are dealt out by document and compared by string bucket.
 MOST_RUNS = 1_000
 
@@ -110,20 +110,26 @@ class Filed:
         return p[at], np.diff(np.r_[at, len(p)]), f[at]
 
 
-def _pieces(keys: list, texts: list[bytes], length: int) -> Iterator[tuple[list, list[bytes]]]:
-    """Texts of at least length bytes, some PIECE bytes at a time."""
-    k, t, size = [], [], 0
+def _pieces(keys: list, texts: list[bytes], length: int, stretch: int) -> Iterator[tuple[list, list[bytes], list[int]]]:
+    """(keys, texts, where they start) of texts of at least length bytes, some PIECE bytes at a time.
+
+    A long text comes in pieces of stretch bytes that share length - 1 bytes, so every string lies in just one of them.
+    """
+    k, t, at, size = [], [], [], 0
     for key, text in zip(keys, texts, strict=True):
         if len(text) < length:
             continue
-        k.append(key)
-        t.append(text)
-        size += len(text)
-        if size >= PIECE:
-            yield k, t
-            k, t, size = [], [], 0
+        for start in range(0, len(text) - length + 1, stretch):
+            part = text[start : start + stretch + length - 1]
+            k.append(key)
+            t.append(part)
+            at.append(start)
+            size += len(part)
+            if size >= PIECE:
+                yield k, t, at
+                k, t, at, size = [], [], [], 0
     if t:
-        yield k, t
+        yield k, t, at
 
 
 def _in_company(v: np.ndarray) -> np.ndarray:
@@ -172,14 +178,14 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.unhex(F.substring(key, 1, 24)), F.lit(b"")).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, most_runs: int = MOST_RUNS) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, most_runs: int = MOST_RUNS, stretch: int = STRETCH) -> DataFrame:
     """(k, spans): the byte spans (start, end) covered by repeated strings in each of the rows of _keyed() that have any."""
     n = partitions(docs)
 
     def anchors(batches):
         for b in sliced(batches):
             texts = [t.encode("utf-8", "replace") for t in b.column(1).to_pylist()]
-            for keys, part in _pieces(b.column(0).to_pylist(), texts, length):
+            for keys, part, _ in _pieces(b.column(0).to_pylist(), texts, length, stretch):
                 doc, bucket = Filed(part, length).anchors()
                 order = np.lexsort((bucket, doc))
                 doc, bucket = doc[order], bucket[order]
@@ -197,7 +203,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most_runs: int = MOST_
         for b in sliced(batches):
             allowed = dict(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True))
             texts = [t.encode("utf-8", "replace") for t in b.column(1).to_pylist()]
-            for keys, part in _pieces(b.column(0).to_pylist(), texts, length):
+            for keys, part, starts in _pieces(b.column(0).to_pylist(), texts, length, stretch):
                 f = Filed(part, length)
                 first, count, bucket = f.runs()
                 doc = np.searchsorted(f.ends, first, side="right")
@@ -211,7 +217,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most_runs: int = MOST_
                         if v in runs:
                             at = p - int(f.starts[i])
                             salts = -(-runs[v] // most_runs)
-                            row = (v, hash_of(key) % salts if salts > 1 else -1, key, at, m, part[i][at : at + m + length - 1])
+                            row = (v, hash_of(key) % salts if salts > 1 else -1, key, starts[i] + at, m, part[i][at : at + m + length - 1])
                             for column, value in zip(out, row, strict=True):
                                 column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, CONTEXT, strict=True)], names=["bucket", "salt", "k", "at", "m", "context"])
@@ -247,8 +253,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most_runs: int = MOST_
     spans = runs.mapInArrow(compare, "k binary, start long, end long")
     if large:  # the parts of a large bucket don't see each other: of each string that a part has, one goes on to meet the others
         strings = runs.mapInArrow(one_of_each, "k binary, start long, end long, string long")
-        strings = strings.withColumn("c", F.count("*").over(Window.partitionBy("string"))).filter("c > 1")
-        spans = spans.union(strings.select("k", "start", "end"))
+        often = strings.groupBy(F.col("string").alias("s")).agg(F.count("*").alias("c")).filter("c > 1")
+        spans = spans.union(strings.join(often.hint("merge"), F.col("string") == F.col("s")).select("k", "start", "end"))
     return spans.groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
@@ -267,7 +273,7 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_runs: int = MOST_RUNS) -> DataFrame:
+def remove_repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_runs: int = MOST_RUNS, stretch: int = STRETCH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row of docs; kept: the remaining bytes.
 
     Every byte covered by a string of length bytes that starts at any other place too, in the same text or another, is
@@ -276,7 +282,7 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     named are not read.
     """
     keyed = _keyed(docs, id_col, text_col)
-    spans = repeated_spans(keyed, length, most_runs)
+    spans = repeated_spans(keyed, length, most_runs, stretch)
     kind = dict(docs.dtypes)[id_col]
 
     def cut(batches):
