@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, with_text_columns
+from .common import checkpointed, sliced, table, with_text_columns
 
 NAME = "op9_decontaminate"
 WINDOW = 13
-#: Characters of patterns that one automaton may hold (about 60 bytes of memory each); a larger benchmark is scanned for in several rounds.
+#: Characters of patterns that one automaton may hold, and one broadcast (about 60 bytes of memory each, so 240 MB); a larger
+#: benchmark is scanned for part by part, each round kept before the next begins.
 AUTOMATON_CHARS = 4_000_000
 #: A-Z become a-z; a-z, 0-9 and every byte of a non-ASCII character stay; all else separates words.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
@@ -36,13 +36,16 @@ def windows(text: str | None, n: int = WINDOW) -> set[str]:
     return {f" {' '.join(words[i : i + n])} " for i in range(max(1, len(words) - n + 1))}
 
 
-def patterns(items: list[tuple[object, str | None]], n: int = WINDOW) -> dict[str, tuple]:
-    """window -> the ids (as strings, sorted) of the items that hold it."""
-    found = defaultdict(set)
-    for item, text in items:
-        for w in windows(text, n):
-            found[w].add("" if item is None else str(item))
-    return {w: tuple(sorted(ids)) for w, ids in found.items()}
+def patterns(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
+    """(window, items): every window once, with the ids (as strings, sorted) of the items that hold it."""
+
+    def run(batches):
+        for b in sliced(batches):
+            out = [(w, "" if i is None else i) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in windows(text, n)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], names=["window", "item"])
+
+    found = benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(run, "window string, item string")
+    return found.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
 def automaton(found: dict[str, tuple]):
@@ -83,23 +86,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, hits_i
     clean.  Items without words have no windows; an item without id counts under the empty string; repeated items are one.
     Empty tables give no rows, or clean ones.  Repeated documents are each scanned; all columns of docs are passed on.
 
-    The patterns of the benchmark are gathered once (it is a test set, read whole by the driver) in automata of
-    AUTOMATON_CHARS characters; usually there is one.
+    Windows are made and counted by Spark; the driver gets AUTOMATON_CHARS characters of them at a time.  Usually that is all,
+    and one automaton scans each text once; else each part's is broadcast, used and removed in turn.
     """
-    texts = [(r[0], r[1]) for r in benchmark.select("item_id", "text").toLocalIterator()]
-    parts, size = [{}], 0
-    for w, ids in sorted(patterns(texts, n).items()):
-        if size and size + len(w) > AUTOMATON_CHARS:
-            parts.append({})
-            size = 0
-        parts[-1][w] = ids
-        size += len(w)
+    found = checkpointed(patterns(benchmark, n))
+    chars = found.agg(F.sum(F.length("window"))).first()[0] or 0
+    parts = max(1, -(-chars // AUTOMATON_CHARS))
     sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(p) for p in parts]
 
-    def maker(k):
+    def maker(shared):
         def make():
-            a = automaton(shared[k].value)
+            a = automaton(shared.value)
 
             def run(texts):
                 words, spans, items = [], [], []
@@ -119,12 +116,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, hits_i
         return make
 
     out = docs
-    for k in range(len(shared)):  # a further automaton adds its spans and items to a row
+    for k in range(parts):  # a further automaton adds its spans and items to a row
+        some = found.filter(F.pmod(F.xxhash64("window"), F.lit(parts)) == k).collect()
+        shared = sc.broadcast({r["window"]: tuple(r["items"]) for r in some})
         columns = [(f"__tm_words{k}", "long", pa.int64()), (f"__tm_spans{k}", _SPANS, _SPANS_ARROW), (f"__tm_items{k}", "array<string>", pa.list_(pa.string()))]
-        out = with_text_columns(out, columns, maker(k))
-    every = lambda c: F.concat(*[F.col(f"__tm_{c}{k}") for k in range(len(shared))])
+        out = with_text_columns(out, columns, maker(shared))
+        if parts > 1:  # no task holds two automata
+            out = checkpointed(out)
+            shared.destroy()
+    every = lambda c: F.concat(*[F.col(f"__tm_{c}{k}") for k in range(parts)])
     out = out.withColumn("__tm_spans", every("spans")).withColumn("__tm_items", F.array_sort(F.array_distinct(every("items"))))
-    if len(shared) == 1:
+    if parts == 1:
         hit = F.aggregate("__tm_spans", F.lit(0).cast("long"), lambda s, x: s + x["last_word"] - x["first_word"] + 1)
     else:
         hit = F.size(F.array_distinct(F.flatten(F.transform("__tm_spans", lambda x: F.sequence(x["first_word"], x["last_word"]))))).cast("long")

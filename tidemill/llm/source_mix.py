@@ -25,7 +25,8 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most
 
     Sources stand in code point order, null last, and weigh in turn.  What a capped source can't take is shared again by
     weight among the rest until none is above its cap; as caps bind in order of size/weight, a running sum finds the level.
-    One row a source: this window is as small as the list of sources.
+    One row a source, sorted in one task, as each source's weight follows from its place among all: the bound is some ten
+    million sources (100 bytes each, spilled to disk), which is one host name for each of ten million hosts.
     """
     by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.row_number().over(by_name) - 1) % len(weights) + 1)
