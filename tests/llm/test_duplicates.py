@@ -109,15 +109,15 @@ def brute_repeats(texts, n):
     return out
 
 
-@pytest.mark.parametrize("length,most_runs", [(40, 20_000), (40, 2), (16, 1)])
-def test_repeats(spark, length, most_runs):
+@pytest.mark.parametrize("length,most_runs,stretch", [(40, 20_000, 1 << 20), (40, 2, 30), (16, 1, 7)])
+def test_repeats(spark, length, most_runs, stretch):
     r = random.Random(3)
     p = "".join(r.choice("abcdé ") for _ in range(300))
     texts = ["a" * 150, "ab" * 60, None, "", p, p[30:] + "zz", p + p, "x" + p[50:] + "y" + p[:45], "é" * 40, "short", "short", "a" * 41]
     texts += ["".join(r.choice("xyz") for _ in range(30)) + p[20 * k : 20 * k + 43] + f"tail{k}" for k in range(8)]
     rows = [(None if k % 9 == 3 else k // 2, t) for k, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"k": F.lit(1), "bucket": F.lit(2), "spans": F.lit("x")})
-    got = repeated_substrings.remove_repeated(df, length, most_runs=most_runs).withColumn("sha", F.sha2("kept", 256)).collect()
+    got = repeated_substrings.remove_repeated(df, length, most_runs=most_runs, stretch=stretch).withColumn("sha", F.sha2("kept", 256)).collect()
     assert sorted((g.n_bytes, g.n_removed, g.n_spans, g.sha) for g in got) == sorted(brute_repeats(texts, length))
     assert sorted(str(g.doc_id) for g in got) == sorted(str(i) for i, _ in rows)
     assert repeated_substrings.remove_repeated(df.limit(0), length).count() == 0
@@ -215,6 +215,7 @@ def test_lines(spark, monkeypatch, few, tile):
             own.append(" ".join(w).upper() if r.random() < 0.2 else ", ".join(w))
         rows.append((k, "\n".join([*own, "short", f"unique {k} {word()} {word()} {word()}"])))
     rows += [(100, None), (101, ""), (102, lines[0]), (103, "\n\n\n"), (104, lines[1] + "\n" + lines[1] + "\n"), (None, lines[0])]
+    rows += [(111, "ΑΣ\nΣΑΣ σ\nİx\t y\r\n\x0b"), (112, "ας\nΣας Σ\ni̇x y")]
     kanji = "".join(chr(0x4E00 + r.randrange(500)) for _ in range(30))
     rows += [(105, kanji), (106, kanji[:9] + "x" + kanji[10:]), (107, "--- !\n***"), (108, "--- !\n***"), (109, "y" * 200), (110, "y" * 99 + "z" + "y" * 100)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_chars": F.lit(7).cast("long"), "line": F.lit(1), "key": F.lit("x"), "_gone": F.lit(2)})

@@ -42,6 +42,7 @@ FEW_LINES = 150_000
 FEW_BUCKETS, FEW_DOCS = 2_000_000, 300_000
 #: ASCII characters other than letters and digits become spaces; bytes of other characters stay.
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+_PLAIN_LINES = _PLAIN[:10] + b"\n" + _PLAIN[11:]
 
 
 def plain(line: str) -> bytes:
@@ -244,6 +245,9 @@ def alike(a: str, b: str, similarity: float) -> bool:
     return words_apart(a.split(" "), b.split(" ")) <= most or edit_distance(a, b) <= most
 
 
+#: Lines of a bucket up to which all pairs are looked at one by one.
+FEW_PAIRS = 4
+_ALL_PAIRS = {n: np.triu_indices(n, 1) for n in range(2, FEW_PAIRS + 1)}
 #: Kinds of bytes that lines are counted by before their edit distance is found.
 _KINDS = 32
 
@@ -293,8 +297,9 @@ def lines_of(docs: DataFrame, least: int, with_blocks: bool) -> DataFrame:
         for b in sliced(batches, 128):
             row, number, norms = [], [], []
             for i, text in enumerate(b.column(2).to_pylist()):
-                for n, line in enumerate(text.split("\n") if text else ()):
-                    norm = plain(line)
+                # The whole text at once, line by line the same as plain().
+                for n, line in enumerate(text.lower().encode("utf-8", "replace").translate(_PLAIN_LINES).split(b"\n") if text else ()):
+                    norm = b" ".join(line.split())
                     if norm and len(norm) >= least:
                         row.append(i)
                         number.append(n)
@@ -337,23 +342,29 @@ def in_buckets(members: DataFrame, chosen: DataFrame, done: DataFrame | None = N
     return checkpointed(rows.filter(F.exists("at", lambda x: x["go"])))
 
 
-def links(members: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): keys of similar lines, enough of them to connect every group.  members: as candidates().
+def groups(members: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) of every line that a similar one is found for.  members: as candidates().
 
     First lines meet in the largest bucket of any of them.  Of the other buckets, those whose lines are all connected by then
-    have nothing to add; the rest follow.  So the texts of a large group meet a few times, not once for every block.
+    have nothing to add; the rest follow, and what they link are the groups found before.  So the texts of a large group meet
+    a few times, not once for every block.
     """
-    first = members.select(F.array_max("at")["bucket"].alias("bucket")).distinct()
-    first = checkpointed(first)
-    one = checkpointed(similar(in_buckets(members, first), keyed, similarity))
-    found = components(one)
+    first = checkpointed(members.select(F.array_max("at")["bucket"].alias("bucket")).distinct())
+    found = components(similar(in_buckets(members, first), keyed, similarity))
     rows = members.select("key", F.explode("at").alias("x")).select("key", "x.bucket")
     rows = rows.join(found.hint("merge"), F.col("key") == F.col("node"), "left").select("bucket", F.coalesce("component", "key").alias("c"))
     open_ = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("bucket")
-    rest = open_.join(first.withColumnRenamed("bucket", "f").hint("merge"), F.col("bucket") == F.col("f"), "left_anti")
-    return one.union(similar(in_buckets(members, rest, first), keyed, similarity))
-
-
+    rest = checkpointed(open_.join(first.withColumnRenamed("bucket", "f").hint("merge"), F.col("bucket") == F.col("f"), "left_anti"))
+    if not rest.head(1):
+        return found
+    more = checkpointed(similar(in_buckets(members, rest, first), keyed, similarity))
+    if not more.head(1):
+        return found
+    name = lambda df, c: df.join(found.select(F.col("node").alias("_n"), F.col("component").alias("_c")).hint("merge"), F.col(c) == F.col("_n"), "left").withColumn(c, F.coalesce("_c", c)).drop("_n", "_c")
+    joined = components(name(name(more, "a"), "b")).select(F.col("node").alias("_g"), F.col("component").alias("_to"))
+    new = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found.select(F.col("node").alias("_n")).hint("merge"), F.col("node") == F.col("_n"), "left_anti")
+    every = found.union(new.select("node", F.col("node").alias("component")))
+    return every.join(joined.hint("merge"), F.col("component") == F.col("_g"), "left").select("node", F.coalesce("_to", "component").alias("component"))
 
 
 def similar(members: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame:
@@ -393,7 +404,11 @@ def similar(members: DataFrame, keyed: DataFrame, similarity: float) -> DataFram
                 rows = list({keys[i]: i for i in range(lo, hi)}.values())  # rows that repeat id and text come again
                 if len(rows) < 2:
                     continue
-                i, j = close_pairs([norms[r] for r in rows], None if a_[lo] == b_[lo] else left[rows], similarity)
+                sides = None if a_[lo] == b_[lo] else left[rows]
+                if sides is None and len(rows) <= FEW_PAIRS:  # not worth arrays; alike() looks at lengths first
+                    i, j = _ALL_PAIRS[len(rows)]
+                else:
+                    i, j = close_pairs([norms[r] for r in rows], sides, similarity)
                 if not len(i):
                     continue
                 met = [{x for x in np.frombuffer(to_go[r], np.int64).tolist() if x < bucket[lo]}.union(np.frombuffer(done[r], np.int64).tolist()) for r in rows]
@@ -423,13 +438,13 @@ def lines_to_go(docs: DataFrame, similarity: float, least: int) -> DataFrame:
     distinct = lines_of(keyed, least, True).groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("blocks").alias("blocks"))
     distinct = checkpointed(distinct.select("key", "n", "first.doc_id", "first.line", "first.k", "blocks"))
     members = checkpointed(candidates(distinct))
-    found = components(links(members, keyed, similarity))
+    found = groups(members, keyed, similarity)
     joined = distinct.select("key", "n", "doc_id", "line", "k").join(found.hint("merge"), F.col("key") == F.col("node"), "left").filter("n > 1 or component is not null")
     joined = joined.select("key", F.coalesce("component", "key").alias("component"), place.alias("place"))
     first = joined.groupBy(F.col("component").alias("_c")).agg(F.min("place").alias("keep"))
-    groups = joined.join(first.hint("merge"), F.col("component") == F.col("_c")).select("key", F.col("keep.k").alias("keep_k"), F.col("keep.line").alias("keep_line"))
+    kept = joined.join(first.hint("merge"), F.col("component") == F.col("_c")).select("key", F.col("keep.k").alias("keep_k"), F.col("keep.line").alias("keep_line"))
     # Lines are read again rather than kept: that is cheaper than another copy of them all.
-    gone = lines_of(keyed, least, False).select("k", "line", "key").join(checkpointed(groups).withColumnRenamed("key", "_key").hint("merge"), F.col("key") == F.col("_key"))
+    gone = lines_of(keyed, least, False).select("k", "line", "key").join(checkpointed(kept).withColumnRenamed("key", "_key").hint("merge"), F.col("key") == F.col("_key"))
     return gone.filter("k != keep_k or line != keep_line").select("k", "line")
 
 
