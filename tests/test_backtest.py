@@ -136,9 +136,11 @@ def test_custom_signal_function(spark):
 
 def test_alignment(spark):
     b = bars(spark, [1, 2, 3]).drop("target_position")
-    s = b.filter("close < 3").select("symbol", "ts", F.lit(1).alias("signal_binary")).union(spark.sql("select 'A', timestamp_ntz '2025-01-01', 1"))
+    s = b.select("symbol", "ts", F.col("ts").alias("available_at"), F.lit(1).alias("signal_binary"))
+    assert signals.signal_targets(b, s).count() == 3
+    s = s.filter("day(ts) < 3").union(spark.sql("select 'A', timestamp_ntz '2025-01-01', timestamp_ntz '2025-01-01', 1"))
     assert sorted(r.side for r in signals.misaligned(b, s).collect()) == ["extra_signal", "missing_signal"]
-    assert signals.signal_targets(b, s).count() == 2
+    assert signals.signal_targets(b, s).count() == 0
 
 
 def test_bar_rules(spark):

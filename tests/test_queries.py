@@ -37,7 +37,8 @@ def test_query(spark, db, name):
     a, b = (d[cols].sort_values(order + [c for c in cols if c not in order]).reset_index(drop=True) for d in (got, want))
     for c in cols:
         if a[c].dtype == float:
-            assert ((a[c] - b[c].astype(float)).abs().fillna(0) <= 1e-5).all() and (a[c].isna() == b[c].isna()).all(), c
+            close = (a[c] - b[c].astype(float)).abs() <= 1e-5 * b[c].astype(float).abs().clip(lower=1)
+            assert (close | a[c].isna()).all() and (a[c].isna() == b[c].isna()).all(), c
         else:
             assert (a[c].astype(str) == b[c].astype(str)).where(~(a[c].isna() & b[c].isna()), True).all(), c
 

@@ -108,7 +108,7 @@ def test_null_paths(spark):
         assert all(r.high >= max(r.open, r.close) and r.low <= min(r.open, r.close) and r.low > 0 for r in mine)
         seen.add(tuple(round(c, 6) for c in closes))
     assert len(seen) > 1
-    assert nulls.null_paths(b.limit(1), K, 2, 2).count() == 2
+    assert nulls.null_paths(b.limit(1), K, 2, 1).count() == 2
 
 
 def test_p_value(spark):
@@ -212,7 +212,7 @@ def test_test_segment_is_only_used_for_the_winner(spark):
 def test_walk_forward_and_protocol(spark):
     b = bars(spark, WAVE).drop("target_position").unionByName(bars(spark, WAVE[:10], symbol="B").drop("target_position"))
     grid = {"ma_crossover": {"short_window": [2], "long_window": [5]}}
-    folds = wf.walk_forward(spark, b, grid, 30, 20, 20)
+    folds, _ = wf.walk_forward(spark, b, grid, 30, 20, 20)
     assert folds.count() == 3
     got = {r.symbol: r for r in wf.walk_forward_summary(folds, b, 30, 20, 20).collect()}
     assert got["A"].walk_forward_reasons == ["fold_coverage_complete", "missing_pooled_test_sharpe_ratio"] and got["B"].walk_forward_reasons == ["no_valid_folds"]

@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
 def test_permutation_covers_all_bars(spark):
-    whole = {x.symbol: x.score for x in bt.metrics(queries.curve(spark, SF), queries.KEYS).collect()}
+    whole = {x.symbol: x.score for x in bt.metrics(queries.curve(spark, SF), queries.KEYS, queries.WEEKLY).collect()}
     got = {x.symbol: x.observed for x in queries.permutation(spark, SF).collect()}
     assert got == pytest.approx(whole) and len(got) == 5
 

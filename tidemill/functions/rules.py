@@ -7,7 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.bars import PRICES
+from ..sources.bars import PRICES, fill_volume
+
+# What is done about faulty bars.
+POLICIES = {"datetime_policy": "parse_sort_fail_on_duplicate", "duplicate_datetime_policy": "fail", "missing_ohlc_policy": "fail", "missing_volume_policy": "fill_zero"}
 
 
 def finite(c: Column) -> Column:
@@ -30,6 +33,7 @@ def bar_rules() -> dict[str, Column]:
         "high_below_close": broken(h < c),
         "low_above_open": broken(low > o),
         "low_above_close": broken(low > c),
+        "volume_not_numeric": broken(F.isnan("volume")),
     }
 
 
@@ -44,14 +48,35 @@ def bar_violations(bars: DataFrame) -> DataFrame:
 
 
 def bar_quality(bars: DataFrame) -> DataFrame:
-    """For each symbol: rows, rows without volume, how many break each rule, and the first rule broken (null: accepted)."""
+    """For each symbol: rows, rows without volume, how many break each rule, and the first rule broken (null: accepted).
+
+    One broken rule rejects all rows of a symbol: gaps would change every window after them.  Missing volume is filled.
+    """
     rules = bar_rules()
     counts = mark_repeated(bars).groupBy("symbol").agg(
         F.count("*").alias("source_row_count"),
         F.count_if(F.col("volume").isNull()).alias("volume_missing_row_count"),
         *[F.count_if(x).alias(k) for k, x in rules.items()],
     )
-    return counts.withColumn("first_violation", F.coalesce(*[F.when(F.col(k) > 0, F.lit(k)) for k in rules]))
+    counts = counts.withColumn("first_violation", F.coalesce(*[F.when(F.col(k) > 0, F.lit(k)) for k in rules]))
+    accepted = F.when(F.col("first_violation").isNull(), F.col("source_row_count")).otherwise(F.lit(0)).cast("long")
+    return counts.withColumns({"accepted_row_count": accepted, "duplicate_row_count": F.col("datetime_repeated")} | {k: F.lit(v) for k, v in POLICIES.items()})
+
+
+def accepted_bars(bars: DataFrame) -> DataFrame:
+    """The bars of symbols that break no rule, missing volume as 0; bar_quality() tells why others are not there."""
+    bad = bar_violations(bars).select("symbol").distinct().withColumnRenamed("symbol", "_bad")
+    return fill_volume(bars.join(bad.hint("merge"), F.col("symbol").eqNullSafe(F.col("_bad")), "left_anti"))
+
+
+def checked_bars(bars: DataFrame) -> DataFrame:
+    """The bars, missing volume as 0, if no rule is broken and there are any; else an error that names some symbols and rules."""
+    found = bar_quality(bars).select("symbol", "first_violation").orderBy(F.col("first_violation").isNull(), "symbol").limit(5).collect()
+    if not found:
+        raise ValueError("there are no bars")
+    if bad := [f"{r['symbol']}: {r['first_violation']}" for r in found if r["first_violation"]]:
+        raise ValueError("bars break rules: " + ", ".join(bad))
+    return fill_volume(bars)
 
 
 def signal_rules() -> dict[str, Column]:
@@ -68,6 +93,12 @@ def signal_rules() -> dict[str, Column]:
     }
 
 
+def signal_violations(signals: DataFrame) -> DataFrame:
+    """The signal rows that break a rule, with the list of rules."""
+    found = F.filter(F.array(*[F.when(x, F.lit(k)) for k, x in signal_rules().items()]), lambda x: x.isNotNull())
+    return mark_repeated(signals).withColumn("violations", found).drop("_same").filter(F.size("violations") > 0)
+
+
 def signal_quality(signals: DataFrame) -> DataFrame:
     rules = signal_rules()
     counts = mark_repeated(signals).groupBy("symbol").agg(F.count("*").alias("rows"), *[F.count_if(x).alias(k) for k, x in rules.items()])

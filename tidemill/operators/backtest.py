@@ -74,7 +74,12 @@ def drawdowns(curve: DataFrame, keys: list[str]) -> DataFrame:
 
 def annual(total: Column, periods: Column, per_year: float) -> Column:
     """A total return as a yearly one; a loss of more than all has none (NaN)."""
-    return F.when(1 + total < 0, F.lit(float("nan"))).otherwise(F.pow(1 + total, per_year / F.greatest(periods, F.lit(1)).cast("double")) - 1)
+    return annual_growth(1 + total, periods, per_year)
+
+
+def annual_growth(growth: Column, periods: Column, per_year: float) -> Column:
+    """The same from the factor of growth, which keeps its digits where almost all is lost."""
+    return F.when(growth < 0, F.lit(float("nan"))).otherwise(F.pow(growth, per_year / F.greatest(periods, F.lit(1)).cast("double")) - 1)
 
 
 def run_metrics(curve: DataFrame, keys: list[str], config: Config = Config(), risk_free: float = 0.0, extra: list[Column] | None = None) -> DataFrame:

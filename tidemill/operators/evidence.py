@@ -39,14 +39,14 @@ def train_and_test(train: DataFrame, test: DataFrame, keys: list[str]) -> DataFr
     names = ["total_return", "annualized_return", "sharpe_ratio", "max_drawdown", "win_rate", "turnover", "trade_count", "bar_count", "score"]
     left = train.select(*keys, *[F.col(c).alias(f"train_{c}") for c in names])
     right = test.select(*keys, *[F.col(c).alias(f"test_{c}") for c in names])
-    df = left.join(right, keys)
+    df = left.join(right.hint("merge"), keys)
     change = lambda c: F.col(f"test_{c}") - F.col(f"train_{c}")
     return df.withColumns({"return_degradation": change("annualized_return"), "sharpe_degradation": change("sharpe_ratio"), "max_drawdown_delta": change("max_drawdown")})
 
 
 def against_benchmark(runs: DataFrame, benchmark: DataFrame, keys: list[str], prefix: str = "test_") -> DataFrame:
     """runs with the benchmark of their segment (0 where there is none), the excess return and the drawdown gap."""
-    df = runs.join(benchmark, keys, "left").fillna(0.0, ["benchmark_total_return", "benchmark_max_drawdown"])
+    df = runs.join(benchmark.hint("merge"), keys, "left").fillna(0.0, ["benchmark_total_return", "benchmark_max_drawdown"])
     return df.withColumn("return_excess", F.col(f"{prefix}total_return") - F.col("benchmark_total_return")).withColumn("max_drawdown_gap", F.col(f"{prefix}max_drawdown") - F.col("benchmark_max_drawdown"))
 
 
@@ -68,6 +68,14 @@ def fold_aggregates(folds: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def pooled_sharpe(curve: DataFrame, keys: list[str], config: Config = Config()) -> DataFrame:
+    """(keys, pooled_test_sharpe_ratio): the Sharpe ratio over the returns of all folds together, 0 without spread."""
+    r = F.col("strategy_return")
+    sd = F.stddev_samp(r)
+    usable = (F.count("*") >= 2) & sd.isNotNull() & ~F.isnan(sd) & (sd != 0)
+    return curve.groupBy(*keys).agg(F.when(usable, F.avg(r) / F.nullif(sd, F.lit(0.0)) * config.annualization**0.5).otherwise(0.0).alias("pooled_test_sharpe_ratio"))
+
+
 def derived_verdict(search: Column, train: Column, test: Column, folds: Column | None = None, rejected: Column | None = None) -> Column:
     """What can be said from which evidence exists, before any policy."""
     inconclusive = (folds <= 0) if folds is not None else F.lit(False)

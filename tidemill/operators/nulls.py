@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import finite
-from .backtest import annual
+from .backtest import annual_growth
 from .signals import ordered
 from .splits import numbered
 
@@ -17,11 +17,15 @@ def drawn(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+#: Samples that are drawn in one row: a run's returns are shuffled once for so many.
+DRAWS = 100
+
+
 def bootstrap(curve: DataFrame, keys: list[str], samples: int = 1000, seed: int = 42, per_year: float = 252.0) -> DataFrame:
     """95 % intervals of the mean and the annualised return over resamples of each run's returns, and what they say.
 
     Null and non-finite returns don't count.  Runs of fewer than two returns, or with one of -100 % or below, get status
-    invalid and no interval.  A run's returns travel as one array; samples are dealt out before they are drawn.
+    invalid and no interval.  A run's returns travel as one array, once for every DRAWS samples.
     """
     if samples <= 0 or per_year <= 0:
         raise ValueError("samples and bars a year must be positive")
@@ -29,12 +33,14 @@ def bootstrap(curve: DataFrame, keys: list[str], samples: int = 1000, seed: int
     runs = curve.filter(finite(r)).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", r.alias("r")))), lambda x: x["r"]).alias("rs"))
     runs = runs.withColumn("status", F.when((F.size("rs") >= 2) & (F.array_min("rs") > -1), "ok").otherwise("invalid"))
     n = F.size("rs")
-    drew = runs.filter("status = 'ok'").withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).repartition(*keys, "sample")
+    drew = runs.filter("status = 'ok'").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // DRAWS)))).repartition(*keys, "part")
+    some = F.sequence(F.col("part") * DRAWS, F.least(F.col("part") * DRAWS + (DRAWS - 1), F.lit(samples - 1)))
+    drew = drew.withColumn("sample", F.explode(some))
     pick = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at("rs", (drawn(seed, F.col("sample").cast("string"), i.cast("string")) % n + 1).cast("int")))
     drew = drew.withColumn("pick", pick)
     mean = F.aggregate("pick", F.lit(0.0), lambda s, x: s + x) / n
-    total = F.aggregate("pick", F.lit(1.0), lambda s, x: s * (1 + x)) - 1
-    made = drew.select(*keys, mean.alias("mean"), annual(total, n, per_year).alias("annualized"))
+    growth = F.aggregate("pick", F.lit(1.0), lambda s, x: s * (1 + x))
+    made = drew.select(*keys, mean.alias("mean"), annual_growth(growth, n, per_year).alias("annualized"))
     cut = F.array(F.lit(0.025), F.lit(0.975))
     made = made.groupBy(*keys).agg(F.count("*").alias("n_bootstrap"), F.percentile("mean", cut).alias("m"), F.percentile("annualized", cut).alias("a"))
     low = F.col("a")[0]
@@ -48,28 +54,29 @@ def bootstrap(curve: DataFrame, keys: list[str], samples: int = 1000, seed: int
         ((low <= 0) & (F.col("a")[1] >= 0)).alias("ci_crosses_zero"),
         F.when(low > 0, "stronger_evidence").otherwise("weak_evidence").alias("verdict"),
     )
-    return runs.select(*keys, "status").join(made, keys, "left")
+    return runs.select(*keys, "status").join(made.hint("merge"), keys, "left")
 
 
 def null_paths(bars: DataFrame, keys: list[str], paths: int, block: int, seed: int = 42) -> DataFrame:
     """Permuted paths: blocks of relative moves in another order, compounded from the first bar, on the original times.
 
-    Adds perm_id.  The recurrence of closes is a running product; the first bar stays, highs and lows hold the bar.
+    Adds perm_id.  The recurrence of closes is a running product; the first bar stays, highs and lows hold the bar.  Runs with a
+    price that is missing, not finite or not positive, or of fewer bars than a block, have no paths: path_status() tells which.
+    A run's moves are sorted once in an array for each path, and so are its times: position by position they are the path.
     """
     if paths <= 0 or block <= 0:
         raise ValueError("paths and block must be positive")
-    w = ordered(keys)
+    w, every = ordered(keys), Window.partitionBy(*keys)
     prev = F.lag("close").over(w)
-    moves = numbered(bars, keys).drop("n").select(*keys, "ts", "idx", *["open", "high", "low", "close", "volume"], *[(F.col(c) / prev).alias(f"_{c}") for c in ("open", "high", "low", "close")])
+    moves = numbered(bars, keys).withColumn("_bad", F.count_if(_unusable()).over(every)).filter((F.col("_bad") == 0) & (F.col("n") >= block))
+    moves = moves.select(*keys, "ts", "idx", *["open", "high", "low", "close", "volume"], *[(F.col(c) / prev).alias(f"_{c}") for c in ("open", "high", "low", "close")])
     order = moves.withColumn("perm_id", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).repartition(*keys, "perm_id")
     run = [*keys, "perm_id"]
     block_id = F.when(F.col("idx") > 0, F.floor((F.col("idx") - 1) / block)).otherwise(-1)
-    rank = F.md5(F.concat_ws("-", (F.col("perm_id") + seed).cast("string"), block_id.cast("string")))
-    shuffled = Window.partitionBy(*run).orderBy((F.col("idx") > 0).cast("int"), F.when(F.col("idx") > 0, rank), "idx")
-    df = order.withColumn("pos", F.row_number().over(shuffled) - 1)
-    # The times of a run in order are those of its positions: the pos-th row takes the pos-th time.
-    times = F.element_at(F.array_sort(F.collect_list("ts").over(Window.partitionBy(*run))), (F.col("pos") + 1).cast("int"))
-    df = df.withColumn("_ts", times)
+    rank = F.when(F.col("idx") > 0, F.md5(F.concat_ws("-", (F.col("perm_id") + seed).cast("string"), block_id.cast("string")))).otherwise("")
+    row = F.struct(rank.alias("rank"), "idx", "open", "high", "low", "close", "volume", "_open", "_high", "_low", "_close")
+    made = order.groupBy(*run).agg(F.array_sort(F.collect_list(row)).alias("rows"), F.array_sort(F.collect_list("ts")).alias("times"))
+    df = made.select(*run, F.posexplode(F.arrays_zip("rows", "times")).alias("pos", "x")).select(*run, "pos", F.col("x.times").alias("_ts"), "x.rows.*")
     by_pos = Window.partitionBy(*run).orderBy("pos")
     factor = F.when(F.col("pos") == 0, F.col("close")).otherwise(F.col("_close"))
     df = df.withColumn("_c", F.product(factor).over(by_pos.rowsBetween(Window.unboundedPreceding, 0)))
@@ -79,10 +86,30 @@ def null_paths(bars: DataFrame, keys: list[str], paths: int, block: int, seed: i
     return df.select(*run, F.col("_ts").alias("ts"), o.alias("open"), F.greatest(o, h, low, c).alias("high"), F.least(o, h, low, c).alias("low"), c.alias("close"), "volume")
 
 
+def _unusable() -> Column:
+    """Whether a bar has a price from which no path can be made."""
+    bad = F.lit(False)
+    for c in ("open", "high", "low", "close"):
+        bad = bad | ~finite(F.col(c)) | F.coalesce(F.col(c) <= 0, F.lit(True))
+    return bad
+
+
+def path_status(bars: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """(keys, status): ok, price_unusable, or block_too_long."""
+    df = bars.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(_unusable()).alias("bad"))
+    return df.select(*keys, F.when(F.col("bad") > 0, "price_unusable").when(F.col("n") < block, "block_too_long").otherwise("ok").alias("status"))
+
+
+def null_scores(scores: DataFrame, keys: list[str], metric: str = "score") -> DataFrame:
+    """(keys, permutation_index, metric_value): the scores of permuted paths, numbered from 1."""
+    return scores.select(*keys, (F.col("perm_id") + 1).cast("long").alias("permutation_index"), F.col(metric).alias("metric_value"))
+
+
 def p_values(observed: DataFrame, nulls: DataFrame, keys: list[str], metric: str = "score") -> DataFrame:
-    """(keys, observed, permutations, null_ge_count, empirical_p_value): (null runs at least as good + 1) / (null runs + 1)."""
+    """(keys, observed, permutations, null_ge_count, empirical_p_value): (null runs at least as good + 1) / (null runs + 1).
+
+    A null run whose metric is no number is not at least as good as anything.
+    """
     o = observed.select(*keys, F.col(metric).alias("observed"))
-    df = nulls.select(*keys, F.col(metric).alias("_null")).join(o, keys).groupBy(*keys).agg(F.first("observed").alias("observed"), F.count("*").alias("permutations"), F.count_if(F.col("_null") >= F.col("observed")).alias("null_ge_count"))
+    df = nulls.select(*keys, F.col(metric).alias("_null")).join(o.hint("merge"), keys).groupBy(*keys).agg(F.first("observed").alias("observed"), F.count("*").alias("permutations"), F.count_if(~F.isnan("_null") & ~F.isnan("observed") & (F.col("_null") >= F.col("observed"))).alias("null_ge_count"))
     return df.withColumn("empirical_p_value", (F.col("null_ge_count") + 1) / (F.col("permutations") + 1))
-
-

@@ -88,6 +88,12 @@ class Research:
     scope: str | None = None
 
 
+def limits_for(max_drawdown_cap: float | None, min_trade_count: int | None, permuted: bool) -> Research:
+    """The limits that follow from those of a search; without a permutation test nothing is asked of one."""
+    limits = Research(min_trade_count=1 if min_trade_count is None else min_trade_count, max_drawdown_cap=max_drawdown_cap, scope="candidate_fixed")
+    return limits if permuted else without_permutation(limits)
+
+
 def without_permutation(limits: Research) -> Research:
     """The limits where no permutation test was run."""
     return Research(limits.max_reruns, limits.min_trade_count, limits.max_drawdown_cap, limits.min_return_degradation, None, None, None)

@@ -50,11 +50,29 @@ def candidate_metrics(bars: DataFrame, keys: list[str], found: DataFrame, grid:
 
 
 def ranked(runs: DataFrame, keys: list[str], max_drawdown_cap: float | None = None, min_trade_count: int | None = None) -> DataFrame:
-    """The runs within the limits with rank: by score, then strategy, then parameters in the order of their names."""
-    w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "strategy", "long_window", "lookback_window", "short_window")
+    """The runs within the limits with rank: by score, then strategy, then parameters in the order of their names.
+
+    A run whose score is no number comes after all others.
+    """
+    w = Window.partitionBy(*keys).orderBy(best_first("score"), "strategy", "long_window", "lookback_window", "short_window")
     return runs.filter(passes(max_drawdown_cap, min_trade_count)).withColumn("rank", F.row_number().over(w))
 
 
+def best_first(metric: str) -> Column:
+    """The order of a metric from the highest down, what is no number last."""
+    return F.nanvl(F.col(metric), F.lit(float("-inf"))).desc()
+
+
+def candidate_id(cand: Column, start: Column, end: Column) -> Column:
+    """The name of a candidate on a stretch of time."""
+    return F.concat_ws(":", cand, F.concat_ws("-", *[F.date_format(x, "yyyy-MM-dd HH:mm:ss") for x in (start, end)]))
+
+
+def parameters_json(columns: list[str] = PARAMETERS) -> Column:
+    """The parameters that a candidate has, as JSON with sorted keys."""
+    return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]))
+
+
 def search_summary(rank: DataFrame, keys: list[str], found: DataFrame, top: int = 3) -> DataFrame:
     """For each run of keys: combinations tried and valid, results within the limits, the best, and the first few."""
     tried = found.agg(F.count("*").alias("attempted_combinations"), F.count_if("is_valid").alias("valid_combinations"), F.count_if(~F.col("is_valid")).alias("invalid_combinations"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.rules import signal_quality
+
 #: strategy -> (its parameters, the one that sets the history it needs)
 FAMILIES = {"ma_crossover": (("short_window", "long_window"), "long_window"), "breakout": (("lookback_window",), "lookback_window")}
 
@@ -46,27 +48,42 @@ def candidate_targets(bars: DataFrame, keys: list[str], candidates: DataFrame, g
     """bars x valid candidates with target_position.
 
     Window sums are made once for each length, then crossed with the candidates.  The candidate list is as long as the
-    grid the caller wrote, so it is broadcast.  Rows are then dealt out by run: symbols alone would bound the parallelism.
+    grid the caller wrote, so it is broadcast.  Rows stay where their keys are, which is all that the windows of single
+    candidates need.  parts: where keys are fewer than cores, deal rows x candidates out to so many partitions by run.
     """
+    df = _measured(bars, keys, grid).crossJoin(F.broadcast(candidates.filter("is_valid").drop("is_valid")))
+    return _targets(df if parts is None else df.repartition(parts, *keys, "cand_id"))
+
+
+def chosen_targets(bars: DataFrame, keys: list[str], chosen: DataFrame, by: list[str], grid: dict[str, dict[str, list[int]]], scale: int | None = 100) -> DataFrame:
+    """bars with target_position of the candidates chosen for their values of by, which are some of keys; other bars are left out."""
+    own = [c for c in ("cand_id", "strategy", "short_window", "long_window", "lookback_window") if c not in by]
+    right = chosen.select(*[F.col(k).alias(f"_{k}") for k in by], *own)
+    same = [F.col(k) == F.col(f"_{k}") for k in by]
+    return _targets(_measured(bars, keys, grid, scale).join(right.hint("merge"), same).drop(*[f"_{k}" for k in by]))
+
+
+def _measured(bars: DataFrame, keys: list[str], grid: dict[str, dict[str, list[int]]], scale: int | None = 100) -> DataFrame:
+    """bars with sums and highs of all window lengths of the grid."""
     ma, bo = grid.get("ma_crossover", {}), grid.get("breakout", {})
     lengths = [n for p in ("short_window", "long_window") for n in ma.get(p, []) if n > 0]
     looks = [n for n in bo.get("lookback_window", []) if n > 0]
-    df = close_sums(bars, keys, lengths) if lengths else bars.withColumn("sums", F.lit(None).cast("map<int,double>"))
-    df = prior_highs(df, keys, looks) if looks else df.withColumn("highs", F.lit(None).cast("map<int,double>"))
-    df = df.crossJoin(F.broadcast(candidates.filter("is_valid").drop("is_valid")))
-    run = [*keys, "cand_id"]
-    df = df.repartition(*run) if parts is None else df.repartition(parts, *run)
+    df = close_sums(bars, keys, lengths, scale) if lengths else bars.withColumn("sums", F.lit(None).cast("map<int,double>"))
+    return prior_highs(df, keys, looks) if looks else df.withColumn("highs", F.lit(None).cast("map<int,double>"))
+
+
+def _targets(df: DataFrame) -> DataFrame:
     mean_above = F.try_element_at("sums", "short_window") * F.col("long_window") > F.try_element_at("sums", "long_window") * F.col("short_window")
     breaks = F.col("close") > F.try_element_at("highs", "lookback_window")
     up = F.when(F.col("strategy") == "ma_crossover", mean_above).when(F.col("strategy") == "breakout", breaks)
     return df.withColumn("target_position", F.when(up, 1.0).otherwise(0.0)).drop("sums", "highs")
 
 
-def ma_targets(bars: DataFrame, keys: list[str], short: int, long: int) -> DataFrame:
-    """bars with target_position: 1 where the short mean of closes is above the long one."""
+def ma_targets(bars: DataFrame, keys: list[str], short: int, long: int, scale: int | None = 100) -> DataFrame:
+    """bars with target_position: 1 where the short mean of closes is above the long one; scale as in close_sums()."""
     if not 0 < short < long:
         raise ValueError("windows must be positive, the short one below the long one")
-    df = close_sums(bars, keys, [short, long])
+    df = close_sums(bars, keys, [short, long], scale)
     return df.withColumn("target_position", F.when(F.col("sums")[short] * long > F.col("sums")[long] * short, 1.0).otherwise(0.0)).drop("sums")
 
 
@@ -79,16 +96,54 @@ def breakout_targets(bars: DataFrame, keys: list[str], lookback: int) -> DataFra
 
 
 def signal_targets(bars: DataFrame, signals: DataFrame) -> DataFrame:
-    """bars with the external signal of the same symbol and time as target_position; see misaligned() for the rest."""
+    """The bars of symbols that signal_status() finds ok, with the external signal of the same time as target_position.
+
+    A symbol with a faulty, late, missing or extra signal is left out whole: it has no row for which that went unseen.
+    """
+    good = signal_status(bars, signals).filter("status = 'ok'").select(F.col("symbol").alias("_good"))
     s = signals.select("symbol", "ts", F.col("signal_binary").cast("double").alias("target_position"))
-    return bars.join(s, ["symbol", "ts"])
+    return bars.join(s.hint("merge"), ["symbol", "ts"]).join(good.hint("merge"), F.col("symbol") == F.col("_good"), "left_semi")
+
+
+def checked_signals(bars: DataFrame, signals: DataFrame, symbol: str | None = None) -> DataFrame:
+    """The signals, if all that bars and signals hold is ok and, where one is named, of that symbol; else an error."""
+    if symbol is not None:
+        for name, df in (("signals", signals), ("bars", bars)):
+            other = df.filter(F.col("symbol").isNull() | (F.col("symbol") != symbol)).select("symbol").first()
+            if other is not None:
+                raise ValueError(f"symbol {other[0]!r} of the {name} is not the one asked for, {symbol!r}")
+    bad = signal_status(bars, signals).filter("status <> 'ok'").orderBy("symbol").limit(5).collect()
+    if bad:
+        raise ValueError("signals can't be used: " + ", ".join(f"{r['symbol']}: {r['status']}" for r in bad))
+    return signals
+
+
+def signal_status(bars: DataFrame, signals: DataFrame) -> DataFrame:
+    """(symbol, status) of every symbol of bars or signals: ok, no_bars, no_signals, the first rule that a signal breaks, or misaligned."""
+    broken = signal_quality(signals).select("symbol", "first_violation")
+    apart = misaligned(bars, signals).groupBy(F.col("symbol").alias("_a")).agg(F.count("*").alias("apart"))
+    sides = bars.select("symbol", F.lit(1).alias("b"), F.lit(0).alias("s")).unionByName(signals.select("symbol", F.lit(0).alias("b"), F.lit(1).alias("s")))
+    df = sides.groupBy("symbol").agg(F.max("b").alias("b"), F.max("s").alias("s"))
+    df = df.join(broken.withColumnRenamed("symbol", "_q").hint("merge"), F.col("symbol").eqNullSafe(F.col("_q")), "left").join(apart.hint("merge"), F.col("symbol") == F.col("_a"), "left")
+    status = F.when(F.col("b") == 0, "no_bars").when(F.col("s") == 0, "no_signals").when(F.col("first_violation").isNotNull(), F.col("first_violation"))
+    return df.select("symbol", status.when(F.col("apart") > 0, "misaligned").otherwise("ok").alias("status"))
 
 
 def misaligned(bars: DataFrame, signals: DataFrame) -> DataFrame:
     """(symbol, ts, side): times of bars without a signal, and of signals without a bar."""
     b, s = bars.select("symbol", "ts"), signals.select("symbol", "ts")
-    missing = b.join(s, ["symbol", "ts"], "left_anti").withColumn("side", F.lit("missing_signal"))
-    return missing.unionByName(s.join(b, ["symbol", "ts"], "left_anti").withColumn("side", F.lit("extra_signal")))
+    missing = b.join(s.hint("merge"), ["symbol", "ts"], "left_anti").withColumn("side", F.lit("missing_signal"))
+    return missing.unionByName(s.join(b.hint("merge"), ["symbol", "ts"], "left_anti").withColumn("side", F.lit("extra_signal")))
+
+
+def checked_targets(bars: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """bars with a caller's target_position of the same keys and time, if each has just one; else an error."""
+    at = [*keys, "ts"]
+    t = targets.select(*at, "target_position")
+    sides = bars.select(*at, F.lit(1).alias("b"), F.lit(0).alias("t")).unionByName(t.select(*at, F.lit(0).alias("b"), F.lit(1).alias("t")))
+    if sides.groupBy(*at).agg(F.sum("b").alias("b"), F.sum("t").alias("t")).filter("b <> 1 or t <> 1").head(1):
+        raise ValueError("targets and bars must have the same keys and times, each once")
+    return bars.join(t.hint("merge"), at)
 
 
 def custom_targets(bars: DataFrame, keys: list[str], generate: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:

@@ -50,6 +50,36 @@ def folds(bars: DataFrame, keys: list[str], train: int, test: int, step: int) ->
     return df.withColumn("role", F.when(at < train, "train").otherwise("test")).withColumn("segment_idx", F.when(at < train, at).otherwise(at - train)).drop("_lo", "_hi", "idx", "n")
 
 
+def checked_segments(df: DataFrame, keys: list[str], roles: list[str]) -> DataFrame:
+    """df, if every run of keys has rows of every role; else an error that names some runs and roles."""
+    bad = segment_status(df, keys, roles).filter("status <> 'ok'").limit(5).collect()
+    if bad:
+        raise ValueError("empty segments: " + ", ".join(f"{[r[k] for k in keys]}: {r['status']}" for r in bad))
+    return df
+
+
+def segment_status(df: DataFrame, keys: list[str], roles: list[str]) -> DataFrame:
+    """(keys, status): ok, or the first of the roles of which a run has no row."""
+    none = F.coalesce(*[F.when(F.count_if(F.col("role") == r) == 0, F.lit(f"empty_{r}")) for r in roles], F.lit("ok"))
+    return df.groupBy(*keys).agg(none.alias("status"))
+
+
+def shared_times(df: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
+    """(keys, ts): times that rows of both roles have; none where segments are apart."""
+    at = [*keys, "ts"]
+    return df.groupBy(*at).agg(F.count_if(F.col("role") == first).alias("a"), F.count_if(F.col("role") == second).alias("b")).filter("a > 0 and b > 0").select(*at)
+
+
+def with_history(df: DataFrame, keys: list[str], grid: dict[str, dict[str, list[int]]], role: str = "train") -> DataFrame:
+    """The rows of runs whose segment of that role is as long as history_check() asks; a run that isn't can't be searched."""
+    rows = F.count_if(F.col("role") == role).over(Window.partitionBy(*keys))
+    return df.withColumn("_rows", rows).filter(F.col("_rows") >= needed(grid)).drop("_rows")
+
+
+def needed(grid: dict[str, dict[str, list[int]]]) -> int:
+    return max((max(v[FAMILIES[k][1]]) for k, v in grid.items()), default=0)
+
+
 def segments(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows, first and last time of every segment."""
     return df.groupBy(*keys).agg(F.count("*").alias("row_count"), F.min("ts").alias("start"), F.max("ts").alias("end"))
@@ -57,5 +87,5 @@ def segments(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def history_check(df: DataFrame, keys: list[str], grid: dict[str, dict[str, list[int]]]) -> DataFrame:
     """For each segment: whether it is as long as the longest history the grid asks for, invalid combinations included."""
-    need = max((max(v[FAMILIES[k][1]]) for k, v in grid.items()), default=0)
+    need = needed(grid)
     return df.groupBy(*keys).agg(F.count("*").alias("row_count")).withColumn("required", F.lit(need).cast("long")).withColumn("enough", F.col("row_count") >= need)

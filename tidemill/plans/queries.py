@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rules import bar_quality, bar_violations, signal_quality
+from ..functions.rules import accepted_bars, bar_quality, bar_violations, signal_quality, signal_violations
 from ..operators import backtest as bt
 from ..operators import evidence, nulls, policy, search, signals, splits
 from ..sources import bars as src
+from . import reports
 from . import workflows as wf
 
 KEYS = ["symbol"]
@@ -24,6 +25,11 @@ FOLD = (80, 30, 30)
 #: The time before which the SQL twins permute bars: all of them, as here.
 EARLY = "infinity"
 PATHS, BLOCK, SAMPLES, SEED = 20, 5, 1000, 42
+#: A year has 52 weekly bars.
+WEEKLY = bt.Config(annualization=52.0)
+CHANCE = wf.Chance(PATHS, BLOCK, SEED, "score", SAMPLES)
+#: Symbols whose bars, or signals, are made faulty.
+FAULTY = ("1-URGENT", "3-MEDIUM")
 
 
 def weekly(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,6 +43,9 @@ def six_hourly(spark: SparkSession, sf: str) -> DataFrame:
     return src.bars_from_ticks(ticks, "event_type", bucket, "value", "ts")
 
 
+WEEK_SQL = "cast(floor(datediff(cast(ts as date), date'1990-01-01') / 7) as int)"
+
+
 def week(c: str = "ts") -> Column:
     return F.floor(F.date_diff(F.col(c).cast("date"), F.lit("1990-01-01").cast("date")) / 7).cast("int")
 
@@ -113,38 +122,71 @@ def keep_last(spark: SparkSession, sf: str) -> DataFrame:
 
 def months(spark: SparkSession, sf: str) -> DataFrame:
     """Every month from the first to the last bar of each symbol."""
-    span = weekly(spark, sf).groupBy("symbol").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    days = F.sequence(F.trunc(F.col("a").cast("date"), "month"), F.trunc(F.col("b").cast("date"), "month"), F.expr("interval 1 month"))
-    return span.select("symbol", F.explode(days).alias("d")).select("symbol", F.date_format("d", "yyyyMMdd").alias("month"))
+    span = weekly(spark, sf).groupBy("symbol").agg(F.min("ts").cast("date").alias("a"), F.max("ts").cast("date").alias("b"))
+    return span.select("symbol", F.explode(src.months_between(F.col("a"), F.col("b"))).alias("month"))
 
 
 def ranked(spark: SparkSession, sf: str) -> DataFrame:
-    return wf.grid_search(spark, weekly(spark, sf), KEYS, GRID, max_drawdown_cap=0.99, min_trade_count=1)
+    return wf.grid_search(spark, weekly(spark, sf), KEYS, GRID, WEEKLY, max_drawdown_cap=0.99, min_trade_count=1)
 
 
 def top_curves(spark: SparkSession, sf: str) -> DataFrame:
     """Equity and drawdown, a row each, of the two best candidates of every symbol."""
     b = weekly(spark, sf)
     best = ranked(spark, sf).filter("rank <= 2").select("symbol", "cand_id", "rank")
-    c = search.candidate_curves(b, KEYS, search.candidates(spark, GRID), GRID).join(best, ["symbol", "cand_id"])
+    c = search.candidate_curves(b, KEYS, search.candidates(spark, GRID), GRID, WEEKLY).join(best.hint("merge"), ["symbol", "cand_id"])
     c = bt.drawdowns(c, ["symbol", "cand_id"]).withColumn("label", search.curve_label(F.col("rank"), F.col("short_window"), F.col("long_window")))
     return c.unpivot(["symbol", "label", "ts"], ["equity", "drawdown"], "series", "value")
 
 
-def walk(spark: SparkSession, sf: str) -> DataFrame:
-    return wf.walk_forward(spark, weekly(spark, sf), SMALL, *FOLD)
+def walk(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return wf.walk_forward(spark, weekly(spark, sf), SMALL, *FOLD, WEEKLY)
+
+
+def pooled_policy(spark: SparkSession, sf: str) -> DataFrame:
+    folds, curves = walk(spark, sf)
+    return wf.walk_forward_summary(folds, weekly(spark, sf), *FOLD, evidence.pooled_sharpe(curves, KEYS, WEEKLY))
+
+
+def every_candidate(spark: SparkSession, sf: str) -> DataFrame:
+    """The candidate policy on every candidate of every symbol, its train and test run side by side."""
+    df = splits.by_ratio(weekly(spark, sf), KEYS, 0.5)
+    runs = search.candidate_metrics(df, ["symbol", "role"], search.candidates(spark, FAMILIES), FAMILIES, WEEKLY)
+    one = lambda r: runs.filter(F.col("role") == r).drop("role")
+    both = evidence.train_and_test(one("train"), one("test"), ["symbol", "cand_id"])
+    bench = bt.buy_and_hold_summary(df.filter("role = 'test'"), KEYS)
+    return policy.candidate_policy(evidence.against_benchmark(both, bench, KEYS))
+
+
+def faulty_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """External signals, some of them late, not binary or missing for two of the symbols."""
+    s, some = external(spark, sf), F.col("symbol").isin(*FAULTY)
+    late = F.when(some & (week() % 8 == 0), F.col("ts") + F.expr("interval 1 day")).otherwise(F.col("available_at"))
+    return s.withColumns({"signal_binary": F.when(some & (week() % 9 == 0), 2).otherwise(F.col("signal_binary")), "available_at": late})
+
+
+def signals_of_some(spark: SparkSession, sf: str) -> DataFrame:
+    """faulty_signals() without those of one symbol, and without every seventh of another."""
+    return faulty_signals(spark, sf).filter(f"symbol <> '2-HIGH' and (symbol <> '5-LOW' or {WEEK_SQL} % 7 <> 0)")
+
+
+def protocol(spark: SparkSession, sf: str, fold: tuple | None = FOLD, chance: wf.Chance | None = None) -> DataFrame:
+    return wf.research_protocol(spark, weekly(spark, sf), *PERIODS, SMALL, WEEKLY, SAMPLES, fold, chance)
+
+
+def scores(spark: SparkSession, sf: str) -> DataFrame:
+    return wf.permutation_scores(weekly(spark, sf), KEYS, plain_ma, PATHS, BLOCK, SEED, WEEKLY)
 
 
 def permutation(spark: SparkSession, sf: str) -> DataFrame:
     b = weekly(spark, sf)
-    observed = bt.metrics(bt.backtest(ma(b), KEYS), KEYS)
-    return wf.permutation_test(observed, b, KEYS, lambda df, keys: plain_ma(df, keys), PATHS, BLOCK, SEED)
+    observed = bt.metrics(bt.backtest(ma(b), KEYS), KEYS, WEEKLY)
+    return wf.permutation_test(observed, b, KEYS, plain_ma, PATHS, BLOCK, SEED, WEEKLY)
 
 
 def plain_ma(df: DataFrame, keys: list[str]) -> DataFrame:
     """MA(5, 20) on prices that aren't whole cents."""
-    df = signals.close_sums(df, keys, [5, 20], scale=None)
-    return df.withColumn("target_position", F.when(F.col("sums")[5] * 20 > F.col("sums")[20] * 5, 1.0).otherwise(0.0)).drop("sums")
+    return signals.ma_targets(df, keys, 5, 20, scale=None)
 
 
 def permutation_status(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,9 +198,9 @@ def permutation_status(spark: SparkSession, sf: str) -> DataFrame:
 def permuted_policy(spark: SparkSession, sf: str) -> DataFrame:
     """The research policy: each symbol's MA(5, 20) run against its own first half, and a permutation test over all its bars."""
     b = splits.by_ratio(weekly(spark, sf), KEYS, 0.5)
-    runs = bt.metrics(bt.backtest(ma(b, ["symbol", "role"]), ["symbol", "role"]), ["symbol", "role"])
+    runs = bt.metrics(bt.backtest(ma(b, ["symbol", "role"]), ["symbol", "role"]), ["symbol", "role"], WEEKLY)
     one = lambda r: runs.filter(F.col("role") == r).drop("role")
-    df = evidence.train_and_test(one("train"), one("test"), KEYS).join(permutation(spark, sf).select("symbol", "empirical_p_value"), "symbol")
+    df = evidence.train_and_test(one("train"), one("test"), KEYS).join(permutation(spark, sf).select("symbol", "empirical_p_value").hint("merge"), "symbol")
     df = df.withColumns({"null_model": F.lit("return_block_reconstruction"), "permutation_scope": F.lit("candidate_fixed")})
     limits = policy.Research(min_trade_count=2, max_drawdown_cap=0.9, max_p_value=0.5, scope="candidate_fixed")
     return policy.research_policy(df, limits)
@@ -179,35 +221,60 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "benchmark_summary": lambda s, d: tidy(bt.buy_and_hold_summary(b(s, d), KEYS)),
         "trade_log": lambda s, d: tidy(bt.trades(curve(s, d), KEYS)),
         "trade_markers": lambda s, d: tidy(bt.trade_markers(bt.trades(curve(s, d), KEYS), KEYS)),
-        "run_metrics": lambda s, d: tidy(bt.metrics(curve(s, d), KEYS)),
-        "single_experiment": lambda s, d: tidy(wf.experiment(ma(b(s, d)), KEYS)),
+        "run_metrics": lambda s, d: tidy(bt.metrics(curve(s, d), KEYS, WEEKLY)),
+        "single_experiment": lambda s, d: tidy(wf.experiment(ma(b(s, d)), KEYS, WEEKLY)),
         "candidates": lambda s, d: tidy(b(s, d).select("symbol").distinct().crossJoin(F.broadcast(search.candidates(s, MIXED)))),
         "grid_search": lambda s, d: tidy(ranked(s, d), "symbol", "cand_id", "rank", *METRICS),
         "search_summary": lambda s, d: tidy(search.search_summary(ranked(s, d), KEYS, search.candidates(s, GRID))),
         "top_k": lambda s, d: tidy(ranked(s, d).filter("rank <= 3"), "symbol", "cand_id", "rank", "score"),
         "top_curves": lambda s, d: tidy(top_curves(s, d)),
         "holdout_split": lambda s, d: tidy(splits.segments(splits.by_cutoff(b(s, d), CUTOFF), ["symbol", "role"])),
-        "development_run": lambda s, d: tidy(bt.metrics(bt.backtest(ma(splits.by_cutoff(b(s, d), CUTOFF).filter("role = 'development'")), KEYS), KEYS)),
+        "development_run": lambda s, d: tidy(bt.metrics(bt.backtest(ma(splits.by_cutoff(b(s, d), CUTOFF).filter("role = 'development'")), KEYS), KEYS, WEEKLY)),
         "period_split": lambda s, d: tidy(splits.segments(splits.by_periods(b(s, d), *PERIODS), ["symbol", "role"])),
         "ratio_split": lambda s, d: tidy(splits.by_ratio(b(s, d), KEYS, 0.7), "symbol", "ts", "role"),
         "fold_map": lambda s, d: tidy(splits.folds(b(s, d), KEYS, *FOLD), "symbol", "ts", "fold", "role", "segment_idx"),
         "history_check": lambda s, d: tidy(splits.history_check(splits.by_ratio(b(s, d), KEYS, 0.4), ["symbol", "role"], GRID)),
-        "validate_search": lambda s, d: tidy(wf.validate_search(s, b(s, d), SMALL), "symbol", "cand_id", "result_count", *EVIDENCE, "verdict", "candidate_reasons", "research_verdict", "research_checks"),
-        "walk_forward_folds": lambda s, d: tidy(walk(s, d), "symbol", "fold", "cand_id", *EVIDENCE),
-        "walk_forward_aggregate": lambda s, d: tidy(wf.walk_forward_summary(walk(s, d), b(s, d), *FOLD)),
-        "cost_sensitivity": lambda s, d: tidy(evidence.cost_sensitivity(ma(b(s, d)), KEYS)),
-        "bootstrap_ci": lambda s, d: tidy(nulls.bootstrap(curve(s, d), KEYS, SAMPLES, SEED)),
+        "validate_search": lambda s, d: tidy(
+            wf.validate_search(s, b(s, d), SMALL, config=WEEKLY, chance=CHANCE),
+            *["symbol", "cand_id", "result_count", *EVIDENCE, "cost_verdict", "bootstrap_verdict", "empirical_p_value", "permutation_status"],
+            *["verdict", "candidate_reasons", "research_verdict", "research_checks"],
+        ),
+        "validation_status": lambda s, d: tidy(wf.validation_status(b(s, d), GRID, 0.4)),
+        "candidate_policy": lambda s, d: tidy(every_candidate(s, d), "symbol", "cand_id", *EVIDENCE, "candidate_verdict", "candidate_reasons"),
+        "walk_forward_folds": lambda s, d: tidy(walk(s, d)[0], "symbol", "fold", "cand_id", *EVIDENCE, "verdict", "research_verdict"),
+        "fold_results": lambda s, d: tidy(reports.fold_results(walk(s, d)[0], SMALL)),
+        "walk_forward_aggregate": lambda s, d: tidy(wf.walk_forward_summary(walk(s, d)[0], b(s, d), *FOLD)),
+        "walk_forward_policy": lambda s, d: tidy(pooled_policy(s, d), "symbol", "fold_count", "pooled_test_sharpe_ratio", "walk_forward_verdict", "walk_forward_reasons"),
+        "ranked_results": lambda s, d: tidy(reports.ranked_results(ranked(s, d), KEYS, GRID)),
+        "cost_sensitivity": lambda s, d: tidy(evidence.cost_sensitivity(ma(b(s, d)), KEYS, WEEKLY)),
+        "bootstrap_ci": lambda s, d: tidy(nulls.bootstrap(curve(s, d), KEYS, SAMPLES, SEED, WEEKLY.annualization)),
         "null_paths": lambda s, d: tidy(nulls.null_paths(b(s, d), KEYS, 3, BLOCK, SEED), digits=2),
+        "null_scores": lambda s, d: tidy(nulls.null_scores(scores(s, d), KEYS)),
+        "path_status": lambda s, d: tidy(nulls.path_status(dirty(s, d).unionByName(b(s, d).withColumn("symbol", F.concat("symbol", F.lit("'")))), KEYS, BLOCK)),
         "permutation_test": lambda s, d: tidy(permutation(s, d)),
         "permutation_status": lambda s, d: tidy(permutation_status(s, d), "symbol", "status"),
         "research_policy": lambda s, d: tidy(permuted_policy(s, d), "symbol", "research_verdict", "research_checks"),
-        "family_comparison": lambda s, d: tidy(wf.compare_families(s, b(s, d), FAMILIES), "symbol", "strategy", "cand_id", "comparison_rank", "test_score", "research_verdict", "candidate_verdict"),
+        "family_comparison": lambda s, d: tidy(
+            wf.compare_families(s, b(s, d), FAMILIES, config=WEEKLY), "symbol", "strategy", "cand_id", "comparison_rank", "test_score", "research_verdict", "candidate_verdict"
+        ),
+        "comparison_results": lambda s, d: tidy(reports.comparison_results(wf.compare_families(s, b(s, d), FAMILIES, config=WEEKLY))),
+        "bars_validated": lambda s, d: tidy(accepted_bars(dirty(s, d).filter(F.col("symbol").isin(*FAULTY)).unionByName(b(s, d).filter(~F.col("symbol").isin(*FAULTY))))),
+        "signal_rejects": lambda s, d: tidy(signal_violations(faulty_signals(s, d)), "symbol", "ts", "violations"),
+        "signal_status": lambda s, d: tidy(signals.signal_status(b(s, d), signals_of_some(s, d))),
         "signal_validation": lambda s, d: tidy(signal_quality(external(s, d).withColumn("signal_binary", F.when(week() % 9 == 0, 2).otherwise(F.col("signal_binary"))).withColumn("available_at", F.when(week() % 8 == 0, F.col("ts") + F.expr("interval 1 day")).otherwise(F.col("available_at"))))),
         "signal_alignment": lambda s, d: tidy(signals.misaligned(b(s, d).filter(week() % 7 != 0), external(s, d).filter(week() % 5 != 0))),
-        "custom_signal_run": lambda s, d: tidy(wf.custom_signal_run(b(s, d), external(s, d), *PERIODS), "symbol", *EVIDENCE, "verdict", "research_verdict"),
-        "research_protocol": lambda s, d: tidy(wf.research_protocol(s, b(s, d), *PERIODS, SMALL, samples=SAMPLES), "symbol", "cand_id", "result_count", *EVIDENCE, "verdict", "cost_verdict", "annualized_low", "annualized_high", "bootstrap_verdict"),
+        "custom_signal_run": lambda s, d: tidy(
+            wf.custom_signal_run(b(s, d), signals_of_some(s, d), *PERIODS, WEEKLY, SAMPLES),
+            *["symbol", *EVIDENCE, "cost_verdict", "bootstrap_verdict", "verdict", "research_verdict"],
+        ),
+        "research_protocol": lambda s, d: tidy(
+            protocol(s, d, chance=CHANCE),
+            *["symbol", "cand_id", "result_count", *EVIDENCE, "verdict", "cost_verdict", "annualized_low", "annualized_high", "bootstrap_verdict"],
+            *["fold_count", "mean_test_total_return", "pooled_test_sharpe_ratio", "walk_forward_verdict", "empirical_p_value", "permutation_status", "research_verdict"],
+        ),
+        "frozen_plan": lambda s, d: tidy(wf.frozen_plan(s, protocol(s, d, None), *PERIODS, SMALL, WEEKLY)),
         "payload_ingest": lambda s, d: tidy(src.parse_payloads(payloads(s, d))),
-        "payload_search": lambda s, d: tidy(wf.grid_search(s, src.parse_payloads(payloads(s, d)).dropna(), KEYS, SMALL), "symbol", "cand_id", "rank", "score"),
+        "payload_search": lambda s, d: tidy(wf.grid_search(s, accepted_bars(src.parse_payloads(payloads(s, d)).filter("low is not null")), KEYS, SMALL, WEEKLY), "symbol", "cand_id", "rank", "score"),
         "month_sequence": lambda s, d: tidy(months(s, d)),
         "keep_last": lambda s, d: tidy(keep_last(s, d)),
     }

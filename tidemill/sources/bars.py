@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 PRICES = ["open", "high", "low", "close"]
 COLUMNS = ["symbol", "ts", *PRICES, "volume"]
+SIGNALS = ["datetime", "available_at", "symbol", "signal_name", "signal_value", "signal_binary", "source"]
 #: Other names of the time column.
 ALIASES = {"date": "datetime", "timestamp": "datetime"}
 
@@ -34,6 +35,15 @@ def read_bars(spark: SparkSession, path: str, symbol: str | None = None, time_co
     return df.select(name.alias("symbol"), F.col("datetime").cast("timestamp_ntz").alias("ts"), *[F.col(c).cast("double").alias(c) for c in [*PRICES, "volume"]])
 
 
+def read_signals(spark: SparkSession, path: str, time_column: str = "datetime", fmt: str = "csv") -> DataFrame:
+    """External signals: symbol, ts, available_at, signal_name, signal_value, signal_binary, source; all else is pruned."""
+    df = spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.format(fmt).load(path)
+    df = standard_columns(df, SIGNALS, time_column, {})
+    kinds = {"available_at": "timestamp_ntz", "signal_value": "double", "signal_binary": "double"}
+    times = F.col("datetime").cast("timestamp_ntz").alias("ts")
+    return df.select("symbol", times, *[F.col(c).cast(kinds.get(c, "string")).alias(c) for c in SIGNALS if c not in ("symbol", "datetime")])
+
+
 def bars_from_ticks(ticks: DataFrame, symbol: str, time: Column, price: str, order: str) -> DataFrame:
     """One bar for each symbol and time bucket; the close is the mean price in whole cents, the volume the number of ticks."""
     cents = F.sum(F.round(F.col(price) * 100).cast("long"))
@@ -96,8 +106,13 @@ def month_starts(spark: SparkSession, first: str, last: str) -> DataFrame:
     """(month): "YYYYMM01" of every month from first to last, both "YYYY-MM"."""
     if first > last:
         raise ValueError("the first month must not come after the last")
-    days = F.sequence(F.lit(f"{first}-01").cast("date"), F.lit(f"{last}-01").cast("date"), F.expr("interval 1 month"))
-    return spark.range(1).select(F.explode(days).alias("day")).select(F.date_format("day", "yyyyMMdd").alias("month"))
+    return spark.range(1).select(F.explode(months_between(*[F.lit(f"{x}-01").cast("date") for x in (first, last)])).alias("month"))
+
+
+def months_between(first: Column, last: Column) -> Column:
+    """"YYYYMM01" of every month from one date to another, as an array."""
+    days = F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("interval 1 month"))
+    return F.transform(days, lambda d: F.date_format(d, "yyyyMMdd"))
 
 
 # --- sinks -------------------------------------------------------------------------------------------------------------
@@ -108,3 +123,8 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None, fmt: str
     out = df.repartition(*by).write if by else df.write
     out = out.partitionBy(*by) if by else out
     (out.option("header", True) if fmt == "csv" else out).format(fmt).mode("overwrite").save(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Metrics, settings and nested summaries, one JSON object a row; columns that are null are written too."""
+    df.write.option("ignoreNullFields", False).mode("overwrite").json(path)
