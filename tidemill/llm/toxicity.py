@@ -23,7 +23,7 @@ SQL = None  # SQL trains no network
 #: Labelled texts of each class that the network is fitted to, at most: those of the least text hash.
 SAMPLE_TEXTS = 1_500
 #: Windows of each of them that it is trained on, at most, spread evenly over the whole text; all others score all windows.
-SAMPLE_WINDOWS = 300
+SAMPLE_WINDOWS = 75
 WINDOW, STRIDE = 24, 16
 #: Shrinking of embeddings at each step, as a share of the learning rate.
 DECAY = 0.02
