@@ -142,6 +142,7 @@ def _blocks(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     once, leaf, held = once[new], of[new] * 16 + (once[new] >> np.uint64(60)).astype(np.int64), held[new]
     sims = simhashes(once, leaf, 16 * n, 6).reshape(n, 16)
     held = np.bincount(leaf, held, 16 * n).reshape(n, 16)
+    poor = held.sum(1) < 3 * PART_BYTES  # few different words: a part may be too small, so pairs of sixths count at any length
     found = []
 
     def take(which: np.ndarray, kind: int, parts: np.ndarray) -> None:
@@ -158,7 +159,7 @@ def _blocks(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         below |= np.repeat(own, width, axis=1)
     # Sixths of short lines, by the place of a word; two sixths of a longer line hold too much to be a block.
     bytes_of = np.bincount(line, size, n)
-    keep = (bytes_of < 6 * SIXTHS[2][1])[line]
+    keep = (poor | (bytes_of < 6 * SIXTHS[2][1]))[line]
     h, size, line = h[keep], size[keep], line[keep]
     count = np.bincount(line, minlength=n)
     nth = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
@@ -168,7 +169,7 @@ def _blocks(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for many, (low, high) in SIXTHS.items():
         for k, c in enumerate(itertools.combinations(range(6), many)):
             bytes_ = held[:, c].sum(1)
-            take((bytes_ >= low) & (bytes_ < high), 1000 * many + k, sims[:, c])
+            take((bytes_ >= low) & ((bytes_ < high) | (poor & (many == 2))), 1000 * many + k, sims[:, c])
     return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (np.empty(0, np.int64), np.empty(0, np.uint64))
 
 
