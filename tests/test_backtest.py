@@ -22,7 +22,10 @@ def bars(spark, closes, targets=None, symbol="A", more=None):
     for i, c in enumerate(closes):
         t = pd.Timestamp("2024-01-01") + pd.Timedelta(days=i)
         rows.append((symbol, t.to_pydatetime(), float(c), float(c), float(c), float(c), 1.0, None if targets is None else float(targets[i])))
-    return spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double, target_position double")
+    return spark.createDataFrame(
+        rows,
+        "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double, target_position double",
+    )
 
 
 def column(df, name):
@@ -89,12 +92,18 @@ def test_metrics(spark):
 
 
 def test_sharpe_is_zero_without_spread(spark):
-    df = spark.createDataFrame([("one", 0, 0.1, 1.0, 0.0), ("two", 0, 0.1, 1.0, 0.0), ("two", 1, 0.1, 1.1, 0.0)], "symbol string, ts long, strategy_return double, equity double, turnover double")
+    df = spark.createDataFrame(
+        [("one", 0, 0.1, 1.0, 0.0), ("two", 0, 0.1, 1.0, 0.0), ("two", 1, 0.1, 1.1, 0.0)],
+        "symbol string, ts long, strategy_return double, equity double, turnover double",
+    )
     assert {r.sharpe_ratio for r in bt.run_metrics(df, K).collect()} == {0.0}
 
 
 def test_total_loss_has_no_annual_return(spark):
-    df = spark.createDataFrame([("A", 0, 0.0, 100.0, 0.0), ("A", 1, -1.5, -50.0, 1.0)], "symbol string, ts long, strategy_return double, equity double, turnover double")
+    df = spark.createDataFrame(
+        [("A", 0, 0.0, 100.0, 0.0), ("A", 1, -1.5, -50.0, 1.0)],
+        "symbol string, ts long, strategy_return double, equity double, turnover double",
+    )
     assert math.isnan(bt.run_metrics(df, K).first().annualized_return)
 
 
@@ -155,7 +164,10 @@ def test_bar_rules(spark):
         ("A", "2024-01-07", 1.0, 1.0, 1.0, 1.0, 1.0),
         ("A", "2024-01-07", 1.0, 1.0, 1.0, 1.0, 1.0),
     ]
-    df = spark.createDataFrame(rows, "symbol string, ts string, open double, high double, low double, close double, volume double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    df = spark.createDataFrame(
+        rows,
+        "symbol string, ts string, open double, high double, low double, close double, volume double",
+    ).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     found = {(r.ts.day, tuple(r.violations)) for r in bar_violations(df).collect()}
     assert (2, ("high_below_low", "high_below_open", "high_below_close")) in found
     assert (3, ("price_missing",)) in found and (4, ("price_not_finite",)) in found and (7, ("datetime_repeated",)) in found
@@ -165,7 +177,12 @@ def test_bar_rules(spark):
 
 
 def test_signal_rules(spark):
-    rows = [("A", "2024-01-02", "2024-01-01", 1), ("A", "2024-01-03", "2024-01-04", 0), ("A", "2024-01-05", "2024-01-05", 2), ("A", None, "2024-01-05", None)]
+    rows = [
+        ("A", "2024-01-02", "2024-01-01", 1),
+        ("A", "2024-01-03", "2024-01-04", 0),
+        ("A", "2024-01-05", "2024-01-05", 2),
+        ("A", None, "2024-01-05", None),
+    ]
     df = spark.createDataFrame(rows, "symbol string, ts string, available_at string, signal_binary int")
     df = df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "available_at")})
     q = signal_quality(df).first()
@@ -173,7 +190,10 @@ def test_signal_rules(spark):
 
 
 def test_score_and_thresholds(spark):
-    df = spark.createDataFrame([(0.1, 1.0, 0.5, -0.2, 10.0, 10, 3), (0.1, 1.0, 0.5, -0.2, 20.0, 20, 3)], "annualized_return double, sharpe_ratio double, win_rate double, max_drawdown double, turnover double, bar_count long, trade_count long")
+    df = spark.createDataFrame(
+        [(0.1, 1.0, 0.5, -0.2, 10.0, 10, 3), (0.1, 1.0, 0.5, -0.2, 20.0, 20, 3)],
+        "annualized_return double, sharpe_ratio double, win_rate double, max_drawdown double, turnover double, bar_count long, trade_count long",
+    )
     a, b = df.select(score().alias("s"), passes(0.2, 3).alias("ok"), passes(0.1, 3).alias("no")).collect()
     assert a.s == pytest.approx(0.1 + 0.2 + 0.05 - 0.4 - 0.01) and a.s == b.s and a.ok and not a.no
 
@@ -190,7 +210,12 @@ def test_columns_and_csv(spark, tmp_path):
 def test_payloads(spark):
     row = '["113/03/01","24,167,721","16,699,995,060","697.00","697.00","688.00","689.00","-1.00"]'
     again = '["113/03/01","1","1","697.00","697.00","--","690.00","-1.00"]'
-    docs = [("A", 1, f'{{"stat":"OK","data":[{row},["113/03/04","1"]]}}'), ("B", 1, f'{{"stat":"NO","data":[{row}]}}'), ("C", 1, f'{{"stat":"OK","data":[{row}]}}'), ("C", 2, f'{{"stat":"OK","data":[{again}]}}')]
+    docs = [
+        ("A", 1, f'{{"stat":"OK","data":[{row},["113/03/04","1"]]}}'),
+        ("B", 1, f'{{"stat":"NO","data":[{row}]}}'),
+        ("C", 1, f'{{"stat":"OK","data":[{row}]}}'),
+        ("C", 2, f'{{"stat":"OK","data":[{again}]}}'),
+    ]
     got = {r.symbol: r for r in src.parse_payloads(spark.createDataFrame(docs, "symbol string, ingest_order int, payload string")).collect()}
     assert set(got) == {"A", "C"}
     a = got["A"]

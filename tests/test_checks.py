@@ -68,9 +68,17 @@ def test_targets_of_callers_are_aligned(spark):
 
 
 def test_signal_files(spark, tmp_path):
-    (tmp_path / "s.csv").write_text("Datetime, available_at ,symbol,signal_name,signal_value,signal_binary,source,more\n2024-01-02,2024-01-01,A,x,0.5,1,me,z\n")
+    (tmp_path / "s.csv").write_text(
+        "Datetime, available_at ,symbol,signal_name,signal_value,signal_binary,source,more\n2024-01-02,2024-01-01,A,x,0.5,1,me,z\n"
+    )
     (r,) = src.read_signals(spark, str(tmp_path / "s.csv")).collect()
-    assert (r.symbol, str(r.ts), str(r.available_at), r.signal_value, r.signal_binary) == ("A", "2024-01-02 00:00:00", "2024-01-01 00:00:00", 0.5, 1.0)
+    assert (
+        r.symbol,
+        str(r.ts),
+        str(r.available_at),
+        r.signal_value,
+        r.signal_binary,
+    ) == ("A", "2024-01-02 00:00:00", "2024-01-01 00:00:00", 0.5, 1.0)
     (tmp_path / "t.csv").write_text("datetime,symbol\n2024-01-02,A\n")
     with pytest.raises(ValueError, match="missing columns"):
         src.read_signals(spark, str(tmp_path / "t.csv"))
@@ -92,9 +100,15 @@ def test_empty_segments(spark):
 
 def test_scores_that_are_no_numbers_come_last(spark):
     rows = [("A", c, "ma_crossover", 2, 5, None, v, -0.1, 1) for c, v in (("x", float("nan")), ("y", -3.0), ("z", 0.5))]
-    df = spark.createDataFrame(rows, "symbol string, cand_id string, strategy string, short_window int, long_window int, lookback_window int, score double, max_drawdown double, trade_count long")
+    df = spark.createDataFrame(
+        rows,
+        "symbol string, cand_id string, strategy string, short_window int, long_window int, lookback_window int, score double, max_drawdown double, trade_count long",
+    )
     assert [r.cand_id for r in search.ranked(df, K).orderBy("rank").collect()] == ["z", "y", "x"]
-    o, n = spark.createDataFrame([("A", 1.0)], "symbol string, score double"), spark.createDataFrame([("A", x) for x in (2.0, float("nan"))], "symbol string, score double")
+    o, n = spark.createDataFrame([("A", 1.0)], "symbol string, score double"), spark.createDataFrame(
+        [("A", x) for x in (2.0, float("nan"))],
+        "symbol string, score double",
+    )
     assert nulls.p_values(o, n, K).first().null_ge_count == 1
 
 
@@ -128,7 +142,11 @@ def test_protocol_reports(spark, tmp_path):
     r = p.first()
     assert r.fold_count == 3 and r.walk_forward_reasons[0] == "fold_coverage_complete" and r.pooled_test_sharpe_ratio is not None
     plan = wf.frozen_plan(spark, p, *periods, GRID, FREE).first()
-    assert json.loads(plan.selected_parameters) == {"long_window": 5, "short_window": 2} and (plan.search_space_size, plan.tried_parameter_combination_count, plan.holdout_start) == (1, 1, "2024-02-21")
+    assert json.loads(plan.selected_parameters) == {"long_window": 5, "short_window": 2} and (
+        plan.search_space_size,
+        plan.tried_parameter_combination_count,
+        plan.holdout_start,
+    ) == (1, 1, "2024-02-21")
     src.write_json(reports.nested_summary(p, K), str(tmp_path / "p"))
     (made,) = spark.read.json(str(tmp_path / "p")).collect()
     assert made.summary.test.score == pytest.approx(r.test_score) and made.summary.low_cost.sharpe_ratio == pytest.approx(r.low_cost_sharpe_ratio)
@@ -144,6 +162,12 @@ def test_pooled_sharpe(spark):
 
 
 def test_candidate_names(spark):
-    df = spark.createDataFrame([("breakout:lookback_window=3", None, None, 3)], "cand_id string, short_window int, long_window int, lookback_window int")
-    r = df.select(search.parameters_json().alias("p"), search.candidate_id(F.col("cand_id"), F.lit("2024-01-01").cast("timestamp_ntz"), F.lit("2024-02-01").cast("timestamp_ntz")).alias("i")).first()
+    df = spark.createDataFrame(
+        [("breakout:lookback_window=3", None, None, 3)],
+        "cand_id string, short_window int, long_window int, lookback_window int",
+    )
+    r = df.select(
+        search.parameters_json().alias("p"),
+        search.candidate_id(F.col("cand_id"), F.lit("2024-01-01").cast("timestamp_ntz"), F.lit("2024-02-01").cast("timestamp_ntz")).alias("i"),
+    ).first()
     assert r.p == '{"lookback_window":3}' and r.i == "breakout:lookback_window=3:2024-01-01 00:00:00-2024-02-01 00:00:00"

@@ -18,14 +18,25 @@ def test_candidates(spark):
     assert sorted((r.short_window, r.long_window) for r in c.filter("is_valid").collect()) == [(2, 3), (2, 4), (2, 5), (4, 5)] and c.count() == 6
     c = search.candidates(spark, {"breakout": {"lookback_window": [2, 0]}})
     assert c.filter("is_valid").count() == 1
-    for grid in ({"ma_crossover": {"short_window": [5, 6], "long_window": [3, 4]}}, {"breakout": {"lookback_window": []}}, {"breakout": {"window": [1]}}):
+    for grid in (
+        {"ma_crossover": {"short_window": [5, 6], "long_window": [3, 4]}},
+        {"breakout": {"lookback_window": []}},
+        {"breakout": {"window": [1]}},
+    ):
         with pytest.raises(ValueError):
             search.candidates(spark, grid)
 
 
 def test_rank_ties_go_by_long_window_first(spark):
-    rows = [("A", "x", "ma_crossover", 3, 6, None, 0.7, -0.1, 1), ("A", "y", "ma_crossover", 2, 5, None, 0.7, -0.1, 1), ("A", "z", "ma_crossover", 1, 9, None, 0.9, -0.5, 1)]
-    df = spark.createDataFrame(rows, "symbol string, cand_id string, strategy string, short_window int, long_window int, lookback_window int, score double, max_drawdown double, trade_count long")
+    rows = [
+        ("A", "x", "ma_crossover", 3, 6, None, 0.7, -0.1, 1),
+        ("A", "y", "ma_crossover", 2, 5, None, 0.7, -0.1, 1),
+        ("A", "z", "ma_crossover", 1, 9, None, 0.9, -0.5, 1),
+    ]
+    df = spark.createDataFrame(
+        rows,
+        "symbol string, cand_id string, strategy string, short_window int, long_window int, lookback_window int, score double, max_drawdown double, trade_count long",
+    )
     assert [r.cand_id for r in search.ranked(df, K).orderBy("rank").collect()] == ["z", "y", "x"]
     assert [r.cand_id for r in search.ranked(df, K, max_drawdown_cap=0.2).orderBy("rank").collect()] == ["y", "x"]
 
@@ -36,7 +47,10 @@ def test_candidates_match_single_runs(spark):
     runs = {r.cand_id: r for r in wf.grid_search(spark, b, K, grid).collect()}
     from tidemill.operators import signals
 
-    for name, df in (("ma_crossover:long_window=5:short_window=3", signals.ma_targets(b, K, 3, 5)), ("breakout:lookback_window=4", signals.breakout_targets(b, K, 4))):
+    for name, df in (
+        ("ma_crossover:long_window=5:short_window=3", signals.ma_targets(b, K, 3, 5)),
+        ("breakout:lookback_window=4", signals.breakout_targets(b, K, 4)),
+    ):
         m = bt.metrics(bt.backtest(df, K), K).first()
         assert runs[name].score == pytest.approx(m.score) and runs[name].trade_count == m.trade_count
     summary = search.search_summary(wf.grid_search(spark, b, K, grid), K, search.candidates(spark, grid)).first()
@@ -63,7 +77,12 @@ def test_folds(spark, train, test, step):
         want.append((at // step, at, at + train, at + train + test))
         at += step
     got = splits.folds(b, K, train, test, step).withColumn("i", F.dayofmonth(F.col("ts").cast("date")) - 1)
-    rows = got.groupBy("fold").agg(F.min("i").alias("a"), F.min(F.when(F.col("role") == "test", F.col("i"))).alias("b"), (F.max("i") + 1).alias("c"), F.count("*").alias("n")).orderBy("fold").collect()
+    rows = got.groupBy("fold").agg(
+        F.min("i").alias("a"),
+        F.min(F.when(F.col("role") == "test", F.col("i"))).alias("b"),
+        (F.max("i") + 1).alias("c"),
+        F.count("*").alias("n"),
+    ).orderBy("fold").collect()
     assert [(r.fold, r.a, r.b, r.c) for r in rows] == want and all(r.n == train + test for r in rows)
 
 
@@ -76,9 +95,21 @@ def test_history_check(spark):
 def test_walk_forward_means(spark):
     cols = ["total_return", "sharpe_ratio", "max_drawdown", "win_rate", "turnover"]
     rows = [("A", 0, 0.1, 1.0, -0.1, 0.5, 1.0, 2, 0.05, -0.08, 0.05), ("A", 1, 0.2, 1.4, -0.2, 0.75, 1.5, 4, 0.09, -0.10, 0.11)]
-    df = spark.createDataFrame(rows, "symbol string, fold int, " + ", ".join(f"test_{c} double" for c in cols) + ", test_trade_count long, benchmark_total_return double, benchmark_max_drawdown double, return_excess double")
+    df = spark.createDataFrame(
+        rows,
+        "symbol string, fold int, " + ", ".join(f"test_{c} double" for c in cols) + ", test_trade_count long, benchmark_total_return double, benchmark_max_drawdown double, return_excess double",
+    )
     a = evidence.fold_aggregates(df, K).first()
-    assert [round(x, 6) for x in (a.mean_test_total_return, a.mean_test_sharpe_ratio, a.mean_test_max_drawdown, a.worst_test_max_drawdown, a.mean_test_win_rate, a.mean_test_turnover)] == [0.15, 1.2, -0.15, -0.2, 0.625, 1.25]
+    assert [
+        round(x, 6) for x in (
+            a.mean_test_total_return,
+            a.mean_test_sharpe_ratio,
+            a.mean_test_max_drawdown,
+            a.worst_test_max_drawdown,
+            a.mean_test_win_rate,
+            a.mean_test_turnover,
+        )
+    ] == [0.15, 1.2, -0.15, -0.2, 0.625, 1.25]
     assert a.total_test_trade_count == 6 and round(a.mean_benchmark_total_return, 6) == 0.07 and round(a.mean_excess_return, 6) == 0.08
 
 
@@ -127,7 +158,15 @@ def test_cost_sensitivity(spark):
     assert evidence.cost_sensitivity(bars(spark, closes, targets), K, bt.Config(fee=0.001, slippage=0.0)).first().cost_verdict == "stable"
 
 
-BASE = {"train_total_return": 0.1, "test_total_return": 0.1, "test_sharpe_ratio": 1.0, "return_degradation": 0.0, "sharpe_degradation": 0.0, "max_drawdown_delta": 0.0, "return_excess": 0.0}
+BASE = {
+    "train_total_return": 0.1,
+    "test_total_return": 0.1,
+    "test_sharpe_ratio": 1.0,
+    "return_degradation": 0.0,
+    "sharpe_degradation": 0.0,
+    "max_drawdown_delta": 0.0,
+    "return_excess": 0.0,
+}
 
 
 @pytest.mark.parametrize(
@@ -165,7 +204,17 @@ def test_candidate_policy(spark, change, verdict, last):
     ],
 )
 def test_walk_forward_policy(spark, change, verdict, last):
-    row = {"fold_count": 2, "validated_fold_count": 2, "skipped_fold_count": 0, "mean_test_total_return": 0.1, "mean_test_sharpe_ratio": 1.0, "mean_test_max_drawdown": -0.1, "mean_benchmark_max_drawdown": -0.2, "mean_excess_return": 0.1, "pooled": 1.0} | change
+    row = {
+        "fold_count": 2,
+        "validated_fold_count": 2,
+        "skipped_fold_count": 0,
+        "mean_test_total_return": 0.1,
+        "mean_test_sharpe_ratio": 1.0,
+        "mean_test_max_drawdown": -0.1,
+        "mean_benchmark_max_drawdown": -0.2,
+        "mean_excess_return": 0.1,
+        "pooled": 1.0,
+    } | change
     df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'long' if 'fold' in k else 'double'}" for k in row))
     r = policy.walk_forward_policy(df, "pooled").first()
     assert (r.walk_forward_verdict, r.walk_forward_reasons[-1]) == (verdict, last)
@@ -182,8 +231,13 @@ def test_research_policy(spark):
     r = policy.research_policy(make(0, -0.1, 0.1, 0.2, "other", None)).first()
     assert {k for k, v in r.research_checks.items() if not v} == {"min_trade_count", "max_permutation_p_value", "required_permutation_null_model"}
     r = policy.research_policy(make(3, -0.1, None, None, None, None)).first()
-    assert not r.research_checks["permutation_summary_present_for_p_value"] and not r.research_checks["return_degradation_present"] and "min_return_degradation" not in r.research_checks
-    assert policy.research_policy(make(3, -0.1, 0.1, None, None, None), policy.without_permutation(policy.Research())).first().research_verdict == "promote"
+    assert not r.research_checks[
+        "permutation_summary_present_for_p_value"
+    ] and not r.research_checks["return_degradation_present"] and "min_return_degradation" not in r.research_checks
+    assert policy.research_policy(
+        make(3, -0.1, 0.1, None, None, None),
+        policy.without_permutation(policy.Research()),
+    ).first().research_verdict == "promote"
     r = policy.research_policy(make(None, None, None, None, None, None)).first()
     assert r.research_verdict == "reject" and r.research_reasons[-1] == "missing test metrics"
     r = policy.research_policy(good, rerun_count=1).first()
@@ -191,11 +245,19 @@ def test_research_policy(spark):
 
 
 def test_verdicts_and_status(spark):
-    df = spark.createDataFrame([(True, True, False, 0.01, "m"), (True, False, False, 0.9, "m"), (False, False, True, None, "m"), (True, True, True, 0.01, "x")], "s boolean, t boolean, e boolean, p double, m string")
-    got = df.select(evidence.derived_verdict(F.col("s"), F.lit(True), F.col("t")).alias("v"), evidence.permutation_status(True, F.col("e"), F.col("p"), 0.05, F.col("m"), "m", F.lit(None).cast("string"), "candidate_fixed").alias("st")).collect()
+    df = spark.createDataFrame(
+        [(True, True, False, 0.01, "m"), (True, False, False, 0.9, "m"), (False, False, True, None, "m"), (True, True, True, 0.01, "x")],
+        "s boolean, t boolean, e boolean, p double, m string",
+    )
+    got = df.select(
+        evidence.derived_verdict(F.col("s"), F.lit(True), F.col("t")).alias("v"),
+        evidence.permutation_status(True, F.col("e"), F.col("p"), 0.05, F.col("m"), "m", F.lit(None).cast("string"), "candidate_fixed").alias("st"),
+    ).collect()
     assert [r.v for r in got] == ["validated", "candidate", "inconclusive", "validated"]
     assert [r.st for r in got] == ["completed_passed", "completed_failed", "error", "error"]
-    assert df.select(evidence.permutation_status(False, F.col("e"), F.col("p"), 0.05, F.col("m"), "m", F.col("m"), None).alias("st")).first().st == "skipped"
+    assert df.select(
+        evidence.permutation_status(False, F.col("e"), F.col("p"), 0.05, F.col("m"), "m", F.col("m"), None).alias("st")
+    ).first().st == "skipped"
 
 
 def test_test_segment_is_only_used_for_the_winner(spark):
@@ -215,7 +277,10 @@ def test_walk_forward_and_protocol(spark):
     folds, _ = wf.walk_forward(spark, b, grid, 30, 20, 20)
     assert folds.count() == 3
     got = {r.symbol: r for r in wf.walk_forward_summary(folds, b, 30, 20, 20).collect()}
-    assert got["A"].walk_forward_reasons == ["fold_coverage_complete", "missing_pooled_test_sharpe_ratio"] and got["B"].walk_forward_reasons == ["no_valid_folds"]
+    assert got["A"].walk_forward_reasons == [
+        "fold_coverage_complete",
+        "missing_pooled_test_sharpe_ratio",
+    ] and got["B"].walk_forward_reasons == ["no_valid_folds"]
     r = wf.research_protocol(spark, b.filter("symbol = 'A'"), ("2024-01-01", "2024-02-15"), ("2024-02-16", "2024-03-30"), grid, samples=20).first()
     assert r.cost_verdict in ("stable", "cost_fragile") and r.bootstrap_verdict in ("stronger_evidence", "weak_evidence")
     c = wf.compare_families(spark, b.filter("symbol = 'A'"), grid | {"breakout": {"lookback_window": [3]}}).collect()

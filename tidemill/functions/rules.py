@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from ..sources.bars import PRICES, fill_volume
 
 # What is done about faulty bars.
-POLICIES = {"datetime_policy": "parse_sort_fail_on_duplicate", "duplicate_datetime_policy": "fail", "missing_ohlc_policy": "fail", "missing_volume_policy": "fill_zero"}
+POLICIES = {
+    "datetime_policy": "parse_sort_fail_on_duplicate",
+    "duplicate_datetime_policy": "fail",
+    "missing_ohlc_policy": "fail",
+    "missing_volume_policy": "fill_zero",
+}
 
 
 def finite(c: Column) -> Column:
@@ -60,7 +65,9 @@ def bar_quality(bars: DataFrame) -> DataFrame:
     )
     counts = counts.withColumn("first_violation", F.coalesce(*[F.when(F.col(k) > 0, F.lit(k)) for k in rules]))
     accepted = F.when(F.col("first_violation").isNull(), F.col("source_row_count")).otherwise(F.lit(0)).cast("long")
-    return counts.withColumns({"accepted_row_count": accepted, "duplicate_row_count": F.col("datetime_repeated")} | {k: F.lit(v) for k, v in POLICIES.items()})
+    return counts.withColumns(
+        {"accepted_row_count": accepted, "duplicate_row_count": F.col("datetime_repeated")} | {k: F.lit(v) for k, v in POLICIES.items()}
+    )
 
 
 def accepted_bars(bars: DataFrame) -> DataFrame:

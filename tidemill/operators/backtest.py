@@ -29,7 +29,10 @@ def positions(df: DataFrame, keys: list[str]) -> DataFrame:
     """df with position (the target of the bar before), close_return and turnover; costs don't matter yet."""
     w = ordered(keys)
     df = df.withColumn("target_position", long_only(F.col("target_position")))
-    df = df.withColumn("position", F.coalesce(F.lag("target_position").over(w), F.lit(0.0))).withColumn("close_return", F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0)))
+    df = df.withColumn("position", F.coalesce(F.lag("target_position").over(w), F.lit(0.0))).withColumn(
+        "close_return",
+        F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0)),
+    )
     return df.withColumn("turnover", F.abs(F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0.0))))
 
 
@@ -108,7 +111,14 @@ def metrics(curve: DataFrame, keys: list[str], config: Config = Config(), extra:
     """
     w = ordered(keys)
     before = F.coalesce(F.lag("position").over(w), F.lit(0.0))
-    df = curve.withColumns({"_entry": (before == 0) & (F.col("position") > 0), "_exit": (before > 0) & (F.col("position") == 0), "_prev": F.lag("equity").over(w), "_next": F.lead("ts").over(w)})
+    df = curve.withColumns(
+        {
+            "_entry": (before == 0) & (F.col("position") > 0),
+            "_exit": (before > 0) & (F.col("position") == 0),
+            "_prev": F.lag("equity").over(w),
+            "_next": F.lead("ts").over(w),
+        }
+    )
     df = df.withColumn("_base", F.last(F.when(F.col("_entry"), F.col("_prev")), ignorenulls=True).over(so_far(keys)))
     ends = F.col("_exit") | ((F.col("position") > 0) & F.col("_next").isNull())
     won = F.when(ends & (F.col("_base") != 0), F.col("equity") / F.col("_base") - 1 > 0)
@@ -126,7 +136,10 @@ def buy_and_hold(bars: DataFrame, keys: list[str], capital: float = 100_000.0) -
 
 def buy_and_hold_summary(bars: DataFrame, keys: list[str], capital: float = 100_000.0) -> DataFrame:
     curve = drawdowns(buy_and_hold(bars, keys, capital), keys)
-    return curve.groupBy(*keys).agg((F.max_by("equity", "ts") / F.min_by("equity", "ts") - 1).alias("benchmark_total_return"), F.min("drawdown").alias("benchmark_max_drawdown"))
+    return curve.groupBy(*keys).agg(
+        (F.max_by("equity", "ts") / F.min_by("equity", "ts") - 1).alias("benchmark_total_return"),
+        F.min("drawdown").alias("benchmark_max_drawdown"),
+    )
 
 
 def trade_markers(found: DataFrame, keys: list[str]) -> DataFrame:

@@ -41,13 +41,22 @@ def train_and_test(train: DataFrame, test: DataFrame, keys: list[str]) -> DataFr
     right = test.select(*keys, *[F.col(c).alias(f"test_{c}") for c in names])
     df = left.join(right.hint("merge"), keys)
     change = lambda c: F.col(f"test_{c}") - F.col(f"train_{c}")
-    return df.withColumns({"return_degradation": change("annualized_return"), "sharpe_degradation": change("sharpe_ratio"), "max_drawdown_delta": change("max_drawdown")})
+    return df.withColumns(
+        {
+            "return_degradation": change("annualized_return"),
+            "sharpe_degradation": change("sharpe_ratio"),
+            "max_drawdown_delta": change("max_drawdown"),
+        }
+    )
 
 
 def against_benchmark(runs: DataFrame, benchmark: DataFrame, keys: list[str], prefix: str = "test_") -> DataFrame:
     """runs with the benchmark of their segment (0 where there is none), the excess return and the drawdown gap."""
     df = runs.join(benchmark.hint("merge"), keys, "left").fillna(0.0, ["benchmark_total_return", "benchmark_max_drawdown"])
-    return df.withColumn("return_excess", F.col(f"{prefix}total_return") - F.col("benchmark_total_return")).withColumn("max_drawdown_gap", F.col(f"{prefix}max_drawdown") - F.col("benchmark_max_drawdown"))
+    return df.withColumn("return_excess", F.col(f"{prefix}total_return") - F.col("benchmark_total_return")).withColumn(
+        "max_drawdown_gap",
+        F.col(f"{prefix}max_drawdown") - F.col("benchmark_max_drawdown"),
+    )
 
 
 def fold_aggregates(folds: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,7 +82,9 @@ def pooled_sharpe(curve: DataFrame, keys: list[str], config: Config = Config())
     r = F.col("strategy_return")
     sd = F.stddev_samp(r)
     usable = (F.count("*") >= 2) & sd.isNotNull() & ~F.isnan(sd) & (sd != 0)
-    return curve.groupBy(*keys).agg(F.when(usable, F.avg(r) / F.nullif(sd, F.lit(0.0)) * config.annualization**0.5).otherwise(0.0).alias("pooled_test_sharpe_ratio"))
+    return curve.groupBy(*keys).agg(
+        F.when(usable, F.avg(r) / F.nullif(sd, F.lit(0.0)) * config.annualization**0.5).otherwise(0.0).alias("pooled_test_sharpe_ratio")
+    )
 
 
 def derived_verdict(search: Column, train: Column, test: Column, folds: Column | None = None, rejected: Column | None = None) -> Column:
@@ -87,7 +98,16 @@ def fold_coverage_verdict(folds: Column, validated: Column, skipped: Column) ->
     return F.when((folds == 0) | (skipped > 0) | (validated <= 0), "inconclusive").otherwise("validated")
 
 
-def permutation_status(enabled: bool, error: Column, p: Column, most: float | None, null_model: Column, model: str | None, scope: Column, wanted: str | None) -> Column:
+def permutation_status(
+    enabled: bool,
+    error: Column,
+    p: Column,
+    most: float | None,
+    null_model: Column,
+    model: str | None,
+    scope: Column,
+    wanted: str | None,
+) -> Column:
     """skipped, error, completed_failed or completed_passed; the p-value is looked at before model and scope."""
     if not enabled:
         return F.lit("skipped")

@@ -30,19 +30,28 @@ def bootstrap(curve: DataFrame, keys: list[str], samples: int = 1000, seed: int
     if samples <= 0 or per_year <= 0:
         raise ValueError("samples and bars a year must be positive")
     r = F.col("strategy_return")
-    runs = curve.filter(finite(r)).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", r.alias("r")))), lambda x: x["r"]).alias("rs"))
+    runs = curve.filter(finite(r)).groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("ts", r.alias("r")))), lambda x: x["r"]).alias("rs")
+    )
     runs = runs.withColumn("status", F.when((F.size("rs") >= 2) & (F.array_min("rs") > -1), "ok").otherwise("invalid"))
     n = F.size("rs")
     drew = runs.filter("status = 'ok'").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((samples - 1) // DRAWS)))).repartition(*keys, "part")
     some = F.sequence(F.col("part") * DRAWS, F.least(F.col("part") * DRAWS + (DRAWS - 1), F.lit(samples - 1)))
     drew = drew.withColumn("sample", F.explode(some))
-    pick = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at("rs", (drawn(seed, F.col("sample").cast("string"), i.cast("string")) % n + 1).cast("int")))
+    pick = F.transform(
+        F.sequence(F.lit(0), n - 1),
+        lambda i: F.element_at("rs", (drawn(seed, F.col("sample").cast("string"), i.cast("string")) % n + 1).cast("int")),
+    )
     drew = drew.withColumn("pick", pick)
     mean = F.aggregate("pick", F.lit(0.0), lambda s, x: s + x) / n
     growth = F.aggregate("pick", F.lit(1.0), lambda s, x: s * (1 + x))
     made = drew.select(*keys, mean.alias("mean"), annual_growth(growth, n, per_year).alias("annualized"))
     cut = F.array(F.lit(0.025), F.lit(0.975))
-    made = made.groupBy(*keys).agg(F.count("*").alias("n_bootstrap"), F.percentile("mean", cut).alias("m"), F.percentile("annualized", cut).alias("a"))
+    made = made.groupBy(*keys).agg(
+        F.count("*").alias("n_bootstrap"),
+        F.percentile("mean", cut).alias("m"),
+        F.percentile("annualized", cut).alias("a"),
+    )
     low = F.col("a")[0]
     made = made.select(
         *keys,
@@ -69,21 +78,38 @@ def null_paths(bars: DataFrame, keys: list[str], paths: int, block: int, seed: i
     w, every = ordered(keys), Window.partitionBy(*keys)
     prev = F.lag("close").over(w)
     moves = numbered(bars, keys).withColumn("_bad", F.count_if(_unusable()).over(every)).filter((F.col("_bad") == 0) & (F.col("n") >= block))
-    moves = moves.select(*keys, "ts", "idx", *["open", "high", "low", "close", "volume"], *[(F.col(c) / prev).alias(f"_{c}") for c in ("open", "high", "low", "close")])
+    moves = moves.select(
+        *keys,
+        "ts",
+        "idx",
+        *["open", "high", "low", "close", "volume"],
+        *[(F.col(c) / prev).alias(f"_{c}") for c in ("open", "high", "low", "close")],
+    )
     order = moves.withColumn("perm_id", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).repartition(*keys, "perm_id")
     run = [*keys, "perm_id"]
     block_id = F.when(F.col("idx") > 0, F.floor((F.col("idx") - 1) / block)).otherwise(-1)
     rank = F.when(F.col("idx") > 0, F.md5(F.concat_ws("-", (F.col("perm_id") + seed).cast("string"), block_id.cast("string")))).otherwise("")
     row = F.struct(rank.alias("rank"), "idx", "open", "high", "low", "close", "volume", "_open", "_high", "_low", "_close")
     made = order.groupBy(*run).agg(F.array_sort(F.collect_list(row)).alias("rows"), F.array_sort(F.collect_list("ts")).alias("times"))
-    df = made.select(*run, F.posexplode(F.arrays_zip("rows", "times")).alias("pos", "x")).select(*run, "pos", F.col("x.times").alias("_ts"), "x.rows.*")
+    df = made.select(
+        *run,
+        F.posexplode(F.arrays_zip("rows", "times")).alias("pos", "x"),
+    ).select(*run, "pos", F.col("x.times").alias("_ts"), "x.rows.*")
     by_pos = Window.partitionBy(*run).orderBy("pos")
     factor = F.when(F.col("pos") == 0, F.col("close")).otherwise(F.col("_close"))
     df = df.withColumn("_c", F.product(factor).over(by_pos.rowsBetween(Window.unboundedPreceding, 0)))
     df = df.withColumn("_p", F.lag("_c").over(by_pos))
     o, h, low, c = (F.when(F.col("pos") == 0, F.col(x)).otherwise(F.col("_p") * F.col(f"_{x}")) for x in ("open", "high", "low", "close"))
     c = F.col("_c")
-    return df.select(*run, F.col("_ts").alias("ts"), o.alias("open"), F.greatest(o, h, low, c).alias("high"), F.least(o, h, low, c).alias("low"), c.alias("close"), "volume")
+    return df.select(
+        *run,
+        F.col("_ts").alias("ts"),
+        o.alias("open"),
+        F.greatest(o, h, low, c).alias("high"),
+        F.least(o, h, low, c).alias("low"),
+        c.alias("close"),
+        "volume",
+    )
 
 
 def _unusable() -> Column:
@@ -111,5 +137,9 @@ def p_values(observed: DataFrame, nulls: DataFrame, keys: list[str], metric: str
     A null run whose metric is no number is not at least as good as anything.
     """
     o = observed.select(*keys, F.col(metric).alias("observed"))
-    df = nulls.select(*keys, F.col(metric).alias("_null")).join(o.hint("merge"), keys).groupBy(*keys).agg(F.first("observed").alias("observed"), F.count("*").alias("permutations"), F.count_if(~F.isnan("_null") & ~F.isnan("observed") & (F.col("_null") >= F.col("observed"))).alias("null_ge_count"))
+    df = nulls.select(*keys, F.col(metric).alias("_null")).join(o.hint("merge"), keys).groupBy(*keys).agg(
+        F.first("observed").alias("observed"),
+        F.count("*").alias("permutations"),
+        F.count_if(~F.isnan("_null") & ~F.isnan("observed") & (F.col("_null") >= F.col("observed"))).alias("null_ge_count"),
+    )
     return df.withColumn("empirical_p_value", (F.col("null_ge_count") + 1) / (F.col("permutations") + 1))

@@ -20,7 +20,13 @@ VALIDATED = [
     "max_drawdown_delta_non_negative",
     "benchmark_return_excess_non_negative",
 ]
-FOLDS_VALIDATED = ["fold_coverage_complete", "aggregate_return_positive", "aggregate_pooled_sharpe_positive", "aggregate_return_excess_non_negative", "aggregate_drawdown_non_worsening"]
+FOLDS_VALIDATED = [
+    "fold_coverage_complete",
+    "aggregate_return_positive",
+    "aggregate_pooled_sharpe_positive",
+    "aggregate_return_excess_non_negative",
+    "aggregate_drawdown_non_worsening",
+]
 
 
 def _decide(df: DataFrame, rules: list[tuple[Column, str, list[str]]], prefix: str) -> DataFrame:
@@ -62,7 +68,11 @@ def walk_forward_policy(df: DataFrame, pooled: str | None = None, prefix: str =
     total, excess, drop, bench = c("mean_test_total_return"), c("mean_excess_return"), c("mean_test_max_drawdown"), c("mean_benchmark_max_drawdown")
     rules = [
         (c("fold_count") <= 0, "inconclusive", ["no_valid_folds"]),
-        ((c("validated_fold_count") <= 0) | (c("skipped_fold_count") > 0) | (c("validated_fold_count") != c("fold_count")), "inconclusive", ["fold_coverage_incomplete"]),
+        (
+            (c("validated_fold_count") <= 0) | (c("skipped_fold_count") > 0) | (c("validated_fold_count") != c("fold_count")),
+            "inconclusive",
+            ["fold_coverage_incomplete"],
+        ),
         (total.isNull() | c("mean_test_sharpe_ratio").isNull() | drop.isNull(), "inconclusive", ["missing_aggregate_test_metrics"]),
         (bench.isNull() | excess.isNull(), "inconclusive", ["missing_aggregate_benchmark_metrics"]),
         (p.isNull(), "inconclusive", ["fold_coverage_complete", "missing_pooled_test_sharpe_ratio"]),
@@ -114,26 +124,70 @@ def research_policy(df: DataFrame, limits: Research = Research(), rerun_count: i
     say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
     shown = lambda name: F.col(name).cast("string")
     trades = shown("test_trade_count")
-    add("min_trade_count", c("test_trade_count") >= limits.min_trade_count, say("trade_count ", trades, f" meets minimum {limits.min_trade_count}"), say("trade_count ", trades, f" below minimum {limits.min_trade_count}"))
+    add(
+        "min_trade_count",
+        c("test_trade_count") >= limits.min_trade_count,
+        say("trade_count ", trades, f" meets minimum {limits.min_trade_count}"),
+        say("trade_count ", trades, f" below minimum {limits.min_trade_count}"),
+    )
     if limits.max_drawdown_cap is not None:
         cap = limits.max_drawdown_cap
-        add("max_drawdown_cap", c("test_max_drawdown") >= -abs(cap), say("max_drawdown ", shown("test_max_drawdown"), f" within cap {cap}"), say("max_drawdown ", shown("test_max_drawdown"), f" exceeds cap {cap}"))
+        add(
+            "max_drawdown_cap",
+            c("test_max_drawdown") >= -abs(cap),
+            say("max_drawdown ", shown("test_max_drawdown"), f" within cap {cap}"),
+            say("max_drawdown ", shown("test_max_drawdown"), f" exceeds cap {cap}"),
+        )
     has = c("return_degradation").isNotNull()
     add("return_degradation_present", has, F.lit(None).cast("string"), F.lit("missing return_degradation"))
     least = limits.min_return_degradation
-    add("min_return_degradation", c("return_degradation") >= least, say("return_degradation ", shown("return_degradation"), f" meets minimum {least}"), say("return_degradation ", shown("return_degradation"), f" below minimum {least}"), has)
+    add(
+        "min_return_degradation",
+        c("return_degradation") >= least,
+        say("return_degradation ", shown("return_degradation"), f" meets minimum {least}"),
+        say("return_degradation ", shown("return_degradation"), f" below minimum {least}"),
+        has,
+    )
     if limits.max_p_value is not None:
         p, most = c("empirical_p_value"), limits.max_p_value
-        add("permutation_summary_present_for_p_value", p.isNotNull(), F.lit(None).cast("string"), F.lit("missing permutation summary for p-value check"))
-        add("max_permutation_p_value", p <= most, say("permutation p-value ", p.cast("string"), f" within maximum {most}"), say("permutation p-value ", p.cast("string"), f" above maximum {most}"), p.isNotNull())
+        add(
+            "permutation_summary_present_for_p_value",
+            p.isNotNull(),
+            F.lit(None).cast("string"),
+            F.lit("missing permutation summary for p-value check"),
+        )
+        add(
+            "max_permutation_p_value",
+            p <= most,
+            say("permutation p-value ", p.cast("string"), f" within maximum {most}"),
+            say("permutation p-value ", p.cast("string"), f" above maximum {most}"),
+            p.isNotNull(),
+        )
     if limits.null_model is not None:
         m = c("null_model")
-        add("permutation_summary_present_for_null_model", m.isNotNull(), F.lit(None).cast("string"), F.lit("missing permutation summary for null-model check"))
-        add("required_permutation_null_model", m == limits.null_model, say("permutation null_model ", m, " matches requirement"), say("permutation null_model ", m, f" does not match required {limits.null_model}"), m.isNotNull())
+        add(
+            "permutation_summary_present_for_null_model",
+            m.isNotNull(),
+            F.lit(None).cast("string"),
+            F.lit("missing permutation summary for null-model check"),
+        )
+        add(
+            "required_permutation_null_model",
+            m == limits.null_model,
+            say("permutation null_model ", m, " matches requirement"),
+            say("permutation null_model ", m, f" does not match required {limits.null_model}"),
+            m.isNotNull(),
+        )
     if limits.scope is not None:
         s = c("permutation_scope")
         add("permutation_summary_present_for_scope", s.isNotNull(), F.lit(None).cast("string"), F.lit("missing permutation summary for scope check"))
-        add("required_permutation_scope", s == limits.scope, say("permutation_scope ", s, " matches requirement"), say("permutation_scope ", s, f" does not match required {limits.scope}"), s.isNotNull())
+        add(
+            "required_permutation_scope",
+            s == limits.scope,
+            say("permutation_scope ", s, " matches requirement"),
+            say("permutation_scope ", s, f" does not match required {limits.scope}"),
+            s.isNotNull(),
+        )
 
     if rerun_count > limits.max_reruns:
         one = F.create_map(F.lit("rerun_count_within_limit"), F.lit(False))
@@ -141,12 +195,25 @@ def research_policy(df: DataFrame, limits: Research = Research(), rerun_count: i
         return df.withColumn(f"{prefix}verdict", F.lit("blocked")).withColumn(f"{prefix}checks", one).withColumn(f"{prefix}reasons", reason)
     tested = c("test_trade_count").isNotNull()
     entries = F.array(*[F.when(applies, F.struct(F.lit(name).alias("key"), holds.alias("value"))) for name, applies, holds, _ in checks])
-    first = F.array(F.struct(F.lit("rerun_count_within_limit").alias("key"), F.lit(True).alias("value")), F.struct(F.lit("test_metrics_present").alias("key"), tested.alias("value")))
+    first = F.array(
+        F.struct(F.lit("rerun_count_within_limit").alias("key"), F.lit(True).alias("value")),
+        F.struct(F.lit("test_metrics_present").alias("key"), tested.alias("value")),
+    )
     all_checks = F.when(tested, F.concat(first, F.filter(entries, lambda x: x.isNotNull()))).otherwise(first)
     passed = F.forall(all_checks, lambda x: x["value"])
     said = F.array(*[F.when(applies, reason) for _, applies, _, reason in checks])
-    reasons = F.when(tested, F.concat(text_array("rerun_count_within_limit", "test_metrics_present"), F.filter(said, lambda x: x.isNotNull()), F.when(passed, text_array("all configured research policy checks passed")).otherwise(F.array().cast("array<string>")))).otherwise(text_array("rerun_count_within_limit", "missing test metrics"))
-    return df.withColumn(f"{prefix}verdict", F.when(passed, "promote").otherwise("reject")).withColumn(f"{prefix}checks", F.map_from_entries(all_checks)).withColumn(f"{prefix}reasons", reasons)
+    reasons = F.when(
+        tested,
+        F.concat(
+            text_array("rerun_count_within_limit", "test_metrics_present"),
+            F.filter(said, lambda x: x.isNotNull()),
+            F.when(passed, text_array("all configured research policy checks passed")).otherwise(F.array().cast("array<string>")),
+        ),
+    ).otherwise(text_array("rerun_count_within_limit", "missing test metrics"))
+    return df.withColumn(
+        f"{prefix}verdict",
+        F.when(passed, "promote").otherwise("reject"),
+    ).withColumn(f"{prefix}checks", F.map_from_entries(all_checks)).withColumn(f"{prefix}reasons", reasons)
 
 
 def comparison_order(verdict: Column) -> Column:

@@ -29,11 +29,16 @@ def candidates(spark: SparkSession, grid: Grid) -> DataFrame:
         for p in PARAMETERS:
             df = df.withColumn(p, F.explode(F.array(*[F.lit(v) for v in lists[p]])) if p in lists else F.lit(None).cast("int"))
         ok = lambda short=None, long=None, look=None: (look is not None and look > 0) if long is None else 0 < short < long
-        combos = [ok(*v) for v in itertools.product(lists["short_window"], lists["long_window"])] if name == "ma_crossover" else [ok(look=v) for v in lists["lookback_window"]]
+        combos = [
+            ok(*v) for v in itertools.product(lists["short_window"], lists["long_window"])
+        ] if name == "ma_crossover" else [ok(look=v) for v in lists["lookback_window"]]
         if not any(combos):
             raise ValueError(f"{name} has no valid combination")
         parts = df if parts is None else parts.unionByName(df)
-    valid = F.when(F.col("strategy") == "ma_crossover", (F.col("short_window") > 0) & (F.col("long_window") > 0) & (F.col("short_window") < F.col("long_window"))).otherwise(F.col("lookback_window") > 0)
+    valid = F.when(
+        F.col("strategy") == "ma_crossover",
+        (F.col("short_window") > 0) & (F.col("long_window") > 0) & (F.col("short_window") < F.col("long_window")),
+    ).otherwise(F.col("lookback_window") > 0)
     name = F.concat_ws(":", "strategy", *[F.concat(F.lit(f"{p}="), F.col(p)) for p in sorted(PARAMETERS)])
     return parts.select(name.alias("cand_id"), "strategy", *PARAMETERS, valid.alias("is_valid"))
 
@@ -43,7 +48,14 @@ def candidate_curves(bars: DataFrame, keys: list[str], found: DataFrame, grid: G
     return backtest(candidate_targets(bars, keys, found, grid), [*keys, "cand_id"], config)
 
 
-def candidate_metrics(bars: DataFrame, keys: list[str], found: DataFrame, grid: Grid, config: Config = Config(), extra: list[Column] | None = None) -> DataFrame:
+def candidate_metrics(
+    bars: DataFrame,
+    keys: list[str],
+    found: DataFrame,
+    grid: Grid,
+    config: Config = Config(),
+    extra: list[Column] | None = None,
+) -> DataFrame:
     """Metrics and score of all valid candidates on all runs, with their parameters."""
     own = [F.first(c).alias(c) for c in ["strategy", *PARAMETERS]]
     return metrics(candidate_curves(bars, keys, found, grid, config), [*keys, "cand_id"], config, extra=[*own, *(extra or [])])
@@ -75,12 +87,19 @@ def parameters_json(columns: list[str] = PARAMETERS) -> Column:
 
 def search_summary(rank: DataFrame, keys: list[str], found: DataFrame, top: int = 3) -> DataFrame:
     """For each run of keys: combinations tried and valid, results within the limits, the best, and the first few."""
-    tried = found.agg(F.count("*").alias("attempted_combinations"), F.count_if("is_valid").alias("valid_combinations"), F.count_if(~F.col("is_valid")).alias("invalid_combinations"))
+    tried = found.agg(
+        F.count("*").alias("attempted_combinations"),
+        F.count_if("is_valid").alias("valid_combinations"),
+        F.count_if(~F.col("is_valid")).alias("invalid_combinations"),
+    )
     df = rank.groupBy(*keys).agg(
         F.count("*").alias("result_count"),
         F.max(F.when(F.col("rank") == 1, F.col("cand_id"))).alias("best_candidate"),
         F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("best_score"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= top, F.struct("rank", "cand_id")))), lambda x: x["cand_id"]), ";").alias("top_candidates"),
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= top, F.struct("rank", "cand_id")))), lambda x: x["cand_id"]),
+            ";",
+        ).alias("top_candidates"),
     )
     return df.crossJoin(F.broadcast(tried))  # one row
 

@@ -44,7 +44,13 @@ def prior_highs(bars: DataFrame, keys: list[str], windows: list[int]) -> DataFra
     return bars.withColumn("highs", F.create_map(*pairs))
 
 
-def candidate_targets(bars: DataFrame, keys: list[str], candidates: DataFrame, grid: dict[str, dict[str, list[int]]], parts: int | None = None) -> DataFrame:
+def candidate_targets(
+    bars: DataFrame,
+    keys: list[str],
+    candidates: DataFrame,
+    grid: dict[str, dict[str, list[int]]],
+    parts: int | None = None,
+) -> DataFrame:
     """bars x valid candidates with target_position.
 
     Window sums are made once for each length, then crossed with the candidates.  The candidate list is as long as the
@@ -55,7 +61,14 @@ def candidate_targets(bars: DataFrame, keys: list[str], candidates: DataFrame, g
     return _targets(df if parts is None else df.repartition(parts, *keys, "cand_id"))
 
 
-def chosen_targets(bars: DataFrame, keys: list[str], chosen: DataFrame, by: list[str], grid: dict[str, dict[str, list[int]]], scale: int | None = 100) -> DataFrame:
+def chosen_targets(
+    bars: DataFrame,
+    keys: list[str],
+    chosen: DataFrame,
+    by: list[str],
+    grid: dict[str, dict[str, list[int]]],
+    scale: int | None = 100,
+) -> DataFrame:
     """bars with target_position of the candidates chosen for their values of by, which are some of keys; other bars are left out."""
     own = [c for c in ("cand_id", "strategy", "short_window", "long_window", "lookback_window") if c not in by]
     right = chosen.select(*[F.col(k).alias(f"_{k}") for k in by], *own)
@@ -122,10 +135,19 @@ def signal_status(bars: DataFrame, signals: DataFrame) -> DataFrame:
     """(symbol, status) of every symbol of bars or signals: ok, no_bars, no_signals, the first rule that a signal breaks, or misaligned."""
     broken = signal_quality(signals).select("symbol", "first_violation")
     apart = misaligned(bars, signals).groupBy(F.col("symbol").alias("_a")).agg(F.count("*").alias("apart"))
-    sides = bars.select("symbol", F.lit(1).alias("b"), F.lit(0).alias("s")).unionByName(signals.select("symbol", F.lit(0).alias("b"), F.lit(1).alias("s")))
+    sides = bars.select("symbol", F.lit(1).alias("b"), F.lit(0).alias("s")).unionByName(
+        signals.select("symbol", F.lit(0).alias("b"), F.lit(1).alias("s"))
+    )
     df = sides.groupBy("symbol").agg(F.max("b").alias("b"), F.max("s").alias("s"))
-    df = df.join(broken.withColumnRenamed("symbol", "_q").hint("merge"), F.col("symbol").eqNullSafe(F.col("_q")), "left").join(apart.hint("merge"), F.col("symbol") == F.col("_a"), "left")
-    status = F.when(F.col("b") == 0, "no_bars").when(F.col("s") == 0, "no_signals").when(F.col("first_violation").isNotNull(), F.col("first_violation"))
+    df = df.join(
+        broken.withColumnRenamed("symbol", "_q").hint("merge"),
+        F.col("symbol").eqNullSafe(F.col("_q")),
+        "left",
+    ).join(apart.hint("merge"), F.col("symbol") == F.col("_a"), "left")
+    status = F.when(F.col("b") == 0, "no_bars").when(F.col("s") == 0, "no_signals").when(
+        F.col("first_violation").isNotNull(),
+        F.col("first_violation"),
+    )
     return df.select("symbol", status.when(F.col("apart") > 0, "misaligned").otherwise("ok").alias("status"))
 
 

@@ -47,7 +47,10 @@ def folds(bars: DataFrame, keys: list[str], train: int, test: int, step: int) ->
     high = F.least(F.floor((F.col("n") - size) / step), F.floor(F.col("idx") / step)).cast("int")
     df = df.withColumn("_lo", low).withColumn("_hi", high).filter("_lo <= _hi").withColumn("fold", F.explode(F.sequence("_lo", "_hi")))
     at = F.col("idx") - F.col("fold") * step
-    return df.withColumn("role", F.when(at < train, "train").otherwise("test")).withColumn("segment_idx", F.when(at < train, at).otherwise(at - train)).drop("_lo", "_hi", "idx", "n")
+    return df.withColumn("role", F.when(at < train, "train").otherwise("test")).withColumn(
+        "segment_idx",
+        F.when(at < train, at).otherwise(at - train),
+    ).drop("_lo", "_hi", "idx", "n")
 
 
 def checked_segments(df: DataFrame, keys: list[str], roles: list[str]) -> DataFrame:
@@ -67,7 +70,10 @@ def segment_status(df: DataFrame, keys: list[str], roles: list[str]) -> DataFram
 def shared_times(df: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
     """(keys, ts): times that rows of both roles have; none where segments are apart."""
     at = [*keys, "ts"]
-    return df.groupBy(*at).agg(F.count_if(F.col("role") == first).alias("a"), F.count_if(F.col("role") == second).alias("b")).filter("a > 0 and b > 0").select(*at)
+    return df.groupBy(*at).agg(
+        F.count_if(F.col("role") == first).alias("a"),
+        F.count_if(F.col("role") == second).alias("b"),
+    ).filter("a > 0 and b > 0").select(*at)
 
 
 def with_history(df: DataFrame, keys: list[str], grid: dict[str, dict[str, list[int]]], role: str = "train") -> DataFrame:

@@ -52,7 +52,13 @@ def week(c: str = "ts") -> Column:
 
 def external(spark: SparkSession, sf: str) -> DataFrame:
     """An external signal for every bar, known a day before."""
-    return weekly(spark, sf).select("symbol", "ts", (F.col("ts") - F.expr("interval 1 day")).alias("available_at"), F.lit("parity").alias("signal_name"), (week() % 2).alias("signal_binary"))
+    return weekly(spark, sf).select(
+        "symbol",
+        "ts",
+        (F.col("ts") - F.expr("interval 1 day")).alias("available_at"),
+        F.lit("parity").alias("signal_name"),
+        (week() % 2).alias("signal_binary"),
+    )
 
 
 def dirty(spark: SparkSession, sf: str) -> DataFrame:
@@ -97,7 +103,17 @@ def tidy(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 
 METRICS = ["total_return", "annualized_return", "sharpe_ratio", "max_drawdown", "win_rate", "turnover", "trade_count", "bar_count", "score"]
-EVIDENCE = ["test_total_return", "test_sharpe_ratio", "test_max_drawdown", "test_trade_count", "return_degradation", "sharpe_degradation", "max_drawdown_delta", "return_excess", "max_drawdown_gap"]
+EVIDENCE = [
+    "test_total_return",
+    "test_sharpe_ratio",
+    "test_max_drawdown",
+    "test_trade_count",
+    "return_degradation",
+    "sharpe_degradation",
+    "max_drawdown_delta",
+    "return_excess",
+    "max_drawdown_gap",
+]
 
 
 def payloads(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,7 +121,16 @@ def payloads(spark: SparkSession, sf: str) -> DataFrame:
     b = weekly(spark, sf)
     date = F.concat_ws("/", (F.year("ts") - 1911).cast("string"), F.date_format("ts", "MM"), F.date_format("ts", "dd"))
     money = lambda c: F.format_number(F.col(c), 2)
-    cells = F.array(date, F.format_number("volume", 0), F.lit("0"), money("open"), money("high"), F.when(week() % 11 == 0, F.lit("--")).otherwise(money("low")), money("close"), F.lit("0"))
+    cells = F.array(
+        date,
+        F.format_number("volume", 0),
+        F.lit("0"),
+        money("open"),
+        money("high"),
+        F.when(week() % 11 == 0, F.lit("--")).otherwise(money("low")),
+        money("close"),
+        F.lit("0"),
+    )
     b = b.withColumn("row", F.struct("ts", F.when(week() % 13 == 0, F.slice(cells, 1, 5)).otherwise(cells).alias("cells")))
     month = b.groupBy("symbol", F.date_format("ts", "yyyyMM").alias("month")).agg(F.array_sort(F.collect_list("row")).alias("rows"))
     stat = F.when(F.col("month").endswith("07"), "NO DATA").otherwise("OK")
@@ -191,7 +216,16 @@ def plain_ma(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def permutation_status(spark: SparkSession, sf: str) -> DataFrame:
     limits = policy.Research(max_p_value=0.5)
-    s = evidence.permutation_status(True, F.lit(False), F.col("empirical_p_value"), limits.max_p_value, F.lit("return_block_reconstruction"), limits.null_model, F.lit("candidate_fixed"), "candidate_fixed")
+    s = evidence.permutation_status(
+        True,
+        F.lit(False),
+        F.col("empirical_p_value"),
+        limits.max_p_value,
+        F.lit("return_block_reconstruction"),
+        limits.null_model,
+        F.lit("candidate_fixed"),
+        "candidate_fixed",
+    )
     return permutation(spark, sf).withColumn("status", s)
 
 
@@ -200,7 +234,10 @@ def permuted_policy(spark: SparkSession, sf: str) -> DataFrame:
     b = splits.by_ratio(weekly(spark, sf), KEYS, 0.5)
     runs = bt.metrics(bt.backtest(ma(b, ["symbol", "role"]), ["symbol", "role"]), ["symbol", "role"], WEEKLY)
     one = lambda r: runs.filter(F.col("role") == r).drop("role")
-    df = evidence.train_and_test(one("train"), one("test"), KEYS).join(permutation(spark, sf).select("symbol", "empirical_p_value").hint("merge"), "symbol")
+    df = evidence.train_and_test(one("train"), one("test"), KEYS).join(
+        permutation(spark, sf).select("symbol", "empirical_p_value").hint("merge"),
+        "symbol",
+    )
     df = df.withColumns({"null_model": F.lit("return_block_reconstruction"), "permutation_scope": F.lit("candidate_fixed")})
     limits = policy.Research(min_trade_count=2, max_drawdown_cap=0.9, max_p_value=0.5, scope="candidate_fixed")
     return policy.research_policy(df, limits)
@@ -229,7 +266,9 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "top_k": lambda s, d: tidy(ranked(s, d).filter("rank <= 3"), "symbol", "cand_id", "rank", "score"),
         "top_curves": lambda s, d: tidy(top_curves(s, d)),
         "holdout_split": lambda s, d: tidy(splits.segments(splits.by_cutoff(b(s, d), CUTOFF), ["symbol", "role"])),
-        "development_run": lambda s, d: tidy(bt.metrics(bt.backtest(ma(splits.by_cutoff(b(s, d), CUTOFF).filter("role = 'development'")), KEYS), KEYS, WEEKLY)),
+        "development_run": lambda s, d: tidy(
+            bt.metrics(bt.backtest(ma(splits.by_cutoff(b(s, d), CUTOFF).filter("role = 'development'")), KEYS), KEYS, WEEKLY)
+        ),
         "period_split": lambda s, d: tidy(splits.segments(splits.by_periods(b(s, d), *PERIODS), ["symbol", "role"])),
         "ratio_split": lambda s, d: tidy(splits.by_ratio(b(s, d), KEYS, 0.7), "symbol", "ts", "role"),
         "fold_map": lambda s, d: tidy(splits.folds(b(s, d), KEYS, *FOLD), "symbol", "ts", "fold", "role", "segment_idx"),
@@ -244,13 +283,22 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "walk_forward_folds": lambda s, d: tidy(walk(s, d)[0], "symbol", "fold", "cand_id", *EVIDENCE, "verdict", "research_verdict"),
         "fold_results": lambda s, d: tidy(reports.fold_results(walk(s, d)[0], SMALL)),
         "walk_forward_aggregate": lambda s, d: tidy(wf.walk_forward_summary(walk(s, d)[0], b(s, d), *FOLD)),
-        "walk_forward_policy": lambda s, d: tidy(pooled_policy(s, d), "symbol", "fold_count", "pooled_test_sharpe_ratio", "walk_forward_verdict", "walk_forward_reasons"),
+        "walk_forward_policy": lambda s, d: tidy(
+            pooled_policy(s, d),
+            "symbol",
+            "fold_count",
+            "pooled_test_sharpe_ratio",
+            "walk_forward_verdict",
+            "walk_forward_reasons",
+        ),
         "ranked_results": lambda s, d: tidy(reports.ranked_results(ranked(s, d), KEYS, GRID)),
         "cost_sensitivity": lambda s, d: tidy(evidence.cost_sensitivity(ma(b(s, d)), KEYS, WEEKLY)),
         "bootstrap_ci": lambda s, d: tidy(nulls.bootstrap(curve(s, d), KEYS, SAMPLES, SEED, WEEKLY.annualization)),
         "null_paths": lambda s, d: tidy(nulls.null_paths(b(s, d), KEYS, 3, BLOCK, SEED), digits=2),
         "null_scores": lambda s, d: tidy(nulls.null_scores(scores(s, d), KEYS)),
-        "path_status": lambda s, d: tidy(nulls.path_status(dirty(s, d).unionByName(b(s, d).withColumn("symbol", F.concat("symbol", F.lit("'")))), KEYS, BLOCK)),
+        "path_status": lambda s, d: tidy(
+            nulls.path_status(dirty(s, d).unionByName(b(s, d).withColumn("symbol", F.concat("symbol", F.lit("'")))), KEYS, BLOCK)
+        ),
         "permutation_test": lambda s, d: tidy(permutation(s, d)),
         "permutation_status": lambda s, d: tidy(permutation_status(s, d), "symbol", "status"),
         "research_policy": lambda s, d: tidy(permuted_policy(s, d), "symbol", "research_verdict", "research_checks"),
@@ -258,10 +306,19 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             wf.compare_families(s, b(s, d), FAMILIES, config=WEEKLY), "symbol", "strategy", "cand_id", "comparison_rank", "test_score", "research_verdict", "candidate_verdict"
         ),
         "comparison_results": lambda s, d: tidy(reports.comparison_results(wf.compare_families(s, b(s, d), FAMILIES, config=WEEKLY))),
-        "bars_validated": lambda s, d: tidy(accepted_bars(dirty(s, d).filter(F.col("symbol").isin(*FAULTY)).unionByName(b(s, d).filter(~F.col("symbol").isin(*FAULTY))))),
+        "bars_validated": lambda s, d: tidy(
+            accepted_bars(dirty(s, d).filter(F.col("symbol").isin(*FAULTY)).unionByName(b(s, d).filter(~F.col("symbol").isin(*FAULTY))))
+        ),
         "signal_rejects": lambda s, d: tidy(signal_violations(faulty_signals(s, d)), "symbol", "ts", "violations"),
         "signal_status": lambda s, d: tidy(signals.signal_status(b(s, d), signals_of_some(s, d))),
-        "signal_validation": lambda s, d: tidy(signal_quality(external(s, d).withColumn("signal_binary", F.when(week() % 9 == 0, 2).otherwise(F.col("signal_binary"))).withColumn("available_at", F.when(week() % 8 == 0, F.col("ts") + F.expr("interval 1 day")).otherwise(F.col("available_at"))))),
+        "signal_validation": lambda s, d: tidy(
+            signal_quality(
+                external(s, d).withColumn("signal_binary", F.when(week() % 9 == 0, 2).otherwise(F.col("signal_binary"))).withColumn(
+                    "available_at",
+                    F.when(week() % 8 == 0, F.col("ts") + F.expr("interval 1 day")).otherwise(F.col("available_at")),
+                )
+            )
+        ),
         "signal_alignment": lambda s, d: tidy(signals.misaligned(b(s, d).filter(week() % 7 != 0), external(s, d).filter(week() % 5 != 0))),
         "custom_signal_run": lambda s, d: tidy(
             wf.custom_signal_run(b(s, d), signals_of_some(s, d), *PERIODS, WEEKLY, SAMPLES),
@@ -270,11 +327,25 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "research_protocol": lambda s, d: tidy(
             protocol(s, d, chance=CHANCE),
             *["symbol", "cand_id", "result_count", *EVIDENCE, "verdict", "cost_verdict", "annualized_low", "annualized_high", "bootstrap_verdict"],
-            *["fold_count", "mean_test_total_return", "pooled_test_sharpe_ratio", "walk_forward_verdict", "empirical_p_value", "permutation_status", "research_verdict"],
+            *[
+                "fold_count",
+                "mean_test_total_return",
+                "pooled_test_sharpe_ratio",
+                "walk_forward_verdict",
+                "empirical_p_value",
+                "permutation_status",
+                "research_verdict",
+            ],
         ),
         "frozen_plan": lambda s, d: tidy(wf.frozen_plan(s, protocol(s, d, None), *PERIODS, SMALL, WEEKLY)),
         "payload_ingest": lambda s, d: tidy(src.parse_payloads(payloads(s, d))),
-        "payload_search": lambda s, d: tidy(wf.grid_search(s, accepted_bars(src.parse_payloads(payloads(s, d)).filter("low is not null")), KEYS, SMALL, WEEKLY), "symbol", "cand_id", "rank", "score"),
+        "payload_search": lambda s, d: tidy(
+            wf.grid_search(s, accepted_bars(src.parse_payloads(payloads(s, d)).filter("low is not null")), KEYS, SMALL, WEEKLY),
+            "symbol",
+            "cand_id",
+            "rank",
+            "score",
+        ),
         "month_sequence": lambda s, d: tidy(months(s, d)),
         "keep_last": lambda s, d: tidy(keep_last(s, d)),
     }

@@ -53,13 +53,29 @@ def ranked_results(ranked: DataFrame, keys: list[str], grid: dict) -> DataFrame:
 
 def fold_results(folds: DataFrame, grid: dict) -> DataFrame:
     """(symbol, fold_index, bounds of the fold, the winner's parameters, train, test and benchmark metrics)."""
-    return folds.select("symbol", F.col("fold").alias("fold_index"), "train_start", "train_end", "test_start", "test_end", *_used(grid), *FOLD_METRICS)
+    return folds.select(
+        "symbol",
+        F.col("fold").alias("fold_index"),
+        "train_start",
+        "train_end",
+        "test_start",
+        "test_end",
+        *_used(grid),
+        *FOLD_METRICS,
+    )
 
 
 def comparison_results(compared: DataFrame) -> DataFrame:
     """(symbol, comparison_rank, strategy_name, selected_parameters as JSON, metrics of both sides, statuses and verdicts)."""
     verdicts = [F.col("research_verdict").alias("research_policy_verdict"), F.col("candidate_verdict").alias("candidate_policy_verdict")]
-    return compared.select("symbol", "comparison_rank", F.col("strategy").alias("strategy_name"), parameters_json().alias("selected_parameters"), *COMPARISON, *verdicts)
+    return compared.select(
+        "symbol",
+        "comparison_rank",
+        F.col("strategy").alias("strategy_name"),
+        parameters_json().alias("selected_parameters"),
+        *COMPARISON,
+        *verdicts,
+    )
 
 
 def nested_summary(runs: DataFrame, keys: list[str]) -> DataFrame:

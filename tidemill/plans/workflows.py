@@ -35,7 +35,15 @@ class Chance:
     samples: int = 1000
 
 
-def winners(spark: SparkSession, df: DataFrame, keys: list[str], grid: search.Grid, config: Config, by_family: bool = False, **limits) -> tuple[DataFrame, DataFrame]:
+def winners(
+    spark: SparkSession,
+    df: DataFrame,
+    keys: list[str],
+    grid: search.Grid,
+    config: Config,
+    by_family: bool = False,
+    **limits
+) -> tuple[DataFrame, DataFrame]:
     """(train and test metrics, test curves) of the best candidate on the train rows of every run of keys.
 
     df has role train or test.  Runs with less train history than the grid asks for are left out; splits.history_check()
@@ -62,11 +70,28 @@ def with_evidence(runs: DataFrame, curve: DataFrame, run: list[str], config: Con
     """runs with what costs and chance make of their test curves."""
     costs = evidence.cost_sensitivity(curve.select(*run, "ts", "close", "target_position"), run, config)
     boot = nulls.bootstrap(curve, run, samples, per_year=config.annualization)
-    boot = boot.select(*run, "annualized_low", "annualized_high", "mean_low", "mean_high", "ci_crosses_zero", F.col("verdict").alias("bootstrap_verdict"))
+    boot = boot.select(
+        *run,
+        "annualized_low",
+        "annualized_high",
+        "mean_low",
+        "mean_high",
+        "ci_crosses_zero",
+        F.col("verdict").alias("bootstrap_verdict"),
+    )
     return runs.join(costs.hint("merge"), run, "left").join(boot.hint("merge"), run, "left")
 
 
-def with_permutation(runs: DataFrame, bars: DataFrame, keys: list[str], grid: search.Grid, config: Config, chance: Chance | None, limits: policy.Research, side: str = "test") -> DataFrame:
+def with_permutation(
+    runs: DataFrame,
+    bars: DataFrame,
+    keys: list[str],
+    grid: search.Grid,
+    config: Config,
+    chance: Chance | None,
+    limits: policy.Research,
+    side: str = "test",
+) -> DataFrame:
     """runs with the p-value of each one's candidate on the given bars, and permutation_status; without chance it was skipped.
 
     One row of runs for each run of keys; side: whether its train or its test metric was observed on these bars.
@@ -78,12 +103,26 @@ def with_permutation(runs: DataFrame, bars: DataFrame, keys: list[str], grid: se
     paths = nulls.null_paths(bars, keys, chance.paths, chance.block, chance.seed)
     targets = signals.chosen_targets(paths, run, runs, keys, grid, scale=None)
     observed = runs.select(*keys, F.col(f"{side}_{chance.metric}").alias(chance.metric))
-    found = nulls.p_values(observed, metrics(backtest(targets, run, config), run, config), keys, chance.metric).select(*keys, "empirical_p_value", "null_ge_count")
+    found = nulls.p_values(
+        observed,
+        metrics(backtest(targets, run, config), run, config),
+        keys,
+        chance.metric,
+    ).select(*keys, "empirical_p_value", "null_ge_count")
     df = runs.join(found.hint("merge"), keys, "left")
     done = F.col("empirical_p_value").isNotNull()
     df = df.withColumns({"null_model": F.when(done, "return_block_reconstruction"), "permutation_scope": F.when(done, "candidate_fixed")})
     c = F.col
-    status = evidence.permutation_status(True, F.lit(False), c("empirical_p_value"), limits.max_p_value, c("null_model"), limits.null_model, c("permutation_scope"), limits.scope)
+    status = evidence.permutation_status(
+        True,
+        F.lit(False),
+        c("empirical_p_value"),
+        limits.max_p_value,
+        c("null_model"),
+        limits.null_model,
+        c("permutation_scope"),
+        limits.scope,
+    )
     return df.withColumn("permutation_status", status)
 
 
@@ -95,7 +134,16 @@ def decided(runs: DataFrame, limits: policy.Research) -> DataFrame:
     return df.withColumn("verdict", F.col("candidate_verdict"))
 
 
-def validate_search(spark: SparkSession, bars: DataFrame, grid: search.Grid, ratio: float = 0.7, config: Config = Config(), chance: Chance | None = None, max_drawdown_cap: float | None = None, min_trade_count: int | None = None) -> DataFrame:
+def validate_search(
+    spark: SparkSession,
+    bars: DataFrame,
+    grid: search.Grid,
+    ratio: float = 0.7,
+    config: Config = Config(),
+    chance: Chance | None = None,
+    max_drawdown_cap: float | None = None,
+    min_trade_count: int | None = None,
+) -> DataFrame:
     """Train/test validation of every symbol: search on the first part, the winner's run on the rest, evidence, decisions.
 
     The limits hold for the ranking and for the decision.  chance: also permute the test bars.
@@ -120,12 +168,29 @@ def validation_status(bars: DataFrame, grid: search.Grid, ratio: float = 0.7) ->
     """(symbol, train_rows, test_rows, required, status): ok, empty_train, empty_test or history_too_short."""
     df = splits.by_ratio(bars, ["symbol"], ratio)
     need = splits.needed(grid)
-    counts = df.groupBy("symbol").agg(F.count_if(F.col("role") == "train").alias("train_rows"), F.count_if(F.col("role") == "test").alias("test_rows"))
-    status = F.when(F.col("train_rows") == 0, "empty_train").when(F.col("test_rows") == 0, "empty_test").when(F.col("train_rows") < need, "history_too_short").otherwise("ok")
+    counts = df.groupBy("symbol").agg(
+        F.count_if(F.col("role") == "train").alias("train_rows"),
+        F.count_if(F.col("role") == "test").alias("test_rows"),
+    )
+    status = F.when(F.col("train_rows") == 0, "empty_train").when(F.col("test_rows") == 0, "empty_test").when(
+        F.col("train_rows") < need,
+        "history_too_short",
+    ).otherwise("ok")
     return counts.withColumns({"required": F.lit(need).cast("long"), "status": status})
 
 
-def walk_forward(spark: SparkSession, bars: DataFrame, grid: search.Grid, train: int, test: int, step: int, config: Config = Config(), samples: int | None = None, max_drawdown_cap: float | None = None, min_trade_count: int | None = None) -> tuple[DataFrame, DataFrame]:
+def walk_forward(
+    spark: SparkSession,
+    bars: DataFrame,
+    grid: search.Grid,
+    train: int,
+    test: int,
+    step: int,
+    config: Config = Config(),
+    samples: int | None = None,
+    max_drawdown_cap: float | None = None,
+    min_trade_count: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(a row for each symbol and fold: the winner on the train rows, how it does on the test rows, decisions; the test curves).
 
     samples: also say what costs and so many bootstrap draws make of each fold.
@@ -143,17 +208,35 @@ def walk_forward_summary(folds: DataFrame, bars: DataFrame, train: int, test: in
 
     pooled: evidence.pooled_sharpe() of the folds' test curves; without it the decision stays inconclusive.
     """
-    planned = bars.groupBy("symbol").agg(F.count("*").alias("n")).select("symbol", F.greatest(F.lit(0), F.floor((F.col("n") - (train + test)) / step) + 1).alias("planned"))
+    planned = bars.groupBy("symbol").agg(F.count("*").alias("n")).select(
+        "symbol",
+        F.greatest(F.lit(0), F.floor((F.col("n") - (train + test)) / step) + 1).alias("planned"),
+    )
     found = evidence.fold_aggregates(folds, ["symbol"])
     df = planned.join(found.hint("merge"), "symbol", "left").fillna(0, [c for c in found.columns if c != "symbol"])
-    df = df.withColumns({"validated_fold_count": F.col("fold_count"), "skipped_fold_count": F.col("planned") - F.col("fold_count"), "fold_count": F.col("planned")})
-    df = df.withColumn("coverage_verdict", evidence.fold_coverage_verdict(F.col("fold_count"), F.col("validated_fold_count"), F.col("skipped_fold_count")))
+    df = df.withColumns(
+        {"validated_fold_count": F.col("fold_count"), "skipped_fold_count": F.col("planned") - F.col("fold_count"), "fold_count": F.col("planned")}
+    )
+    df = df.withColumn(
+        "coverage_verdict",
+        evidence.fold_coverage_verdict(F.col("fold_count"), F.col("validated_fold_count"), F.col("skipped_fold_count")),
+    )
     if pooled is not None:
         df = df.join(pooled.hint("merge"), "symbol", "left")
     return policy.walk_forward_policy(df, None if pooled is None else "pooled_test_sharpe_ratio").drop("planned")
 
 
-def compare_families(spark: SparkSession, bars: DataFrame, grid: search.Grid, ratio: float = 0.7, config: Config = Config(), families: list[str] | None = None, chance: Chance | None = None, max_drawdown_cap: float | None = None, min_trade_count: int | None = None) -> DataFrame:
+def compare_families(
+    spark: SparkSession,
+    bars: DataFrame,
+    grid: search.Grid,
+    ratio: float = 0.7,
+    config: Config = Config(),
+    families: list[str] | None = None,
+    chance: Chance | None = None,
+    max_drawdown_cap: float | None = None,
+    min_trade_count: int | None = None,
+) -> DataFrame:
     """validate_search() of every family of the grid, ranked by research verdict, test score and name."""
     named = list(grid) if families is None else families
     if not named:
@@ -175,12 +258,34 @@ def permutation_scores(bars: DataFrame, keys: list[str], targets, paths: int, bl
     return metrics(backtest(null, run, config), run, config)
 
 
-def permutation_test(observed: DataFrame, bars: DataFrame, keys: list[str], targets, paths: int, block: int, seed: int = 42, config: Config = Config(), metric: str = "score") -> DataFrame:
+def permutation_test(
+    observed: DataFrame,
+    bars: DataFrame,
+    keys: list[str],
+    targets,
+    paths: int,
+    block: int,
+    seed: int = 42,
+    config: Config = Config(),
+    metric: str = "score",
+) -> DataFrame:
     """p-values of a fixed candidate; targets(bars, keys) adds target_position to observed and permuted bars alike."""
     return nulls.p_values(observed, permutation_scores(bars, keys, targets, paths, block, seed, config), keys, metric)
 
 
-def research_protocol(spark: SparkSession, bars: DataFrame, development: tuple[str, str], holdout: tuple[str, str], grid: search.Grid, config: Config = Config(), samples: int = 1000, fold: tuple[int, int, int] | None = None, chance: Chance | None = None, max_drawdown_cap: float | None = None, min_trade_count: int | None = None) -> DataFrame:
+def research_protocol(
+    spark: SparkSession,
+    bars: DataFrame,
+    development: tuple[str, str],
+    holdout: tuple[str, str],
+    grid: search.Grid,
+    config: Config = Config(),
+    samples: int = 1000,
+    fold: tuple[int, int, int] | None = None,
+    chance: Chance | None = None,
+    max_drawdown_cap: float | None = None,
+    min_trade_count: int | None = None,
+) -> DataFrame:
     """Search on the development period, one run of the frozen winner on the holdout, cost and bootstrap evidence on it.
 
     fold: (train, test, step) of a walk-forward on the development bars; its aggregates, pooled Sharpe ratio and verdict come
@@ -201,7 +306,14 @@ def research_protocol(spark: SparkSession, bars: DataFrame, development: tuple[s
     return decided(runs, limits)
 
 
-def frozen_plan(spark: SparkSession, protocol: DataFrame, development: tuple[str, str], holdout: tuple[str, str], grid: search.Grid, config: Config = Config()) -> DataFrame:
+def frozen_plan(
+    spark: SparkSession,
+    protocol: DataFrame,
+    development: tuple[str, str],
+    holdout: tuple[str, str],
+    grid: search.Grid,
+    config: Config = Config(),
+) -> DataFrame:
     """What was fixed for every symbol before the holdout was looked at: candidate, rule, costs, periods, size of the search."""
     fixed = {"parameter_selection_rule": "highest_development_score_after_configured_filters", "scoring_formula_name": "score"}
     spans = {f"{name}_{end}": p[k] for name, p in (("development", development), ("holdout", holdout)) for k, end in enumerate(("start", "end"))}
@@ -218,7 +330,14 @@ def frozen_plan(spark: SparkSession, protocol: DataFrame, development: tuple[str
     )
 
 
-def custom_signal_run(bars: DataFrame, external: DataFrame, development: tuple[str, str], holdout: tuple[str, str], config: Config = Config(), samples: int = 1000) -> DataFrame:
+def custom_signal_run(
+    bars: DataFrame,
+    external: DataFrame,
+    development: tuple[str, str],
+    holdout: tuple[str, str],
+    config: Config = Config(),
+    samples: int = 1000,
+) -> DataFrame:
     """Development and holdout runs of an external signal, side by side, with evidence, decided like a search winner.
 
     Only symbols whose signals signals.signal_status() finds ok are run.

@@ -32,7 +32,11 @@ def read_bars(spark: SparkSession, path: str, symbol: str | None = None, time_co
     own = ["symbol"] if symbol is None else []
     df = standard_columns(df, [*own, "datetime", *PRICES, "volume"], time_column)
     name = F.col("symbol") if symbol is None else F.lit(symbol)
-    return df.select(name.alias("symbol"), F.col("datetime").cast("timestamp_ntz").alias("ts"), *[F.col(c).cast("double").alias(c) for c in [*PRICES, "volume"]])
+    return df.select(
+        name.alias("symbol"),
+        F.col("datetime").cast("timestamp_ntz").alias("ts"),
+        *[F.col(c).cast("double").alias(c) for c in [*PRICES, "volume"]],
+    )
 
 
 def read_signals(spark: SparkSession, path: str, time_column: str = "datetime", fmt: str = "csv") -> DataFrame:
