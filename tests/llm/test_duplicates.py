@@ -36,7 +36,9 @@ class Groups:
 
 def test_components(spark):
     r = random.Random(1)
-    edges = [(r.randrange(300), r.randrange(300)) for _ in range(250)] + [(1000 + k, 1001 + k) for k in range(40)] + [(2000, 2001 + k) for k in range(50)] + [(5, 5), (None, 7)]
+    edges = [
+        (r.randrange(300), r.randrange(300)) for _ in range(250)
+    ] + [(1000 + k, 1001 + k) for k in range(40)] + [(2000, 2001 + k) for k in range(50)] + [(5, 5), (None, 7)]
     g = Groups()
     for a, b in edges:
         if a is not None and a != b:
@@ -75,7 +77,14 @@ def small_and_large(rows):
 def test_embeddings_of_repeated_ids_and_odd_sizes(spark):
     one, two, near = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [1.0, 0.01, 0.0, 0.0]
     rows = [(5, one, 1), (6, near, 1), (5, two, 1), (13, one, 2), (15, one, 2), (15, two, 2), (15, None, 2), (16, two, 2)]
-    rows += [(20, [x * 1e-170 for x in one], 3), (21, [x * 1e160 for x in near], 3), (22, one, 3), (23, [x * 1e-170 for x in two], 3), (24, two, 3), (24, two, 3)]
+    rows += [
+        (20, [x * 1e-170 for x in one], 3),
+        (21, [x * 1e160 for x in near], 3),
+        (22, one, 3),
+        (23, [x * 1e-170 for x in two], 3),
+        (24, two, 3),
+        (24, two, 3),
+    ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = sorted((str(x.vec_id), x.n_links, str(x.component_id), x.kept) for x in near_embeddings.near_duplicates(df).collect())
     assert got == brute_vectors(small_and_large(rows), 0.98)
@@ -87,7 +96,19 @@ def test_embeddings(spark, threshold, tile):
     r = np.random.default_rng(2)
     base = r.normal(0, 1, (25, 8))
     rows = [(k, (base[k % 25] * (1 + k % 3) + r.normal(0, 0.15, 8) * (k >= 25)).tolist(), k % 2) for k in range(100)]
-    rows += [(200, rows[3][1], 1), (201, rows[3][1], None), (202, None, 1), (203, [0.0] * 8, 1), (204, [float("nan")] * 8, 1), (205, [None] + [1.0] * 7, 1), (206, [float("inf")] * 8, 1), (207, [], 1), (208, [1.0, 2.0], 1), (209, [1.0, 2.0], 1), (None, rows[5][1], 1)]
+    rows += [
+        (200, rows[3][1], 1),
+        (201, rows[3][1], None),
+        (202, None, 1),
+        (203, [0.0] * 8, 1),
+        (204, [float("nan")] * 8, 1),
+        (205, [None] + [1.0] * 7, 1),
+        (206, [float("inf")] * 8, 1),
+        (207, [], 1),
+        (208, [1.0, 2.0], 1),
+        (209, [1.0, 2.0], 1),
+        (None, rows[5][1], 1),
+    ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"k": F.lit(1), "n": F.lit(2), "rep": F.lit("x")})
     got = sorted((str(x.vec_id), x.n_links, str(x.component_id), x.kept) for x in near_embeddings.near_duplicates(df, threshold, tile).collect())
     assert got == brute_vectors(rows, threshold)
@@ -105,7 +126,14 @@ def brute_repeats(texts, n):
         for i in range(len(b) - n + 1):
             if count[b[i : i + n]] > 1:
                 gone[i : i + n] = b"\1" * n
-        out.append((len(b), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]), hashlib.sha256(bytes(x for x, y in zip(b, gone, strict=True) if not y)).hexdigest()))
+        out.append(
+            (
+                len(b),
+                sum(gone),
+                len([x for x in bytes(gone).split(b"\0") if x]),
+                hashlib.sha256(bytes(x for x, y in zip(b, gone, strict=True) if not y)).hexdigest(),
+            )
+        )
     return out
 
 
@@ -151,7 +179,16 @@ def near_rows(seed, bases=12, copies=9):
             for _ in range(r.randrange(0, 4)):
                 v[r.randrange(len(v))] = word()
             rows.append((len(rows), " ".join(v) + ("\n" + common if c % 2 else "")))
-    return rows + [(900, rows[0][1]), (901, rows[0][1].upper()), (902, None), (903, " "), (904, ""), (905, "tiny text"), (906, "Tiny  text"), (None, rows[0][1])]
+    return rows + [
+        (900, rows[0][1]),
+        (901, rows[0][1].upper()),
+        (902, None),
+        (903, " "),
+        (904, ""),
+        (905, "tiny text"),
+        (906, "Tiny  text"),
+        (None, rows[0][1]),
+    ]
 
 
 @pytest.mark.parametrize("large", [1000, 4])
@@ -164,7 +201,9 @@ def test_join(spark, monkeypatch, large):
     assert all(g.kept == (g.doc_id is not None and g.doc_id == g.component_id) for g in got)
     one = shingle_join.one_of_each_group(df, large=large)
     kept = [x.doc_id for x in one.collect()]
-    assert one.columns == df.columns and sorted(str(x) for x in kept) == sorted([str(g.doc_id) for g in got if g.kept and g.n_tokens] + ["902", "None"])
+    assert one.columns == df.columns and sorted(str(x) for x in kept) == sorted(
+        [str(g.doc_id) for g in got if g.kept and g.n_tokens] + ["902", "None"]
+    )
     assert shingle_join.jaccard_join(df.limit(0)).count() == 0 and shingle_join.one_of_each_group(df.limit(0)).count() == 0
 
 
@@ -217,8 +256,17 @@ def test_lines(spark, monkeypatch, few, tile):
     rows += [(100, None), (101, ""), (102, lines[0]), (103, "\n\n\n"), (104, lines[1] + "\n" + lines[1] + "\n"), (None, lines[0])]
     rows += [(111, "ΑΣ\nΣΑΣ σ\nİx\t y\r\n\x0b"), (112, "ας\nΣας Σ\ni̇x y")]
     kanji = "".join(chr(0x4E00 + r.randrange(500)) for _ in range(30))
-    rows += [(105, kanji), (106, kanji[:9] + "x" + kanji[10:]), (107, "--- !\n***"), (108, "--- !\n***"), (109, "y" * 200), (110, "y" * 99 + "z" + "y" * 100)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_chars": F.lit(7).cast("long"), "line": F.lit(1), "key": F.lit("x"), "_gone": F.lit(2)})
+    rows += [
+        (105, kanji),
+        (106, kanji[:9] + "x" + kanji[10:]),
+        (107, "--- !\n***"),
+        (108, "--- !\n***"),
+        (109, "y" * 200),
+        (110, "y" * 99 + "z" + "y" * 100),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns(
+        {"n_chars": F.lit(7).cast("long"), "line": F.lit(1), "key": F.lit("x"), "_gone": F.lit(2)}
+    )
     out = fuzzy_lines.dedup_lines(df)
     got = out.collect()
     want, gone = brute_lines(rows)
@@ -260,7 +308,9 @@ def slow_blocks(line):
     sixths = [[i for i in range(len(words)) if i * 6 // len(words) == k] for k in range(6)]
     for many, (low, high) in fuzzy_lines.SIXTHS.items():
         for c in itertools.combinations(range(6), many):
-            if low <= sum(size(sixths[x]) for x in c) and (sum(size(sixths[x]) for x in c) < high or many == 2 and sum(map(size, parts)) < 3 * fuzzy_lines.PART_BYTES):
+            if low <= sum(size(sixths[x]) for x in c) and (
+                sum(size(sixths[x]) for x in c) < high or many == 2 and sum(map(size, parts)) < 3 * fuzzy_lines.PART_BYTES
+            ):
                 out.add(("sixth", c, tuple(sim(sixths[x], 3) for x in c)))
     return out
 
@@ -338,8 +388,19 @@ def test_pipeline(spark, tmp_path):
     t1, t2 = text(80), text(80)
     near = t1.split()
     near[40] = "changed"
-    rows += [(300, t1, "en", "s0", 1), (301, " ".join(near), None, None, None), (302, t2 + " " + passage, "en", "s1", 1), (303, None, "en", "s1", None), (304, "", "en", "s1", 0), (None, text(), "en", "s2", 3), (305, t1, "en", "s0", 1)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    rows += [
+        (300, t1, "en", "s0", 1),
+        (301, " ".join(near), None, None, None),
+        (302, t2 + " " + passage, "en", "s1", 1),
+        (303, None, "en", "s1", None),
+        (304, "", "en", "s1", 0),
+        (None, text(), "en", "s2", 3),
+        (305, t1, "en", "s0", 1),
+    ]
+    spark.createDataFrame(
+        rows,
+        "doc_id long, text string, lang string, source string, n_chars long",
+    ).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))

@@ -15,7 +15,18 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import decontaminate, html_text, language_id, source_mix, token_counts, toxicity
 
-ODD = [(1, None), (2, ""), (3, "   \n\t "), (None, "a word"), (4, "same same"), (4, "same same"), (5, "é" * 3000 + " x" * 30000), (6, "<|endoftext|>a<|endoftext|>"), (7, "ﬁ 漢字 ½   it's 12345\x1c\x85_"), (8, "UPPER case")]
+ODD = [
+    (1, None),
+    (2, ""),
+    (3, "   \n\t "),
+    (None, "a word"),
+    (4, "same same"),
+    (4, "same same"),
+    (5, "é" * 3000 + " x" * 30000),
+    (6, "<|endoftext|>a<|endoftext|>"),
+    (7, "ﬁ 漢字 ½   it's 12345\x1c\x85_"),
+    (8, "UPPER case"),
+]
 
 
 def docs(spark, rows=ODD):
@@ -71,7 +82,12 @@ def test_decontaminate(spark, monkeypatch, automaton_chars):
     vocab = ["aa", "b", "Ce", "é1", "x"]
     item = lambda n: "-".join(r.choice(vocab) for _ in range(n))
     items = [(k, item(n)) for k, n in enumerate((20, 13, 3, 1, 40, 15))] + [(20, None), (21, "?!"), (2, "aa")]
-    texts = list(ODD) + [(50 + k, " ".join(r.choice(vocab + ["zz"] * 4) for _ in range(60)) + "\n" + (items[k % 6][1].upper() if k % 2 else "") + " tail") for k in range(20)]
+    texts = list(ODD) + [
+        (
+            50 + k,
+            " ".join(r.choice(vocab + ["zz"] * 4) for _ in range(60)) + "\n" + (items[k % 6][1].upper() if k % 2 else "") + " tail",
+        ) for k in range(20)
+    ]
     got = decontaminate.decontaminate(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), prefix="o_").collect()
     assert len(got) == len(texts)
     by = defaultdict(list)
@@ -87,7 +103,10 @@ def test_decontaminate(spark, monkeypatch, automaton_chars):
             assert text[s.start :].startswith(words[s.first_word]) and text[: s.end].endswith(words[s.last_word])
     none = decontaminate.decontaminate(docs(spark), spark.createDataFrame([], "item_id long, text string"))
     assert none.filter("contaminated").count() == 0 and none.count() == len(ODD)
-    assert decontaminate.without_contaminated(docs(spark), spark.createDataFrame([(1, "same same")], "item_id long, text string")).filter("doc_id = 4").count() == 0
+    assert decontaminate.without_contaminated(
+        docs(spark),
+        spark.createDataFrame([(1, "same same")], "item_id long, text string"),
+    ).filter("doc_id = 4").count() == 0
 
 
 ENGLISH = "the weather of the north was cold and the people there went to their houses with wood for the fire"
@@ -129,7 +148,15 @@ def slow_language(text, dicts):
     data = (" " + " ".join(letters.split()) + " ").encode()
     sizes = {}
     for name, d in dicts.items():
-        params = z.ZstdCompressionParameters.from_level(3, window_log=17, min_match=3, strategy=z.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0)
+        params = z.ZstdCompressionParameters.from_level(
+            3,
+            window_log=17,
+            min_match=3,
+            strategy=z.STRATEGY_BTOPT,
+            write_content_size=0,
+            write_checksum=0,
+            write_dict_id=0,
+        )
         new = lambda d=d, params=params: z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=params)
         sizes[name] = sum(max(1, len(new().compress(data[i : i + 1500])) - 9) for i in range(0, len(data), 1500))
     return min(sizes, key=lambda k: (sizes[k], list(dicts).index(k))), sizes
@@ -150,7 +177,9 @@ def test_language_query_like_slow_scorer(spark, tmp_path):
         name, sizes = slow_language(text, dicts)
         best, other = sorted(sizes.values())
         margin = (other - best) / best
-        assert got[i].lang_pred == name and got[i].score == pytest.approx(min(1, 0.5 + 0.5 * margin / (margin + 0.02))) and got[i].reliable == (margin >= 0.02)
+        assert got[i].lang_pred == name and got[i].score == pytest.approx(
+            min(1, 0.5 + 0.5 * margin / (margin + 0.02))
+        ) and got[i].reliable == (margin >= 0.02)
     changed = [(i, t, "en" if crc(i) and lang else lang) for i, t, lang in rows]
     assert language_id.fit(spark.createDataFrame([r for r in changed if not crc(r[0])], "doc_id long, text string, lang string")) == dicts
 
@@ -282,14 +311,31 @@ ARTICLE = "<h1>Head &amp; line</h1><p>First  paragraph\nof text, which is long e
 TEXT = "Head & line\n\nFirst paragraph of text, which is long enough to count.\n\nSecond — bold paragraph, also long enough to count as text.\n\nOf.\n\nItem one of the list"
 
 
-@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", '<div id="content">{}</div>', '<article><header class="entry-header"><p>By line</p></header>{}</article>'])
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        "<article>{}</article>",
+        "<main>{}</main>",
+        '<div id="content">{}</div>',
+        '<article><header class="entry-header"><p>By line</p></header>{}</article>',
+    ],
+)
 def test_main_text(wrap):
     got = html_text.main_text(PAGE.replace("{body}", wrap.format(ARTICLE)))
     assert got == ("By line\n\n" if "By line" in wrap else "") + TEXT
 
 
 def test_main_text_odd_rows(spark):
-    rows = [(1, "u", None), (2, "u", ""), (3, None, "<p>"), (None, "u", "plain text only"), (4, "u", "<article><p>" + "w " * 50_000), (4, "u", "<nav>a</nav>"), (5, "u", "<b><i></p></div>x<"), (6, "u", "<article><p>a</p>" * 3000)]
+    rows = [
+        (1, "u", None),
+        (2, "u", ""),
+        (3, None, "<p>"),
+        (None, "u", "plain text only"),
+        (4, "u", "<article><p>" + "w " * 50_000),
+        (4, "u", "<nav>a</nav>"),
+        (5, "u", "<b><i></p></div>x<"),
+        (6, "u", "<article><p>a</p>" * 3000),
+    ]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
     assert len(got) == len(rows) and all(g.n_chars == len(g.text) for g in got)
     assert {g.text for g in got if g.page_id in (1, 2, 3)} == {""} and next(g.text for g in got if g.page_id is None) == "plain text only"
@@ -321,7 +367,15 @@ def test_parts_inside_the_article(page, want, wrap):
     assert html_text.main_text(html) == "\n\n".join(body)
 
 
-@pytest.mark.parametrize("wrap", ['<form id="aspnet">{}</form>', '<div class="content has-sidebar">{}</div>', '<div class="sidebar-wrapper">{}</div>', '<div id="page-with-comments">{}</div>'])
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        '<form id="aspnet">{}</form>',
+        '<div class="content has-sidebar">{}</div>',
+        '<div class="sidebar-wrapper">{}</div>',
+        '<div id="page-with-comments">{}</div>',
+    ],
+)
 @pytest.mark.parametrize("inner", ["<article>{}</article>", "<div>{}</div>"])
 def test_wrappers_of_the_article_stay(wrap, inner):
     html = "<body>" + wrap.format(inner.format(f"<h1>Head</h1><p>{LONG}</p><p>{LONG}</p>")) + "</body>"
@@ -359,7 +413,9 @@ class Tree:
         if tag == "div" and depth and r.random() < 0.3:
             self.cls = r.choice(["ad", "comments", "related-posts", "share-price", "story"])
         for _ in range(r.randrange(1, 5)):
-            self.kids.append(Tree(r, r.choice(["p", "p", "li", "h2", "nav"] if depth > 2 else ["p", "div", "div", "section", "article", "p", "form"]), depth + 1))
+            self.kids.append(
+                Tree(r, r.choice(["p", "p", "li", "h2", "nav"] if depth > 2 else ["p", "div", "div", "section", "article", "p", "form"]), depth + 1)
+            )
 
     def html(self):
         inner = "".join(k if isinstance(k, str) else f"<{k[0]}>{k[1]}</{k[0]}>" if isinstance(k, tuple) else k.html() for k in self.kids)
@@ -412,7 +468,9 @@ def slow_main_text(root):
     chain = [n for n in content[0][0] if n.tag in ("article", "div", "section") and sum(weigh(x) for x in content if within(n, x)) >= 0.7 * total]
     for x in content:
         for n in x[0]:
-            if n.tag in ("article", "div", "section") and not any(m is n for m in chain) and sum(weigh(y) for y in content if within(n, y)) >= 0.7 * total:
+            if n.tag in ("article", "div", "section") and not any(m is n for m in chain) and sum(
+                weigh(y) for y in content if within(n, y)
+            ) >= 0.7 * total:
                 chain.append(n)
     chain.sort(key=lambda n: next(x[0].index(n) for x in lines if within(n, x)))
     articles = [n for n in chain if n.tag == "article"]

@@ -148,7 +148,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         large = large.filter("u != v").distinct()
         small = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
         joined = large.join(small.hint("merge"), F.col("u") == F.col("k"))
-        cur = joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        cur = joined.select(
+            F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
+        )
         cur = checkpointed(cur.select("e.u", "e.v").filter("u != v").distinct())
     raise RuntimeError("components have not settled")
 

@@ -119,7 +119,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, hits_i
     for k in range(parts):  # a further automaton adds its spans and items to a row
         some = found.filter(F.pmod(F.xxhash64("window"), F.lit(parts)) == k).collect()
         shared = sc.broadcast({r["window"]: tuple(r["items"]) for r in some})
-        columns = [(f"__tm_words{k}", "long", pa.int64()), (f"__tm_spans{k}", _SPANS, _SPANS_ARROW), (f"__tm_items{k}", "array<string>", pa.list_(pa.string()))]
+        columns = [
+            (f"__tm_words{k}", "long", pa.int64()),
+            (f"__tm_spans{k}", _SPANS, _SPANS_ARROW),
+            (f"__tm_items{k}", "array<string>", pa.list_(pa.string())),
+        ]
         out = with_text_columns(out, columns, maker(shared))
         if parts > 1:  # no task holds two automata
             out = checkpointed(out)

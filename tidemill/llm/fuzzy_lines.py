@@ -170,7 +170,10 @@ def _blocks(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         for k, c in enumerate(itertools.combinations(range(6), many)):
             bytes_ = held[:, c].sum(1)
             take((bytes_ >= low) & ((bytes_ < high) | (poor & (many == 2))), 1000 * many + k, sims[:, c])
-    return (np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])) if found else (np.empty(0, np.int64), np.empty(0, np.uint64))
+    return (
+        np.concatenate([f[0] for f in found]),
+        np.concatenate([f[1] for f in found]),
+    ) if found else (np.empty(0, np.int64), np.empty(0, np.uint64))
 
 
 def blocks(lines: list[bytes], most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
@@ -309,10 +312,19 @@ def lines_of(docs: DataFrame, least: int, with_blocks: bool) -> DataFrame:
             if with_blocks:
                 bounds, keys = blocks(norms)
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys.view(np.int64)))
-            cols = [b.column(0).take(at), b.column(1).take(at), pa.array(number, pa.int32()), pa.array(list(map(xxhash.xxh3_128_digest, norms)), pa.binary()), lists]
+            cols = [
+                b.column(0).take(at),
+                b.column(1).take(at),
+                pa.array(number, pa.int32()),
+                pa.array(list(map(xxhash.xxh3_128_digest, norms)), pa.binary()),
+                lists,
+            ]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "k", "line", "key", "blocks"])
 
-    return docs.select("doc_id", "k", "text").filter("doc_id is not null").mapInArrow(run, f"doc_id {kind}, k binary, line int, key binary, blocks array<long>")
+    return docs.select("doc_id", "k", "text").filter("doc_id is not null").mapInArrow(
+        run,
+        f"doc_id {kind}, k binary, line int, key binary, blocks array<long>",
+    )
 
 
 def candidates(distinct: DataFrame) -> DataFrame:
@@ -337,9 +349,16 @@ def in_buckets(members: DataFrame, chosen: DataFrame, done: DataFrame | None = N
         wanted = wanted.union(done.select("bucket", F.lit(False)))
     wanted = checkpointed(wanted)
     hint = "broadcast" if wanted.count() <= FEW_BUCKETS else "merge"
-    rows = members.select("key", "k", "line", F.explode("at").alias("x")).select("key", "k", "line", "x.*").join(wanted.hint(hint), F.col("bucket") == F.col("b"))
+    rows = members.select("key", "k", "line", F.explode("at").alias("x")).select("key", "k", "line", "x.*").join(
+        wanted.hint(hint),
+        F.col("bucket") == F.col("b"),
+    )
     tiles = F.ceil(F.col("n") / TILE).cast("int").alias("tiles")
-    rows = rows.groupBy("key").agg(F.first("k").alias("k"), F.first("line").alias("line"), F.collect_list(F.struct("bucket", tiles, "go")).alias("at"))
+    rows = rows.groupBy("key").agg(
+        F.first("k").alias("k"),
+        F.first("line").alias("line"),
+        F.collect_list(F.struct("bucket", tiles, "go")).alias("at"),
+    )
     return checkpointed(rows.filter(F.exists("at", lambda x: x["go"])))
 
 
@@ -363,9 +382,17 @@ def groups(members: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame
         return found
     name = lambda df, c: df.join(found.select(F.col("node").alias("_n"), F.col("component").alias("_c")).hint("merge"), F.col(c) == F.col("_n"), "left").withColumn(c, F.coalesce("_c", c)).drop("_n", "_c")
     joined = components(name(name(more, "a"), "b")).select(F.col("node").alias("_g"), F.col("component").alias("_to"))
-    new = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found.select(F.col("node").alias("_n")).hint("merge"), F.col("node") == F.col("_n"), "left_anti")
+    new = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
+        found.select(F.col("node").alias("_n")).hint("merge"),
+        F.col("node") == F.col("_n"),
+        "left_anti",
+    )
     every = found.union(new.select("node", F.col("node").alias("component")))
-    return every.join(joined.hint("merge"), F.col("component") == F.col("_g"), "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return every.join(
+        joined.hint("merge"),
+        F.col("component") == F.col("_g"),
+        "left",
+    ).select("node", F.coalesce("_to", "component").alias("component"))
 
 
 def similar(members: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame:
@@ -386,10 +413,17 @@ def similar(members: DataFrame, keyed: DataFrame, similarity: float) -> DataFram
                             continue
                         own = h % p["tiles"]
                         for other in range(p["tiles"]):
-                            for column, v in zip(out, (p["bucket"], min(own, other), max(own, other), own <= other, x["key"], to_go, done, norm), strict=True):
+                            for column, v in zip(
+                                out,
+                                (p["bucket"], min(own, other), max(own, other), own <= other, x["key"], to_go, done, norm),
+                                strict=True,
+                            ):
                                 column.append(v)
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["bucket", "a", "b", "left", "key", "to_go", "done", "norm"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
+                names=["bucket", "a", "b", "left", "key", "to_go", "done", "norm"],
+            )
 
     texts = keyed.join(members.hint("broadcast" if few else "merge"), F.col("k") == F.col("_k")).select("text", "lines")
     dealt = texts.mapInArrow(deal, "bucket long, a int, b int, left boolean, key binary, to_go binary, done binary, norm binary")
@@ -412,7 +446,11 @@ def similar(members: DataFrame, keyed: DataFrame, similarity: float) -> DataFram
                     i, j = close_pairs([norms[r] for r in rows], sides, similarity)
                 if not len(i):
                     continue
-                met = [{x for x in np.frombuffer(to_go[r], np.int64).tolist() if x < bucket[lo]}.union(np.frombuffer(done[r], np.int64).tolist()) for r in rows]
+                met = [
+                    {
+                        x for x in np.frombuffer(to_go[r], np.int64).tolist() if x < bucket[lo]
+                    }.union(np.frombuffer(done[r], np.int64).tolist()) for r in rows
+                ]
                 words = [norms[r].decode("utf-8", "replace") for r in rows]
                 root = list(range(len(rows)))
 
@@ -436,16 +474,31 @@ def lines_to_go(docs: DataFrame, similarity: float, least: int) -> DataFrame:
     """(k, line) of every line that isn't the first of its group; k as in _key()."""
     keyed = _key(docs)
     place = F.struct("doc_id", "line", "k")
-    distinct = lines_of(keyed, least, True).groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.first("blocks").alias("blocks"))
+    distinct = lines_of(keyed, least, True).groupBy("key").agg(
+        F.count("*").alias("n"),
+        F.min(place).alias("first"),
+        F.first("blocks").alias("blocks"),
+    )
     distinct = checkpointed(distinct.select("key", "n", "first.doc_id", "first.line", "first.k", "blocks"))
     members = checkpointed(candidates(distinct))
     found = groups(members, keyed, similarity)
-    joined = distinct.select("key", "n", "doc_id", "line", "k").join(found.hint("merge"), F.col("key") == F.col("node"), "left").filter("n > 1 or component is not null")
+    joined = distinct.select("key", "n", "doc_id", "line", "k").join(
+        found.hint("merge"),
+        F.col("key") == F.col("node"),
+        "left",
+    ).filter("n > 1 or component is not null")
     joined = joined.select("key", F.coalesce("component", "key").alias("component"), place.alias("place"))
     first = joined.groupBy(F.col("component").alias("_c")).agg(F.min("place").alias("keep"))
-    kept = joined.join(first.hint("merge"), F.col("component") == F.col("_c")).select("key", F.col("keep.k").alias("keep_k"), F.col("keep.line").alias("keep_line"))
+    kept = joined.join(first.hint("merge"), F.col("component") == F.col("_c")).select(
+        "key",
+        F.col("keep.k").alias("keep_k"),
+        F.col("keep.line").alias("keep_line"),
+    )
     # Lines are read again rather than kept: that is cheaper than another copy of them all.
-    gone = lines_of(keyed, least, False).select("k", "line", "key").join(checkpointed(kept).withColumnRenamed("key", "_key").hint("merge"), F.col("key") == F.col("_key"))
+    gone = lines_of(keyed, least, False).select("k", "line", "key").join(
+        checkpointed(kept).withColumnRenamed("key", "_key").hint("merge"),
+        F.col("key") == F.col("_key"),
+    )
     return gone.filter("k != keep_k or line != keep_line").select("k", "line")
 
 
@@ -460,7 +513,10 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int = LE
     """
     gone = lines_to_go(docs.select("doc_id", "text"), similarity, least)
     gone = checkpointed(gone.groupBy(F.col("k").alias("__tm_k")).agg(F.collect_set("line").alias("__tm_gone")))
-    key = F.coalesce(F.unhex(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))), 1, 24)), F.lit(b""))
+    key = F.coalesce(
+        F.unhex(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))), 1, 24)),
+        F.lit(b""),
+    )
     hint = "broadcast" if gone.count() <= FEW_DOCS else "shuffle_hash"
     both = docs.withColumn("__tm_key", key).join(gone.hint(hint), F.col("__tm_key") == F.col("__tm_k"), "left")
     # A document's lines are few enough for an array; positions that are gone are left out.
@@ -472,10 +528,19 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int = LE
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(touched, F.length("__tm_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
-    counts = [F.coalesce(feeds + 1, F.lit(0)).cast("long").alias("_n_lines"), F.when(touched, F.size(out_of)).otherwise(0).cast("long").alias("_n_removed")]
+    counts = [
+        F.coalesce(feeds + 1, F.lit(0)).cast("long").alias("_n_lines"),
+        F.when(touched, F.size(out_of)).otherwise(0).cast("long").alias("_n_removed"),
+    ]
     return both.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns], *counts)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text"), 256).alias("text_sha256"))
+    return out.select(
+        "doc_id",
+        F.col("_n_lines").alias("n_lines"),
+        F.col("_n_removed").alias("n_removed"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("text"), 256).alias("text_sha256"),
+    )

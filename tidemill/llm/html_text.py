@@ -35,7 +35,9 @@ HEADINGS = 0.15
 MENU = 2
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end a line.
-BLOCK = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html iframe legend li main menu nav noscript ol option p pre script search section select style summary table tbody td textarea tfoot th thead title tr ul".split())
+BLOCK = set(
+    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html iframe legend li main menu nav noscript ol option p pre script search section select style summary table tbody td textarea tfoot th thead title tr ul".split()
+)
 #: Elements that set apart regions of a page.
 CONTAINERS = set("article center div main section td".split())
 #: Elements whose text is never shown as text.
@@ -45,11 +47,15 @@ ASIDE = set("nav footer aside menu dialog search".split())
 #: The same, unless they are wrapped around the article.
 FORMS = set("form fieldset".split())
 #: Words of class and id that mark such parts.
-MARKS = set("ad ads advert advertisement advertising adverts adsense banner breadcrumb breadcrumbs cookie cookies consent copyright disclaimer footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion recommendations recommended related share sharing sidebar sidebars social sponsor sponsored sponsors subscribe subscription teaser teasers toolbar topbar widget widgets".split())
+MARKS = set(
+    "ad ads advert advertisement advertising adverts adsense banner breadcrumb breadcrumbs cookie cookies consent copyright disclaimer footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion recommendations recommended related share sharing sidebar sidebars social sponsor sponsored sponsors subscribe subscription teaser teasers toolbar topbar widget widgets".split()
+)
 #: Words that mark reader comments.
 READERS = set("comment comments commentlist disqus discussion replies reply respond".split())
 #: Words that may stand beside a mark in one name: "site-footer", "cookie-box-inner".
-BESIDE = set("area article articles bar body bottom box block button buttons container content entry footer form global group header holder icons inner item items left level link links list local main outer page panel post posts primary right row section secondary signup site slot story sub top unit wrap wrapper".split())
+BESIDE = set(
+    "area article articles bar body bottom box block button buttons container content entry footer form global group header holder icons inner item items left level link links list local main outer page panel post posts primary right row section secondary signup site slot story sub top unit wrap wrapper".split()
+)
 #: With one of these words beside it, "header" means the head of the article.
 OWN = set("article content entry post story".split())
 ROLES = set("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
@@ -304,7 +310,10 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches):
         for b in sliced(batches):
             texts = [main_text(h) for h in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
+                names=["page_id", "url", "text", "n_chars"],
+            )
 
     return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
 

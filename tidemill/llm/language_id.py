@@ -57,7 +57,13 @@ def dictionary(texts: list[list[bytes]], most: int) -> bytes:
     return b"".join(x for t in texts for x in spread(b"".join(t), each))
 
 
-def fit(docs: DataFrame, label: str = "lang", text_col: str = "text", per_label: int = SAMPLE_TEXTS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
+def fit(
+    docs: DataFrame,
+    label: str = "lang",
+    text_col: str = "text",
+    per_label: int = SAMPLE_TEXTS,
+    dict_bytes: int = DICT_BYTES,
+) -> dict[str, bytes]:
     """label -> raw-content dictionary, from at most per_label whole texts of each label, those of the least text hash.
 
     Rows without label or text don't count; of equal texts one does.  Every sampled text gives the same share of its label's
@@ -81,7 +87,11 @@ def fit(docs: DataFrame, label: str = "lang", text_col: str = "text", per_label:
             found = [spread(plain(t).encode("utf-8", "replace"), 4096) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.binary()))], names=["label", "h", "pieces"])
 
-    chosen = docs.select(F.col(label).alias("label"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).join(F.broadcast(top), (F.col("label") == F.col("_l")) & (F.col("h") == F.col("_h")))
+    chosen = docs.select(
+        F.col(label).alias("label"),
+        F.xxhash64(text_col).alias("h"),
+        F.col(text_col).alias("text"),
+    ).join(F.broadcast(top), (F.col("label") == F.col("_l")) & (F.col("h") == F.col("_h")))
     chosen = chosen.select("label", "h", "text").mapInArrow(pieces, f"label {dict(docs.dtypes)[label]}, h long, pieces array<binary>")
     texts: dict[str, dict] = {}
     for r in chosen.groupBy("label", "h").agg(F.min("pieces").alias("pieces")).collect():
@@ -97,7 +107,15 @@ class Compressors:
         import zstandard as z
 
         self.names, self.by = list(dicts), []
-        params = z.ZstdCompressionParameters.from_level(level, window_log=17, min_match=SHORTEST, strategy=z.STRATEGY_BTOPT, write_content_size=0, write_checksum=0, write_dict_id=0)
+        params = z.ZstdCompressionParameters.from_level(
+            level,
+            window_log=17,
+            min_match=SHORTEST,
+            strategy=z.STRATEGY_BTOPT,
+            write_content_size=0,
+            write_checksum=0,
+            write_dict_id=0,
+        )
         for name in self.names:
             d = z.ZstdCompressionDict(dicts[name], dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=params)
@@ -138,7 +156,10 @@ def identify(docs: DataFrame, dicts: dict[str, bytes], id_col: str = "doc_id", t
             cols = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "lang_pred", "score", "reliable"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, reliable boolean")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+        run,
+        f"doc_id {kind}, lang_pred string, score double, reliable boolean",
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

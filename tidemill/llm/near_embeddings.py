@@ -93,10 +93,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     """
     e = F.col("embedding")
     finite = F.forall(e, lambda x: x.isNotNull() & (F.abs(x) < math.inf) & ~F.isnan(x))
-    fit = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size(e) > 0) & finite & F.exists(e, lambda x: x != 0), F.lit(False))
+    fit = F.coalesce(
+        F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size(e) > 0) & finite & F.exists(e, lambda x: x != 0),
+        F.lit(False),
+    )
     key = F.when(fit, F.concat_ws(":", F.xxhash64("label", e).cast("string"), F.hash("label", e).cast("string")))
     rows = vectors.select(F.col("vec_id"), F.col("label"), e.alias("e"), key.alias("k"))
-    classes = checkpointed(rows.filter("k is not null").groupBy("k").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("e").alias("e")))
+    classes = checkpointed(
+        rows.filter("k is not null").groupBy("k").agg(
+            F.min("vec_id").alias("rep"),
+            F.count("*").alias("n"),
+            F.first("label").alias("label"),
+            F.first("e").alias("e"),
+        )
+    )
     count, dims = classes.count(), classes.select(F.size("e").alias("d")).distinct()
     some = F.xxhash64("k") / 2.0**64 + 0.5 < min(1.0, SAMPLE / max(1, count))
     axes = principal_axes(classes.filter(some))
@@ -113,15 +123,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
                 m = scaled(np.stack([v[i] for i in np.flatnonzero(dim == d)]))
                 at = np.floor((m @ axes.value[int(d)][:, :2]) / np.linalg.norm(m, axis=1, keepdims=True) / width).astype(np.int64)
                 x[dim == d], y[dim == d] = at[:, 0], at[:, -1]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(dim), pa.array(x), pa.array(y)], names=["e", "k", "rep", "n", "label", "d", "x", "y"])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(dim), pa.array(x), pa.array(y)],
+                names=["e", "k", "rep", "n", "label", "d", "x", "y"],
+            )
 
     kinds = dict(classes.dtypes)
-    banded = classes.select("e", "k", "rep", "n", "label").mapInArrow(cells, f"e {kinds['e']}, k string, rep {kinds['rep']}, n long, label {kinds['label']}, d long, x long, y long")
+    banded = classes.select("e", "k", "rep", "n", "label").mapInArrow(
+        cells,
+        f"e {kinds['e']}, k string, rep {kinds['rep']}, n long, label {kinds['label']}, d long, x long, y long",
+    )
     sizes = checkpointed(banded.groupBy("label", "d", "x", "y").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")))
     # Of two neighbouring cells the one that comes first is where they meet.
     steps = [(0, 0), *((u, v) for u in (-1, 0, 1) for v in (-1, 0, 1) if (u, v) != (0, 0))]
     step = F.explode(F.array(*[F.struct(F.lit(u).cast("long").alias("u"), F.lit(v).cast("long").alias("v")) for u, v in steps])).alias("s")
-    beside = sizes.select("label", "d", "x", "y", "tiles", step).select(F.col("label").alias("_l"), F.col("d").alias("_d"), (F.col("x") - F.col("s.u")).alias("_x"), (F.col("y") - F.col("s.v")).alias("_y"), F.struct("s.u", "s.v", "tiles").alias("o"))
+    beside = sizes.select("label", "d", "x", "y", "tiles", step).select(
+        F.col("label").alias("_l"),
+        F.col("d").alias("_d"),
+        (F.col("x") - F.col("s.u")).alias("_x"),
+        (F.col("y") - F.col("s.v")).alias("_y"),
+        F.struct("s.u", "s.v", "tiles").alias("o"),
+    )
     beside = checkpointed(beside.groupBy("_l", "_d", "_x", "_y").agg(F.collect_list("o").alias("beside")))
     same_cell = (F.col("label") == F.col("_l")) & (F.col("d") == F.col("_d")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))
     dealt = banded.join(beside.hint("merge"), same_cell)
@@ -144,7 +166,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
 
     own_tiles = F.element_at(F.filter("beside", lambda o: (o["u"] == 0) & (o["v"] == 0)), 1)["tiles"]
     dealt = dealt.withColumn("own", own_tiles)
-    placed = dealt.select("label", "d", "k", "rep", "n", "e", F.explode(F.flatten(F.transform("beside", places_in))).alias("p")).select("label", "d", "k", "rep", "n", "e", "p.*")
+    placed = dealt.select(
+        "label",
+        "d",
+        "k",
+        "rep",
+        "n",
+        "e",
+        F.explode(F.flatten(F.transform("beside", places_in))).alias("p"),
+    ).select("label", "d", "k", "rep", "n", "e", "p.*")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         v = scaled(np.stack(pdf["e"].to_numpy()))
@@ -165,26 +195,47 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
         some = links > 0
         return pd.DataFrame({"k": pdf["k"].to_numpy()[some], "rep": ids[some], "links": links[some].astype(np.int64), "root": root[some]})
 
-    found = placed.groupBy("label", "d", "px", "py", "u", "v", "a", "b").applyInPandas(compare, f"k string, rep {kinds['rep']}, links long, root {kinds['rep']}")
+    found = placed.groupBy("label", "d", "px", "py", "u", "v", "a", "b").applyInPandas(
+        compare,
+        f"k string, rep {kinds['rep']}, links long, root {kinds['rep']}",
+    )
     found = checkpointed(found)
     links = found.groupBy(F.col("k").alias("_r")).agg(F.sum("links").alias("links"))
     edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b"))
     # Rows that repeat an id tie the classes that they belong to together.
-    repeated = checkpointed(rows.filter("vec_id is not null").groupBy(F.col("vec_id").alias("_v")).agg(F.count("*").alias("c")).filter("c > 1").select("_v"))
+    repeated = checkpointed(
+        rows.filter("vec_id is not null").groupBy(F.col("vec_id").alias("_v")).agg(F.count("*").alias("c")).filter("c > 1").select("_v")
+    )
     tied = bool(repeated.head(1))
     if tied:
         own = rows.select("vec_id", F.col("k").alias("_k")).join(repeated.hint("merge"), F.col("vec_id") == F.col("_v"))
         edges = edges.union(own.join(classes.select("k", "rep").hint("merge"), F.col("k") == F.col("_k")).select("vec_id", "rep"))
     groups = components(edges)
-    classes = classes.select("k", "rep", "n").join(links.hint("merge"), F.col("k") == F.col("_r"), "left").join(groups.hint("merge"), F.col("rep") == F.col("node"), "left")
-    classes = classes.select(F.col("k").alias("_k"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
+    classes = classes.select("k", "rep", "n").join(links.hint("merge"), F.col("k") == F.col("_r"), "left").join(
+        groups.hint("merge"),
+        F.col("rep") == F.col("node"),
+        "left",
+    )
+    classes = classes.select(
+        F.col("k").alias("_k"),
+        (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
+        F.coalesce("component", "rep").alias("c"),
+    )
     out = rows.select("vec_id", "k").join(classes.hint("merge"), F.col("k") == F.col("_k"), "left")
     component = F.coalesce("c", "vec_id")
     if tied:  # and give rows that can't link the component of their id
-        node = out.select("vec_id", component.alias("c")).join(repeated.hint("merge"), F.col("vec_id") == F.col("_v")).groupBy("_v").agg(F.min("c").alias("tie"))
+        node = out.select("vec_id", component.alias("c")).join(
+            repeated.hint("merge"),
+            F.col("vec_id") == F.col("_v"),
+        ).groupBy("_v").agg(F.min("c").alias("tie"))
         out = out.join(node.hint("merge"), F.col("vec_id") == F.col("_v"), "left")
         component = F.coalesce("tie", "c", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
+    return out.select(
+        "vec_id",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        component.cast("long").alias("component_id"),
+        F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

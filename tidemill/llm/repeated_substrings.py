@@ -175,7 +175,11 @@ def _stretches(flags: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows with a key that is never null: the id, and a hash of the text to tell rows of one id apart."""
     key = F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(text_col).cast("string")))
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.unhex(F.substring(key, 1, 24)), F.lit(b"")).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.coalesce(F.unhex(F.substring(key, 1, 24)), F.lit(b"")).alias("k"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    )
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, most_runs: int = MOST_RUNS, stretch: int = STRETCH) -> DataFrame:
@@ -191,7 +195,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most_runs: int = MOST_
                 doc, bucket = doc[order], bucket[order]
                 new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1])]) if len(doc) else doc
                 k = pa.array(keys).take(pa.array(doc[new]))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[new].view(np.int64)), k, pa.array(np.diff(np.r_[new, len(doc)]))], names=["bucket", "k", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[new].view(np.int64)), k, pa.array(np.diff(np.r_[new, len(doc)]))],
+                    names=["bucket", "k", "n"],
+                )
 
     found = docs.select("k", "text").mapInArrow(anchors, "bucket long, k binary, n long")
     often = found.groupBy(F.col("bucket").alias("b")).agg(F.sum("n").alias("runs")).filter("runs > 1")
@@ -220,7 +227,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most_runs: int = MOST_
                             row = (v, hash_of(key) % salts if salts > 1 else -1, key, starts[i] + at, m, part[i][at : at + m + length - 1])
                             for column, value in zip(out, row, strict=True):
                                 column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, CONTEXT, strict=True)], names=["bucket", "salt", "k", "at", "m", "context"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(out, CONTEXT, strict=True)],
+                    names=["bucket", "salt", "k", "at", "m", "context"],
+                )
 
     CONTEXT = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
     runs = docs.join(kept.withColumnRenamed("k", "_k").hint("merge"), F.col("k") == F.col("_k")).select("k", "text", "buckets", "doc_id")
@@ -248,7 +258,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most_runs: int = MOST_
             pick = np.unique(full, return_index=True)[1]
             seg = np.repeat(np.arange(len(counts)), counts)[pick]
             p = at[seg] + pick - (np.cumsum(counts) - counts)[seg]
-            yield pa.RecordBatch.from_arrays(rows_of(part, seg, p, p + length, pa.array(full[pick].view(np.int64))), names=["k", "start", "end", "string"])
+            yield pa.RecordBatch.from_arrays(
+                rows_of(part, seg, p, p + length, pa.array(full[pick].view(np.int64))),
+                names=["k", "start", "end", "string"],
+            )
 
     spans = runs.mapInArrow(compare, "k binary, start long, end long")
     if large:  # the parts of a large bucket don't see each other: of each string that a part has, one goes on to meet the others
@@ -273,7 +286,14 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def remove_repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_runs: int = MOST_RUNS, stretch: int = STRETCH) -> DataFrame:
+def remove_repeated(
+    docs: DataFrame,
+    length: int = LENGTH,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    most_runs: int = MOST_RUNS,
+    stretch: int = STRETCH,
+) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every row of docs; kept: the remaining bytes.
 
     Every byte covered by a string of length bytes that starts at any other place too, in the same text or another, is

@@ -100,7 +100,12 @@ def token_sets(docs: DataFrame, n: int, threshold: float, reps: int) -> DataFram
         for b in sliced(batches):
             found = [sets.tokens(t) for t in b.column(1).to_pylist()]
             paths = [np.unique(np.concatenate(sets.chosen(s, sets.seeds))) if len(s) else s for s in found]
-            cols = [b.column(0), pa.array([set_key(s) if len(s) else None for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64()), _lists(paths)]
+            cols = [
+                b.column(0),
+                pa.array([set_key(s) if len(s) else None for s in found], pa.binary()),
+                pa.array([len(s) for s in found], pa.int64()),
+                _lists(paths),
+            ]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "size", "paths"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key binary, size long, paths array<long>")
@@ -112,7 +117,12 @@ def buckets(chosen: DataFrame, large: int | None = None) -> DataFrame:
     Buckets of more than large sets are all there: they are split on other tokens each, and each is a chance to meet.
     """
     h = F.xxhash64("key")
-    seen = chosen.groupBy("path").agg(F.count("*").alias("sets"), F.sum("size").alias("tokens"), F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(0x7FFFFFFF)).alias("y")).filter("sets > 1")
+    seen = chosen.groupBy("path").agg(
+        F.count("*").alias("sets"),
+        F.sum("size").alias("tokens"),
+        F.bit_xor(h).alias("x"),
+        F.sum(h.bitwiseAND(0x7FFFFFFF)).alias("y"),
+    ).filter("sets > 1")
     own = F.when(F.col("sets") > large, F.col("path")) if large else F.lit(None)
     return seen.groupBy("sets", "tokens", "x", "y", own.alias("own")).agg(F.min("path").alias("path")).select("path", "sets", "tokens")
 
@@ -153,9 +163,15 @@ def split_buckets(docs: DataFrame, classes: DataFrame, large: int, n: int, thres
                 path.append(now)
                 more += map(np.unique, sets.chosen(tokens, now))
             flat = np.concatenate(path) if path else np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(flat.view(np.int64)), _lists(more)], names=["key", "size", "path", "more"])
-
-    second = with_texts(docs, again, few).select("text", "key", "size", "paths").mapInArrow(deeper, "key binary, size long, path long, more array<long>")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(flat.view(np.int64)), _lists(more)],
+                names=["key", "size", "path", "more"],
+            )
+
+    second = with_texts(docs, again, few).select("text", "key", "size", "paths").mapInArrow(
+        deeper,
+        "key binary, size long, path long, more array<long>",
+    )
     second = checkpointed(second.dropDuplicates(["key", "path"]))
     found = checkpointed(buckets(second, large))
     small = member(second.select("path", "key"), found.filter(F.col("sets") <= large)).select("path", "key", tiles)
@@ -186,7 +202,13 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def compare_bucket(path: int, sets: list[np.ndarray], paths: list[np.ndarray], left: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def compare_bucket(
+    path: int,
+    sets: list[np.ndarray],
+    paths: list[np.ndarray],
+    left: np.ndarray | None,
+    threshold: float,
+) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of a bucket with Jaccard >= threshold that meet in no lesser bucket.  left: of two tiles, who is in the first."""
     n = len(sets)
     if n < 2:
@@ -218,7 +240,14 @@ def jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     reps = planned(threshold, recall)
     rows = checkpointed(token_sets(docs, n, threshold, reps[0]))
     known = rows.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = checkpointed(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("paths").alias("paths")))
+    classes = checkpointed(
+        known.groupBy("key").agg(
+            F.min("doc_id").alias("rep"),
+            F.count("*").alias("n"),
+            F.first("size").alias("size"),
+            F.first("paths").alias("paths"),
+        )
+    )
     places = split_buckets(docs, classes, large, n, threshold, reps)
     wanted = places.groupBy("key").agg(F.collect_list(F.struct("path", "tiles")).alias("at"))
     wanted = classes.select("key", "rep", "n").join(wanted.withColumnRenamed("key", "_k").hint("merge"), F.col("key") == F.col("_k")).drop("_k")
@@ -237,12 +266,22 @@ def jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
                 for x in at:
                     own = h % x["tiles"]
                     for other in range(x["tiles"]):
-                        for column, v in zip(out, (x["path"], min(own, other), max(own, other), own <= other, key, rep, weight, data, paths), strict=True):
+                        for column, v in zip(
+                            out,
+                            (x["path"], min(own, other), max(own, other), own <= other, key, rep, weight, data, paths),
+                            strict=True,
+                        ):
                             column.append(v)
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), b.schema.field(2).type, pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["path", "a", "b", "left", "key", "rep", "n", "tokens", "paths"])
-
-    dealt = with_texts(docs, wanted).select("text", "key", "rep", "n", "at").mapInArrow(deal, f"path long, a int, b int, left boolean, key binary, rep {kind}, n long, tokens binary, paths binary")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
+                names=["path", "a", "b", "left", "key", "rep", "n", "tokens", "paths"],
+            )
+
+    dealt = with_texts(docs, wanted).select("text", "key", "rep", "n", "at").mapInArrow(
+        deal,
+        f"path long, a int, b int, left boolean, key binary, rep {kind}, n long, tokens binary, paths binary",
+    )
     dealt = dealt.repartition(partitions(docs), "path", "a", "b").sortWithinPartitions("path", "a", "b")
 
     def compare(batches):
@@ -272,7 +311,10 @@ def jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
                     out_rep.append(reps_[rows[k]])
                     out_root.append(reps_[rows[root[k]]])
             kind_ = t.schema.field("rep").type
-            yield pa.RecordBatch.from_arrays([pa.array(out_key, pa.binary()), pa.array(out_links, pa.int64()), pa.array(out_rep, kind_), pa.array(out_root, kind_)], names=["key", "links", "rep", "root"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out_key, pa.binary()), pa.array(out_links, pa.int64()), pa.array(out_rep, kind_), pa.array(out_root, kind_)],
+                names=["key", "links", "rep", "root"],
+            )
 
     found = checkpointed(dealt.mapInArrow(compare, f"key binary, links long, rep {kind}, root {kind}"))
     links = found.groupBy(F.col("key").alias("_l")).agg(F.sum("links").alias("links"))
@@ -280,14 +322,35 @@ def jaccard_join(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD,
     repeated = known.groupBy("doc_id").agg(F.count_distinct("key").alias("c")).filter("c > 1")
     edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b"))
     if repeated.head(1):
-        extra = known.select("doc_id", F.col("key").alias("_k")).join(classes.select("key", "rep").hint("merge"), F.col("key") == F.col("_k")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        extra = known.select("doc_id", F.col("key").alias("_k")).join(
+            classes.select("key", "rep").hint("merge"),
+            F.col("key") == F.col("_k"),
+        ).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
         edges = edges.union(extra)
     groups = components(edges)
-    result = classes.select("key", "rep", "n").join(links.hint("merge"), F.col("key") == F.col("_l"), "left").join(groups.hint("merge"), F.col("rep") == F.col("node"), "left")
-    result = result.select(F.col("key").alias("_k"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
-    out = rows.select("doc_id", F.col("size").alias("n_tokens"), F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(result.hint("merge"), F.col("key") == F.col("_k"), "left")
+    result = classes.select("key", "rep", "n").join(links.hint("merge"), F.col("key") == F.col("_l"), "left").join(
+        groups.hint("merge"),
+        F.col("rep") == F.col("node"),
+        "left",
+    )
+    result = result.select(
+        F.col("key").alias("_k"),
+        (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
+        F.coalesce("component", "rep").alias("c"),
+    )
+    out = rows.select(
+        "doc_id",
+        F.col("size").alias("n_tokens"),
+        F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key"),
+    ).join(result.hint("merge"), F.col("key") == F.col("_k"), "left")
     component = F.coalesce("c", "doc_id")
-    return out.select("doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), "n_tokens")
+    return out.select(
+        "doc_id",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        component.alias("component_id"),
+        F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"),
+        "n_tokens",
+    )
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:

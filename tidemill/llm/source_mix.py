@@ -38,8 +38,15 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most
     heavy = F.sum("_w").over(all_rows) - F.coalesce(F.sum("_w").over(before), F.lit(0.0))
     s = s.withColumn("_left", left).withColumn("_heavy", heavy)
     s = s.withColumn("_free", F.col("_cap") * F.col("_heavy") > F.col("_left") * F.col("_w"))
-    first = Window.orderBy(F.when(F.col("_free"), F.col("_cap") / F.col("_w")).asc_nulls_last(), F.col("source").isNull(), F.col("source")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn("_l", F.first(F.when(F.col("_free"), F.col("_left"))).over(first)).withColumn("_h", F.first(F.when(F.col("_free"), F.col("_heavy"))).over(first))
+    first = Window.orderBy(
+        F.when(F.col("_free"), F.col("_cap") / F.col("_w")).asc_nulls_last(),
+        F.col("source").isNull(),
+        F.col("source"),
+    ).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    s = s.withColumn("_l", F.first(F.when(F.col("_free"), F.col("_left"))).over(first)).withColumn(
+        "_h",
+        F.first(F.when(F.col("_free"), F.col("_heavy"))).over(first),
+    )
     return s.select("source", "source_size", F.when(F.col("_free"), F.col("_w") * F.col("_l") / F.col("_h")).otherwise(F.col("_cap")).alias("target"))
 
 
@@ -56,7 +63,9 @@ def thresholds(rows: DataFrame, plan: DataFrame, near) -> DataFrame:
         hist = hist.join(state.withColumnRenamed("source", "_s").hint("merge"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
         cum = F.col("done") + F.sum("n").over(Window.partitionBy("source").orderBy("bucket"))
         over = hist.withColumn("cum", cum).filter(F.col("cum") > F.col("rest"))
-        state = over.groupBy("source").agg(F.min_by(F.struct("rest", F.col("bucket").alias("prefix"), (F.col("cum") - F.col("n")).alias("done"), "cum"), "bucket").alias("x")).select("source", "x.*")
+        state = over.groupBy("source").agg(
+            F.min_by(F.struct("rest", F.col("bucket").alias("prefix"), (F.col("cum") - F.col("n")).alias("done"), "cum"), "bucket").alias("x")
+        ).select("source", "x.*")
     within = F.col("done") + F.col("cum") <= 2 * F.col("rest")
     return state.select("source", F.when(within, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("limit"))
 
@@ -119,7 +128,14 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.
     copies = F.col("__tm_base") + (F.col("__tm_h") <= F.col("__tm_limit")).cast("long")
     out = out.withColumn("__tm_copies", copies).filter("__tm_copies > 0")
     taken = (F.col("__tm_copies") * F.col("__tm_size")).alias("taken")
-    return out.select(*[f"`{c}`" for c in own], F.col("__tm_size").alias("size"), F.col("__tm_source_size").alias("source_size"), F.col("__tm_target").alias("target"), taken, F.col("__tm_copies").alias("copies"))
+    return out.select(
+        *[f"`{c}`" for c in own],
+        F.col("__tm_size").alias("size"),
+        F.col("__tm_source_size").alias("source_size"),
+        F.col("__tm_target").alias("target"),
+        taken,
+        F.col("__tm_copies").alias("copies"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

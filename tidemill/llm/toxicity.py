@@ -82,7 +82,13 @@ class Network:
     def new(known: dict[str, int], seed: int) -> Network:
         r = np.random.default_rng(seed)
         f = lambda *shape, s: r.normal(0, s, shape).astype(np.float32)
-        p = {"word": f(len(known) + 1, WIDTH, s=0.1), "gram": f(GRAM_BUCKETS, WIDTH, s=0.3), "v": f(2 * HIDDEN, s=0.3), "u": f(2 * HIDDEN, s=0.3), "b": np.zeros(1, np.float32)}
+        p = {
+            "word": f(len(known) + 1, WIDTH, s=0.1),
+            "gram": f(GRAM_BUCKETS, WIDTH, s=0.3),
+            "v": f(2 * HIDDEN, s=0.3),
+            "u": f(2 * HIDDEN, s=0.3),
+            "b": np.zeros(1, np.float32),
+        }
         p["word"][0] = 0
         for d in "fb":
             p |= {f"W{d}": f(WIDTH, 3 * HIDDEN, s=0.4), f"U{d}": f(HIDDEN, 3 * HIDDEN, s=0.25), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
@@ -95,7 +101,11 @@ class Network:
         order = np.argsort(of, kind="stable")
         g, of = g[order], of[order]
         n = np.bincount(of, minlength=len(words)).astype(np.float32)
-        x = np.add.reduceat(self.p["gram"][g], np.searchsorted(of, np.arange(len(words))), axis=0) / n[:, None] if len(words) else np.empty((0, WIDTH), np.float32)
+        x = np.add.reduceat(
+            self.p["gram"][g],
+            np.searchsorted(of, np.arange(len(words))),
+            axis=0,
+        ) / n[:, None] if len(words) else np.empty((0, WIDTH), np.float32)
         return x + self.p["word"][ids], (ids, g, of, n)
 
     def gates(self, words: list[str]) -> np.ndarray:
@@ -300,7 +310,13 @@ class Scorer:
             s = np.array(starts(len(row)))
             owner.append(np.full(len(s), i))
             first.append(s)
-            windows.append(np.pad(row, (0, WINDOW - len(row)), constant_values=-1)[None, :] if len(row) < WINDOW else np.lib.stride_tricks.sliding_window_view(row, WINDOW)[s])
+            windows.append(
+                np.pad(
+                    row,
+                    (0, WINDOW - len(row)),
+                    constant_values=-1,
+                )[None, :] if len(row) < WINDOW else np.lib.stride_tricks.sliding_window_view(row, WINDOW)[s]
+            )
         owner, first, windows = np.concatenate(owner), np.concatenate(first), np.concatenate(windows)
         gates = self.gates if len(self.gates) else np.zeros((1, 6 * HIDDEN), np.float32)
         logit = np.concatenate([self.net.forward(gates, windows[i : i + 2048]) for i in range(0, len(windows), 2048)])
@@ -318,7 +334,10 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_TEXTS) ->
     many = {r[0]: r[1] for r in flags.groupBy("toxic").count().collect()}
     rows = docs.filter(F.length("text") > 0).select("doc_id", F.xxhash64("text").alias("h")).join(flags.hint("merge"), "doc_id")
     # Hashes are even, so a few times the wanted share of each class is enough to choose from; texts are fetched last.
-    share = F.element_at(F.create_map(*[F.lit(v) for c, n in many.items() for v in (c, min(1.0, 8 * per_class / n))]), F.col("toxic")) if many else F.lit(1.0)
+    share = F.element_at(
+        F.create_map(*[F.lit(v) for c, n in many.items() for v in (c, min(1.0, 8 * per_class / n))]),
+        F.col("toxic"),
+    ) if many else F.lit(1.0)
     rows = rows.filter((F.col("h") / 2.0**64 + 0.5) <= share).groupBy("toxic", "h").agg(F.min("doc_id").alias("id"))
     chosen = rows.withColumn("k", F.row_number().over(Window.partitionBy("toxic").orderBy("h"))).filter(F.col("k") <= per_class)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).filter(F.xxhash64("text") == F.col("h"))  # 2 x per_class rows
