@@ -238,7 +238,7 @@ def brute_lines(rows, least=1, similarity=0.9):
 
 @pytest.mark.parametrize("few,tile", [(500_000, 1000), (0, 3)])
 def test_lines(spark, monkeypatch, few, tile):
-    for bound in ("FEW_LINES", "FEW_BUCKETS", "FEW_DOCS"):
+    for bound in ("FEW_BUCKETS", "FEW_DOCS"):
         monkeypatch.setattr(fuzzy_lines, bound, few)
     monkeypatch.setattr(fuzzy_lines, "TILE", tile)
     r = random.Random(5)

@@ -36,10 +36,9 @@ SIXTHS = {2: (20, 48), 3: (12, 28), 4: (6, 14)}
 LONG_WORD, PIECE = 24, 12
 #: Lines of a bucket that are compared in one task; larger buckets are compared tile by tile.
 TILE = 1_000
-#: Candidate lines up to this many (some 360 bytes each, so 54 MB) are joined to the texts by broadcast; more by a shuffle.
-FEW_LINES = 150_000
-#: Buckets of two lines or more (some 50 bytes each), and documents that lose lines (some 100), that are joined by broadcast.
-FEW_BUCKETS, FEW_DOCS = 2_000_000, 300_000
+#: Buckets of two lines or more (some 50 bytes each), and documents with candidate lines or lines to go (some 100 bytes and 4 a
+#: line), up to which they are joined by broadcast, so 100 MB at most; more by a shuffle.
+FEW_BUCKETS, FEW_DOCS = 2_000_000, 600_000
 #: ASCII characters other than letters and digits become spaces; bytes of other characters stay.
 _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _PLAIN_LINES = _PLAIN[:10] + b"\n" + _PLAIN[11:]
@@ -241,12 +240,15 @@ def words_apart(a: list[str], b: list[str]) -> int:
     return cost + sum(map(len, a[i:])) + len(a) - i + sum(map(len, b[j:])) + len(b) - j
 
 
-def alike(a: str, b: str, similarity: float) -> bool:
-    """Whether the edit distance is within what the similarity allows; words settle most cases before characters are looked at."""
+def alike(a: str, b: str, similarity: float, by_words: bool = False) -> bool:
+    """Whether the edit distance is within what the similarity allows; words settle most cases before characters are looked at.
+
+    by_words: look at words only, so that some similar lines don't count.
+    """
     most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    return words_apart(a.split(" "), b.split(" ")) <= most or edit_distance(a, b) <= most
+    return words_apart(a.split(" "), b.split(" ")) <= most or not by_words and edit_distance(a, b) <= most
 
 
 #: Lines of a bucket up to which all pairs are looked at one by one.
@@ -349,16 +351,10 @@ def in_buckets(members: DataFrame, chosen: DataFrame, done: DataFrame | None = N
         wanted = wanted.union(done.select("bucket", F.lit(False)))
     wanted = checkpointed(wanted)
     hint = "broadcast" if wanted.count() <= FEW_BUCKETS else "merge"
-    rows = members.select("key", "k", "line", F.explode("at").alias("x")).select("key", "k", "line", "x.*").join(
-        wanted.hint(hint),
-        F.col("bucket") == F.col("b"),
-    )
+    rows = members.select("key", F.explode("at").alias("x")).select("key", "x.*")
+    rows = rows.join(wanted.hint(hint), F.col("bucket") == F.col("b"))
     tiles = F.ceil(F.col("n") / TILE).cast("int").alias("tiles")
-    rows = rows.groupBy("key").agg(
-        F.first("k").alias("k"),
-        F.first("line").alias("line"),
-        F.collect_list(F.struct("bucket", tiles, "go")).alias("at"),
-    )
+    rows = rows.groupBy("key").agg(F.collect_list(F.struct("bucket", tiles, "go")).alias("at"))
     return checkpointed(rows.filter(F.exists("at", lambda x: x["go"])))
 
 
@@ -369,15 +365,16 @@ def groups(members: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame
     have nothing to add; the rest follow, and what they link are the groups found before.  So the texts of a large group meet
     a few times, not once for every block.
     """
+    texts = checkpointed(texts_of(members, keyed))
     first = checkpointed(members.select(F.array_max("at")["bucket"].alias("bucket")).distinct())
-    found = components(similar(in_buckets(members, first), keyed, similarity))
+    found = components(similar(in_buckets(members, first), texts, similarity, partitions(keyed)))
     rows = members.select("key", F.explode("at").alias("x")).select("key", "x.bucket")
     rows = rows.join(found.hint("merge"), F.col("key") == F.col("node"), "left").select("bucket", F.coalesce("component", "key").alias("c"))
     open_ = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("bucket")
     rest = checkpointed(open_.join(first.withColumnRenamed("bucket", "f").hint("merge"), F.col("bucket") == F.col("f"), "left_anti"))
     if not rest.head(1):
         return found
-    more = checkpointed(similar(in_buckets(members, rest, first), keyed, similarity))
+    more = checkpointed(similar(in_buckets(members, rest, first), texts, similarity, partitions(keyed)))
     if not more.head(1):
         return found
     name = lambda df, c: df.join(found.select(F.col("node").alias("_n"), F.col("component").alias("_c")).hint("merge"), F.col(c) == F.col("_n"), "left").withColumn(c, F.coalesce("_c", c)).drop("_n", "_c")
@@ -395,39 +392,55 @@ def groups(members: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame
     ).select("node", F.coalesce("_to", "component").alias("component"))
 
 
-def similar(members: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): keys of similar lines, enough to connect all that share a bucket to go.  members: as in_buckets()."""
-    few = members.count() <= FEW_LINES
-    members = members.withColumnRenamed("k", "_k").groupBy("_k").agg(F.collect_list(F.struct("line", "key", "at")).alias("lines"))
+def texts_of(members: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(key, norm) of the lines of members, normalised: one row for each."""
+    wanted = checkpointed(members.groupBy(F.col("k").alias("_k")).agg(F.collect_set("line").alias("lines")))
+    few = wanted.count() <= FEW_DOCS and (wanted.agg(F.sum(F.size("lines"))).first()[0] or 0) <= 10 * FEW_DOCS
 
-    def deal(batches):
+    def cut(batches):
         for b in sliced(batches, 128):
-            out = [[] for _ in range(8)]
+            norms = []
             for text, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 parts = text.split("\n")
-                for x in {v["line"]: v for v in lines}.values():
-                    norm, h = plain(parts[x["line"]]), int.from_bytes(x["key"][:7], "big")
-                    to_go, done = (np.array([p["bucket"] for p in x["at"] if p["go"] == go], np.int64).tobytes() for go in (True, False))
-                    for p in x["at"]:
-                        if not p["go"]:
-                            continue
-                        own = h % p["tiles"]
-                        for other in range(p["tiles"]):
-                            for column, v in zip(
-                                out,
-                                (p["bucket"], min(own, other), max(own, other), own <= other, x["key"], to_go, done, norm),
-                                strict=True,
-                            ):
-                                column.append(v)
+                norms += [plain(parts[x]) for x in lines]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(map(xxhash.xxh3_128_digest, norms)), pa.binary()), pa.array(norms, pa.binary())],
+                names=["key", "norm"],
+            )
+
+    rows = keyed.join(wanted.hint("broadcast" if few else "merge"), F.col("k") == F.col("_k")).select("text", "lines")
+    return rows.mapInArrow(cut, "key binary, norm binary").dropDuplicates(["key"])  # rows that repeat id and text come again
+
+
+def similar(members: DataFrame, texts: DataFrame, similarity: float, parts: int) -> DataFrame:
+    """(a, b): keys of similar lines, enough to connect all that share a bucket to go.  members: as in_buckets()."""
+
+    def deal(batches):
+        for b in sliced(batches, 512):
+            out = [[] for _ in range(8)]
+            for key, at, norm in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                h = int.from_bytes(key[:7], "big")
+                to_go, done = (np.array([p["bucket"] for p in at if p["go"] == go], np.int64).tobytes() for go in (True, False))
+                for p in at:
+                    if not p["go"]:
+                        continue
+                    own = h % p["tiles"]
+                    for other in range(p["tiles"]):
+                        row = (p["bucket"], min(own, other), max(own, other), own <= other, key, to_go, done, norm)
+                        for column, v in zip(out, row, strict=True):
+                            column.append(v)
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(out, kinds, strict=True)],
                 names=["bucket", "a", "b", "left", "key", "to_go", "done", "norm"],
             )
 
-    texts = keyed.join(members.hint("broadcast" if few else "merge"), F.col("k") == F.col("_k")).select("text", "lines")
-    dealt = texts.mapInArrow(deal, "bucket long, a int, b int, left boolean, key binary, to_go binary, done binary, norm binary")
-    dealt = dealt.repartition(partitions(keyed), "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "key")
+    both = members.join(texts.withColumnRenamed("key", "_key").hint("merge"), F.col("key") == F.col("_key"))
+    dealt = both.select("key", "at", "norm").mapInArrow(
+        deal,
+        "bucket long, a int, b int, left boolean, key binary, to_go binary, done binary, norm binary",
+    )
+    dealt = dealt.repartition(parts, "bucket", "a", "b").sortWithinPartitions("bucket", "a", "b", "key")
 
     def verify(batches):
         for g in sorted_groups(batches, ["bucket", "a", "b"]):
@@ -436,35 +449,48 @@ def similar(members: DataFrame, keyed: DataFrame, similarity: float) -> DataFram
             keys, norms, to_go, done = (g.column(c).to_pylist() for c in ("key", "norm", "to_go", "done"))
             out_a, out_b = [], []
             for lo, hi in zip(at[:-1], at[1:], strict=True):
-                rows = list({keys[i]: i for i in range(lo, hi)}.values())  # rows that repeat id and text come again
+                rows = list(range(lo, hi))
                 if len(rows) < 2:
                     continue
+                words = [norms[r].decode("utf-8", "replace") for r in rows]
+                root, apart = list(range(len(rows))), len(rows)
+
+                def find(x, root=root):
+                    while root[x] != x:
+                        root[x] = x = root[root[x]]
+                    return x
+
+                for y in range(1, len(rows)):  # the first line often links all others, which its words can tell
+                    if alike(words[0], words[y], similarity, by_words=True):
+                        root[y] = 0
+                        apart -= 1
+                        out_a.append(keys[rows[0]])
+                        out_b.append(keys[rows[y]])
+                if apart == 1:
+                    continue
                 sides = None if a_[lo] == b_[lo] else left[rows]
                 if sides is None and len(rows) <= FEW_PAIRS:  # not worth arrays; alike() looks at lengths first
                     i, j = _ALL_PAIRS[len(rows)]
                 else:
                     i, j = close_pairs([norms[r] for r in rows], sides, similarity)
+                tied = np.array(root)
+                new = tied[i] != tied[j]
+                i, j = i[new], j[new]
                 if not len(i):
                     continue
                 met = [
-                    {
-                        x for x in np.frombuffer(to_go[r], np.int64).tolist() if x < bucket[lo]
-                    }.union(np.frombuffer(done[r], np.int64).tolist()) for r in rows
+                    {x for x in np.frombuffer(to_go[r], np.int64).tolist() if x < bucket[lo]}.union(np.frombuffer(done[r], np.int64).tolist())
+                    for r in rows
                 ]
-                words = [norms[r].decode("utf-8", "replace") for r in rows]
-                root = list(range(len(rows)))
-
-                def find(x, root=root):
-                    while root[x] != x:
-                        root[x] = x = root[root[x]]
-                    return x
-
                 for x, y in zip(i.tolist(), j.tolist(), strict=True):
                     # A pair that shares a lesser bucket, or one that is done, is settled there.
                     if find(x) != find(y) and met[x].isdisjoint(met[y]) and alike(words[x], words[y], similarity):
                         root[find(y)] = find(x)
+                        apart -= 1
                         out_a.append(keys[rows[x]])
                         out_b.append(keys[rows[y]])
+                        if apart == 1:
+                            break
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
 
     return dealt.mapInArrow(verify, "a binary, b binary")
