@@ -17,6 +17,9 @@ MODULES = (
     "language_id",
     "decontaminate",
     "token_counts",
+    "conversation_trie",
+    "url_filter",
+    "spelling_variants",
 )
 
 
