@@ -22,7 +22,7 @@ NAME = "op11_conversation_trie"
 #: A conversation begins with turns of the first one of its family: ids that agree but for their remainder by FAMILY.
 FAMILY, HEADS = 20, 4
 #: A prefix of more conversations than LEAST, and of more than one in TOP of all rows, belongs to the top: under TOP nodes.
-LEAST, TOP = 1000, 100_000
+LEAST, TOP = 200, 100_000
 #: Ids of a node's finished conversations are joined to texts by blocks of 2^BLOCK ids before they are hashed in order.
 BLOCK = 12
 ROWS = "conv_id long, depth long, hi long, lo long, mark long, phi long, plo long, words long, is_end boolean"
