@@ -47,15 +47,23 @@ def backtest(df: DataFrame, keys: list[str], config: Config = Config()) -> DataF
     return equity(positions(df, keys), keys, F.lit(config.fee + config.slippage), config.capital)
 
 
+def trade_flags(df: DataFrame, keys: list[str]) -> DataFrame:
+    """positions() with _entry and _exit: bars at which a trade begins, and after which it has ended."""
+    before = F.coalesce(F.lag("position").over(ordered(keys)), F.lit(0.0))
+    return df.withColumns({"_entry": (before == 0) & (F.col("position") > 0), "_exit": (before > 0) & (F.col("position") == 0)})
+
+
 def trades(curve: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each round trip.  A trade still open at the last bar ends there, without exit cost.
 
     The gross return compounds closes of held bars; the net return compounds net returns of held bars and the exit bar.
     """
-    w = ordered(keys)
-    before = F.coalesce(F.lag("position").over(w), F.lit(0.0))
-    df = curve.withColumn("_exit", (before > 0) & (F.col("position") == 0)).withColumn("_entry", (before == 0) & (F.col("position") > 0))
-    df = df.withColumn("trade_id", F.sum(F.col("_entry").cast("long")).over(so_far(keys))).filter("trade_id > 0 and (position > 0 or _exit)")
+    df = trade_flags(curve, keys).withColumn("trade_id", F.sum(F.col("_entry").cast("long")).over(so_far(keys)))
+    return trade_rows(df.filter("trade_id > 0 and (position > 0 or _exit)"), keys)
+
+
+def trade_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The trades of bars that are held or end a trade, by trade_id: grouped aggregates, partial ones before the shuffle."""
     held = F.col("position") > 0
     made = df.groupBy(*keys, "trade_id").agg(
         F.min("ts").alias("entry_datetime"),
@@ -86,12 +94,12 @@ def annual_growth(growth: Column, periods: Column, per_year: float) -> Column:
 
 
 def run_metrics(curve: DataFrame, keys: list[str], config: Config = Config(), risk_free: float = 0.0, extra: list[Column] | None = None) -> DataFrame:
-    """Metrics that need no trades.  extra: further aggregates over each run's bars."""
+    """Metrics that need no trades.  extra: further aggregates over each run's bars.  A curve may have drawdowns already."""
     r = F.col("strategy_return") - risk_free
     total = F.max_by("equity", "ts") / F.min_by("equity", "ts") - 1
     sd = F.stddev_samp(r)
     usable = (F.count("*") >= 2) & sd.isNotNull() & ~F.isnan(sd) & (sd != 0)
-    df = drawdowns(curve, keys).groupBy(*keys).agg(
+    df = (curve if "drawdown" in curve.columns else drawdowns(curve, keys)).groupBy(*keys).agg(
         total.alias("total_return"),
         annual(total, F.count("*") - 1, config.annualization).alias("annualized_return"),
         F.when(usable, F.avg(r) / F.nullif(sd, F.lit(0.0)) * config.annualization**0.5).otherwise(0.0).alias("sharpe_ratio"),
@@ -110,15 +118,7 @@ def metrics(curve: DataFrame, keys: list[str], config: Config = Config(), extra:
     a loss of exactly everything no trade counts as won.
     """
     w = ordered(keys)
-    before = F.coalesce(F.lag("position").over(w), F.lit(0.0))
-    df = curve.withColumns(
-        {
-            "_entry": (before == 0) & (F.col("position") > 0),
-            "_exit": (before > 0) & (F.col("position") == 0),
-            "_prev": F.lag("equity").over(w),
-            "_next": F.lead("ts").over(w),
-        }
-    )
+    df = trade_flags(curve, keys).withColumns({"_prev": F.lag("equity").over(w), "_next": F.lead("ts").over(w)})
     df = df.withColumn("_base", F.last(F.when(F.col("_entry"), F.col("_prev")), ignorenulls=True).over(so_far(keys)))
     ends = F.col("_exit") | ((F.col("position") > 0) & F.col("_next").isNull())
     won = F.when(ends & (F.col("_base") != 0), F.col("equity") / F.col("_base") - 1 > 0)

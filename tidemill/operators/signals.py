@@ -22,26 +22,46 @@ def ordered(keys: list[str]):
 def close_sums(bars: DataFrame, keys: list[str], windows: list[int], scale: int | None = 100) -> DataFrame:
     """bars with sums, window length -> sum of the last closes in units of 1/scale (null before the window is full).
 
-    Whole units make equal means equal however they are added; with scale None the closes are summed as they are.  All
-    lengths share one sort.
+    Whole units make equal means equal however they are added: running sums are made once, exactly, and each length is the
+    difference of two of them, so any number of lengths costs one window over the sorted bars and a look back for each.  With
+    scale None the closes are no whole units and are summed as they are, frame by frame.  A close that is missing or no number
+    leaves the windows that hold it empty.
     """
     w = ordered(keys)
-    c = F.col("close") if scale is None else F.round(F.col("close") * scale)
-    pairs = []
-    for n in sorted(set(windows)):
-        frame = w.rowsBetween(-(n - 1), 0)
-        pairs += [F.lit(n), F.when(F.count("close").over(frame) >= n, F.sum(c).over(frame))]
-    return bars.withColumn("sums", F.create_map(*pairs))
+    lengths = sorted(set(windows))
+    if scale is None:
+        frame = lambda n: w.rowsBetween(-(n - 1), 0)
+        pairs = [x for n in lengths for x in (F.lit(n), F.when(F.count("close").over(frame(n)) >= n, F.sum("close").over(frame(n))))]
+        return bars.withColumn("sums", F.create_map(*pairs))
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    units = F.round(F.col("close") * scale).try_cast("long")
+    df = bars.withColumns({"_sum": F.coalesce(F.sum(units).over(so_far), F.lit(0)), "_count": F.count(units).over(so_far)})
+    old = lambda c, n: F.coalesce(F.lag(c, n).over(w), F.lit(0))
+    pairs = [x for n in lengths for x in (F.lit(n), F.when(F.col("_count") - old("_count", n) >= n, (F.col("_sum") - old("_sum", n)).cast("double")))]
+    return df.withColumn("sums", F.create_map(*pairs)).drop("_sum", "_count")
 
 
 def prior_highs(bars: DataFrame, keys: list[str], windows: list[int]) -> DataFrame:
-    """bars with highs, window length -> highest close of the bars before this one (null before the window is full)."""
+    """bars with highs, window length -> highest close of the bars before this one (null before the window is full).
+
+    Maxima over 1, 2, 4, .. bars are each made of two of the level before, and any length of two that overlap: every row takes part in
+    as many steps as the longest length has bits, whatever the lengths are, and all share one sort.
+    """
     w = ordered(keys)
+    lengths = sorted(set(windows))
+    df = bars.withColumns({"_h1": F.struct(F.col("close").isNull().alias("gap"), F.col("close").alias("x")), "_at": F.row_number().over(w)})
+    worse = lambda a, b: F.greatest(a, b)  # noqa: E731  a gap is greater than any price, so it stays to be seen
+    size = 1
+    while size * 2 <= max(lengths, default=0):
+        df = df.withColumn(f"_h{2 * size}", worse(F.col(f"_h{size}"), F.lag(f"_h{size}", size).over(w)))
+        size *= 2
     pairs = []
-    for n in sorted(set(windows)):
-        frame = w.rowsBetween(-n, -1)
-        pairs += [F.lit(n), F.when(F.count("close").over(frame) >= n, F.max("close").over(frame))]
-    return bars.withColumn("highs", F.create_map(*pairs))
+    for n in lengths:
+        half = 1 << (n.bit_length() - 1)
+        whole = worse(F.lag(f"_h{half}", 1).over(w), F.lag(f"_h{half}", n - half + 1).over(w))
+        pairs += [F.lit(n), F.when((F.col("_at") > n) & ~whole["gap"], whole["x"])]
+    made = df.withColumn("highs", F.create_map(*pairs))
+    return made.drop("_at", *[c for c in made.columns if c.startswith("_h") and c[2:].isdigit()])
 
 
 def candidate_targets(

@@ -471,6 +471,15 @@ def statements(q) -> dict[str, str]:
             "SELECT symbol, entry_datetime AS ts, round(entry_price, 6) + 0.0 AS price, 'entry' AS kind FROM tr UNION ALL SELECT symbol, "
             "exit_datetime, round(exit_price, 6) + 0.0, 'exit' FROM tr"
         ),
+        "chunked_equity": curve().trades("eq", "tr", "symbol").sql(
+            "SELECT symbol, ts, row_number() OVER w - 1 AS idx, round(position, 4) + 0.0 AS position, round(turnover, 4) + 0.0 AS turnover, "
+            "round(equity, 4) + 0.0 AS equity, round(equity / max(equity) OVER w - 1, 4) + 0.0 AS drawdown, trade_id FROM tr_b "
+            "WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)"
+        ),
+        "rolling_all_lengths": " UNION ALL ".join(
+            f"SELECT symbol, ts, {n}::BIGINT AS length, round(s{n}, 6) + 0.0 AS cents, round(h{n}, 6) + 0.0 AS high_before FROM "
+            f"({weekly().sums('weekly', 'x', 'symbol', q.LENGTHS, q.LENGTHS).sql('SELECT * FROM x')})" for n in q.LENGTHS
+        ),
         "run_metrics": curve().metrics("eq", "m", "symbol").sql(f"SELECT symbol, {metrics} FROM m"),
         "single_experiment": curve().metrics("eq", "m", "symbol").hold("weekly", "h", "symbol").add(
             "x",
@@ -647,6 +656,7 @@ def statements(q) -> dict[str, str]:
             f"2 ELSE 1 END::BIGINT AS ingest_order FROM weekly"
         ),
     }
+    out |= {"chunked_trades": out["trade_log"], "chunked_metrics": out["run_metrics"]}  # a run in blocks is the same run
     c = ratio(weekly(), 0.5).ma("ratio", "rt", "symbol, role").backtest("rt", "rc", "symbol, role").metrics("rc", "rm", "symbol, role").add("a", "SELECT * FROM rm WHERE role = 'train'").add("b", "SELECT * FROM rm WHERE role = 'test'").add(
         "h2",
         "SELECT * FROM ratio WHERE role = 'test'",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import accepted_bars, bar_quality, bar_violations, signal_quality, signal_violations
 from ..operators import backtest as bt
-from ..operators import evidence, nulls, policy, search, signals, splits
+from ..operators import blocks, evidence, nulls, policy, search, signals, splits
 from ..sources import bars as src
 from . import reports
 from . import workflows as wf
@@ -84,6 +84,22 @@ def curve(spark: SparkSession, sf: str) -> DataFrame:
     return bt.backtest(ma(weekly(spark, sf)), KEYS)
 
 
+def in_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """curve() of MA(5, 20), each symbol's bars dealt out by blocks of 64 that are numbered from buckets of 100 days."""
+    return blocks.backtest(weekly(spark, sf), KEYS, ma, 20, WEEKLY, size=64, width=100 * 86400)
+
+
+#: Lengths of windows that rolling_all_lengths makes at once.
+LENGTHS = [1, 2, 3, 5, 8, 13, 20, 21, 34, 50, 55, 89, 100]
+
+
+def rolling(spark: SparkSession, sf: str) -> DataFrame:
+    """For every bar and length: the sum of the last closes in cents, and the highest close before."""
+    df = signals.prior_highs(signals.close_sums(weekly(spark, sf), KEYS, LENGTHS), KEYS, LENGTHS)
+    each = F.transform(F.array(*map(F.lit, LENGTHS)), lambda n: F.struct(n.alias("length"), F.col("sums")[n].alias("cents"), F.col("highs")[n].alias("high_before")))
+    return df.select("symbol", "ts", F.inline(each))
+
+
 def tidy(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """The columns, doubles to some decimals, counts as bigint, arrays and maps as text."""
     out = []
@@ -258,6 +274,10 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "benchmark_summary": lambda s, d: tidy(bt.buy_and_hold_summary(b(s, d), KEYS)),
         "trade_log": lambda s, d: tidy(bt.trades(curve(s, d), KEYS)),
         "trade_markers": lambda s, d: tidy(bt.trade_markers(bt.trades(curve(s, d), KEYS), KEYS)),
+        "chunked_equity": lambda s, d: tidy(in_blocks(s, d), "symbol", "ts", "idx", "position", "turnover", "equity", "drawdown", "trade_id", digits=4),
+        "chunked_trades": lambda s, d: tidy(blocks.trades(in_blocks(s, d), KEYS)),
+        "chunked_metrics": lambda s, d: tidy(blocks.metrics(in_blocks(s, d), KEYS, WEEKLY)),
+        "rolling_all_lengths": lambda s, d: tidy(rolling(s, d)),
         "run_metrics": lambda s, d: tidy(bt.metrics(curve(s, d), KEYS, WEEKLY)),
         "single_experiment": lambda s, d: tidy(wf.experiment(ma(b(s, d)), KEYS, WEEKLY)),
         "candidates": lambda s, d: tidy(b(s, d).select("symbol").distinct().crossJoin(F.broadcast(search.candidates(s, MIXED)))),
