@@ -266,7 +266,8 @@ def test_test_segment_is_only_used_for_the_winner(spark):
     r = wf.validate_search(spark, b, grid, 0.6, FREE).first()
     best = wf.grid_search(spark, splits.by_ratio(b, K, 0.6).filter("role = 'train'"), K, grid, FREE).filter("rank = 1").first()
     assert r.cand_id == best.cand_id and r.train_score == pytest.approx(best.score) and r.result_count == 4
-    changed = b.withColumn("close", F.when(F.col("ts") > F.lit("2024-03-15").cast("timestamp_ntz"), F.col("close") * 3).otherwise(F.col("close")))
+    late = F.col("ts") > F.lit("2024-03-15").cast("timestamp_ntz")
+    changed = b.withColumns({c: F.when(late, F.col(c) * 3).otherwise(F.col(c)) for c in ("open", "high", "low", "close")})
     again = wf.validate_search(spark, changed, grid, 0.6, FREE).first()
     assert again.cand_id == r.cand_id and again.train_score == r.train_score
 

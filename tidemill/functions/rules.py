@@ -70,6 +70,32 @@ def bar_quality(bars: DataFrame) -> DataFrame:
     )
 
 
+def with_status(bars: DataFrame) -> DataFrame:
+    """bars with status: ok, or the first rule that any bar of the symbol breaks.
+
+    Rows are dealt out by symbol and ordered in time, as the windows of a backtest ask for, so this pass adds no shuffle to theirs.
+    """
+    rules = bar_rules()
+    w = Window.partitionBy("symbol").orderBy("ts")
+    same = F.when((F.lag("ts").over(w) == F.col("ts")) | (F.lead("ts").over(w) == F.col("ts")), 2).otherwise(1)
+    number = F.coalesce(*[F.when(x, F.lit(i)) for i, x in enumerate(rules.values())])
+    names = F.array(*[F.lit(k) for k in rules])
+    first = F.min("_rule").over(Window.partitionBy("symbol"))
+    df = bars.withColumn("_same", same).withColumn("_rule", number).withColumn("_first", first)
+    return df.withColumn("status", F.coalesce(F.get(names, F.col("_first")), F.lit("ok"))).drop("_same", "_rule", "_first")
+
+
+def sound_bars(bars: DataFrame) -> DataFrame:
+    """The bars of symbols without a fault, missing volume as 0: what every workflow works on."""
+    return fill_volume(with_status(bars).filter("status = 'ok'").drop("status"))
+
+
+def with_faulty(runs: DataFrame, bars: DataFrame) -> DataFrame:
+    """runs of a workflow with status ok, and a row for each symbol that was set aside, with the rule that its bars break."""
+    bad = with_status(bars).filter("status <> 'ok'").groupBy("symbol").agg(F.first("status").alias("status"))
+    return runs.withColumn("status", F.lit("ok")).unionByName(bad, allowMissingColumns=True)
+
+
 def accepted_bars(bars: DataFrame) -> DataFrame:
     """The bars of symbols that break no rule, missing volume as 0; bar_quality() tells why others are not there."""
     bad = bar_violations(bars).select("symbol").distinct().withColumnRenamed("symbol", "_bad")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import long_only, score
+from ..functions.rules import finite, long_only, score
 from .signals import ordered
 
 
@@ -26,12 +26,18 @@ def so_far(keys: list[str]):
 
 
 def positions(df: DataFrame, keys: list[str]) -> DataFrame:
-    """df with position (the target of the bar before), close_return and turnover; costs don't matter yet."""
+    """df with position (the target of the bar before), close_return and turnover; costs don't matter yet.
+
+    A return that can't be told, as a close is missing or the one before it zero, is NaN: it stays in all metrics of its run, which
+    ranks last, and stops no other run.
+    """
     w = ordered(keys)
     df = df.withColumn("target_position", long_only(F.col("target_position")))
+    before = F.lag(F.struct("close")).over(w)  # null only at the first bar
+    told = F.coalesce(F.try_divide("close", before["close"]) - 1, F.lit(float("nan")))
     df = df.withColumn("position", F.coalesce(F.lag("target_position").over(w), F.lit(0.0))).withColumn(
         "close_return",
-        F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0)),
+        F.when(before.isNull(), 0.0).otherwise(told),
     )
     return df.withColumn("turnover", F.abs(F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0.0))))
 
@@ -80,7 +86,13 @@ def trade_rows(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def drawdowns(curve: DataFrame, keys: list[str]) -> DataFrame:
-    return curve.withColumn("drawdown", F.col("equity") / F.max("equity").over(so_far(keys)) - 1)
+    """The curve with drawdown; below a highest equity of zero it is NaN."""
+    return curve.withColumn("drawdown", ratio(F.col("equity"), F.max("equity").over(so_far(keys))) - 1)
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """a / b, or NaN where it can't be told."""
+    return F.coalesce(F.try_divide(a, b), F.lit(float("nan")))
 
 
 def annual(total: Column, periods: Column, per_year: float) -> Column:
@@ -96,7 +108,7 @@ def annual_growth(growth: Column, periods: Column, per_year: float) -> Column:
 def run_metrics(curve: DataFrame, keys: list[str], config: Config = Config(), risk_free: float = 0.0, extra: list[Column] | None = None) -> DataFrame:
     """Metrics that need no trades.  extra: further aggregates over each run's bars.  A curve may have drawdowns already."""
     r = F.col("strategy_return") - risk_free
-    total = F.max_by("equity", "ts") / F.min_by("equity", "ts") - 1
+    total = ratio(F.max_by("equity", "ts"), F.min_by("equity", "ts")) - 1
     sd = F.stddev_samp(r)
     usable = (F.count("*") >= 2) & sd.isNotNull() & ~F.isnan(sd) & (sd != 0)
     df = (curve if "drawdown" in curve.columns else drawdowns(curve, keys)).groupBy(*keys).agg(
@@ -129,16 +141,19 @@ def metrics(curve: DataFrame, keys: list[str], config: Config = Config(), extra:
 
 
 def buy_and_hold(bars: DataFrame, keys: list[str], capital: float = 100_000.0) -> DataFrame:
-    """bars with the equity of holding from the first bar on."""
+    """bars with the equity of holding from the first bar on; NaN where a close is missing or the first is zero."""
     first = F.first("close").over(ordered(keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return bars.withColumn("equity", capital * (F.col("close") / first))
+    return bars.withColumn("equity", capital * ratio(F.col("close"), first))
 
 
 def buy_and_hold_summary(bars: DataFrame, keys: list[str], capital: float = 100_000.0) -> DataFrame:
+    """Return and drawdown of holding, and benchmark_status: ok, or price_unusable where a close is missing, no number or not positive."""
+    usable = finite(F.col("close")) & F.coalesce(F.col("close") > 0, F.lit(False))
     curve = drawdowns(buy_and_hold(bars, keys, capital), keys)
     return curve.groupBy(*keys).agg(
-        (F.max_by("equity", "ts") / F.min_by("equity", "ts") - 1).alias("benchmark_total_return"),
+        (ratio(F.max_by("equity", "ts"), F.min_by("equity", "ts")) - 1).alias("benchmark_total_return"),
         F.min("drawdown").alias("benchmark_max_drawdown"),
+        F.when(F.every(usable), "ok").otherwise("price_unusable").alias("benchmark_status"),
     )
 
 

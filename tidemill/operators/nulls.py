@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.rules import finite
 from .backtest import annual_growth
 from .signals import ordered
-from .splits import numbered
 
 
 def drawn(*parts: Column | str | int) -> Column:
@@ -66,44 +65,50 @@ def bootstrap(curve: DataFrame, keys: list[str], samples: int = 1000, seed: int
     return runs.select(*keys, "status").join(made.hint("merge"), keys, "left")
 
 
-def null_paths(bars: DataFrame, keys: list[str], paths: int, block: int, seed: int = 42) -> DataFrame:
+def null_paths(bars: DataFrame, keys: list[str], paths: int, block: int, seed: int = 42, parts: int | None = None) -> DataFrame:
     """Permuted paths: blocks of relative moves in another order, compounded from the first bar, on the original times.
 
     Adds perm_id.  The recurrence of closes is a running product; the first bar stays, highs and lows hold the bar.  Runs with a
     price that is missing, not finite or not positive, or of fewer bars than a block, have no paths: path_status() tells which.
-    A run's moves are sorted once in an array for each path, and so are its times: position by position they are the path.
+    Bars are shuffled once by run, into parts (by default as many as the session asks for), and gathered in one row.  A path
+    sorts block numbers, not bars, and unfolds the run's moves in their order where they are: no path is shuffled, and windows
+    over keys and perm_id find their rows together.
     """
     if paths <= 0 or block <= 0:
         raise ValueError("paths and block must be positive")
-    w, every = ordered(keys), Window.partitionBy(*keys)
-    prev = F.lag("close").over(w)
-    moves = numbered(bars, keys).withColumn("_bad", F.count_if(_unusable()).over(every)).filter((F.col("_bad") == 0) & (F.col("n") >= block))
-    moves = moves.select(
+    if parts is None:
+        parts = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prices = ["open", "high", "low", "close"]
+    bar = F.struct("ts", *prices, "volume")
+    runs = bars.repartition(parts, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(bar)).alias("b"), F.count_if(_unusable()).alias("_bad"))
+    n = F.size("b")
+    runs = runs.filter((F.col("_bad") == 0) & (n >= block)).select(
         *keys,
-        "ts",
-        "idx",
-        *["open", "high", "low", "close", "volume"],
-        *[(F.col(c) / prev).alias(f"_{c}") for c in ("open", "high", "low", "close")],
+        F.col("b")[0].alias("first"),
+        F.transform("b", lambda x: x["ts"]).alias("times"),
+        F.zip_with(
+            F.slice("b", 2, n),
+            F.slice("b", 1, n - 1),
+            lambda x, before: F.struct(*[(x[c] / before["close"]).alias(c) for c in prices], x["volume"].alias("volume")),
+        ).alias("moves"),
     )
-    order = moves.withColumn("perm_id", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).repartition(*keys, "perm_id")
+    count = F.ceil(F.size("moves") / block).cast("int")
+    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    made = runs.withColumn("perm_id", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))))
+    rank = lambda i: F.md5(F.concat_ws("-", (F.col("perm_id") + seed).cast("string"), i.cast("string")))
+    order = F.array_sort(F.transform(numbers, lambda i: F.struct(rank(i).alias("rank"), i.alias("i"))))
+    moved = F.flatten(F.transform(order, lambda x: F.slice("moves", x["i"] * block + 1, F.lit(block))))
+    whole = F.concat(F.array(F.struct(*[F.col("first")[c].alias(c) for c in [*prices, "volume"]])), moved)
     run = [*keys, "perm_id"]
-    block_id = F.when(F.col("idx") > 0, F.floor((F.col("idx") - 1) / block)).otherwise(-1)
-    rank = F.when(F.col("idx") > 0, F.md5(F.concat_ws("-", (F.col("perm_id") + seed).cast("string"), block_id.cast("string")))).otherwise("")
-    row = F.struct(rank.alias("rank"), "idx", "open", "high", "low", "close", "volume", "_open", "_high", "_low", "_close")
-    made = order.groupBy(*run).agg(F.array_sort(F.collect_list(row)).alias("rows"), F.array_sort(F.collect_list("ts")).alias("times"))
-    df = made.select(
-        *run,
-        F.posexplode(F.arrays_zip("rows", "times")).alias("pos", "x"),
-    ).select(*run, "pos", F.col("x.times").alias("_ts"), "x.rows.*")
-    by_pos = Window.partitionBy(*run).orderBy("pos")
-    factor = F.when(F.col("pos") == 0, F.col("close")).otherwise(F.col("_close"))
-    df = df.withColumn("_c", F.product(factor).over(by_pos.rowsBetween(Window.unboundedPreceding, 0)))
-    df = df.withColumn("_p", F.lag("_c").over(by_pos))
-    o, h, low, c = (F.when(F.col("pos") == 0, F.col(x)).otherwise(F.col("_p") * F.col(f"_{x}")) for x in ("open", "high", "low", "close"))
+    df = made.select(*run, F.inline(F.arrays_zip(F.col("times").alias("ts"), whole.alias("x")))).select(*run, "ts", "x.*")
+    w = ordered(run)
+    df = df.withColumn("_c", F.product("close").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    df = df.withColumn("_p", F.coalesce(F.lag("_c").over(w), F.lit(1.0)))  # the first bar is itself
+    o, h, low = (F.col("_p") * F.col(x) for x in prices[:3])
     c = F.col("_c")
     return df.select(
         *run,
-        F.col("_ts").alias("ts"),
+        "ts",
         o.alias("open"),
         F.greatest(o, h, low, c).alias("high"),
         F.least(o, h, low, c).alias("low"),

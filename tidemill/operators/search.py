@@ -3,44 +3,48 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import passes
 from .backtest import Config, backtest, metrics
-from .signals import FAMILIES, candidate_targets
+from .signals import FAMILIES, candidate_targets, parameters_of
 
 Grid = dict[str, dict[str, list[int]]]
 #: The default grids.
 GRID: Grid = {"ma_crossover": {"short_window": [5, 10, 20], "long_window": [50, 100, 150]}}
 BREAKOUT: Grid = {"breakout": {"lookback_window": [10, 20, 30, 40, 60]}}
 PARAMETERS = ["short_window", "long_window", "lookback_window"]
+#: The most candidates of a grid: their list goes to every task.
+MOST = 100_000
+
+
+def parameter_names(grid: Grid) -> list[str]:
+    """The columns that candidates of a grid have: PARAMETERS, and those of its other families."""
+    return list(dict.fromkeys([*PARAMETERS, *(p for name in grid for p in FAMILIES[name].parameters)]))
 
 
 def candidates(spark: SparkSession, grid: Grid) -> DataFrame:
-    """(cand_id, strategy, parameters, is_valid) of every combination of the grid; a family without a valid one is an error."""
-    parts = None
+    """(cand_id, strategy, parameters, is_valid) of every combination of the grid; a family without a valid one is an error.
+
+    So is a grid of more than MOST combinations: it is searched in parts.
+    """
+    names, rows = parameter_names(grid), []
     for name, lists in sorted(grid.items()):
-        wanted, _ = FAMILIES[name]
-        if set(lists) != set(wanted) or not all(lists.values()):
-            raise ValueError(f"{name} takes values of {', '.join(wanted)}")
-        df = spark.range(1).select(F.lit(name).alias("strategy"))
-        for p in PARAMETERS:
-            df = df.withColumn(p, F.explode(F.array(*[F.lit(v) for v in lists[p]])) if p in lists else F.lit(None).cast("int"))
-        ok = lambda short=None, long=None, look=None: (look is not None and look > 0) if long is None else 0 < short < long
-        combos = [
-            ok(*v) for v in itertools.product(lists["short_window"], lists["long_window"])
-        ] if name == "ma_crossover" else [ok(look=v) for v in lists["lookback_window"]]
-        if not any(combos):
+        family = FAMILIES[name]
+        if set(lists) != set(family.parameters) or not all(lists.values()):
+            raise ValueError(f"{name} takes values of {', '.join(family.parameters)}")
+        if len(rows) + math.prod(map(len, lists.values())) > MOST:
+            raise ValueError(f"a grid may have {MOST} combinations at most")
+        combos = [dict(zip(family.parameters, v, strict=True)) for v in itertools.product(*(lists[p] for p in family.parameters))]
+        if not any(map(family.valid, combos)):
             raise ValueError(f"{name} has no valid combination")
-        parts = df if parts is None else parts.unionByName(df)
-    valid = F.when(
-        F.col("strategy") == "ma_crossover",
-        (F.col("short_window") > 0) & (F.col("long_window") > 0) & (F.col("short_window") < F.col("long_window")),
-    ).otherwise(F.col("lookback_window") > 0)
-    name = F.concat_ws(":", "strategy", *[F.concat(F.lit(f"{p}="), F.col(p)) for p in sorted(PARAMETERS)])
-    return parts.select(name.alias("cand_id"), "strategy", *PARAMETERS, valid.alias("is_valid"))
+        for c in combos:
+            cand = ":".join([name, *(f"{p}={c[p]}" for p in sorted(c))])
+            rows.append((cand, name, *(c.get(p) for p in names), bool(family.valid(c))))
+    return spark.createDataFrame(rows, "cand_id string, strategy string, " + ", ".join(f"{p} int" for p in names) + ", is_valid boolean")
 
 
 def candidate_curves(bars: DataFrame, keys: list[str], found: DataFrame, grid: Grid, config: Config = Config()) -> DataFrame:
@@ -57,7 +61,7 @@ def candidate_metrics(
     extra: list[Column] | None = None,
 ) -> DataFrame:
     """Metrics and score of all valid candidates on all runs, with their parameters."""
-    own = [F.first(c).alias(c) for c in ["strategy", *PARAMETERS]]
+    own = [F.first(c).alias(c) for c in ["strategy", *parameter_names(grid)]]
     return metrics(candidate_curves(bars, keys, found, grid, config), [*keys, "cand_id"], config, extra=[*own, *(extra or [])])
 
 
@@ -66,7 +70,7 @@ def ranked(runs: DataFrame, keys: list[str], max_drawdown_cap: float | None = No
 
     A run whose score is no number comes after all others.
     """
-    w = Window.partitionBy(*keys).orderBy(best_first("score"), "strategy", "long_window", "lookback_window", "short_window")
+    w = Window.partitionBy(*keys).orderBy(best_first("score"), "strategy", *sorted(parameters_of(runs.columns)))
     return runs.filter(passes(max_drawdown_cap, min_trade_count)).withColumn("rank", F.row_number().over(w))
 
 

@@ -1,18 +1,53 @@
-"""Target positions: moving-average crossover, breakout, external signals, and whatever a caller adds."""
+"""Target positions: families of signals with parameters, external signals, and whatever a caller adds."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rules import signal_quality
 
-#: strategy -> (its parameters, the one that sets the history it needs)
-FAMILIES = {"ma_crossover": (("short_window", "long_window"), "long_window"), "breakout": (("lookback_window",), "lookback_window")}
+Lists = dict[str, list[int]]
+
+
+@dataclass(frozen=True)
+class Family:
+    """A kind of signal with whole-numbered parameters.
+
+    valid: whether a combination may be run, from its values by name.  measure(bars, keys, lists, scale): bars with the column named measured,
+    which holds what all values of the lists need.  up: whether to be invested, from columns of bars, that one, and parameters.
+    history: the parameter that says how many bars are needed.
+    """
+
+    parameters: tuple[str, ...]
+    history: str
+    valid: Callable[[dict[str, int]], bool]
+    measured: str
+    measure: Callable[[DataFrame, list[str], Lists, int | None], DataFrame]
+    up: Callable[[], Column]
+
+
+#: strategy -> family; register() adds to them, and nothing else names them.
+FAMILIES: dict[str, Family] = {}
+
+
+def register(name: str, family: Family) -> None:
+    """Adds a family under a new name.  Its parameters are columns of their own, so two families may share one only in the same sense."""
+    if name in FAMILIES and FAMILIES[name] != family:
+        raise ValueError(f"{name} is registered already")
+    if family.history not in family.parameters:
+        raise ValueError("the history must be one of the parameters")
+    FAMILIES[name] = family
+
+
+def parameters_of(columns: list[str]) -> list[str]:
+    """Which of some columns are parameters of a family, in the order of registration."""
+    return list(dict.fromkeys(p for f in FAMILIES.values() for p in f.parameters if p in columns))
 
 
 def ordered(keys: list[str]):
@@ -74,11 +109,11 @@ def candidate_targets(
     """bars x valid candidates with target_position.
 
     Window sums are made once for each length, then crossed with the candidates.  The candidate list is as long as the
-    grid the caller wrote, so it is broadcast.  Rows stay where their keys are, which is all that the windows of single
+    grid the caller wrote, at most search.MOST rows, so it is broadcast.  Rows stay where their keys are, which is all that the windows of single
     candidates need.  parts: where keys are fewer than cores, deal rows x candidates out to so many partitions by run.
     """
     df = _measured(bars, keys, grid).crossJoin(F.broadcast(candidates.filter("is_valid").drop("is_valid")))
-    return _targets(df if parts is None else df.repartition(parts, *keys, "cand_id"))
+    return _targets(df if parts is None else df.repartition(parts, *keys, "cand_id"), grid)
 
 
 def chosen_targets(
@@ -90,26 +125,50 @@ def chosen_targets(
     scale: int | None = 100,
 ) -> DataFrame:
     """bars with target_position of the candidates chosen for their values of by, which are some of keys; other bars are left out."""
-    own = [c for c in ("cand_id", "strategy", "short_window", "long_window", "lookback_window") if c not in by]
+    own = [c for c in ("cand_id", "strategy", *parameters_of(chosen.columns)) if c not in by]
     right = chosen.select(*[F.col(k).alias(f"_{k}") for k in by], *own)
     same = [F.col(k) == F.col(f"_{k}") for k in by]
-    return _targets(_measured(bars, keys, grid, scale).join(right.hint("merge"), same).drop(*[f"_{k}" for k in by]))
-
-
-def _measured(bars: DataFrame, keys: list[str], grid: dict[str, dict[str, list[int]]], scale: int | None = 100) -> DataFrame:
-    """bars with sums and highs of all window lengths of the grid."""
-    ma, bo = grid.get("ma_crossover", {}), grid.get("breakout", {})
-    lengths = [n for p in ("short_window", "long_window") for n in ma.get(p, []) if n > 0]
-    looks = [n for n in bo.get("lookback_window", []) if n > 0]
-    df = close_sums(bars, keys, lengths, scale) if lengths else bars.withColumn("sums", F.lit(None).cast("map<int,double>"))
-    return prior_highs(df, keys, looks) if looks else df.withColumn("highs", F.lit(None).cast("map<int,double>"))
-
-
-def _targets(df: DataFrame) -> DataFrame:
-    mean_above = F.try_element_at("sums", "short_window") * F.col("long_window") > F.try_element_at("sums", "long_window") * F.col("short_window")
-    breaks = F.col("close") > F.try_element_at("highs", "lookback_window")
-    up = F.when(F.col("strategy") == "ma_crossover", mean_above).when(F.col("strategy") == "breakout", breaks)
-    return df.withColumn("target_position", F.when(up, 1.0).otherwise(0.0)).drop("sums", "highs")
+    return _targets(_measured(bars, keys, grid, scale).join(right.hint("merge"), same).drop(*[f"_{k}" for k in by]), grid)
+
+
+def _measured(bars: DataFrame, keys: list[str], grid: dict[str, Lists], scale: int | None = 100) -> DataFrame:
+    """bars with what every family of the grid measures."""
+    for name, lists in grid.items():
+        bars = FAMILIES[name].measure(bars, keys, lists, scale)
+    return bars
+
+
+def _targets(df: DataFrame, grid: dict[str, Lists]) -> DataFrame:
+    up = F.coalesce(*[F.when(F.col("strategy") == name, FAMILIES[name].up()) for name in grid], F.lit(False))
+    return df.withColumn("target_position", F.when(up, 1.0).otherwise(0.0)).drop(*[FAMILIES[name].measured for name in grid])
+
+
+def _lengths(lists: Lists) -> list[int]:
+    return [n for values in lists.values() for n in values if n > 0] or [1]
+
+
+register(
+    "ma_crossover",
+    Family(
+        ("short_window", "long_window"),
+        "long_window",
+        lambda v: 0 < v["short_window"] < v["long_window"],
+        "sums",
+        lambda bars, keys, lists, scale: close_sums(bars, keys, _lengths(lists), scale),
+        lambda: F.try_element_at("sums", "short_window") * F.col("long_window") > F.try_element_at("sums", "long_window") * F.col("short_window"),
+    ),
+)
+register(
+    "breakout",
+    Family(
+        ("lookback_window",),
+        "lookback_window",
+        lambda v: v["lookback_window"] > 0,
+        "highs",
+        lambda bars, keys, lists, scale: prior_highs(bars, keys, _lengths(lists)),
+        lambda: F.col("close") > F.try_element_at("highs", "lookback_window"),
+    ),
+)
 
 
 def ma_targets(bars: DataFrame, keys: list[str], short: int, long: int, scale: int | None = 100) -> DataFrame:

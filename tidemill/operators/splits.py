@@ -83,7 +83,7 @@ def with_history(df: DataFrame, keys: list[str], grid: dict[str, dict[str, list[
 
 
 def needed(grid: dict[str, dict[str, list[int]]]) -> int:
-    return max((max(v[FAMILIES[k][1]]) for k, v in grid.items()), default=0)
+    return max((max(v[FAMILIES[k].history]) for k, v in grid.items()), default=0)
 
 
 def segments(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -73,8 +73,13 @@ class Chain:
         looks = [n for n in bo.get("lookback_window", []) if n > 0]
         self.sums(src, f"{out}_s", keys, [n for p in pairs for n in p], looks, scale)
         one = "SELECT s.* EXCLUDE ({drop}), '{id}' AS cand_id, '{fam}' AS strategy, {short} AS short_window, {long} AS long_window, {look} AS lookback_window, CASE WHEN {up} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS target FROM {src} s"
-        drop = ", ".join([f"s{n}" for n in sorted({n for p in pairs for n in p})] + [f"h{n}" for n in sorted(set(looks))])
-        rows = [one.format(drop=drop, id=f"ma_crossover:long_window={n}:short_window={s}", fam="ma_crossover", short=s, long=n, look="NULL::INT", up=f"s{s} * {n} > s{n} * {s}", src=f"{out}_s") for s, n in pairs]
+        more = grid.get("momentum", {}).get("momentum_window", [])
+        if more:
+            lags = ", ".join(f"lag(close, {n}) OVER (PARTITION BY {keys} ORDER BY ts) AS m{n}" for n in more)
+            self.parts[f"{out}_s"] = f"SELECT *, {lags} FROM ({self.parts[f'{out}_s']})"
+            one = one.replace(", CASE", ", {mom} AS momentum_window, CASE")
+        drop = ", ".join([f"s{n}" for n in sorted({n for p in pairs for n in p})] + [f"h{n}" for n in sorted(set(looks))] + [f"m{n}" for n in more])
+        rows = [one.format(drop=drop, id=f"ma_crossover:long_window={n}:short_window={s}", fam="ma_crossover", short=s, long=n, look="NULL::INT", mom="NULL::INT", up=f"s{s} * {n} > s{n} * {s}", src=f"{out}_s") for s, n in pairs]
         rows += [
             one.format(
                 drop=drop,
@@ -83,10 +88,24 @@ class Chain:
                 short="NULL::INT",
                 long="NULL::INT",
                 look=n,
+                mom="NULL::INT",
                 up=f"close > h{n}",
                 src=f"{out}_s",
             ) for n in looks
         ]
+        rows += [
+            one.format(
+                drop=drop,
+                id=f"momentum:momentum_window={n}",
+                fam="momentum",
+                short="NULL::INT",
+                long="NULL::INT",
+                look="NULL::INT",
+                mom=n,
+                up=f"close > m{n}",
+                src=f"{out}_s",
+            ) for n in more
+        ]
         return self.add(out, "\nUNION ALL ".join(rows))
 
     def backtest(self, src: str, out: str, keys: str, cost: str = str(COST)) -> Chain:
@@ -166,21 +185,23 @@ class Chain:
 
     # -- workflows -------------------------------------------------------------------------------------------------
 
-    def ranking(self, src: str, out: str, keys: str, where: str = "true") -> Chain:
+    def ranking(self, src: str, out: str, keys: str, where: str = "true", more: str = "") -> Chain:
         return self.add(
             out,
             f"SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY CASE WHEN isnan(score) THEN '-infinity'::DOUBLE ELSE score END DESC, "
-            f"strategy, long_window NULLS FIRST, lookback_window NULLS FIRST, short_window NULLS FIRST) AS rank FROM {src} WHERE {where}",
+            f"strategy, long_window NULLS FIRST, lookback_window NULLS FIRST{more}, short_window NULLS FIRST) AS rank FROM {src} WHERE {where}",
         )
 
     def winners(self, src: str, out: str, keys: str, grid: dict, by_family: bool = False) -> Chain:
         """Train and test metrics of the best candidate by train score; src has role train or test.  curve: {out}_tc."""
         run = f"{keys}, cand_id"
         own = ", any_value(strategy) AS strategy, any_value(short_window) AS short_window, any_value(long_window) AS long_window, any_value(lookback_window) AS lookback_window"
+        momentum = "momentum" in grid
+        own += ", any_value(momentum_window) AS momentum_window" * momentum
         self.add(f"{out}_train", f"SELECT * FROM {src} WHERE role = 'train'").add(f"{out}_test", f"SELECT * FROM {src} WHERE role = 'test'")
         self.candidates(f"{out}_train", f"{out}_rc", keys, grid).backtest(f"{out}_rc", f"{out}_rb", run).metrics(f"{out}_rb", f"{out}_rm", run, own)
         group = f"{keys}, strategy" if by_family else keys
-        self.ranking(f"{out}_rm", f"{out}_rk", group)
+        self.ranking(f"{out}_rm", f"{out}_rk", group, more=", momentum_window NULLS FIRST" * momentum)
         self.add(
             f"{out}_best",
             f"SELECT *, (SELECT count(*) FROM {out}_rk o WHERE "
@@ -195,7 +216,7 @@ class Chain:
             out,
             run,
             keys,
-            ", a.strategy, a.result_count, a.short_window, a.long_window, a.lookback_window",
+            ", a.strategy, a.result_count, a.short_window, a.long_window, a.lookback_window" + ", a.momentum_window" * momentum,
         )
 
     def beside(self, train: str, test: str, bench: str, out: str, run: str, keys: str, extra: str = "") -> Chain:
@@ -280,8 +301,8 @@ def null_paths(c: Chain, src: str, out: str, paths: int, block: int, seed: int)
     )
 
 
-def permutation(paths: int, block: int, seed: int, early: str) -> Chain:
-    c = weekly().add("half", f"SELECT * FROM weekly WHERE ts < TIMESTAMP '{early}'")
+def permutation(paths: int, block: int, seed: int, bars: str = "SELECT * FROM weekly") -> Chain:
+    c = weekly().add("half", bars)
     c.ma("half", "ot", "symbol").backtest("ot", "oc", "symbol").metrics("oc", "om", "symbol")
     null_paths(c, "half", "np", paths, block, seed)
     c.ma("np", "nt", "symbol, perm_id", scale=None).backtest("nt", "nc", "symbol, perm_id").metrics("nc", "nm", "symbol, perm_id")
@@ -429,6 +450,13 @@ def statements(q) -> dict[str, str]:
         c.candidates(src, "cc", "symbol", grid).backtest("cc", "cb", "symbol, cand_id").metrics("cb", "cm", "symbol, cand_id", own)
         return c.ranking("cm", "rk", "symbol", where)
 
+    def sound() -> Chain:
+        """The bars of symbols that are not made faulty."""
+        return Chain(every=WEEKLY, weekly=f"SELECT * FROM every WHERE symbol NOT IN {q.FAULTY}")
+
+    def set_aside(nulls: str) -> str:
+        return f"SELECT DISTINCT symbol, 'datetime_repeated', {nulls} FROM every WHERE symbol IN {q.FAULTY}"
+
     segment = "role, count(*)::BIGINT AS row_count, min(ts) AS start, max(ts) AS \"end\""
     metrics = show(*METRICS)
     evidence = show(*EVIDENCE)
@@ -460,7 +488,7 @@ def statements(q) -> dict[str, str]:
         ),
         "buy_and_hold": weekly().hold("weekly", "h", "symbol").sql("SELECT symbol, ts, round(equity, 6) + 0.0 AS equity FROM h_e"),
         "benchmark_summary": weekly().hold("weekly", "h", "symbol").sql(
-            f"SELECT symbol, {r6('benchmark_total_return', 'benchmark_max_drawdown')} FROM h"
+            f"SELECT symbol, {r6('benchmark_total_return', 'benchmark_max_drawdown')}, 'ok' AS benchmark_status FROM h"
         ),
         "trade_log": curve().trades("eq", "tr", "symbol").add("x", "SELECT *, trade_gross_return - trade_net_return AS cost_return_contribution FROM tr").sql(
             f"SELECT symbol, trade_id, entry_datetime, exit_datetime, holding_period, "
@@ -485,9 +513,21 @@ def statements(q) -> dict[str, str]:
             "x",
             "SELECT *, total_return - benchmark_total_return AS return_excess, max_drawdown - benchmark_max_drawdown AS max_drawdown_gap FROM "
             "m JOIN h USING (symbol)",
-        ).sql(f"SELECT symbol, {metrics}, {r6('benchmark_total_return', 'benchmark_max_drawdown', 'return_excess', 'max_drawdown_gap')} FROM x"),
+        ).sql(f"SELECT symbol, {metrics}, {r6('benchmark_total_return', 'benchmark_max_drawdown', 'return_excess', 'max_drawdown_gap')}, 'ok' AS benchmark_status FROM x"),
         "candidates": "SELECT symbol, c.* FROM (SELECT DISTINCT o_orderpriority AS symbol FROM orders), (SELECT 'ma_crossover:long_window=' || l || ':short_window=' || s AS cand_id, 'ma_crossover' AS strategy, s::BIGINT AS short_window, l::BIGINT AS long_window, NULL::BIGINT AS lookback_window, s < l AS is_valid FROM (SELECT unnest([5, 30]) AS s), (SELECT unnest([20, 40]) AS l) UNION ALL SELECT 'breakout:lookback_window=' || k, 'breakout', NULL, NULL, k, k > 0 FROM (SELECT unnest([0, 10]) AS k)) c",
         "grid_search": search(weekly(), "weekly", q.GRID).sql(f"SELECT symbol, cand_id, rank::BIGINT AS rank, {metrics} FROM rk"),
+        "faulty_panel": search(sound(), "weekly", q.SMALL, "true").sql(f"SELECT symbol, 'ok' AS status, cand_id, rank::BIGINT AS rank, round(score, 6) + 0.0 AS score FROM rk UNION ALL {set_aside('NULL, NULL, NULL')}"),
+        "faulty_validation": ratio(sound(), 0.7).winners("ratio", "v", "symbol", q.SMALL).sql(
+            f"SELECT symbol, 'ok' AS status, cand_id, {evidence}, {CANDIDATE_VERDICT} AS verdict FROM v UNION ALL {set_aside(', '.join(['NULL'] * (len(EVIDENCE) + 2)))}"
+        ),
+        "faulty_folds": folds(sound(), q.FOLD).winners("folds", "wf", "symbol, fold", q.SMALL).sql(
+            f"SELECT symbol, 'ok' AS status, fold::BIGINT AS fold, cand_id, round(test_total_return, 6) + 0.0 AS test_total_return FROM wf UNION ALL {set_aside('NULL, NULL, NULL')}"
+        ),
+        "permutation_errors": permutation(q.PATHS, q.BLOCK, q.SEED, f"SELECT * FROM weekly WHERE symbol NOT IN {q.FAULTY}").sql(
+            f"SELECT symbol, round(empirical_p_value, 6) + 0.0 AS empirical_p_value, CASE WHEN empirical_p_value > 0.5 THEN 'completed_failed' ELSE "
+            f"'completed_passed' END AS permutation_status, NULL::VARCHAR AS permutation_error FROM pv UNION ALL SELECT DISTINCT symbol, NULL::DOUBLE, 'error', "
+            f"CASE symbol WHEN '{q.FAULTY[0]}' THEN 'price_unusable' ELSE 'block_too_long' END FROM weekly WHERE symbol IN {q.FAULTY}"
+        ),
         "search_summary": search(weekly(), "weekly", q.GRID).sql(
             "SELECT symbol, count(*)::BIGINT AS result_count, max(CASE WHEN rank = 1 THEN cand_id END) AS best_candidate, round(max(CASE WHEN "
             "rank = 1 THEN score END), 6) + 0.0 AS best_score, string_agg(cand_id, ';' ORDER BY rank) FILTER (rank <= 3) AS top_candidates, "
@@ -571,7 +611,7 @@ def statements(q) -> dict[str, str]:
                 f"round({x}, 2) + 0.0 AS {x}" for x in ("open", "high", "low", "close", "volume")
             ) + " FROM np"
         ),
-        "null_scores": permutation(q.PATHS, q.BLOCK, q.SEED, q.EARLY).sql(
+        "null_scores": permutation(q.PATHS, q.BLOCK, q.SEED).sql(
             "SELECT symbol, (perm_id + 1)::BIGINT AS permutation_index, round(score, 6) + 0.0 AS metric_value FROM nm"
         ),
         "path_status": weekly().add("dirty", DIRTY).add("x", "SELECT * FROM dirty UNION ALL SELECT symbol || chr(39), ts, open, high, low, close, volume FROM weekly").add(
@@ -579,11 +619,11 @@ def statements(q) -> dict[str, str]:
             "SELECT symbol, count(*) AS n, sum((open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR NOT isfinite(open) OR NOT "
             "isfinite(high) OR NOT isfinite(low) OR NOT isfinite(close) OR least(open, high, low, close) <= 0)::INT) AS bad FROM x GROUP BY symbol",
         ).sql(f"SELECT symbol, CASE WHEN bad > 0 THEN 'price_unusable' WHEN n < {q.BLOCK} THEN 'block_too_long' ELSE 'ok' END AS status FROM n"),
-        "permutation_test": permutation(q.PATHS, q.BLOCK, q.SEED, q.EARLY).sql(
+        "permutation_test": permutation(q.PATHS, q.BLOCK, q.SEED).sql(
             f"SELECT symbol, permutations::BIGINT AS permutations, null_ge_count::BIGINT AS null_ge_count, "
             f"{r6('observed', 'empirical_p_value')} FROM pv"
         ),
-        "permutation_status": permutation(q.PATHS, q.BLOCK, q.SEED, q.EARLY).sql(
+        "permutation_status": permutation(q.PATHS, q.BLOCK, q.SEED).sql(
             "SELECT symbol, CASE WHEN empirical_p_value > 0.5 THEN 'completed_failed' ELSE 'completed_passed' END AS status FROM pv"
         ),
         "family_comparison": ratio(weekly(), 0.7).winners("ratio", "v", "symbol", q.FAMILIES, by_family=True).add("d", f"SELECT *, {CANDIDATE_VERDICT} AS candidate_verdict, {RESEARCH_VERDICT} AS research_verdict FROM v").sql(
@@ -633,6 +673,9 @@ def statements(q) -> dict[str, str]:
             "SELECT w.*, x.signal_binary::DOUBLE AS target FROM weekly w JOIN x USING (symbol, ts) WHERE symbol NOT IN ('1-URGENT', '2-HIGH', "
             "'3-MEDIUM', '5-LOW')",
         ).add("p", periods("b", q.PERIODS, ("development", "holdout"))).backtest("p", "e", "symbol, role").metrics("e", "m", "symbol, role").add("dev", "SELECT * FROM m WHERE role = 'development'").add("hold", "SELECT * FROM m WHERE role = 'holdout'").add("hb", "SELECT * FROM p WHERE role = 'holdout'").hold("hb", "bh", "symbol").beside("dev", "hold", "bh", "v", "symbol", "symbol"),
+        "momentum_validation": ratio(weekly(), 0.7).winners("ratio", "v", "symbol", q.THREE).sql(
+            f"SELECT symbol, cand_id, momentum_window::BIGINT AS momentum_window, result_count::BIGINT AS result_count, {evidence}, {CANDIDATE_VERDICT} AS verdict FROM v"
+        ),
         "payload_ingest": weekly().sql(
             f"SELECT symbol, ts, round(open, 2) AS open, round(high, 2) AS high, CASE WHEN {WEEK} % 11 = 0 THEN NULL ELSE round(low, 2) END AS "
             f"low, round(close, 2) AS close, volume FROM weekly WHERE month(ts) <> 7 AND {WEEK} % 13 <> 0"
@@ -656,12 +699,16 @@ def statements(q) -> dict[str, str]:
             f"2 ELSE 1 END::BIGINT AS ingest_order FROM weekly"
         ),
     }
+    c = weekly().candidates("weekly", "cc", "symbol", q.THREE).backtest("cc", "cb", "symbol, cand_id")
+    c.metrics("cb", "cm", "symbol, cand_id", own + ", any_value(momentum_window) AS momentum_window").ranking("cm", "rk", "symbol", more=", momentum_window NULLS FIRST")
+    out["momentum_search"] = c.sql(f"SELECT symbol, cand_id, rank::BIGINT AS rank, momentum_window::BIGINT AS momentum_window, {metrics} FROM rk")
+    out |= {"incremental_ingest": out["keep_last"], "stored_curves": out["top_curves"]}
     out |= {"chunked_trades": out["trade_log"], "chunked_metrics": out["run_metrics"]}  # a run in blocks is the same run
     c = ratio(weekly(), 0.5).ma("ratio", "rt", "symbol, role").backtest("rt", "rc", "symbol, role").metrics("rc", "rm", "symbol, role").add("a", "SELECT * FROM rm WHERE role = 'train'").add("b", "SELECT * FROM rm WHERE role = 'test'").add(
         "h2",
         "SELECT * FROM ratio WHERE role = 'test'",
     ).hold("h2", "bh", "symbol").beside("a", "b", "bh", "v", "symbol", "symbol")
-    c.parts |= {k: v for k, v in permutation(q.PATHS, q.BLOCK, q.SEED, q.EARLY).parts.items() if k not in c.parts}
+    c.parts |= {k: v for k, v in permutation(q.PATHS, q.BLOCK, q.SEED).parts.items() if k not in c.parts}
     t = "test_trade_count >= 2", "test_max_drawdown >= -0.9", "return_degradation >= 0", "empirical_p_value <= 0.5"
     names = [
         "max_drawdown_cap",

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rules import accepted_bars, bar_quality, bar_violations, signal_quality, signal_violations
+from ..functions.rules import accepted_bars, bar_quality, bar_violations, signal_quality, signal_violations, with_faulty
 from ..operators import backtest as bt
 from ..operators import blocks, evidence, nulls, policy, search, signals, splits
 from ..sources import bars as src
+from ..sources import store
 from . import reports
 from . import workflows as wf
 
@@ -22,9 +23,7 @@ MIXED: search.Grid = {"ma_crossover": {"short_window": [5, 30], "long_window": [
 CUTOFF = "1999-01-01"
 PERIODS = (("1995-01-02", "1999-12-31"), ("2000-01-01", "2001-08-31"))
 FOLD = (80, 30, 30)
-#: The time before which the SQL twins permute bars: all of them, as here.
-EARLY = "infinity"
-PATHS, BLOCK, SAMPLES, SEED = 20, 5, 1000, 42
+PATHS, BLOCK, SAMPLES, SEED = 25, 5, 1000, 42
 #: A year has 52 weekly bars.
 WEEKLY = bt.Config(annualization=52.0)
 CHANCE = wf.Chance(PATHS, BLOCK, SEED, "score", SAMPLES)
@@ -32,6 +31,22 @@ CHANCE = wf.Chance(PATHS, BLOCK, SEED, "score", SAMPLES)
 FAULTY = ("1-URGENT", "3-MEDIUM")
 
 
+signals.register(
+    "momentum",
+    signals.Family(
+        ("momentum_window",),
+        "momentum_window",
+        lambda v: v["momentum_window"] > 0,
+        "earlier",
+        lambda bars, keys, lists, scale: bars.withColumn(
+            "earlier", F.create_map(*[x for n in lists["momentum_window"] for x in (F.lit(n), F.lag("close", n).over(signals.ordered(keys)))])
+        ),
+        lambda: F.col("close") > F.try_element_at("earlier", "momentum_window"),
+    ),
+)
+THREE: search.Grid = FAMILIES | {"momentum": {"momentum_window": [4, 13, 26]}}
+
+
 def weekly(spark: SparkSession, sf: str) -> DataFrame:
     ticks = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderpriority", "o_orderdate", "o_totalprice", "o_orderkey")
     return src.bars_from_ticks(ticks, "o_orderpriority", F.date_trunc("week", "o_orderdate"), "o_totalprice", "o_orderkey")
@@ -76,6 +91,25 @@ def dirty(spark: SparkSession, sf: str) -> DataFrame:
     return broken.unionByName(b.filter(week() % 50 == 7))
 
 
+def faulty_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """Weekly bars with zero, NaN, null and repeated closes in one symbol, repeated bars in another, and volume missing in all."""
+    b, k = weekly(spark, sf), week() % 40
+    one, two = (F.col("symbol") == x for x in FAULTY)
+    close = F.when(one & (k == 0), 0.0).when(one & (k == 1), float("nan")).when(one & (k == 2), F.lit(None)).otherwise(F.col("close"))
+    broken = b.withColumns({"close": close, "volume": F.when(week() % 6 == 0, F.lit(None)).otherwise(F.col("volume"))})
+    return broken.unionByName(broken.filter((one & (k == 3)) | (two & (k == 5))))
+
+
+def unpermuted(spark: SparkSession, sf: str) -> DataFrame:
+    """The permutation test of MA(5, 20) where one symbol has closes without a number and another is shorter than a block."""
+    b = weekly(spark, sf)
+    zero = F.when((F.col("symbol") == FAULTY[0]) & (week() % 40 == 0), 0.0).otherwise(F.col("close"))
+    b = b.withColumn("close", zero).filter((F.col("symbol") != FAULTY[1]) | (F.col("ts") < "1995-01-30"))
+    observed = bt.metrics(bt.backtest(ma(b), KEYS), KEYS, WEEKLY)
+    limits = policy.Research(max_p_value=0.5, scope="candidate_fixed")
+    return wf.permutation_report(observed, b, KEYS, plain_ma, PATHS, BLOCK, SEED, WEEKLY, limits=limits)
+
+
 def ma(bars: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return signals.ma_targets(bars, keys, 5, 20)
 
@@ -167,19 +201,44 @@ def months(spark: SparkSession, sf: str) -> DataFrame:
     return span.select("symbol", F.explode(src.months_between(F.col("a"), F.col("b"))).alias("month"))
 
 
+def ingested(spark: SparkSession, sf: str) -> DataFrame:
+    """The two fetches of keep_last() added one after the other, and the second once more, to a table by symbol and year."""
+    b = weekly(spark, sf).withColumns({"ingest_order": F.lit(1), "year": F.year("ts")})
+    again = b.filter(week() % 4 == 0).withColumns({"volume": F.col("volume") + 1, "ingest_order": F.lit(2)})
+    path = store.new_folder(spark, "bars")
+    for fetch in (b, again, again):
+        store.merge_latest(fetch, path, ["symbol", "ts"], "ingest_order", ["symbol", "year"])
+    return spark.read.schema(b.schema).parquet(path).drop("year")
+
+
 def ranked(spark: SparkSession, sf: str) -> DataFrame:
     return wf.grid_search(spark, weekly(spark, sf), KEYS, GRID, WEEKLY, max_drawdown_cap=0.99, min_trade_count=1)
 
 
-def top_curves(spark: SparkSession, sf: str) -> DataFrame:
-    """Equity and drawdown, a row each, of the two best candidates of every symbol."""
-    b = weekly(spark, sf)
-    best = ranked(spark, sf).filter("rank <= 2").select("symbol", "cand_id", "rank")
-    c = search.candidate_curves(b, KEYS, search.candidates(spark, GRID), GRID, WEEKLY).join(best.hint("merge"), ["symbol", "cand_id"])
-    c = bt.drawdowns(c, ["symbol", "cand_id"]).withColumn("label", search.curve_label(F.col("rank"), F.col("short_window"), F.col("long_window")))
+def labelled(curve: DataFrame) -> DataFrame:
+    """Equity and drawdown, a row each, of curves with rank and parameters."""
+    c = bt.drawdowns(curve, ["symbol", "cand_id"])
+    c = c.withColumn("label", search.curve_label(F.col("rank"), F.col("short_window"), F.col("long_window")))
     return c.unpivot(["symbol", "label", "ts"], ["equity", "drawdown"], "series", "value")
 
 
+def top_curves(spark: SparkSession, sf: str) -> DataFrame:
+    """Equity and drawdown of the two best candidates of every symbol, whose targets alone are made again."""
+    best = ranked(spark, sf).filter("rank <= 2").select("symbol", "cand_id", "strategy", *search.PARAMETERS, "rank")
+    targets = signals.chosen_targets(weekly(spark, sf), KEYS, best, KEYS, GRID)
+    curve = bt.backtest(targets, ["symbol", "cand_id"], WEEKLY)
+    ranks = best.select("symbol", "cand_id", "rank")
+    return labelled(curve.join(ranks.hint("merge"), ["symbol", "cand_id"]))
+
+
+def stored_curves(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from curves that the search wrote: only folders of chosen candidates are read."""
+    path = store.new_folder(spark, "curves")
+    store.write_curves(search.candidate_curves(weekly(spark, sf), KEYS, search.candidates(spark, GRID), GRID, WEEKLY), path)
+    best = store.kept(ranked(spark, sf).select("symbol", "cand_id", "rank")).filter("rank <= 2")
+    return labelled(store.read_curves(spark, path, best))
+
+
 def walk(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return wf.walk_forward(spark, weekly(spark, sf), SMALL, *FOLD, WEEKLY)
 
@@ -282,6 +341,16 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "single_experiment": lambda s, d: tidy(wf.experiment(ma(b(s, d)), KEYS, WEEKLY)),
         "candidates": lambda s, d: tidy(b(s, d).select("symbol").distinct().crossJoin(F.broadcast(search.candidates(s, MIXED)))),
         "grid_search": lambda s, d: tidy(ranked(s, d), "symbol", "cand_id", "rank", *METRICS),
+        "faulty_panel": lambda s, d: tidy(
+            with_faulty(wf.grid_search(s, faulty_panel(s, d), KEYS, SMALL, WEEKLY), faulty_panel(s, d)), "symbol", "status", "cand_id", "rank", "score"
+        ),
+        "faulty_validation": lambda s, d: tidy(
+            with_faulty(wf.validate_search(s, faulty_panel(s, d), SMALL, config=WEEKLY), faulty_panel(s, d)), "symbol", "status", "cand_id", *EVIDENCE, "verdict"
+        ),
+        "faulty_folds": lambda s, d: tidy(
+            with_faulty(wf.walk_forward(s, faulty_panel(s, d), SMALL, *FOLD, WEEKLY)[0], faulty_panel(s, d)), "symbol", "status", "fold", "cand_id", "test_total_return"
+        ),
+        "permutation_errors": lambda s, d: tidy(unpermuted(s, d)),
         "search_summary": lambda s, d: tidy(search.search_summary(ranked(s, d), KEYS, search.candidates(s, GRID))),
         "top_k": lambda s, d: tidy(ranked(s, d).filter("rank <= 3"), "symbol", "cand_id", "rank", "score"),
         "top_curves": lambda s, d: tidy(top_curves(s, d)),
@@ -368,4 +437,10 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "month_sequence": lambda s, d: tidy(months(s, d)),
         "keep_last": lambda s, d: tidy(keep_last(s, d)),
+        "incremental_ingest": lambda s, d: tidy(ingested(s, d)),
+        "stored_curves": lambda s, d: tidy(stored_curves(s, d)),
+        "momentum_search": lambda s, d: tidy(wf.grid_search(s, b(s, d), KEYS, THREE, WEEKLY), "symbol", "cand_id", "rank", "momentum_window", *METRICS),
+        "momentum_validation": lambda s, d: tidy(
+            wf.validate_search(s, b(s, d), THREE, config=WEEKLY), "symbol", "cand_id", "momentum_window", "result_count", *EVIDENCE, "verdict"
+        ),
     }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.search import PARAMETERS, parameters_json
+from ..operators.search import parameter_names, parameters_json
+from ..operators.signals import parameters_of
 
 # Columns of reports.
 RANKED = ["total_return", "annualized_return", "sharpe_ratio", "max_drawdown", "win_rate", "turnover", "trade_count", "score"]
@@ -43,7 +44,7 @@ COMPARISON = [
 
 def _used(grid: dict) -> list[str]:
     """The parameters of a grid's families, in their order."""
-    return [p for p in PARAMETERS if any(p in lists for lists in grid.values())]
+    return [p for p in parameter_names(grid) if any(p in lists for lists in grid.values())]
 
 
 def ranked_results(ranked: DataFrame, keys: list[str], grid: dict) -> DataFrame:
@@ -72,7 +73,7 @@ def comparison_results(compared: DataFrame) -> DataFrame:
         "symbol",
         "comparison_rank",
         F.col("strategy").alias("strategy_name"),
-        parameters_json().alias("selected_parameters"),
+        parameters_json(parameters_of(compared.columns)).alias("selected_parameters"),
         *COMPARISON,
         *verdicts,
     )

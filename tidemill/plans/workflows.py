@@ -8,8 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.rules import sound_bars
 from ..operators import evidence, nulls, policy, search, signals, splits
 from ..operators.backtest import Config, backtest, buy_and_hold_summary, metrics
+from ..sources.store import kept
 
 
 def experiment(bars: DataFrame, keys: list[str], config: Config = Config()) -> DataFrame:
@@ -19,9 +21,12 @@ def experiment(bars: DataFrame, keys: list[str], config: Config = Config()) -> D
 
 
 def grid_search(spark: SparkSession, bars: DataFrame, keys: list[str], grid: search.Grid, config: Config = Config(), **limits) -> DataFrame:
-    """All valid candidates on every run, ranked."""
+    """All valid candidates on every run, ranked.
+
+    Symbols with a faulty bar are set aside, here and in the other searches; rules.with_faulty() adds a row that says why.
+    """
     found = search.candidates(spark, grid)
-    return search.ranked(search.candidate_metrics(bars, keys, found, grid, config), keys, **limits)
+    return search.ranked(search.candidate_metrics(sound_bars(bars), keys, found, grid, config), keys, **limits)
 
 
 @dataclass(frozen=True)
@@ -47,23 +52,24 @@ def winners(
     """(train and test metrics, test curves) of the best candidate on the train rows of every run of keys.
 
     df has role train or test.  Runs with less train history than the grid asks for are left out; splits.history_check()
-    tells which.  Only the winner's targets are made on the test segment.
+    tells which.  Only the winner's targets are made on the test segment.  Winners, their curves and both sides' metrics are kept,
+    as several steps begin from each.
     """
     found = search.candidates(spark, grid)
     df = splits.with_history(df, keys, grid)
     train = search.candidate_metrics(df.filter("role = 'train'"), keys, found, grid, config)
     best = search.ranked(train, [*keys, "strategy"] if by_family else keys, **limits)
     count = F.count("*").over(Window.partitionBy(*keys, *(["strategy"] if by_family else [])))
-    best = best.withColumn("result_count", count).filter("rank = 1")
-    curve = backtest(signals.chosen_targets(df.filter("role = 'test'"), keys, best, keys, grid), [*keys, "cand_id"], config)
+    best = kept(best.withColumn("result_count", count).filter("rank = 1"))  # a row a run; else every step would search again
+    curve = kept(backtest(signals.chosen_targets(df.filter("role = 'test'"), keys, best, keys, grid), [*keys, "cand_id"], config))
     test = metrics(curve, [*keys, "cand_id"], config)
-    own = best.select(*keys, "cand_id", "strategy", *search.PARAMETERS, "result_count", F.col("rank").alias("search_rank"))
+    own = best.select(*keys, "cand_id", "strategy", *search.parameter_names(grid), "result_count", F.col("rank").alias("search_rank"))
     both = evidence.train_and_test(best, test, [*keys, "cand_id"]).join(own.hint("merge"), [*keys, "cand_id"])
     bench = buy_and_hold_summary(df.filter("role = 'test'"), keys, config.capital)
     sides = [(r, n, f) for r in ("train", "test") for n, f in (("start", F.min), ("end", F.max))]
     bounds = df.groupBy(*keys).agg(*[f(F.when(F.col("role") == r, F.col("ts"))).alias(f"{r}_{n}") for r, n, f in sides])
     both = evidence.against_benchmark(both, bench, keys).join(bounds.hint("merge"), keys)
-    return both.withColumn("candidate_id", search.candidate_id(F.col("cand_id"), F.col("train_start"), F.col("test_end"))), curve
+    return kept(both.withColumn("candidate_id", search.candidate_id(F.col("cand_id"), F.col("train_start"), F.col("test_end")))), curve
 
 
 def with_evidence(runs: DataFrame, curve: DataFrame, run: list[str], config: Config, samples: int) -> DataFrame:
@@ -98,7 +104,7 @@ def with_permutation(
     """
     if chance is None:
         none = {"empirical_p_value": "double", "null_ge_count": "long", "null_model": "string", "permutation_scope": "string"}
-        return runs.withColumns({k: F.lit(None).cast(t) for k, t in none.items()} | {"permutation_status": F.lit("skipped")})
+        return runs.withColumns({k: F.lit(None).cast(t) for k, t in (none | {"permutation_error": "string"}).items()} | {"permutation_status": F.lit("skipped")})
     run = [*keys, "perm_id"]
     paths = nulls.null_paths(bars, keys, chance.paths, chance.block, chance.seed)
     targets = signals.chosen_targets(paths, run, runs, keys, grid, scale=None)
@@ -109,13 +115,13 @@ def with_permutation(
         keys,
         chance.metric,
     ).select(*keys, "empirical_p_value", "null_ge_count")
-    df = runs.join(found.hint("merge"), keys, "left")
+    df = with_path_errors(runs.join(found.hint("merge"), keys, "left"), bars, keys, chance.block)
     done = F.col("empirical_p_value").isNotNull()
     df = df.withColumns({"null_model": F.when(done, "return_block_reconstruction"), "permutation_scope": F.when(done, "candidate_fixed")})
     c = F.col
     status = evidence.permutation_status(
         True,
-        F.lit(False),
+        c("permutation_error").isNotNull(),
         c("empirical_p_value"),
         limits.max_p_value,
         c("null_model"),
@@ -126,6 +132,15 @@ def with_permutation(
     return df.withColumn("permutation_status", status)
 
 
+def with_path_errors(runs: DataFrame, bars: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """runs with permutation_error: why a run has no permuted paths, no_metric if it has but no p-value, else null."""
+    status = nulls.path_status(bars, keys, block).select(*[F.col(k).alias(f"_p_{k}") for k in keys], F.col("status").alias("_path"))
+    same = [F.col(k).eqNullSafe(F.col(f"_p_{k}")) for k in keys]
+    df = runs.join(status.hint("merge"), same, "left").drop(*[f"_p_{k}" for k in keys])
+    why = F.when(F.coalesce("_path", F.lit("no_bars")) != "ok", F.coalesce("_path", F.lit("no_bars"))).when(F.col("empirical_p_value").isNull(), "no_metric")
+    return df.withColumn("permutation_error", why).drop("_path")
+
+
 def decided(runs: DataFrame, limits: policy.Research) -> DataFrame:
     """Both policies.  What the evidence alone says stays as evidence_verdict; the candidate policy's verdict is the verdict."""
     there = lambda c: F.col(c).isNotNull() if c in runs.columns else F.lit(False)
@@ -153,7 +168,7 @@ def validate_search(
 
 def _validated(spark, bars, grid, ratio, config, chance, by_family, max_drawdown_cap, min_trade_count) -> DataFrame:
     keys = ["symbol"]
-    df = splits.by_ratio(bars, keys, ratio)
+    df = kept(splits.by_ratio(sound_bars(bars), keys, ratio))  # every step begins from bars that lie by symbol
     runs, curve = winners(spark, df, keys, grid, config, by_family, max_drawdown_cap=max_drawdown_cap, min_trade_count=min_trade_count)
     limits = policy.limits_for(max_drawdown_cap, min_trade_count, chance is not None)
     runs = with_evidence(runs, curve, [*keys, "cand_id"], config, (chance or Chance()).samples)
@@ -196,7 +211,7 @@ def walk_forward(
     samples: also say what costs and so many bootstrap draws make of each fold.
     """
     keys = ["symbol", "fold"]
-    df = splits.folds(bars, ["symbol"], train, test, step)
+    df = splits.folds(sound_bars(bars), ["symbol"], train, test, step)
     runs, curve = winners(spark, df, keys, grid, config, max_drawdown_cap=max_drawdown_cap, min_trade_count=min_trade_count)
     if samples:
         runs = with_evidence(runs, curve, [*keys, "cand_id"], config, samples)
@@ -208,7 +223,7 @@ def walk_forward_summary(folds: DataFrame, bars: DataFrame, train: int, test: in
 
     pooled: evidence.pooled_sharpe() of the folds' test curves; without it the decision stays inconclusive.
     """
-    planned = bars.groupBy("symbol").agg(F.count("*").alias("n")).select(
+    planned = sound_bars(bars).groupBy("symbol").agg(F.count("*").alias("n")).select(
         "symbol",
         F.greatest(F.lit(0), F.floor((F.col("n") - (train + test)) / step) + 1).alias("planned"),
     )
@@ -273,6 +288,29 @@ def permutation_test(
     return nulls.p_values(observed, permutation_scores(bars, keys, targets, paths, block, seed, config), keys, metric)
 
 
+def permutation_report(
+    observed: DataFrame,
+    bars: DataFrame,
+    keys: list[str],
+    targets,
+    paths: int,
+    block: int,
+    seed: int = 42,
+    config: Config = Config(),
+    metric: str = "score",
+    limits: policy.Research = policy.Research(scope="candidate_fixed"),
+) -> DataFrame:
+    """(keys, empirical_p_value, permutation_status, permutation_error) of every observed run: one that fails has status error."""
+    tested = permutation_test(observed, bars, keys, targets, paths, block, seed, config, metric).select(*keys, "empirical_p_value")
+    df = with_path_errors(observed.select(*keys).join(tested.hint("merge"), keys, "left"), bars, keys, block)
+    c = F.col
+    model, scope = F.lit("return_block_reconstruction"), F.lit("candidate_fixed")
+    status = evidence.permutation_status(
+        True, c("permutation_error").isNotNull(), c("empirical_p_value"), limits.max_p_value, model, limits.null_model, scope, limits.scope
+    )
+    return df.withColumn("permutation_status", status)
+
+
 def research_protocol(
     spark: SparkSession,
     bars: DataFrame,
@@ -293,8 +331,8 @@ def research_protocol(
     choice: the winner is all that the holdout run takes from the search.
     """
     keys, run = ["symbol"], ["symbol", "cand_id"]
-    df = splits.by_periods(bars, development, holdout)
-    df = df.withColumn("role", F.when(F.col("role") == "development", "train").otherwise("test"))
+    df = splits.by_periods(sound_bars(bars), development, holdout)
+    df = kept(df.withColumn("role", F.when(F.col("role") == "development", "train").otherwise("test")))
     runs, curve = winners(spark, df, keys, grid, config, max_drawdown_cap=max_drawdown_cap, min_trade_count=min_trade_count)
     limits = policy.limits_for(max_drawdown_cap, min_trade_count, chance is not None)
     dev = df.filter("role = 'train'").drop("role")
@@ -322,7 +360,7 @@ def frozen_plan(
     return protocol.select(
         "symbol",
         F.col("strategy").alias("strategy_family"),
-        search.parameters_json().alias("selected_parameters"),
+        search.parameters_json(search.parameter_names(grid)).alias("selected_parameters"),
         *[F.lit(v).alias(k) for k, v in (fixed | spans | costs).items()],
         F.lit(size).cast("long").alias("search_space_size"),
         F.lit(len(grid)).cast("long").alias("tried_strategy_family_count"),
