@@ -543,3 +543,26 @@ def test_mix(spark, monkeypatch, few):
     kept = source_mix.mixed_documents(df.withColumn("size", F.lit("clash")).withColumn("h", F.lit(1)))
     assert {(k.doc_id, k.taken) for k in kept.collect()} == {(g.doc_id, g.taken) for g in got if g.copies > 0}
     assert source_mix.mix(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["one id and text", "one id", "no id"])
+def test_targets_are_met_where_ids_repeat(spark, kind):
+    """400 rows of one id, or none, are as many documents; copies of one id and text are told apart by number."""
+    r = random.Random(7)
+    rows = [("a", k, " ".join(["w"] * r.randint(5, 40))) for k in range(300)] + [("b", k, "x " * r.randint(1, 30)) for k in range(300)]
+    text = lambda k: "same words here " * 5 if kind == "one id and text" else f"t{k} words here " * 5
+    rows += [("c", None if kind == "no id" else 7, text(k)) for k in range(400)]
+    df = spark.createDataFrame(rows, "source string, doc_id long, text string")
+    got = source_mix.mix(df.repartition(5)).collect()
+    assert len(got) == len(rows)
+    by = defaultdict(lambda: [0, 0.0])
+    for g in got:
+        by[g.source_size][0] += g.taken
+        by[g.source_size][1] = g.target
+    assert len(by) == 3
+    for taken, target in by.values():
+        assert abs(taken - target) <= 20, (taken, target)  # half of the longest document
+    taken = lambda df: sorted((x.doc_id or -1, x.size, x.taken) for x in source_mix.mix(df).collect())
+    assert taken(df) == taken(df.repartition(3))
+    kept = source_mix.mixed_documents(df)
+    assert sum(x.copies for x in kept.collect()) == sum(g.copies for g in got)

@@ -6,7 +6,9 @@ clusters at a threshold; lines of the high cluster are content.  The region is t
 content, where text in an article element counts several times and such an element is not looked into further.  Of its lines
 go those in parts that are never article text (menus, forms, adverts, reader comments), and runs of links in the low cluster.
 
-The parser keeps parents, counts and depths of open elements, so its work grows with the page, however deep that is nested.
+Pages are tidied before they are parsed: comments and declarations go, scripts and styles are emptied, and tags that are not
+written as they should be are written anew, each construct being looked at once.  The parser keeps parents, counts and depths of
+open elements.  So the work grows with the page, however deep it is nested and whatever is left unclosed.
 """
 
 from __future__ import annotations
@@ -62,6 +64,74 @@ ROLES = set("alert banner complementary contentinfo dialog form menu menubar nav
 PARTS = set("article main body nav footer aside table".split())
 _SPACE = re.compile(r"\s+")
 _PART = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
+#: A tag as it should be; what follows a name or a value is not tried again otherwise.
+_TAG = re.compile(r"""</?+[A-Za-z][A-Za-z0-9:-]*+(?:\s++[A-Za-z_:][\w:.-]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'=<>`]++))?+)*+\s*+/?+>""")
+_NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
+_ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)(\s*+=\s*+)?+")
+_BARE = re.compile(r"[^\s>]*+")
+_GAP = re.compile(r"[\s/]*+")
+#: Attributes that are looked at.
+_USED = ("class", "id", "role", "hidden", "aria-hidden", "style")
+#: Elements whose content is no markup.
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style")}
+
+
+def _rewritten(html: str, at: int) -> tuple[str, int]:
+    """The tag that begins at a place, written as it should be, and where it ends; one that never ends takes all the rest, unseen."""
+    name = _NAME.match(html, at)
+    end, kept = name.end(), []
+    while True:
+        end = _GAP.match(html, end).end()
+        if end == len(html):
+            return "", end
+        if html[end] == ">":
+            break
+        m = _ATTRIBUTE.match(html, end)
+        end, value = m.end(), None
+        if m[2]:
+            quote = html[end : end + 1]
+            close = html.find(quote, end + 1) if quote in ("'", '"') else -1
+            if close >= 0:
+                value, end = html[end + 1 : close], close + 1
+            else:
+                bare = _BARE.match(html, end)
+                value, end = bare[0], bare.end()
+        if m[1].lower() in _USED:
+            kept.append(f" {m[1]}" if value is None else f' {m[1]}="{value.replace(chr(34), "&quot;")}"')
+    plain = re.sub(r"[^A-Za-z0-9:-]", "-", name[1])
+    return ("</" + plain if html[at + 1] == "/" else "<" + plain + "".join(kept)) + ">", end + 1
+
+
+def tidied(html: str) -> str:
+    """The page without comments, declarations and contents of scripts and styles, all its tags well written."""
+    out, at, end = [], 0, len(html)
+    while at < end:
+        open_ = html.find("<", at)
+        if open_ < 0:
+            open_ = end
+        out.append(html[at:open_])
+        at, after = open_, html[open_ + 1 : open_ + 3]
+        if at == end:
+            break
+        if html.startswith("<!--", at):
+            close = html.find("-->", at + 2)
+            at = end if close < 0 else close + 3
+        elif after[:1] in ("!", "?") or after[:1] == "/" and len(after) > 1 and not (after[1].isascii() and after[1].isalpha()):
+            close = html.find(">", at + 1)
+            at = end if close < 0 else close + 1
+        elif _NAME.match(html, at):
+            m = _TAG.match(html, at)
+            tag, at = (m[0], m.end()) if m else _rewritten(html, at)
+            out.append(tag)
+            name = tag[1:7].lower()
+            raw = next((k for k in _RAW if name.startswith(k) and not tag[len(k) + 1 : len(k) + 2].isalnum() and tag[len(k) + 1 : len(k) + 2] not in (":", "-")), None)
+            if raw:
+                m = _RAW[raw].search(html, at)
+                at = m.start() if m else end
+        else:
+            out.append("&lt;")
+            at += 1
+    return "".join(out)
 
 
 @dataclass
@@ -265,7 +335,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     page = Lines()
-    page.feed(html)
+    page.feed(tidied(html))
     page.close()
     page.flush()
     lines = page.lines(page.left_out(None))
@@ -301,7 +371,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages: the main text of its whole html.
 
     Null html, and pages without article text, give the empty string.  Null and repeated ids pass through; an empty table
-    gives none; columns other than page_id, url and html are not read.  Unclosed tags end with the part they stand in.  A form,
+    gives none; columns other than page_id, url and html are not read.  Unclosed elements end with the part they stand in; a tag
+    or comment that never ends hides what follows, as in a browser; declarations and "<![" sections are no text.  A form,
     or a part with a class like those of menus, is not left out if it holds nearly all content of the page.
     """
     kinds = dict(pages.dtypes)

@@ -1,8 +1,9 @@
 """Mixing sources to target weights by hash thresholds, without sorting documents.
 
-Each document has a fixed hash.  Words are summed by source and leading hash bits; the bucket in which the running sum
-passes the source's budget is found and only its documents are summed again by their next bits, level after level, until
-one hash value is left.  A document below its source's threshold is taken once more than the others.
+Each document has a hash of its id and text.  Words are summed by source and leading hash bits; the bucket in which the running
+sum passes the source's budget is found and only its documents are summed again by their next bits, level after level, until
+one hash value is left.  A document below its source's threshold is taken once more than the others, and so are as many of the copies
+that share the threshold's hash as the budget has room for.
 """
 
 from __future__ import annotations
@@ -51,28 +52,51 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most
 
 
 def thresholds(rows: DataFrame, plan: DataFrame, near) -> DataFrame:
-    """(source, limit): a row of a source is taken once more if its hash is at most limit (-1: none).
+    """(source, at, m, more): a row of a source is taken once more if its hash is below at, and so are more of the m rows at it.
 
-    rows: source, size, h.  plan: source, rest - the words still to take from each source.  A hash value at which the running
-    sum passes rest is within if that brings the sum closer to it.
+    rows: source, size, h.  plan: source, rest - the words still to take from each source.
     """
     state = plan.select("source", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0.0).alias("done"))
     for shift in range(BITS - STEP, -1, -STEP):
         inside = near(rows, state.select("source", "prefix")).filter(F.shiftright("h", shift + STEP) == F.col("prefix"))
-        hist = inside.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("n"))
-        hist = hist.join(state.withColumnRenamed("source", "_s").hint("merge"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        hist = inside.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("n"), F.count("*").alias("m"))
+        hist = hist.join(state.select(F.col("source").alias("_s"), "rest", "done").hint("merge"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
         cum = F.col("done") + F.sum("n").over(Window.partitionBy("source").orderBy("bucket"))
         over = hist.withColumn("cum", cum).filter(F.col("cum") > F.col("rest"))
         state = over.groupBy("source").agg(
-            F.min_by(F.struct("rest", F.col("bucket").alias("prefix"), (F.col("cum") - F.col("n")).alias("done"), "cum"), "bucket").alias("x")
+            F.min_by(F.struct("rest", F.col("bucket").alias("prefix"), (F.col("cum") - F.col("n")).alias("done"), "n", "m"), "bucket").alias("x")
         ).select("source", "x.*")
-    within = F.col("done") + F.col("cum") <= 2 * F.col("rest")
-    return state.select("source", F.when(within, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("limit"))
+    more = F.round((F.col("rest") - F.col("done")) * F.col("m") / F.col("n")).cast("long")
+    return state.select("source", F.col("prefix").alias("at"), "m", more.alias("more"))
+
+
+def numbered_ties(rows: DataFrame) -> DataFrame:
+    """rows (with source) numbered from 1 within their source, however many there are: tasks count, and each goes on from those before."""
+    rows = checkpointed(rows.withColumn("__tm_task", F.spark_partition_id()))
+    counts = rows.groupBy("source", "__tm_task").agg(F.count("*").alias("__tm_c"))
+    before = Window.partitionBy("source").orderBy("__tm_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("source").alias("_s"), F.col("__tm_task").alias("_t"), F.coalesce(F.sum("__tm_c").over(before), F.lit(0)).alias("__tm_before"))
+    own = F.row_number().over(Window.partitionBy("source", "__tm_task").orderBy("__tm_task"))
+    df = rows.withColumn("__tm_own", own).join(starts.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("__tm_task") == F.col("_t")))
+    return df.withColumn("__tm_number", F.col("__tm_before") + F.col("__tm_own")).drop("_s", "_t", "__tm_task", "__tm_own", "__tm_before")
+
+
+def with_copies(rows: DataFrame) -> DataFrame:
+    """rows with __tm_copies; they have source, __tm_h and the plan's __tm_base, __tm_at, __tm_m and __tm_more."""
+    c = F.col
+    tied = (c("__tm_h") == c("__tm_at")) & (c("__tm_m") > 1) & (c("__tm_more") > 0) & (c("__tm_more") < c("__tm_m"))
+    plain = rows.filter(~F.coalesce(tied, F.lit(False)))
+    once = (c("__tm_h") < c("__tm_at")) | (c("__tm_h") == c("__tm_at")) & (c("__tm_more") > 0)
+    ties = numbered_ties(rows.filter(tied))
+    some = c("__tm_number") <= c("__tm_more")
+    counted = lambda df, x: df.withColumn("__tm_copies", c("__tm_base") + F.coalesce(x, F.lit(False)).cast("long"))
+    return counted(plain, once).unionByName(counted(ties, some).drop("__tm_number"))
 
 
 def measures() -> dict:
     """size and hash of a document, as columns."""
-    h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, BITS // 4), 16, 10).cast("long")
+    name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
+    h = F.conv(F.substring(F.md5(name), 1, BITS // 4), 16, 10).cast("long")
     return {"size": F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"), "h": h}
 
 
@@ -86,31 +110,39 @@ def _joiner(few: bool):
 
 
 def fit(rows: DataFrame, weights: tuple, share: float, most: int) -> tuple[DataFrame, bool]:
-    """((source, source_size, target, base, limit), whether sources are few).  rows: source, size, h."""
+    """((source, source_size, target, base, at, m, more), whether sources are few).  rows: source, size, h."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, share, most)
     base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = checkpointed(plan.withColumn("base", base).withColumn("rest", F.col("target") - F.col("base") * F.col("source_size")))
     few = plan.count() <= FEW_SOURCES
     near = _joiner(few)
-    limits = near(plan, thresholds(rows, plan, near)).select("source", "source_size", "target", "base", F.coalesce("limit", F.lit(-1)).alias("limit"))
+    limits = near(plan, thresholds(rows, plan, near)).select("source", "source_size", "target", "base", F.coalesce("at", F.lit(-1)).alias("at"), "m", "more")
     return checkpointed(limits), few
 
 
+def decided(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    """rows (source, __tm_h, ..) with the plan's columns, named __tm_*, and __tm_copies."""
+    plan = plan.select("source", *[F.col(c).alias(f"__tm_{c}") for c in plan.columns[1:]])
+    return with_copies(_joiner(few)(rows, plan))
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) of every row of docs.
 
     size: runs of characters other than ASCII white space; null text has 0.  Every document is taken floor(target /
-    source_size) times, and those whose hash of doc_id lies at or below the source's threshold once more, so the words taken
-    come within half a document of the target.  Rows that repeat a doc_id within a source share one hash and go together;
-    a null doc_id hashes as the empty string.  Null sources are one source.  A source without words has target 0 and takes
-    its documents no times.  An empty table gives none.  Columns other than doc_id, text and source are not read.
+    source_size) times, and those whose hash of id and text lies below the source's threshold once more, so the words taken
+    come within half a document of the target.  Rows of one id and text share a hash; where the threshold falls on them, as many are
+    taken as fit, no matter which.  Null ids and texts hash as empty strings.  Null sources are one source.  A source without
+    words has target 0 and takes its documents no times.  An empty table gives none.  Columns other than doc_id, text and
+    source are not read.
     """
     m = measures()
     rows = checkpointed(docs.select("doc_id", "source", m["size"].alias("size"), m["h"].alias("h")))
-    plan, few = fit(rows, weights, share, most)
-    copies = F.col("base") + (F.col("h") <= F.col("limit")).cast("long")
-    return _joiner(few)(rows, plan).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+    out = decided(rows.withColumnRenamed("h", "__tm_h"), *fit(rows, weights, share, most))
+    copies = F.col("__tm_copies")
+    plan = [F.col(f"__tm_{c}").alias(c) for c in ("source_size", "target")]
+    return out.select("doc_id", "size", *plan, (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
@@ -121,14 +153,10 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.
     """
     m = measures()
     rows = checkpointed(docs.select("source", m["size"].alias("size"), m["h"].alias("h")))
-    plan, few = fit(rows, weights, share, most)
-    plan = plan.select("source", *[F.col(c).alias(f"__tm_{c}") for c in plan.columns[1:]])
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies")]
-    out = _joiner(few)(docs.withColumn("__tm_size", m["size"]).withColumn("__tm_h", m["h"]), plan)
-    copies = F.col("__tm_base") + (F.col("__tm_h") <= F.col("__tm_limit")).cast("long")
-    out = out.withColumn("__tm_copies", copies).filter("__tm_copies > 0")
+    out = decided(docs.withColumn("__tm_size", m["size"]).withColumn("__tm_h", m["h"]), *fit(rows, weights, share, most))
     taken = (F.col("__tm_copies") * F.col("__tm_size")).alias("taken")
-    return out.select(
+    return out.filter("__tm_copies > 0").select(
         *[f"`{c}`" for c in own],
         F.col("__tm_size").alias("size"),
         F.col("__tm_source_size").alias("source_size"),
@@ -146,7 +174,7 @@ def sql(docs: str = "documents") -> str:
     """DuckDB SQL of mix() over a relation."""
     return rf"""
 WITH RECURSIVE d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS h FROM {docs}),
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT AS h FROM {docs}),
 s AS (SELECT source, sum(size)::DOUBLE AS n, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3]::DOUBLE AS w FROM d GROUP BY source),
 rounds AS (SELECT 0 AS k, source, n, w, false AS capped, 0::DOUBLE AS t FROM s
   UNION ALL
@@ -155,8 +183,8 @@ rounds AS (SELECT 0 AS k, source, n, w, false AS capped, 0::DOUBLE AS t FROM s
         FROM rounds) WHERE k < (SELECT count(*) + 1 FROM s)),
 t AS (SELECT source, n, t AS target, CASE WHEN n > 0 THEN floor(t / n) ELSE 0 END AS base FROM rounds WHERE k = (SELECT count(*) + 1 FROM s)),
 c AS (SELECT d.*, t.n, t.target, t.base, t.target - t.base * t.n AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
-    sum(size) OVER (PARTITION BY d.source, h) AS own FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, n::BIGINT AS source_size, target, ((base + (2 * cum - own <= 2 * rest)::INT) * size)::BIGINT AS taken FROM c
+    sum(size) OVER (PARTITION BY d.source, h) AS own, count(*) OVER (PARTITION BY d.source, h) AS m, row_number() OVER (PARTITION BY d.source, h) AS number FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, n::BIGINT AS source_size, target, ((base + CASE WHEN cum <= rest THEN 1 WHEN cum - own <= rest THEN (number <= round((rest - cum + own) * m / own))::INT ELSE 0 END) * size)::BIGINT AS taken FROM c
 """
 
 
