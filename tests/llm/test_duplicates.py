@@ -213,7 +213,7 @@ def test_join_of_repeated_ids(spark):
     assert {(g.doc_id, g.component_id) for g in shingle_join.jaccard_join(df).collect()} == {(1, 1), (2, 1), (3, 1)}
 
 
-def brute_lines(rows, least=1, similarity=0.9):
+def brute_lines(rows, least=1, likeness=fuzzy_lines.LIKENESS):
     """By edit similarity alone."""
     places = {}
     for i, text in sorted((x for x in rows if x[0] is not None), key=lambda x: x[0]):
@@ -225,7 +225,7 @@ def brute_lines(rows, least=1, similarity=0.9):
     for a in range(len(keys)):
         g.find(a)
         for b in range(a):
-            most = int((1 - similarity) * max(len(keys[a]), len(keys[b])) + 1e-9)
+            most = likeness.most(max(len(keys[a]), len(keys[b])))
             if abs(len(keys[a]) - len(keys[b])) <= most and fuzzy_lines.edit_distance(keys[a], keys[b]) <= most:
                 g.join(a, b)
     group = defaultdict(list)
@@ -350,12 +350,12 @@ def test_close_pairs_lose_none():
         for _ in range(r.randrange(0, 7)):
             w[r.randrange(len(w))] = r.choice("abcé漢😀")
         lines.append("".join(w))
-    i, j = fuzzy_lines.close_pairs([x.encode() for x in lines], None, 0.9)
+    i, j = fuzzy_lines.close_pairs([x.encode() for x in lines], None, fuzzy_lines.Likeness(0.9, 0, 0.9, 10**6))
     found = set(zip(i.tolist(), j.tolist(), strict=True))
     want = {(a, b) for b in range(60) for a in range(b) if slow_distance(lines[a], lines[b]) <= 4}
     assert want <= found and want
     side = np.array([k % 2 == 0 for k in range(60)])
-    i, j = fuzzy_lines.close_pairs([x.encode() for x in lines], side, 0.9)
+    i, j = fuzzy_lines.close_pairs([x.encode() for x in lines], side, fuzzy_lines.Likeness(0.9, 0, 0.9, 10**6))
     assert {p for p in found if side[p[0]] != side[p[1]]} == set(zip(i.tolist(), j.tolist(), strict=True))
 
 

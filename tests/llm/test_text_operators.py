@@ -75,9 +75,9 @@ def brute_hits(text, items):
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words), hit
 
 
-@pytest.mark.parametrize("automaton_chars", [4_000_000, 60])
-def test_decontaminate(spark, monkeypatch, automaton_chars):
-    monkeypatch.setattr(decontaminate, "AUTOMATON_CHARS", automaton_chars)
+@pytest.mark.parametrize("automaton_words", [4_000_000, 30])
+def test_decontaminate(spark, monkeypatch, automaton_words):
+    monkeypatch.setattr(decontaminate, "AUTOMATON_WORDS", automaton_words)
     r = random.Random(2)
     vocab = ["aa", "b", "Ce", "é1", "x"]
     item = lambda n: "-".join(r.choice(vocab) for _ in range(n))
@@ -566,3 +566,36 @@ def test_targets_are_met_where_ids_repeat(spark, kind):
     assert taken(df) == taken(df.repartition(3))
     kept = source_mix.mixed_documents(df)
     assert sum(x.copies for x in kept.collect()) == sum(g.copies for g in got)
+
+
+def test_matcher_against_brute_force():
+    r = random.Random(11)
+    for vocab in (["a"], ["a", "b"], ["a", "b", "c", "d"]):
+        for _ in range(60):
+            items = [(str(k), " ".join(r.choice(vocab) for _ in range(r.randrange(0, 40)))) for k in range(r.randrange(0, 5))]
+            text = " ".join(r.choice(vocab) for _ in range(r.randrange(0, 70)))
+            runs, found = decontaminate.Matcher([(k, t.encode()) for k, t in items]).scan(decontaminate.words_of(text))
+            n_words, n_hit, n_items, _, _, hit = brute_hits(text, items)
+            assert {p for a, b in runs for p in range(a, b + 1)} == hit and len(found) == n_items
+
+
+def test_a_large_benchmark_is_one_automaton():
+    """20 MB of words: each is held once, and one scan finds what is there."""
+    r = np.random.default_rng(1)
+    vocab = np.array([f"w{k:x}" for k in range(200_000)])
+    items, size = [], 0
+    while size < 20_000_000:
+        words = vocab[r.integers(0, len(vocab), 400)].tolist()
+        items.append((str(len(items)), " ".join(words).encode()))
+        size += len(items[-1][1])
+    assert sum(len(t.split()) for _, t in items) < decontaminate.AUTOMATON_WORDS
+    m = decontaminate.Matcher(items)
+    doc = [b"x"] * 50 + items[77][1].split()[101:114] + [b"y"] * 50 + items[5][1].split()[0:12] + [b"z"]
+    assert m.scan(doc) == ([(50, 62)], {"77"})
+
+
+def test_very_repetitive_texts_are_scanned_in_time():
+    m = decontaminate.Matcher([("1", b"a " * 500), ("2", b"a b " * 300)])
+    began = time.process_time()
+    runs, found = m.scan([b"a"] * 10_000 + [b"a", b"b"] * 5_000)
+    assert runs == [(0, 19_999)] and found == {"1", "2"} and time.process_time() - began < 30

@@ -1,8 +1,14 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark, each text scanned once."""
+"""Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark, each text scanned once.
+
+The automaton reads word numbers, not characters, and holds every seventh run of seven words of each item: wherever 13 words of an item
+occur, such a run occurs whole.  From there the match is followed along the item in both directions, and counts if it is 13 words
+long.  So a word of the benchmark is held once, not in each of the windows that it belongs to.
+"""
 
 from __future__ import annotations
 
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +18,9 @@ from .common import checkpointed, sliced, table, with_text_columns
 
 NAME = "op9_decontaminate"
 WINDOW = 13
-#: Characters of patterns that one automaton may hold, and one broadcast (about 60 bytes of memory each, so 240 MB); a larger
-#: benchmark is scanned for part by part, each round kept before the next begins.
-AUTOMATON_CHARS = 4_000_000
+#: Words of a benchmark that one automaton, and one broadcast, may hold (some 100 bytes each in a task, so 400 MB, for 25 MB of
+#: text); a larger benchmark is scanned for part by part, each round kept before the next begins.
+AUTOMATON_WORDS = 4_000_000
 #: A-Z become a-z; a-z, 0-9 and every byte of a non-ASCII character stay; all else separates words.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 _ORIGINAL = re.compile(r"(?:[^\x00-\x2F\x3A-\x60\x7B-\x7F]|[A-Z])+")
@@ -28,54 +34,90 @@ def normalised(text: str | None) -> str:
     return f" {b' '.join(words).decode('latin-1')} " if words else " "
 
 
-def windows(text: str | None, n: int = WINDOW) -> set[str]:
-    """An item's windows of n words; an item of fewer words, but not none, is one window."""
-    words = normalised(text).split()
-    if not words:
-        return set()
-    return {f" {' '.join(words[i : i + n])} " for i in range(max(1, len(words) - n + 1))}
-
-
-def patterns(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """(window, items): every window once, with the ids (as strings, sorted) of the items that hold it."""
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text, in UTF-8."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
+
+
+class Matcher:
+    """Finds runs of n words of items, or whole shorter items, in lists of words."""
+
+    def __init__(self, items: list[tuple[str, bytes]], n: int = WINDOW):
+        import ahocorasick
+
+        self.n, self.step, self.number = n, (n + 1) // 2, {}
+        self.items, pieces = [], {}
+        for name, text in items:
+            words = text.split()
+            numbers = tuple(self.number.setdefault(w, len(self.number) + 1) for w in words)
+            step = self.step if len(numbers) >= n else len(numbers)
+            for at in range(0, len(numbers) - step + 1, max(1, step)):
+                pieces.setdefault(numbers[at : at + step], []).append((len(self.items), at))
+            self.items.append((name, numbers))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for piece, places in pieces.items():
+            if piece:
+                self.automaton.add_word(piece, (len(piece), places))
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Where windows occur in some words, as merged (first, last) numbers, and the names of their items."""
+        if not len(self.automaton):
+            return [], set()
+        get = self.number.get
+        text = tuple([get(w, 0) for w in words])
+        seen: dict[tuple[int, int], int] = {}  # (item, how far it is shifted) -> the last word that is followed already
+        spans, names = [], set()
+        for end, (size, places) in self.automaton.iter(text):
+            for item, at in places:
+                name, own = self.items[item]
+                first = end - size + 1
+                shift = first - at
+                if seen.get((item, shift), -1) >= end:
+                    continue
+                low, high = first, end + 1
+                while low > 0 and low > shift and text[low - 1] == own[low - 1 - shift]:
+                    low -= 1
+                while high < len(text) and high - shift < len(own) and text[high] == own[high - shift]:
+                    high += 1
+                seen[item, shift] = high - 1
+                if high - low >= min(self.n, len(own)):
+                    spans.append((low, high - 1))
+                    names.add(name)
+        merged: list[tuple[int, int]] = []
+        for low, high in sorted(spans):
+            if merged and low <= merged[-1][1] + 1:
+                merged[-1] = (merged[-1][0], max(high, merged[-1][1]))
+            else:
+                merged.append((low, high))
+        return merged, names
+
+
+#: The matcher of the benchmark that this process has last worked with.
+_LAST: dict[str, Matcher] = {}
+
+
+def matcher(shared, key: str, n: int) -> Matcher:
+    """One a process and broadcast, known by its key: tasks that follow in it don't build the automaton again."""
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = Matcher(shared.value, n)
+    return _LAST[key]
+
+
+def normal_items(benchmark: DataFrame) -> DataFrame:
+    """(item, words, n): different items that have words, with their words in UTF-8 and how many they are."""
 
     def run(batches):
         for b in sliced(batches):
-            out = [(w, "" if i is None else i) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in windows(text, n)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], names=["window", "item"])
-
-    found = benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(run, "window string, item string")
-    return found.groupBy("window").agg(F.sort_array(F.collect_set("item")).alias("items"))
-
-
-def automaton(found: dict[str, tuple]):
-    import ahocorasick
-
-    a = ahocorasick.Automaton()
-    for w, ids in found.items():
-        a.add_word(w, (len(w), ids))
-    if len(a):
-        a.make_automaton()
-    return a
-
-
-def scan(a, text: str) -> tuple[list[tuple[int, int]], set]:
-    """Where windows occur in a normalised text, as merged (first, last) word numbers, and the ids of their items."""
-    spans, items = [], set()
-    for end, (length, ids) in a.iter(text):
-        items.update(ids)
-        start = end + 1 - length
-        while spans and start <= spans[-1][1]:  # ends come in order; a longer window may reach over several spans
-            start = min(start, spans.pop()[0])
-        spans.append((start, end))
-    at = word = 0
-    out = []
-    for start, end in spans:
-        word += text.count(" ", at, start)
-        last = word + text.count(" ", start, end) - 1
-        out.append((word, last))
-        at, word = end, last + 1
-    return out, items
+            words = [words_of(t) for t in b.column(1).to_pylist()]
+            names = ["" if i is None else i for i in b.column(0).to_pylist()]
+            cols = [pa.array(names, pa.string()), pa.array([b" ".join(w) for w in words], pa.binary()), pa.array([len(w) for w in words], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["item", "words", "n"])
+
+    made = benchmark.select(F.col("item_id").cast("string"), "text").mapInArrow(run, "item string, words binary, n long")
+    return made.filter("n > 0").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, hits_in: int = 20, prefix: str = "") -> DataFrame:
@@ -86,30 +128,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, hits_i
     clean.  Items without words have no windows; an item without id counts under the empty string; repeated items are one.
     Empty tables give no rows, or clean ones.  Repeated documents are each scanned; all columns of docs are passed on.
 
-    Windows are made and counted by Spark; the driver gets AUTOMATON_CHARS characters of them at a time.  Usually that is all,
-    and one automaton scans each text once; else each part's is broadcast, used and removed in turn.
+    Items are normalised by Spark; the driver gets AUTOMATON_WORDS of their words at a time.  Usually that is all, and one automaton
+    scans each text once; else each part's is broadcast, used and removed in turn.
     """
-    found = checkpointed(patterns(benchmark, n))
-    chars = found.agg(F.sum(F.length("window"))).first()[0] or 0
-    parts = max(1, -(-chars // AUTOMATON_CHARS))
+    found = checkpointed(normal_items(benchmark))
+    total = found.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, -(-total // AUTOMATON_WORDS))
     sc = docs.sparkSession.sparkContext
 
-    def maker(shared):
+    def maker(shared, key):
         def make():
-            a = automaton(shared.value)
+            m = matcher(shared, key, n)
 
             def run(texts):
-                words, spans, items = [], [], []
+                sizes, spans, items = [], [], []
                 for text in texts:
-                    norm = normalised(text)
-                    words.append(norm.count(" ") - 1)
-                    runs, found = scan(a, norm) if len(a) else ([], set())
+                    words = words_of(text)
+                    sizes.append(len(words))
+                    runs, names = m.scan(words)
                     if runs:
-                        at = [m.span() for m in _ORIGINAL.finditer(text)]
+                        at = [x.span() for x in _ORIGINAL.finditer(text)]
                         runs = [{"first_word": x, "last_word": y, "start": at[x][0], "end": at[y][1]} for x, y in runs]
                     spans.append(runs)
-                    items.append(sorted(found))
-                return words, spans, items
+                    items.append(sorted(names))
+                return sizes, spans, items
 
             return run
 
@@ -117,14 +159,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, hits_i
 
     out = docs
     for k in range(parts):  # a further automaton adds its spans and items to a row
-        some = found.filter(F.pmod(F.xxhash64("window"), F.lit(parts)) == k).collect()
-        shared = sc.broadcast({r["window"]: tuple(r["items"]) for r in some})
+        some = found.filter(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == k).select("item", "words").collect()
+        shared = sc.broadcast([(r["item"], bytes(r["words"])) for r in some])
         columns = [
             (f"__tm_words{k}", "long", pa.int64()),
             (f"__tm_spans{k}", _SPANS, _SPANS_ARROW),
             (f"__tm_items{k}", "array<string>", pa.list_(pa.string())),
         ]
-        out = with_text_columns(out, columns, maker(shared))
+        out = with_text_columns(out, columns, maker(shared, uuid.uuid4().hex))
         if parts > 1:  # no task holds two automata
             out = checkpointed(out)
             shared.destroy()

@@ -8,13 +8,15 @@ buckets in which lines meet.  A block counts only if it holds enough characters
 lines there are.  Pairs that meet are verified by edit similarity of the normalised lines, and connected groups of verified
 links keep their first occurrence, by document id and line number.
 
-What the blocks miss are pairs whose edits touch all parts.  One edited word is always found, in lines of a few words or of
-hundreds; tests measure what share is found of pairs with more edits, up to the least similarity.
+What the blocks miss are pairs whose edits touch all parts.  How many edits make two lines similar is therefore set to what the
+blocks reach: three, or two in a hundred characters if that is more, but one in ten, and one less than there are parts, at most.  Tests measure the share that is found
+over all numbers of edits up to that, in lines of a few words and of hundreds: nine in ten or more.
 """
 
 from __future__ import annotations
 
 import itertools
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,29 @@ from .common import checkpointed, components, group_starts, mixed, partitions, s
 
 NAME = "op5_fuzzy_lines"
 SQL = None  # SQL has no SimHash; tested against brute force
-#: Least edit similarity of linked lines, and the normalised bytes below which lines are left alone: all but blank ones count.
-SIMILARITY, LEAST_CHARS = 0.9, 1
+
+
+class Likeness(NamedTuple):
+    """How many edits of characters two lines may be apart: a few, or by the similarity if that is more; never beyond floor and ceiling."""
+
+    similarity: float = 0.98
+    edits: int = 3
+    floor: float = 0.9
+    ceiling: int = 15
+
+    def allowed(self, size: np.ndarray) -> np.ndarray:
+        """For the longer one's number of characters."""
+        size = np.asarray(size)
+        by = lambda x: ((1 - x) * size + 1e-9).astype(np.int64)
+        return np.minimum(np.minimum(by(self.floor), self.ceiling), np.maximum(self.edits, by(self.similarity)))
+
+    def most(self, size: int) -> int:
+        return min(int((1 - self.floor) * size + 1e-9), self.ceiling, max(self.edits, int((1 - self.similarity) * size + 1e-9)))
+
+
+LIKENESS = Likeness()
+#: The normalised bytes below which lines are left alone: all but blank ones count.
+LEAST_CHARS = 1
 #: Bytes of words that a part chosen by hash must hold to be a block.
 PART_BYTES = 24
 #: Bytes of words in two, three and four sixths of a line between which they are a block.
@@ -192,8 +215,8 @@ def blocks(lines: list[bytes], most: int = 200_000) -> tuple[np.ndarray, np.ndar
     return np.searchsorted(owner, np.arange(len(lines) + 1)), np.concatenate(keys) if keys else np.empty(0, np.uint64)
 
 
-def edit_distance(a: str | list, b: str | list) -> int:
-    """Levenshtein distance of two sequences, by bit vectors of the first's columns."""
+def edit_distance(a: str | list, b: str | list, most: int | None = None) -> int:
+    """Levenshtein distance of two sequences, by bit vectors of the first's columns; past most, any number above it."""
     lo, hi = 0, min(len(a), len(b))
     while lo < hi:  # longest common prefix
         mid = (lo + hi + 1) // 2
@@ -206,17 +229,22 @@ def edit_distance(a: str | list, b: str | list) -> int:
     a, b = a[: len(a) - lo], b[: len(b) - lo]
     if not a or not b:
         return len(a) + len(b)
+    if most is None:
+        most = len(a) + len(b)
     m, at = len(a), {}
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
-    plus, minus, score = full, 0, m
+    plus, minus, score, left = full, 0, m, len(b)
     for c in b:
         eq = at.get(c, 0)
         v = eq | minus
         h = (((eq & plus) + plus) ^ plus) | eq
         up, down = minus | full & ~(h | plus), plus & h
         score += bool(up & top) - bool(down & top)
+        left -= 1
+        if score - left > most:  # what is left of b can take back one edit for each character
+            return score - left
         up, down = (up << 1 | 1) & full, down << 1 & full
         plus, minus = down | full & ~(v | up), up & v
     return score
@@ -240,15 +268,15 @@ def words_apart(a: list[str], b: list[str]) -> int:
     return cost + sum(map(len, a[i:])) + len(a) - i + sum(map(len, b[j:])) + len(b) - j
 
 
-def alike(a: str, b: str, similarity: float, by_words: bool = False) -> bool:
-    """Whether the edit distance is within what the similarity allows; words settle most cases before characters are looked at.
+def alike(a: str, b: str, likeness: Likeness, by_words: bool = False) -> bool:
+    """Whether the edit distance is within what the likeness allows; words settle most cases before characters are looked at.
 
     by_words: look at words only, so that some similar lines don't count.
     """
-    most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+    most = likeness.most(max(len(a), len(b)))
     if abs(len(a) - len(b)) > most:
         return False
-    return words_apart(a.split(" "), b.split(" ")) <= most or not by_words and edit_distance(a, b) <= most
+    return words_apart(a.split(" "), b.split(" ")) <= most or not by_words and edit_distance(a, b, most) <= most
 
 
 #: Lines of a bucket up to which all pairs are looked at one by one.
@@ -262,7 +290,7 @@ def counts_of(line: bytes) -> np.ndarray:
     return np.bincount(np.frombuffer(line, np.uint8) % _KINDS, minlength=_KINDS).astype(np.int32)
 
 
-def close_pairs(norms: list[bytes], left: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def close_pairs(norms: list[bytes], left: np.ndarray | None, likeness: Likeness) -> tuple[np.ndarray, np.ndarray]:
     """Pairs i < j of a bucket that lengths and counts of bytes don't rule out.  left: of two tiles, who is in the first.
 
     An edit of a character changes at most four bytes, so bounds in bytes are four times those in characters, but for lines
@@ -277,7 +305,7 @@ def close_pairs(norms: list[bytes], left: np.ndarray | None, similarity: float)
         i = i + lo
         if left is not None:
             i, j = i[(across := left[i] != left[j])], j[across]
-        most = ((1 - similarity) * np.maximum(size[i], size[j]) + 1e-9).astype(np.int64) * np.where(plain_[i] & plain_[j], 1, 4)
+        most = likeness.allowed(np.maximum(size[i], size[j])) * np.where(plain_[i] & plain_[j], 1, 4)
         near = np.abs(size[i] - size[j]) <= most
         i, j, most = i[near], j[near], most[near]
         for at in range(0, len(i), 100_000):
@@ -358,7 +386,7 @@ def in_buckets(members: DataFrame, chosen: DataFrame, done: DataFrame | None = N
     return checkpointed(rows.filter(F.exists("at", lambda x: x["go"])))
 
 
-def groups(members: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame:
+def groups(members: DataFrame, keyed: DataFrame, likeness: Likeness) -> DataFrame:
     """(node, component) of every line that a similar one is found for.  members: as candidates().
 
     First lines meet in the largest bucket of any of them.  Of the other buckets, those whose lines are all connected by then
@@ -367,14 +395,14 @@ def groups(members: DataFrame, keyed: DataFrame, similarity: float) -> DataFrame
     """
     texts = checkpointed(texts_of(members, keyed))
     first = checkpointed(members.select(F.array_max("at")["bucket"].alias("bucket")).distinct())
-    found = components(similar(in_buckets(members, first), texts, similarity, partitions(keyed)))
+    found = components(similar(in_buckets(members, first), texts, likeness, partitions(keyed)))
     rows = members.select("key", F.explode("at").alias("x")).select("key", "x.bucket")
     rows = rows.join(found.hint("merge"), F.col("key") == F.col("node"), "left").select("bucket", F.coalesce("component", "key").alias("c"))
     open_ = rows.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("bucket")
     rest = checkpointed(open_.join(first.withColumnRenamed("bucket", "f").hint("merge"), F.col("bucket") == F.col("f"), "left_anti"))
     if not rest.head(1):
         return found
-    more = checkpointed(similar(in_buckets(members, rest, first), texts, similarity, partitions(keyed)))
+    more = checkpointed(similar(in_buckets(members, rest, first), texts, likeness, partitions(keyed)))
     if not more.head(1):
         return found
     name = lambda df, c: df.join(found.select(F.col("node").alias("_n"), F.col("component").alias("_c")).hint("merge"), F.col(c) == F.col("_n"), "left").withColumn(c, F.coalesce("_c", c)).drop("_n", "_c")
@@ -412,7 +440,7 @@ def texts_of(members: DataFrame, keyed: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, "key binary, norm binary").dropDuplicates(["key"])  # rows that repeat id and text come again
 
 
-def similar(members: DataFrame, texts: DataFrame, similarity: float, parts: int) -> DataFrame:
+def similar(members: DataFrame, texts: DataFrame, likeness: Likeness, parts: int) -> DataFrame:
     """(a, b): keys of similar lines, enough to connect all that share a bucket to go.  members: as in_buckets()."""
 
     def deal(batches):
@@ -461,7 +489,7 @@ def similar(members: DataFrame, texts: DataFrame, similarity: float, parts: int)
                     return x
 
                 for y in range(1, len(rows)):  # the first line often links all others, which its words can tell
-                    if alike(words[0], words[y], similarity, by_words=True):
+                    if alike(words[0], words[y], likeness, by_words=True):
                         root[y] = 0
                         apart -= 1
                         out_a.append(keys[rows[0]])
@@ -472,7 +500,7 @@ def similar(members: DataFrame, texts: DataFrame, similarity: float, parts: int)
                 if sides is None and len(rows) <= FEW_PAIRS:  # not worth arrays; alike() looks at lengths first
                     i, j = _ALL_PAIRS[len(rows)]
                 else:
-                    i, j = close_pairs([norms[r] for r in rows], sides, similarity)
+                    i, j = close_pairs([norms[r] for r in rows], sides, likeness)
                 tied = np.array(root)
                 new = tied[i] != tied[j]
                 i, j = i[new], j[new]
@@ -484,7 +512,7 @@ def similar(members: DataFrame, texts: DataFrame, similarity: float, parts: int)
                 ]
                 for x, y in zip(i.tolist(), j.tolist(), strict=True):
                     # A pair that shares a lesser bucket, or one that is done, is settled there.
-                    if find(x) != find(y) and met[x].isdisjoint(met[y]) and alike(words[x], words[y], similarity):
+                    if find(x) != find(y) and met[x].isdisjoint(met[y]) and alike(words[x], words[y], likeness):
                         root[find(y)] = find(x)
                         apart -= 1
                         out_a.append(keys[rows[x]])
@@ -496,7 +524,7 @@ def similar(members: DataFrame, texts: DataFrame, similarity: float, parts: int)
     return dealt.mapInArrow(verify, "a binary, b binary")
 
 
-def lines_to_go(docs: DataFrame, similarity: float, least: int) -> DataFrame:
+def lines_to_go(docs: DataFrame, likeness: Likeness, least: int) -> DataFrame:
     """(k, line) of every line that isn't the first of its group; k as in _key()."""
     keyed = _key(docs)
     place = F.struct("doc_id", "line", "k")
@@ -507,7 +535,7 @@ def lines_to_go(docs: DataFrame, similarity: float, least: int) -> DataFrame:
     )
     distinct = checkpointed(distinct.select("key", "n", "first.doc_id", "first.line", "first.k", "blocks"))
     members = checkpointed(candidates(distinct))
-    found = groups(members, keyed, similarity)
+    found = groups(members, keyed, likeness)
     joined = distinct.select("key", "n", "doc_id", "line", "k").join(
         found.hint("merge"),
         F.col("key") == F.col("node"),
@@ -528,16 +556,16 @@ def lines_to_go(docs: DataFrame, similarity: float, least: int) -> DataFrame:
     return gone.filter("k != keep_k or line != keep_line").select("k", "line")
 
 
-def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, likeness: Likeness = LIKENESS, least: int = LEAST_CHARS) -> DataFrame:
     """The rows of docs with all their columns, text without lines that nearly repeat one that stays, and _n_lines, _n_removed.
 
     Lines end with line feeds.  Lines of fewer than least normalised bytes, and those without letter or digit, are left alone.
     An occurrence stays if it is the first of its group by (doc_id, line number).  Lines too short for an edit within the
-    similarity repeat only equal ones.  n_chars, if there, becomes the code points of the new text.  Null text stays null; a
+    likeness repeat only equal ones.  n_chars, if there, becomes the code points of the new text.  Null text stays null; a
     text that loses all its lines becomes empty.  Rows without doc_id are left alone.  Rows that repeat both id and text are
     treated alike.  An empty table gives none.  Other columns pass through.
     """
-    gone = lines_to_go(docs.select("doc_id", "text"), similarity, least)
+    gone = lines_to_go(docs.select("doc_id", "text"), likeness, least)
     gone = checkpointed(gone.groupBy(F.col("k").alias("__tm_k")).agg(F.collect_set("line").alias("__tm_gone")))
     key = F.coalesce(
         F.unhex(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))), 1, 24)),
