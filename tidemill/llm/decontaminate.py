@@ -189,7 +189,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, hits_i
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, with their columns."""
+    """The rows of docs that are not contaminated, with their columns.
+
+    Null and wordless texts stay; rows that repeat an id or a text are each looked at; exactly one word in hits_in is contaminated.  An empty
+    benchmark keeps all, an empty table gives none.  Columns of docs may have any names but those that begin with __tm_.
+    """
     return decontaminate(docs, benchmark, prefix="__tm_out_").filter("not __tm_out_contaminated").select(*[f"`{c}`" for c in docs.columns])
 
 

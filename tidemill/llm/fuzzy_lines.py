@@ -556,8 +556,8 @@ def lines_to_go(docs: DataFrame, likeness: Likeness, least: int) -> DataFrame:
     return gone.filter("k != keep_k or line != keep_line").select("k", "line")
 
 
-def dedup_lines(docs: DataFrame, likeness: Likeness = LIKENESS, least: int = LEAST_CHARS) -> DataFrame:
-    """The rows of docs with all their columns, text without lines that nearly repeat one that stays, and _n_lines, _n_removed.
+def dedup_lines(docs: DataFrame, likeness: Likeness = LIKENESS, least: int = LEAST_CHARS, prefix: str = "_") -> DataFrame:
+    """The rows of docs with all their columns, text without lines that nearly repeat one that stays, and n_lines, n_removed after prefix.
 
     Lines end with line feeds.  Lines of fewer than least normalised bytes, and those without letter or digit, are left alone.
     An occurrence stays if it is the first of its group by (doc_id, line number).  Lines too short for an edit within the
@@ -583,8 +583,8 @@ def dedup_lines(docs: DataFrame, likeness: Likeness = LIKENESS, least: int = LEA
         new["n_chars"] = F.when(touched, F.length("__tm_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     counts = [
-        F.coalesce(feeds + 1, F.lit(0)).cast("long").alias("_n_lines"),
-        F.when(touched, F.size(out_of)).otherwise(0).cast("long").alias("_n_removed"),
+        F.coalesce(feeds + 1, F.lit(0)).cast("long").alias(f"{prefix}n_lines"),
+        F.when(touched, F.size(out_of)).otherwise(0).cast("long").alias(f"{prefix}n_removed"),
     ]
     return both.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns], *counts)
 

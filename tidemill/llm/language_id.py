@@ -57,6 +57,13 @@ def dictionary(texts: list[list[bytes]], most: int) -> bytes:
     return b"".join(x for t in texts for x in spread(b"".join(t), each))
 
 
+#: Bytes, in pieces spread over the whole text, that a sampled text may give to its label's dictionary: with SAMPLE_TEXTS texts that is
+#: several times DICT_BYTES, so only where texts are few does it bind, and then the dictionary holds all there is.
+TEXT_BYTES = 4096
+#: Sampled texts of all labels (some 60 bytes each) that are broadcast to fetch them; more are joined by a shuffle.
+FEW_TEXTS = 200_000
+
+
 def fit(
     docs: DataFrame,
     label: str = "lang",
@@ -68,7 +75,7 @@ def fit(
 
     Rows without label or text don't count; of equal texts one does.  Every sampled text gives the same share of its label's
     dictionary, in pieces spread over all of it.  The labels come in order of their number of rows, which settles ties.
-    Labels are a closed list of languages; the driver gets per_label x 4,096 bytes of each at most.
+    Labels are a closed list of languages; the driver gets per_label x TEXT_BYTES bytes of each at most.
 
     A threshold on the hash leaves a few times the wanted number to choose from, so no label gathers in one task; texts are
     fetched last, for the chosen hashes only.
@@ -84,14 +91,14 @@ def fit(
 
     def pieces(batches):
         for b in sliced(batches, 64):
-            found = [spread(plain(t).encode("utf-8", "replace"), 4096) for t in b.column(2).to_pylist()]
+            found = [spread(plain(t).encode("utf-8", "replace"), TEXT_BYTES) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.binary()))], names=["label", "h", "pieces"])
 
     chosen = docs.select(
         F.col(label).alias("label"),
         F.xxhash64(text_col).alias("h"),
         F.col(text_col).alias("text"),
-    ).join(F.broadcast(top), (F.col("label") == F.col("_l")) & (F.col("h") == F.col("_h")))
+    ).join(top.hint("broadcast" if len(share) * per_label <= FEW_TEXTS else "merge"), (F.col("label") == F.col("_l")) & (F.col("h") == F.col("_h")))
     chosen = chosen.select("label", "h", "text").mapInArrow(pieces, f"label {dict(docs.dtypes)[label]}, h long, pieces array<binary>")
     texts: dict[str, dict] = {}
     for r in chosen.groupBy("label", "h").agg(F.min("pieces").alias("pieces")).collect():

@@ -22,8 +22,9 @@ NAME = "op7_toxicity"
 SQL = None  # SQL trains no network
 #: Labelled texts of each class that the network is fitted to, at most: those of the least text hash.
 SAMPLE_TEXTS = 1_500
-#: Windows of each of them that it is trained on, at most, spread evenly over the whole text; all others score all windows.
-SAMPLE_WINDOWS = 75
+#: Windows of a text that one epoch is expected to draw, so that no long text outweighs the others.  Each epoch draws anew from all of them, and
+#: the windows of toxic texts that it goes on with are chosen among all.
+EPOCH_WINDOWS = 75
 WINDOW, STRIDE = 24, 16
 #: Shrinking of embeddings at each step, as a share of the learning rate.
 DECAY = 0.02
@@ -179,7 +180,7 @@ class Network:
 
 
 def fit(texts: list[str], labels: list[int], epochs: tuple[int, int] = (3, 5), seed: int = 7, rate: float = 0.01, most: int = 512) -> Network:
-    """Train on texts with labels 0 or 1.  Without both classes the result scores everything near 0."""
+    """Train on texts with labels 0 or 1, whole.  Without both classes the result scores everything near 0."""
     docs = [words_of(t) for t in texts]
     y = np.array(labels, np.int64)
     count: dict[str, int] = {}
@@ -202,15 +203,14 @@ def fit(texts: list[str], labels: list[int], epochs: tuple[int, int] = (3, 5), s
     doc, at = [], []
     for i, d in enumerate(docs):
         row = np.array([vocab[w] for w in d], np.int64)
-        own = starts(len(d))
-        if not test[i] and len(own) > SAMPLE_WINDOWS:
-            own = [own[k] for k in np.linspace(0, len(own) - 1, SAMPLE_WINDOWS).astype(int)]
-        for s in own:
+        for s in starts(len(d)):
             doc.append(i)
             at.append(np.pad(row[s : s + WINDOW], (0, max(0, WINDOW - len(d))), constant_values=-1))
     doc, at = np.array(doc), np.array(at)
+    share = EPOCH_WINDOWS / np.bincount(doc, minlength=len(docs))[doc]  # the chance of a window to be drawn
+    drawn = int(np.minimum(share, 1).sum())
     r = np.random.default_rng(seed)
-    batch = min(most, max(32, len(doc) // 20))
+    batch = min(most, max(32, drawn // 20))
     m1 = {k: np.zeros_like(v) for k, v in net.p.items()}
     m2 = {k: np.zeros_like(v) for k, v in net.p.items()}
     step = 0
@@ -222,8 +222,11 @@ def fit(texts: list[str], labels: list[int], epochs: tuple[int, int] = (3, 5), s
     more = min(6, max(1, -(-FEWEST_STEPS // (sum(epochs) * max(1, len(doc) // batch)))))  # few texts are gone through more often
     epochs = (epochs[0] * more, epochs[1] * more)
     for epoch in range(sum(epochs)):
-        pos, neg = np.flatnonzero((y[doc] == 1) & ~test[doc]), np.flatnonzero((y[doc] == 0) & ~test[doc])
-        if epoch >= epochs[0]:
+        some = r.random(len(doc)) < share
+        pos, neg = np.flatnonzero((y[doc] == 1) & ~test[doc]), np.flatnonzero((y[doc] == 0) & ~test[doc] & some)
+        if epoch < epochs[0]:
+            pos = pos[some[pos]]
+        else:
             s = score(pos)
             best = np.full(len(docs), -np.inf)
             np.maximum.at(best, doc[pos], s)
@@ -367,7 +370,12 @@ def score(docs: DataFrame, net: Network, prefix: str = "") -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that a network learnt from its labelled rows does not reject, with their columns."""
+    """The rows of docs that a network learnt from its labelled rows does not reject, with their columns.
+
+    Null and empty texts are scored like any others, rows that repeat an id or a text each for themselves, so that equal texts stay or go
+    together.  A score of exactly 0.5 rejects.  Without labels of both kinds all stay; an empty table gives none.  Columns of docs
+    may have any names but those that begin with __tm_.
+    """
     return score(docs, fitted(docs, labels), "__tm_").filter("__tm_predicted = 0").select(*[f"`{c}`" for c in docs.columns])
 
 
