@@ -466,3 +466,20 @@ def test_stages_without_training_exactly(spark, tmp_path):
         mine = [x for x in mixed if x.source == s]
         assert abs(sum(x.taken for x in mine) - target[s]) <= max(size(t) for i, t in clean if source[i] == s) / 2 + 1e-6
         assert all(x.copies in (1, 2) and x.taken == x.copies * size(x.text) and x.target == pytest.approx(target[s]) for x in mine)
+
+
+def test_stages_with_clashing_names_and_without_rows(spark, tmp_path):
+    """Extra columns pass through all stages but the last, whatever they are called; of an empty table nothing is left."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "one two three")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(k, f"words of number {k} stand here alone", "en", "s") for k in range(6)] + [(None, None, None, None), (3, "", "en", "s"), (3, "", "en", "s")]
+    names = ["_n_lines", "_n_removed", "n_lines", "line", "key", "k", "n_words", "contaminated", "score", "predicted", "size", "h", "a.b", "component"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({c: F.lit("x") for c in names})
+    for name, f in corpus_pipeline.STAGES:
+        left = f(spark, docs, str(tmp_path))
+        if name != "source_mix":
+            assert left.columns == docs.columns and left.count() >= 6
+            assert {x["_n_lines"] for x in left.collect()} == {"x"}
+        else:
+            assert left.count() >= 1 and "a.b" in left.columns
+        assert f(spark, docs.limit(0), str(tmp_path)).count() == 0

@@ -69,7 +69,7 @@ def with_text_columns(docs: DataFrame, extra: list[tuple[str, str, pa.DataType]]
             cols = [v if isinstance(v, pa.Array) else pa.array(v, t) for v, (_, _, t) in zip(made, extra, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(run, schema)  # names may hold dots
 
 
 class WordHashes(dict):

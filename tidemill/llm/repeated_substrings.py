@@ -34,6 +34,8 @@ LENGTH = 400
 PIECE, CHUNK, STRETCH = 1 << 17, 1 << 21, 1 << 20
 #: Runs filed in one bucket that meet in one task; larger buckets are dealt out by document and compared by string bucket.
 MOST_RUNS = 1_000
+#: Texts that have copies (some 100 bytes each) up to which they are broadcast.
+FEW_COPIES = 500_000
 
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 _MULT = [np.uint64(int(x) | 3) for x in mixed(np.arange(1001, 1033, dtype=np.uint64))]
@@ -182,6 +184,17 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _copies(keyed: DataFrame, length: int) -> DataFrame:
+    """(_t, _first): texts of length bytes or more that several rows have, and the least key of these; kept, and hinted by their number.
+
+    A copy is repeated from end to end.  One of each such text is enough to show others what they share with it.
+    """
+    long = keyed.filter(F.octet_length("text") >= length)
+    found = long.groupBy(F.sha2("text", 256).alias("_t")).agg(F.min("k").alias("_first"), F.count("*").alias("_c"))
+    found = checkpointed(found.filter("_c > 1").drop("_c"))
+    return found.hint("broadcast" if found.count() <= FEW_COPIES else "merge")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, most_runs: int = MOST_RUNS, stretch: int = STRETCH) -> DataFrame:
     """(k, spans): the byte spans (start, end) covered by repeated strings in each of the rows of _keyed() that have any."""
     n = partitions(docs)
@@ -259,15 +272,16 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most_runs: int = MOST_
             seg = np.repeat(np.arange(len(counts)), counts)[pick]
             p = at[seg] + pick - (np.cumsum(counts) - counts)[seg]
             yield pa.RecordBatch.from_arrays(
-                rows_of(part, seg, p, p + length, pa.array(full[pick].view(np.int64))),
-                names=["k", "start", "end", "string"],
+                rows_of(part, seg, p, p + length, pa.array(full[pick].view(np.int64)), pa.array(part.column("bucket").to_numpy()[seg])),
+                names=["k", "start", "end", "string", "bucket"],
             )
 
     spans = runs.mapInArrow(compare, "k binary, start long, end long")
     if large:  # the parts of a large bucket don't see each other: of each string that a part has, one goes on to meet the others
-        strings = runs.mapInArrow(one_of_each, "k binary, start long, end long, string long")
-        often = strings.groupBy(F.col("string").alias("s")).agg(F.count("*").alias("c")).filter("c > 1")
-        spans = spans.union(strings.join(often.hint("merge"), F.col("string") == F.col("s")).select("k", "start", "end"))
+        strings = runs.mapInArrow(one_of_each, "k binary, start long, end long, string long, bucket long")
+        often = strings.groupBy(F.col("bucket").alias("_b"), F.col("string").alias("s")).agg(F.count("*").alias("c")).filter("c > 1")
+        same = (F.col("string") == F.col("s")) & (F.col("bucket") == F.col("_b"))
+        spans = spans.union(strings.join(often.hint("merge"), same).select("k", "start", "end"))
     return spans.groupBy("k").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
@@ -302,7 +316,10 @@ def remove_repeated(
     named are not read.
     """
     keyed = _keyed(docs, id_col, text_col)
-    spans = repeated_spans(keyed, length, most_runs, stretch)
+    copies = _copies(keyed, length)
+    told = keyed.withColumn("t", F.sha2("text", 256)).join(copies, F.col("t") == F.col("_t"), "left").drop("t")
+    once = told.filter("_t is null").unionByName(told.filter("k = _first").dropDuplicates(["k"]))
+    spans = repeated_spans(once.select("doc_id", "k", "text"), length, most_runs, stretch)
     kind = dict(docs.dtypes)[id_col]
 
     def cut(batches):
@@ -322,7 +339,9 @@ def remove_repeated(
             cols = [b.column(0), *(pa.array(c, pa.int64()) for c in (size, gone, runs)), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    both = keyed.join(spans.withColumnRenamed("k", "_k").hint("merge"), F.col("k") == F.col("_k"), "left").select("doc_id", "text", "spans")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end")))
+    both = told.join(spans.withColumnRenamed("k", "_k").hint("merge"), F.col("k") == F.col("_k"), "left")
+    both = both.select("doc_id", "text", F.when(F.col("_t").isNotNull(), whole).otherwise(F.col("spans")).alias("spans"))
     return both.mapInArrow(cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
