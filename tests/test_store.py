@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.test_backtest import K, bars
 from tests.test_research import WAVE
+from tidemill.operators import backtest as bt
 from tidemill.operators import search, signals, splits
 from tidemill.plans import workflows as wf
 from tidemill.sources import store
@@ -99,3 +100,24 @@ def test_a_family_is_one_registration(spark):
 def test_grids_are_bounded(spark):
     with pytest.raises(ValueError):
         search.candidates(spark, {"ma_crossover": {"short_window": list(range(1, 400)), "long_window": list(range(1, 400))}})
+
+
+def test_bucketed_tables_need_no_shuffle(spark, tmp_path):
+    b = bars(spark, WAVE).drop("target_position")
+    b = b.unionByName(b.withColumn("symbol", F.lit("Z")))
+    s = b.select("symbol", "ts", (F.dayofmonth("ts") % 2).alias("signal_binary"))
+    names = ["t_bars", "t_signals"]
+    stored = [store.write_bucketed(df, n, str(tmp_path / n), 3) for df, n in zip((b, s), names, strict=True)]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    try:
+        run = bt.metrics(bt.backtest(signals.ma_targets(stored[0], K, 3, 8), K), K)
+        both = stored[0].join(stored[1].hint("merge"), ["symbol", "ts"])
+        signal = bt.metrics(bt.backtest(both.withColumn("target_position", F.col("signal_binary").cast("double")), K), K)
+        assert "Exchange" not in plan(run) and "Exchange" not in plan(both) and "Exchange" not in plan(signal)
+        assert both.count() == b.count()
+    finally:
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+        for n in names:
+            spark.sql(f"drop table {n}")
+    assert sorted(map(str, run.collect())) == sorted(map(str, bt.metrics(bt.backtest(signals.ma_targets(b, K, 3, 8), K), K).collect()))

@@ -673,6 +673,7 @@ def statements(q) -> dict[str, str]:
             "SELECT w.*, x.signal_binary::DOUBLE AS target FROM weekly w JOIN x USING (symbol, ts) WHERE symbol NOT IN ('1-URGENT', '2-HIGH', "
             "'3-MEDIUM', '5-LOW')",
         ).add("p", periods("b", q.PERIODS, ("development", "holdout"))).backtest("p", "e", "symbol, role").metrics("e", "m", "symbol, role").add("dev", "SELECT * FROM m WHERE role = 'development'").add("hold", "SELECT * FROM m WHERE role = 'holdout'").add("hb", "SELECT * FROM p WHERE role = 'holdout'").hold("hb", "bh", "symbol").beside("dev", "hold", "bh", "v", "symbol", "symbol"),
+        "bucketed_signals": weekly().add("x", EXTERNAL).add("t", "SELECT w.*, x.signal_binary::DOUBLE AS target FROM weekly w JOIN x USING (symbol, ts)").backtest("t", "e", "symbol").metrics("e", "m", "symbol").sql(f"SELECT symbol, {metrics} FROM m"),
         "momentum_validation": ratio(weekly(), 0.7).winners("ratio", "v", "symbol", q.THREE).sql(
             f"SELECT symbol, cand_id, momentum_window::BIGINT AS momentum_window, result_count::BIGINT AS result_count, {evidence}, {CANDIDATE_VERDICT} AS verdict FROM v"
         ),

@@ -215,6 +215,16 @@ def ranked(spark: SparkSession, sf: str) -> DataFrame:
     return wf.grid_search(spark, weekly(spark, sf), KEYS, GRID, WEEKLY, max_drawdown_cap=0.99, min_trade_count=1)
 
 
+def bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of the external signal, bars and signals read from tables in buckets by symbol."""
+    made = []
+    for name, df in (("bars", weekly(spark, sf)), ("signals", external(spark, sf))):
+        path = store.new_folder(spark, name)
+        made.append(store.write_bucketed(df, path.rsplit("/", 1)[1].replace("-", "_"), path, 8))
+    df = signals.signal_targets(*made)
+    return bt.metrics(bt.backtest(df, KEYS), KEYS, WEEKLY)
+
+
 def labelled(curve: DataFrame) -> DataFrame:
     """Equity and drawdown, a row each, of curves with rank and parameters."""
     c = bt.drawdowns(curve, ["symbol", "cand_id"])
@@ -438,6 +448,7 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "month_sequence": lambda s, d: tidy(months(s, d)),
         "keep_last": lambda s, d: tidy(keep_last(s, d)),
         "incremental_ingest": lambda s, d: tidy(ingested(s, d)),
+        "bucketed_signals": lambda s, d: tidy(bucketed(s, d)),
         "stored_curves": lambda s, d: tidy(stored_curves(s, d)),
         "momentum_search": lambda s, d: tidy(wf.grid_search(s, b(s, d), KEYS, THREE, WEEKLY), "symbol", "cand_id", "rank", "momentum_window", *METRICS),
         "momentum_validation": lambda s, d: tidy(

@@ -88,6 +88,21 @@ def _marks(df: DataFrame, by: list[str], name: str) -> DataFrame:
     return df.groupBy(*by).agg(F.struct(F.count("*"), F.sum(row)).alias(name))
 
 
+# --- tables that lie as they are used ----------------------------------------------------------------------------------
+
+
+def write_bucketed(df: DataFrame, name: str, path: str | None = None, buckets: int = 200, by: str = "symbol", order: str = "ts") -> DataFrame:
+    """Writes a table in buckets of by, sorted by it and order in each, and returns it as it is read from then on.
+
+    Windows over by, and over by and more, need no shuffle then.  Nor do joins on by and time of two tables with as many buckets, where the session
+    has spark.sql.requireAllClusterKeysForCoPartition off: symbols lie together, so rows of one symbol and time do.  path: where the
+    files go, if not to the warehouse.
+    """
+    out = df.repartition(buckets, by).sortWithinPartitions(by, order).write.bucketBy(buckets, by).sortBy(by, order).mode("overwrite").format("parquet")
+    (out.option("path", path) if path else out).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 # --- curves that are read again ----------------------------------------------------------------------------------------
 
 
