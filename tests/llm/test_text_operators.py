@@ -33,7 +33,8 @@ def docs(spark, rows=ODD):
     return spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit(1), "n": F.lit("x"), "size": F.lit(2.0)})
 
 
-def test_token_counts(spark):
+@pytest.mark.parametrize("few", [token_counts.FEW, 40, 0])
+def test_token_counts(spark, few):
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -41,20 +42,31 @@ def test_token_counts(spark):
     t = Tokenizer.from_file(path)
     r = random.Random(1)
     extra = [(100 + k, "".join(r.choice("ab 1'\n\tsé_.½") for _ in range(200))) for k in range(50)]
-    got = token_counts.token_counts(docs(spark, ODD + extra), path).collect()
+    extra += [(200 + k, "the and of " * k + f"rare{k}") for k in range(20)]
+    got = token_counts.token_counts(docs(spark, ODD + extra), path, few=few).collect()
     want = sorted((len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False))) for _, x in ODD + extra)
     assert sorted((g.n_bytes, g.n_tokens) for g in got) == want
     assert all(g.over_limit == (g.n_tokens > 512) for g in got)
-    assert token_counts.token_counts(docs(spark, []), path).count() == 0
+    assert token_counts.token_counts(docs(spark, []), path, few=few).count() == 0
 
 
-def test_piece_cache_is_bounded():
+def test_pre_tokens_are_one_table(spark, monkeypatch):
+    """Each pre-token is there once, with its occurrences in all texts and its pieces, however little a task holds."""
     import public_tokenizers
+    from tokenizers import Tokenizer
 
+    monkeypatch.setattr(token_counts, "HELD", 5)
     path = public_tokenizers.path("byte_bpe_50k.json")
-    texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(20)]
-    small, large = token_counts.PieceCounter(path, cache=10), token_counts.PieceCounter(path)
-    assert [int(small.counts([x])[0]) for x in texts] == large.counts(texts).tolist()
+    t = Tokenizer.from_file(path)
+    texts = [f"word{k % 7} other {k % 3} <|endoftext|>words" for k in range(100)] + [None, "", "x" * 500]
+    df = spark.createDataFrame([(x,) for x in texts], "text string").repartition(5)
+    got = {r.pre: (r.n, r.pieces) for r in token_counts.pre_tokens(df, path).collect()}
+    assert got[" other"][0] == 100 and got["words"][0] == 100 and "x" * 500 not in got
+    assert all(n == len(t.encode(p, add_special_tokens=False)) for p, (_, n) in got.items())
+    pre = token_counts.pre_tokens(df, path)
+    for most in (0, 3, 10, 1000):
+        known, rest = token_counts.frequent(pre, most)
+        assert known.count() <= most and known.count() + (rest.count() if rest else 0) == len(got)
 
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -1,9 +1,9 @@
 """Token counts of a public tokenizer, without making token ids of whole texts.
 
-Pieces are counted once for each distinct pre-token of a batch of texts and kept in a bounded cache; each document has
-the frequencies of its pre-tokens; joining both on the pre-token and summing gives the document's tokens.  Nothing is
-shuffled: the pre-token table of a batch stays in the task that made it, so the work grows with the input alone and a lost
-task is simply run again.
+Texts are split to pre-tokens twice.  First their different pre-tokens are gathered in one table, summed in tasks and over them, and
+the pieces of each are counted once.  Then every document's pre-token frequencies are joined to that table and summed.  The most
+frequent pre-tokens of the table, as many as one broadcast may hold, are joined in the tasks that split the documents, so their frequencies
+are never rows; the rest, if there is one, is joined by a shuffle of documents' rare pre-tokens alone.
 """
 
 from __future__ import annotations
@@ -11,79 +11,132 @@ from __future__ import annotations
 import os
 import re
 from collections import Counter
+from operator import mul
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sliced, table
+from .common import checkpointed, sliced, table
 
 NAME = "op10_token_counts"
 SQL = None  # no SQL counts byte-pair pieces
-#: Distinct pre-tokens whose piece counts a task remembers.
-CACHE = 500_000
+#: Different pre-tokens that a task holds before it passes their sums on.
+HELD = 300_000
+#: Pre-tokens of the table that are broadcast (some 100 bytes each in a task, so 100 MB); all others are joined by a shuffle.
+FEW = 1_000_000
+#: Longer pre-tokens are counted where they stand: they are hardly ever met twice, and may be as long as a text.
+LONGEST = 200
 #: Texts of these characters only are split by PLAIN; others by the tokenizer library's own splitter.
 PLAIN_TEXT = re.compile(r"[\t\n\r -~À-ÖØ-öø-ɏ]*")
 #: The byte-level splitting rule, for PLAIN_TEXT.
 PLAIN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
-class PieceCounter:
-    """Counts tokens of texts by a byte-level tokenizers file."""
+class Splitter:
+    """Splits texts as a byte-level tokenizers file does, and counts pieces of pre-tokens."""
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tok, self.cache, self.pieces = Tokenizer.from_file(path), cache, {}
-        self.special = sorted((t.content for t in self.tok.get_added_tokens_decoder().values()), key=lambda s: (-len(s), s))
-        self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-
-    def pre_tokens(self, text: str) -> Counter:
-        if PLAIN_TEXT.fullmatch(text):
-            return Counter(PLAIN.findall(text))
-        return Counter(text[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text))
-
-    def counts(self, texts: list[str]) -> np.ndarray:
-        """Tokens of each text; a special token's string in a text is one token, as the library has it by default."""
-        fixed, owner, keys, freq = np.zeros(len(texts), np.int64), [], [], []
-        for i, text in enumerate(texts):
-            parts = [text]
-            if self.cut and self.cut.search(text):
-                parts = self.cut.split(text)
-                fixed[i] = len(parts) - 1
-            for part in parts:
-                found = self.pre_tokens(part)
-                keys += found.keys()
-                freq += found.values()
-                owner.append((i, len(found)))
-        new = list({k for k in keys if k not in self.pieces})
-        if len(self.pieces) + len(new) > self.cache:
-            self.pieces.clear()
-            new = list(set(keys))
-        for at in range(0, len(new), 10_000):
-            chunk = new[at : at + 10_000]
-            self.pieces.update(zip(chunk, map(len, self.tok.encode_batch(chunk, add_special_tokens=False)), strict=True))
-        n = np.fromiter(map(self.pieces.__getitem__, keys), np.int64, len(keys)) * np.asarray(freq, np.int64)
-        at = np.repeat([i for i, _ in owner], [k for _, k in owner])
-        np.add.at(fixed, at.astype(np.int64), n)
-        return fixed
-
-
-def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        self.tok = Tokenizer.from_file(path)
+        special = sorted((t.content for t in self.tok.get_added_tokens_decoder().values()), key=lambda s: (-len(s), s))
+        self.cut = re.compile("|".join(map(re.escape, special))) if special else None
+
+    def split(self, text: str | None) -> tuple[int, Counter]:
+        """(tokens that are known at once, frequencies of pre-tokens): a special token's string in a text is one token, as the
+        library has it by default, and long pre-tokens are counted here."""
+        found: Counter = Counter()
+        if not text:
+            return 0, found
+        parts = self.cut.split(text) if self.cut and self.cut.search(text) else [text]
+        fixed = len(parts) - 1
+        for part in parts:
+            if PLAIN_TEXT.fullmatch(part):
+                found.update(PLAIN.findall(part))
+            else:
+                found.update(part[a:b] for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(part))
+        long = [p for p in found if len(p) > LONGEST]
+        if long:
+            fixed += sum(n * found.pop(p) for p, n in zip(long, self.pieces(long), strict=True))
+        return fixed, found
+
+    def pieces(self, parts: list[str]) -> list[int]:
+        """How many tokens each of some pre-tokens is."""
+        return list(map(len, self.tok.encode_batch(parts, add_special_tokens=False)))
+
+
+def pre_tokens(texts: DataFrame, path: str) -> DataFrame:
+    """(pre, n, pieces): the different pre-tokens of all texts (one column), how often they occur, and how many tokens each is."""
+
+    def gather(batches):
+        splitter, held = Splitter(path), Counter()
+        for b in sliced(batches):
+            for text in b.column(0).to_pylist():
+                held.update(splitter.split(text)[1])
+            if len(held) > HELD:
+                yield passed(held)
+                held = Counter()
+        if held:
+            yield passed(held)
+
+    def passed(held):
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(held.values(), pa.int64())], names=["pre", "n"])
+
+    def count(batches):
+        splitter = Splitter(path)
+        for b in sliced(batches, 10_000):
+            pieces = pa.array(splitter.pieces(b.column(0).to_pylist()), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pieces], names=["pre", "n", "pieces"])
+
+    found = texts.mapInArrow(gather, "pre string, n long").groupBy("pre").agg(F.sum("n").alias("n"))
+    return found.mapInArrow(count, "pre string, n long, pieces int")
+
+
+def frequent(pre: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """(the rows of the highest powers of two of n that are at most so many, the others or None)."""
+    level = F.floor(F.log2("n"))
+    counts = {r[0]: r[1] for r in pre.groupBy(level.alias("level")).count().collect()}  # some 60 rows
+    total, least = 0, None
+    for k in sorted(counts, reverse=True):
+        total += counts[k]
+        if total > most:
+            break
+        least = k
+    if total <= most:
+        return pre, None
+    if least is None:
+        return pre.limit(0), pre
+    return pre.filter(level >= least), pre.filter(level < least)
+
+
+def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row of docs, one result row for each.
 
     Null text counts as empty: 0 bytes, 0 tokens.  Null and repeated ids are passed on as they are.  Texts are counted
-    whole, however long.  An empty table gives none.  Columns other than the two named are not read.
+    whole, however long.  An empty table gives none.  Columns other than the two named are not read.  few: pre-tokens that are broadcast.
     """
+    known, rest = frequent(checkpointed(pre_tokens(docs.select(F.col(text_col).alias("text")), path)), few)
+    t = known.select("pre", "pieces").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast(dict(zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True)))
+    rare_type = pa.list_(pa.struct([("pre", pa.string()), ("times", pa.int64())]))
 
     def run(batches):
-        counter = PieceCounter(path)
+        splitter, pieces = Splitter(path), shared.value.get
         for b in sliced(batches):
-            texts = b.column(1).to_pylist()
-            n = counter.counts([t or "" for t in texts])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            counts, rare = [], []
+            for text in b.column(1).to_pylist():
+                total, found = splitter.split(text)
+                each = list(map(pieces, found))
+                if None in each:
+                    rare.append([{"pre": p, "times": found[p]} for p, n in zip(found, each, strict=True) if n is None])
+                    each = [n or 0 for n in each]
+                else:
+                    rare.append([])
+                counts.append(total + sum(map(mul, each, found.values())))
+            cols = [b.column(0), b.column(2), pa.array(counts, pa.int64()), pa.array(rare, rare_type)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_tokens", "rare"])
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(
@@ -91,7 +144,13 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
         F.col(text_col).alias("text"),
         F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"),
     )
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    out = rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, rare array<struct<pre:string,times:bigint>>")
+    if rest is not None:
+        out = checkpointed(out.withColumn("row", F.monotonically_increasing_id()))
+        other = out.select("row", F.inline("rare")).join(rest.select(F.col("pre").alias("_pre"), "pieces").hint("merge"), F.col("pre") == F.col("_pre"))
+        more = other.groupBy(F.col("row").alias("_row")).agg(F.sum(F.col("times") * F.col("pieces")).alias("more"))
+        out = out.join(more.hint("merge"), F.col("row") == F.col("_row"), "left").withColumn("n_tokens", F.col("n_tokens") + F.coalesce("more", F.lit(0)))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
