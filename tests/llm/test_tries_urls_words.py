@@ -71,7 +71,7 @@ def conversations(n=60, seed=1):
 ODD_TURNS = [(None, 0, "user", "nobody"), (1, None, None, None), (1, None, None, None), (1, 5, "user", "x"), (1, 5, "bot", "x"), (40, 0, None, "é 漢"), (40, 1, "user", None), (43, 9, "user", "w " * 40_000)]
 
 
-@pytest.mark.parametrize("least", [1, 3, 20, 1000])
+@pytest.mark.parametrize("least", [1, 20])
 @pytest.mark.parametrize("rows", [conversations(), conversations(25, 2) + ODD_TURNS, ODD_TURNS])
 def test_trie(spark, rows, least):
     df = spark.createDataFrame(rows, TURNS).withColumns({"depth": F.lit(1), "hi": F.lit("x"), "words": F.lit(None)})
