@@ -318,8 +318,8 @@ def remove_repeated(
     keyed = _keyed(docs, id_col, text_col)
     copies = _copies(keyed, length)
     told = keyed.withColumn("t", F.sha2("text", 256)).join(copies, F.col("t") == F.col("_t"), "left").drop("t")
-    once = told.filter("_t is null").unionByName(told.filter("k = _first").dropDuplicates(["k"]))
-    spans = repeated_spans(once.select("doc_id", "k", "text"), length, most_runs, stretch)
+    once = told.filter("_t is null or k = _first").select("doc_id", "k", "text")  # rows of one id and text stay several
+    spans = repeated_spans(once, length, most_runs, stretch)
     kind = dict(docs.dtypes)[id_col]
 
     def cut(batches):
