@@ -370,6 +370,20 @@ def test_edit_distance():
         assert fuzzy_lines.edit_distance(a, b) == slow_distance(a, b)
 
 
+def test_within():
+    r = random.Random(8)
+    for size in (0, 1, 2, 15, 16, 17, 60, 300) * 40:
+        a = [r.choice("ab é漢") for _ in range(size)]
+        b = list(a)
+        for _ in range(r.randrange(0, 7)):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randrange(2)] = r.choice(["", "a", "z"])
+        a, b = "".join(a), "".join(b)
+        apart = fuzzy_lines.edit_distance(a, b)
+        assert all(fuzzy_lines.within(a, b, most) == (apart <= most) for most in (0, max(0, apart - 1), apart, apart + 1, 15))
+        assert all(fuzzy_lines.words_apart(a.split(" "), b.split(" "), most) > most or apart <= most for most in (0, 3, 15))
+
+
 def test_pipeline(spark, tmp_path):
     r = random.Random(8)
     word = lambda: "".join(r.choice("bcdfgl") + r.choice("aeiou") for _ in range(3))

@@ -16,6 +16,7 @@ over all numbers of edits up to that, in lines of a few words and of hundreds: n
 from __future__ import annotations
 
 import itertools
+import math
 from typing import NamedTuple
 
 import numpy as np
@@ -147,9 +148,9 @@ def simhashes(hashes: np.ndarray, part: np.ndarray, parts: int, width: int) -> n
 _ODD = mixed(np.arange(5001, 5009, dtype=np.uint64)) | np.uint64(1)
 
 
-def _key_of(kind: int, values: np.ndarray) -> np.ndarray:
-    """A key for each row of the SimHashes of a block."""
-    return mixed((values * _ODD[: values.shape[1]]).sum(1, dtype=np.uint64) + mixed(np.array([kind], np.uint64)))
+def _drawn(kinds: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """What a block's key is mixed from: the number of its kind and the SimHashes of its parts, along the last axis."""
+    return (values * _ODD[: values.shape[-1]]).sum(-1, dtype=np.uint64) + mixed(kinds)
 
 
 def _blocks(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,37 +166,32 @@ def _blocks(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sims = simhashes(once, leaf, 16 * n, 6).reshape(n, 16)
     held = np.bincount(leaf, held, 16 * n).reshape(n, 16)
     poor = held.sum(1) < 3 * PART_BYTES  # few different words: a part may be too small, so pairs of sixths count at any length
-    found = []
-
-    def take(which: np.ndarray, kind: int, parts: np.ndarray) -> None:
-        at = np.flatnonzero(which)
-        if len(at):
-            found.append((at, _key_of(kind, parts[at])))
-
+    owners, drawn = [], []
     below = np.zeros((n, 16), bool)
     for width in (1, 2, 4, 8):
         own = held.reshape(n, -1, width).sum(2) >= PART_BYTES
         own &= ~below.reshape(n, -1, width).any(2)
-        for k in range(own.shape[1]):
-            take(own[:, k], 100 * width + k, sims[:, k * width : (k + 1) * width])
+        at, k = np.nonzero(own)
+        owners.append(at)
+        drawn.append(_drawn(100 * width + k, sims.reshape(n, -1, width)[at, k]))
         below |= np.repeat(own, width, axis=1)
     # Sixths of short lines, by the place of a word; two sixths of a longer line hold too much to be a block.
     bytes_of = np.bincount(line, size, n)
     keep = (poor | (bytes_of < 6 * SIXTHS[2][1]))[line]
     h, size, line = h[keep], size[keep], line[keep]
-    count = np.bincount(line, minlength=n)
+    short, line = np.unique(line, return_inverse=True)
+    n, poor, count = len(short), poor[short], np.bincount(line, minlength=len(short))
     nth = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
     sixth = line * 6 + nth * 6 // count[line]
     held = np.bincount(sixth, size, 6 * n).reshape(n, 6)
     sims = simhashes(h, sixth, 6 * n, 3).reshape(n, 6)
     for many, (low, high) in SIXTHS.items():
-        for k, c in enumerate(itertools.combinations(range(6), many)):
-            bytes_ = held[:, c].sum(1)
-            take((bytes_ >= low) & ((bytes_ < high) | (poor & (many == 2))), 1000 * many + k, sims[:, c])
-    return (
-        np.concatenate([f[0] for f in found]),
-        np.concatenate([f[1] for f in found]),
-    ) if found else (np.empty(0, np.int64), np.empty(0, np.uint64))
+        chosen = np.array(list(itertools.combinations(range(6), many)))
+        bytes_ = held[:, chosen].sum(2)
+        at, k = np.nonzero((bytes_ >= low) & ((bytes_ < high) | (poor[:, None] & (many == 2))))
+        owners.append(short[at])
+        drawn.append(_drawn(1000 * many + k, sims[at[:, None], chosen[k]]))
+    return np.concatenate(owners), mixed(np.concatenate(drawn))
 
 
 def blocks(lines: list[bytes], most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
@@ -250,10 +246,45 @@ def edit_distance(a: str | list, b: str | list, most: int | None = None) -> int:
     return score
 
 
-def words_apart(a: list[str], b: list[str]) -> int:
-    """No less than the edit distance of lines of these words: the cost of one way to align them, found word by word."""
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the Levenshtein distance is at most so much: how far each number of edits reaches, for each shift of b against a.
+
+    Takes some most * most / 2 steps, each along a stretch of equal characters, whatever the lengths.
+    """
+    n, m = len(a), len(b)
+
+    def along(i: int, j: int) -> int:
+        """The end in a of the stretch that is equal from a[i] and b[j] on."""
+        if a[i : i + 1] != b[j : j + 1]:
+            return i
+        step = 16
+        while i < n and a[i : i + step] == b[j : j + step]:
+            i, j, step = i + step, j + step, 4 * step
+        while step > 1 and i < n:
+            step //= 2
+            if a[i : i + step] == b[j : j + step]:
+                i, j = i + step, j + step
+        return min(i, n)
+
+    shift, far = m - n, {0: along(0, 0)}  # shift: where the end of b lies
+    for edits in range(most + 1):
+        if far.get(shift, -1) >= n:
+            return True
+        left = most - edits - 1  # edits that remain after the next one
+        reach = {}
+        for s in range(max(-edits - 1, shift - left), min(edits + 1, shift + left) + 1):
+            # A character of a is replaced, left out, or one of b is put in.
+            i = min(max(far.get(s, -2) + 1, far.get(s + 1, -2) + 1, far.get(s - 1, -1)), n, m - s)
+            if i >= max(0, -s):
+                reach[s] = along(i, i + s)
+        far = reach
+    return False
+
+
+def words_apart(a: list[str], b: list[str], most: float = math.inf) -> int:
+    """No less than the edit distance of lines of these words: the cost of one way to align them, found word by word.  Past most, any number above it."""
     i = j = cost = 0
-    while i < len(a) and j < len(b):
+    while i < len(a) and j < len(b) and cost <= most:
         if a[i] == b[j]:
             i, j = i + 1, j + 1
         elif a[i + 1 : i + 3] == b[j : j + 2]:
@@ -269,14 +300,14 @@ def words_apart(a: list[str], b: list[str]) -> int:
 
 
 def alike(a: str, b: str, likeness: Likeness, by_words: bool = False) -> bool:
-    """Whether the edit distance is within what the likeness allows; words settle most cases before characters are looked at.
+    """Whether the edit distance is within what the likeness allows.
 
     by_words: look at words only, so that some similar lines don't count.
     """
     most = likeness.most(max(len(a), len(b)))
     if abs(len(a) - len(b)) > most:
         return False
-    return words_apart(a.split(" "), b.split(" ")) <= most or not by_words and edit_distance(a, b, most) <= most
+    return words_apart(a.split(" "), b.split(" "), most) <= most if by_words else within(a, b, most)
 
 
 #: Lines of a bucket up to which all pairs are looked at one by one.
