@@ -105,6 +105,41 @@ def test_similar_lines(spark, words):
     assert len(found & full) >= 0.75 * len(full), (len(found & full), len(full))
 
 
+@pytest.mark.parametrize("words", [3, 5, 12, 25, 40, 120, 600])
+def test_no_similar_line_is_missed(spark, words):
+    """All pairs of as many edits as the likeness allows, words joined or not: none is left out at any length."""
+    r = random.Random(words + 1)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9)))
+    rows, apart = [], []
+    while len(rows) < 2 * (60 if words > 100 else 200):
+        a = " ".join(word() for _ in range(words))
+        allowed = fuzzy_lines.LIKENESS.most(len(a))
+        b = edited(r, a, allowed)
+        norms = [fuzzy_lines.normalised(x) for x in (a, b)]
+        apart.append(fuzzy_lines.edit_distance(*norms))
+        if 0 < apart[-1] <= fuzzy_lines.LIKENESS.most(max(map(len, norms))):
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    assert max(apart) > 15 or words < 600
+    out = fuzzy_lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc_id for x in out.filter(F.col("_n_removed") > 0).collect()} == {i for i, _ in rows if i % 2}
+
+
+@pytest.mark.parametrize("likeness", [fuzzy_lines.LIKENESS, fuzzy_lines.Likeness(0.95, 2, 0.8)])
+def test_similar_lines_share_a_stretch(likeness):
+    r, seen = random.Random(11), 0
+    while seen < 1500:
+        a = " ".join("".join(r.choice("abcé語 ") for _ in range(r.choice((r.randrange(4, 60), r.randrange(60, 260), 700)))).split())
+        x = list(a)
+        for _ in range(likeness.most(len(a))):
+            at, kind = r.randrange(len(x)), r.randrange(3)
+            x[at : at + 1] = [[r.choice("abcé語 ")], [x[at], r.choice("abc ")], []][kind]
+        b = " ".join("".join(x).split())
+        if a != b and fuzzy_lines.within(a, b, likeness.most(max(len(a), len(b)))):
+            owner, keys = fuzzy_lines.stretches([a.encode(), b.encode()], likeness)
+            assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist()), (a, b)
+            seen += 1
+
+
 def test_distance_past_the_most_is_only_told_to_be_past():
     r = random.Random(3)
     for _ in range(500):
