@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -309,6 +310,18 @@ def test_toxicity_gradients():
         assert (up - down) / 2e-2 == pytest.approx(grad[name][i], rel=0.05, abs=1e-4), name
 
 
+def test_toxicity_fit_holds_no_object_for_each_word(monkeypatch):
+    monkeypatch.setattr(toxicity, "FEWEST_STEPS", 1)
+    r = random.Random(9)
+    texts = [" ".join(r.choices([f"w{i}" for i in range(300)], k=4_000)) for _ in range(300)]
+    tracemalloc.start()
+    try:
+        toxicity.fit(texts, [i % 2 for i in range(300)], epochs=(1, 0))
+        assert tracemalloc.get_traced_memory()[1] < 80e6  # 1.2 million words
+    finally:
+        tracemalloc.stop()
+
+
 def test_toxicity_with_one_class_or_none():
     for rows in ([], [("fine words here", 0)] * 5):
         net = toxicity.fit([t for t, _ in rows], [y for _, y in rows])
