@@ -151,6 +151,31 @@ def test_repeats(spark, length, most_runs, stretch):
     assert repeated_substrings.remove_repeated(df.limit(0), length).count() == 0
 
 
+def rows_made(node):
+    """Rows out of each MapInArrow of a plan that ran."""
+    kind = node.getClass().getSimpleName()
+    if kind.startswith("Adaptive") or kind.endswith("QueryStageExec"):
+        return rows_made(node.executedPlan() if kind.startswith("Adaptive") else node.plan())
+    own = [node.metrics().apply("pythonNumRowsReceived").value()] if "MapInArrow" in node.nodeName() else []
+    below = node.children()
+    return own + [x for i in range(below.size()) for x in rows_made(below.apply(i))]
+
+
+def test_strings_of_a_hot_bucket_are_packed(spark):
+    r = random.Random(4)
+    p = "".join(r.choice("abcdefgh") for _ in range(30))  # too short to be removed, but filed alike everywhere
+    texts = ["".join(r.choice("uvwxyz") for _ in range(60)) + p + "".join(r.choice("uvwxyz") for _ in range(60)) for _ in range(60)]
+    texts += [texts[0][:120] + "1", "2" + texts[1][30:]]
+    keyed = repeated_substrings._keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text").repartition(3)
+    spans = repeated_substrings.repeated_spans(keyed, 40, most_runs=5)
+    got = {bytes(x.k): repeated_substrings.merged([y.asDict() for y in x.spans]) for x in spans.collect()}
+    key = {x.doc_id: bytes(x.k) for x in keyed.collect()}
+    assert got == {key[0]: [(0, 120)], key[60]: [(0, 120)], key[1]: [(30, 150)], key[61]: [(1, 121)]}
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = rows_made(spans._jdf.queryExecution().executedPlan())
+    assert made and max(made) < max(2 * n * n, 400)  # a row for each string: 505
+
+
 def brute_join(rows, t=0.8, n=5):
     sets = {}
     for k, (i, text) in enumerate(rows):
