@@ -151,14 +151,14 @@ def test_repeats(spark, length, most_runs, stretch):
     assert repeated_substrings.remove_repeated(df.limit(0), length).count() == 0
 
 
-def rows_made(node):
-    """Rows out of each MapInArrow of a plan that ran."""
+def rows_made(node, name="MapInArrow", metric="pythonNumRowsReceived"):
+    """Rows out of each MapInArrow of a plan that ran, or another metric of other nodes."""
     kind = node.getClass().getSimpleName()
     if kind.startswith("Adaptive") or kind.endswith("QueryStageExec"):
-        return rows_made(node.executedPlan() if kind.startswith("Adaptive") else node.plan())
-    own = [node.metrics().apply("pythonNumRowsReceived").value()] if "MapInArrow" in node.nodeName() else []
+        return rows_made(node.executedPlan() if kind.startswith("Adaptive") else node.plan(), name, metric)
+    own = [node.metrics().apply(metric).value()] if node.nodeName() == name else []
     below = node.children()
-    return own + [x for i in range(below.size()) for x in rows_made(below.apply(i))]
+    return own + [x for i in range(below.size()) for x in rows_made(below.apply(i), name, metric)]
 
 
 def test_strings_of_a_hot_bucket_are_packed(spark):
@@ -366,6 +366,20 @@ def test_blocks():
             assert fuzzy_lines.words_apart(a, b) >= slow_distance(" ".join(a), " ".join(b))
 
 
+def test_small_buckets_are_dealt_without_lists(spark):
+    lines = [f"line {k // 2} of the pair is like the other {k % 2}".encode() for k in range(40)]
+    at = lambda k: [{"bucket": 1000 * (k // 2) + i, "tiles": 1, "few": True, "go": i < 100} for i in range(300)]
+    members = spark.createDataFrame(
+        [(bytes([k]) * 16, at(k)) for k in range(40)],
+        "key binary, at array<struct<bucket: long, tiles: int, few: boolean, go: boolean>>",
+    )
+    texts = spark.createDataFrame([(bytes([k]) * 16, x) for k, x in enumerate(lines)], "key binary, norm binary")
+    found = fuzzy_lines.similar(members, texts, fuzzy_lines.LIKENESS, 4)
+    assert {frozenset((x.a[0], x.b[0])) for x in found.collect()} == {frozenset((k, k + 1)) for k in range(0, 40, 2)}
+    # 4,000 rows of a bucket, a key and a line; 300 numbers of 8 bytes in each made it 10 MB and more.
+    assert max(rows_made(found._jdf.queryExecution().executedPlan(), "Exchange", "dataSize")) < 2e6
+
+
 def test_close_pairs_lose_none():
     r = random.Random(10)
     base = ["".join(r.choice("abc éß漢") for _ in range(40)) for _ in range(6)]
