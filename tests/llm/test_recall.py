@@ -150,3 +150,36 @@ def test_distance_past_the_most_is_only_told_to_be_past():
         assert cut == whole if whole <= most else most < cut <= whole
     for size in range(0, 3000, 7):
         assert fuzzy_lines.LIKENESS.most(size) == int(fuzzy_lines.LIKENESS.allowed(np.array([size]))[0])
+
+
+@pytest.mark.parametrize("likeness", [fuzzy_lines.LIKENESS, fuzzy_lines.Likeness(0.95, 2, 0.8)])
+def test_signatures_rule_out_no_line_alike(likeness):
+    r = random.Random(12)
+    seen = 0
+    for n in (11, 19, 21, 29, 31, 119, 199, 203, 349, 353, 849, 860, 1_640, 1_670, 3_290, 3_330, 12_990, 13_200):
+        for kind in range(12):
+            a = "".join(r.choice("abcdefghij é中") for _ in range(n)).strip() or "a"
+            b = list(a)
+            for _ in range(r.choice((1, likeness.most(n), likeness.most(n)))):
+                at = r.randrange(len(b))
+                b[at : at + (kind % 3 != 1)] = ["z"] * (kind % 3 != 2)  # replaced, put in, left out
+            b = "".join(b)
+            if fuzzy_lines.within(a, b, likeness.most(max(len(a), len(b)))):
+                lines = [a.encode(), b.encode()]
+                both = fuzzy_lines.signatures(lines, fuzzy_lines.code_points(lines), likeness)
+                assert fuzzy_lines.may_be_alike(both[:1], both[1:], likeness)[0]
+                assert not fuzzy_lines.torn(a, b, likeness.most(max(len(a), len(b))))
+                seen += 1
+    assert seen > 150
+
+
+def test_unlike_lines_of_a_bucket_go_no_further(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    passage = " ".join(word() for _ in range(12))
+    lines = [f"{passage} " + " ".join(word() for _ in range(40)) for _ in range(30)]
+    lines.append(lines[0][:-1] + "é")
+    keyed = fuzzy_lines._key(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    found = fuzzy_lines.met(keyed, 1, fuzzy_lines.LIKENESS).collect()
+    # All 31 lines have the passage at one place, but two are alike.
+    assert found and {tuple(sorted(x.lines)) for x in found} == {tuple(sorted(found[0].lines))} and found[0].n == 2
